@@ -29,3 +29,380 @@ def build_dialogue(conversations: DataFrame, seed=SEED, spec=DIALOGUE, **kw) ->
     """BLD8: every prefix of every dialogue; last user block in the input, the reply as target."""
     hist = history_rows(dialogue_pairs(conversations), spec.words["user"], spec.words["assistant"])
     return finish(hist, spec, ["conv_id", "i"], {"text": F.col("history")}, F.col("reply"), None, seed, **kw)
+
+
+# ---------------------------------------------------------------- shared draws
+
+from collections.abc import Sequence  # noqa: E402
+
+from pyspark.sql import Column, Window  # noqa: E402
+
+from ..functions.draws import draw_int, u  # noqa: E402
+from ..operators.choices import (absent_by_join, absent_from_list, map_label,  # noqa: E402
+                                 ordinal_label, size_distribution, small_vocabulary, vocabulary)
+from ..operators.sampling import draw_from, insert_before_last, random_insert  # noqa: E402
+from ..operators.tags import decode_tags  # noqa: E402
+from ..operators.ordering import with_global_index  # noqa: E402
+from .tasks import (CLASSIFICATION, CLASSIFICATION_SIZED, ENTITIES, EVENTS,  # noqa: E402
+                    NORMALIZATION, ORDINAL, PAIR_MATCH, RELATIONS, RELEVANCE, TAGGED)
+
+SEP = "，"   # list separator inside prompts and answers (fixed value)
+COLON = "："
+
+
+def with_absent(df: DataFrame, key: Sequence[str], own: str, n: Column | int, vocab: DataFrame,
+                seed, task: str, name: str, draw: str) -> DataFrame:
+    """JOI4 with a size check: literal-array path for small vocabularies, join path beyond."""
+    labels = small_vocabulary(vocab)
+    if labels is not None:
+        return df.withColumn(name, absent_from_list(F.col(own), labels, n, seed, task, key, draw))
+    return absent_by_join(df, key, own, n, vocab, seed, task, name, draw=draw)
+
+
+def _ordered_values(arr: str, field: str) -> Column:
+    """Values of ``field`` from an array of structs sorted by its first field (position)."""
+    return F.transform(F.array_sort(F.col(arr)), lambda s: s[field])
+
+
+# ---------------------------------------------------------------- BLD1 relations
+
+def relation_samples(orders: DataFrame) -> DataFrame:
+    """Stand-in: orders by (customer, year); triple = (priority, order, status) in date order."""
+    o = orders.select("o_custkey", F.year("o_orderdate").alias("o_year"), "o_orderdate", "o_orderkey",
+                      "o_orderpriority", "o_orderstatus")
+    g = o.groupBy("o_custkey", "o_year").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("o_orderdate").alias("pos"), F.col("o_orderkey").alias("pos2"),
+        F.col("o_orderpriority").alias("predicate"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("subject"),
+        F.col("o_orderstatus").alias("object")))).alias("triples"))
+    text = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"), F.lit(" in "),
+                    F.col("o_year").cast("string"), F.lit(": "),
+                    F.array_join(F.transform("triples", lambda t: F.concat(
+                        t["subject"], F.lit(" is "), t["object"], F.lit(" with "), t["predicate"])), "; "))
+    return g.withColumn("text", text)
+
+
+def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_year"), seed=SEED,
+                    spec=RELATIONS, **kw) -> DataFrame:
+    """BLD1: relation triples -> instruction rows with absent-predicate negatives."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
+    d = samples.withColumn("own", F.array_distinct(_ordered_values("triples", "predicate")))
+    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1")
+    d = with_absent(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
+                    seed, spec.name, "absent_n", "absent_n")
+    exists = u(seed, spec.name, key, "exist") < p["exist"]
+    add = u(seed, spec.name, key, "add_absent") < p["add_absent"]
+    choices = (F.when(exists & add, F.concat("own", "absent1")).when(exists, F.col("own"))
+               .otherwise(F.col("absent_n")))
+    d = d.withColumn("choices", choices)
+
+    def line(pred):
+        pairs = F.transform(F.filter("triples", lambda t: t["predicate"] == pred), lambda t: F.concat(
+            F.lit(w["head"]), t["subject"], F.lit(SEP + w["tail"]), t["object"], F.lit("。")))
+        return F.concat(F.lit(w["line_a"]), pred, F.lit(w["line_b"] + COLON), F.array_join(pairs, ""))
+
+    target = F.when(exists, F.array_join(F.transform("choices", line), "\n")).otherwise(F.lit(w["none"]))
+    return finish(d, spec, key, {"text": F.col("text"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD2 entities
+
+EVENT_LABELS = {  # fixed values: event code -> display label
+    "click": "Click",
+    "purchase": "Purchase",
+    "error": "Error report",
+    "signup": "Sign-up",
+    "view": "Page view",
+}
+
+
+def entity_samples(events: DataFrame) -> DataFrame:
+    """Stand-in: events by (user, day); entity type = mapped event type, entity = props.k."""
+    e = events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type",
+                      F.get_json_object("props", "$.k").alias("k"))
+    g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("ts").alias("pos"), F.col("event_id").alias("pos2"),
+        map_label(F.col("event_type"), EVENT_LABELS).alias("type"),
+        F.col("k").alias("entity"), F.col("event_type").alias("code")))).alias("ents"))
+    text = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" on "),
+                    F.col("day").cast("string"), F.lit(": "),
+                    F.array_join(F.transform("ents", lambda x: F.concat(x["code"], F.lit(" "), x["entity"])), " "))
+    return g.withColumn("text", text)
+
+
+def _entity_lines(choices: Column, ents: str, head: str, line: str) -> Column:
+    def one(t):
+        vals = F.array_sort(F.array_distinct(F.transform(F.filter(ents, lambda x: x["type"] == t),
+                                                         lambda x: x["entity"])))
+        return F.concat(t, F.lit(line + COLON), F.array_join(vals, SEP))
+    return F.concat(F.lit(head), F.array_join(F.transform(choices, one), "\n"))
+
+
+def build_entities(samples: DataFrame, key: Sequence[str] = ("user_id", "day"), seed=SEED,
+                   spec=ENTITIES, **kw) -> DataFrame:
+    """BLD2: typed entities -> rows; one absent type inserted before the last, or a 'none' row."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
+    d = samples.withColumn("own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
+    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1")
+    exists = u(seed, spec.name, key, "exist") < p["exist"]
+    add = (u(seed, spec.name, key, "add_absent") < p["add_absent"]) & (F.size("absent1") > 0)
+    with_one = insert_before_last(F.col("own"), F.try_element_at("absent1", F.lit(1)), u(seed, spec.name, key, "insert"))
+    choices = F.when(exists & add, with_one).when(exists, F.col("own")).otherwise(F.col("absent1"))
+    d = d.withColumn("choices", choices)
+    target = F.when(exists, _entity_lines(F.col("choices"), "ents", w["head"], w["line"])).otherwise(
+        F.lit(w["none"]))
+    return finish(d, spec, key, {"text": F.col("text"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD2b tagged entities
+
+TAG_TYPES = ("Click", "Purchase", "Error report")  # fixed type order of the tagged task
+TAG_LABELS = {  # fixed values: tag -> entity type; O = outside
+    "B-click": "Click", "I-click": "Click",
+    "B-purchase": "Purchase", "I-purchase": "Purchase",
+    "B-error": "Error report", "I-error": "Error report",
+}
+
+
+def tag_sequences(events: DataFrame) -> DataFrame:
+    """Stand-in: one character per event (letter from props.k), tag from the event type."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    tag = F.when(F.col("event_type").isin("signup", "view"), F.lit("O")).otherwise(
+        F.concat(F.lit("B-"), F.col("event_type")))
+    return events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id",
+                         F.char(F.lit(97) + F.pmod(k, F.lit(26))).alias("ch"), tag.alias("tag"))
+
+
+def build_tagged_entities(tags: DataFrame, key: Sequence[str] = ("user_id", "day"),
+                          order: Sequence[str] = ("ts", "event_id"), seed=SEED, spec=TAGGED,
+                          **kw) -> DataFrame:
+    """BLD2b: tag sequences -> decoded entities -> rows; all-types-present rows never get 'none'."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    ents = decode_tags(tags, key, list(order), TAG_LABELS)
+    n_types = len(TAG_TYPES)
+    types = F.array(*[F.lit(t) for t in TAG_TYPES])
+    d = ents.withColumn("own", F.filter(types, lambda t: F.exists("ents", lambda x: x["type"] == t)))
+    d = d.filter(F.size("own") > 0)  # FLT4
+    n_abs = draw_int(1, F.lit(n_types) - F.size("own"), u(seed, spec.name, key, "n_absent"))
+    d = d.withColumn("absent", absent_from_list(F.col("own"), list(TAG_TYPES), n_abs, seed, spec.name,
+                                                key, "absent"))
+    full = F.size("own") == n_types
+    exists = (u(seed, spec.name, key, "exist") < p["exist"]) | full
+    add = (u(seed, spec.name, key, "add_absent") < p["add_absent"]) & ~full
+    choices = (F.when(exists & add, F.concat("own", "absent")).when(exists, F.col("own"))
+               .otherwise(F.col("absent")))
+    d = d.withColumn("choices", choices)
+
+    def one(t):
+        vals = F.transform(F.array_sort(F.filter("ents", lambda x: x["type"] == t)), lambda x: x["entity"])
+        return F.concat(t, F.lit(w["line"] + COLON), F.array_join(vals, SEP))
+
+    target = F.when(exists, F.concat(F.lit(w["head"]), F.array_join(F.transform("choices", one), "\n"))
+                    ).otherwise(F.lit(w["none"]))
+    return finish(d, spec, key, {"text": F.col("sentence"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD3 events
+
+def event_samples(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Stand-in: per customer, one event per order: core = order, status, part types and names."""
+    li = lineitem.select("l_orderkey", "l_partkey").join(
+        part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name"), "l_partkey")
+    per_order = li.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set("p_type")).alias("descr"),
+        F.array_sort(F.collect_set("p_name")).alias("parts"))
+    o = orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus").join(
+        per_order.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
+    g = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("o_orderdate").alias("pos"), F.col("o_orderkey").alias("pos2"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("core"),
+        F.col("o_orderstatus").alias("status"),
+        F.coalesce("descr", F.array().cast("array<string>")).alias("descr"),
+        F.coalesce("parts", F.array().cast("array<string>")).alias("parts")))).alias("events"))
+    text = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"), F.lit(" placed "),
+                    F.array_join(F.transform("events", lambda e: e["core"]), ", "))
+    return g.withColumn("text", text)
+
+
+def build_events(samples: DataFrame, key: Sequence[str] = ("o_custkey",), seed=SEED, spec=EVENTS,
+                 **kw) -> DataFrame:
+    """BLD3: events -> one multi-line target per sample; no negatives, choices null."""
+    key = list(key)
+    w = spec.words
+
+    def line(e):
+        return F.concat(F.lit("Core" + COLON), e["core"], F.lit("；Status" + COLON), e["status"],
+                        F.lit("；Descriptors" + COLON), F.array_join(e["descr"], SEP),
+                        F.lit("；Parts" + COLON), F.array_join(e["parts"], SEP))
+
+    target = F.concat(F.lit(w["head"]), F.array_join(F.transform("events", line), "\n"))
+    return finish(samples, spec, key, {"text": F.col("text")}, target, None, seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD4 normalization
+
+def normalization_samples(part: DataFrame) -> DataFrame:
+    """Stand-in: part by (brand, size): the distinct part names in part-key order."""
+    g = part.groupBy("p_brand", "p_size").agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_names"))
+    return g.select("p_brand", "p_size",
+                    F.array_distinct(F.transform("_names", lambda s: s["p_name"])).alias("names"),
+                    F.concat(F.lit("parts of "), F.col("p_brand"), F.lit(" in size "),
+                             F.col("p_size").cast("string")).alias("text"))
+
+
+def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_size"), seed=SEED,
+                        spec=NORMALIZATION, **kw) -> DataFrame:
+    """BLD4: terms; 1-3 absent terms inserted at random positions, or 2-10 absent and 'none'."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    vocab = vocabulary(samples, F.col("names"))
+    d = with_absent(samples, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
+                    seed, spec.name, "extra", "extra")
+    d = with_absent(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
+                    seed, spec.name, "absent", "absent")
+    exists = u(seed, spec.name, key, "exist") < p["exist"]
+    mixed = random_insert(F.col("names"), F.col("extra"), seed, spec.name, key)
+    d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent")))
+    target = F.when(exists, F.array_join("names", SEP)).otherwise(F.lit(w["none"]))
+    return finish(d, spec, key, {"text": F.col("text"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD5 classification
+
+def build_classification(docs: DataFrame, label_col: str = "source", key: Sequence[str] = ("doc_id",),
+                         seed=SEED, spec=CLASSIFICATION, **kw) -> DataFrame:
+    """BLD5: one label per text; 'other' class dropped; 10% 'none of these' rows."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    d = docs.filter(F.col(label_col) != w["drop"]).withColumn("own", F.array(F.col(label_col)))
+    vocab = d.select(F.col(label_col).alias("label"))
+    d = with_absent(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
+                    spec.name, "absent_none", "absent_none")
+    d = with_absent(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
+                    spec.name, "absent", "absent")
+    not_exist = u(seed, spec.name, key, "not_exist") < p["not_exist"]
+    choices = F.when(not_exist, F.col("absent_none")).otherwise(F.concat("absent", "own"))
+    d = d.withColumn("choices", choices)
+    target = F.when(not_exist, F.lit(w["none"])).otherwise(F.col(label_col))
+    return finish(d, spec, key, {"text": F.col("text"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+def region_labels(docs: DataFrame, nation: DataFrame) -> DataFrame:
+    """Stand-in label for the sized task: the nation numbered like the document's source."""
+    src_no = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    n = nation.select(F.col("n_nationkey").alias("_nk"), F.col("n_name").alias("region"))
+    return docs.withColumn("_nk", src_no).join(n, "_nk").drop("_nk")
+
+
+def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: DataFrame,
+                               key: Sequence[str] = ("doc_id",), seed=SEED, spec=CLASSIFICATION_SIZED,
+                               **kw) -> DataFrame:
+    """BLD5b: choice-list size drawn from the empirical size distribution of ``sizes_from``."""
+    key = list(key)
+    p, w = spec.probs, spec.words
+    dist = size_distribution(sizes_from.filter(F.col("answer_choices").isNotNull()), "answer_choices")
+    rows = dist.orderBy("n").limit(10001).collect()  # one row per distinct size; checked bound
+    if len(rows) > 10000:
+        raise ValueError("size distribution has too many distinct sizes to inline")
+    values = F.array(*[F.lit(max(r["n"] - 1, 0)) for r in rows])
+    cums = F.array(*[F.lit(float(r["cumulative"])) for r in rows])
+    m = draw_from(values, cums, u(seed, spec.name, key, "size"))
+    d = region_labels(docs, nation).withColumn("own", F.array("region"))
+    vocab = nation.select(F.col("n_name").alias("label"))
+    d = d.withColumn("_m", m)
+    d = with_absent(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", "absent")
+    d = with_absent(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", "absent_none")
+    exists = u(seed, spec.name, key, "exist") < p["exist"]
+    mixed = random_insert(F.col("absent"), F.col("own"), seed, spec.name, key)
+    d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent_none")))
+    target = F.when(exists, F.col("region")).otherwise(F.lit(w["none"]))
+    return finish(d, spec, key, {"text": F.col("text"), "choices": F.array_join("choices", SEP)},
+                  target, F.col("choices"), seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD6 pair match
+
+def adjacent_pairs(docs: DataFrame) -> DataFrame:
+    """Stand-in: document i with document i+1; label '1' when both share a language."""
+    a = docs.select("doc_id", F.col("text").alias("text1"), F.col("lang").alias("lang1"))
+    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text2"),
+                    F.col("lang").alias("lang2"))
+    return a.join(b, "doc_id").select(
+        "doc_id", "text1", "text2", F.when(F.col("lang1") == F.col("lang2"), "1").otherwise("0").alias("label"))
+
+
+def build_pair_match(pairs: DataFrame, key: Sequence[str] = ("doc_id",), seed=SEED, spec=PAIR_MATCH,
+                     **kw) -> DataFrame:
+    """BLD6: the answer wording (same/different or yes/no) follows the chosen template."""
+    from ..operators.templates import pick_template
+    key = list(key)
+    same, yes = spec.words["same_pair"], spec.words["yes_pair"]
+    idx = pick_template(len(spec.templates), seed, spec.name, key)
+    wording = [same if t.rstrip().endswith(f"Options: {same[0]}, {same[1]}\nAnswer:") else yes
+               for t in spec.templates]
+    yes_w = F.element_at(F.array(*[F.lit(x[0]) for x in wording]), idx + 1)
+    no_w = F.element_at(F.array(*[F.lit(x[1]) for x in wording]), idx + 1)
+    target = F.when(F.col("label") == "1", yes_w).otherwise(no_w)
+    return finish(pairs, spec, key, {"a": F.col("text1"), "b": F.col("text2")}, target,
+                  F.array(yes_w, no_w), seed, **kw)
+
+
+def build_ordinal_match(orders: DataFrame, key: Sequence[str] = ("o_orderkey",), seed=SEED, spec=ORDINAL,
+                        **kw) -> DataFrame:
+    """BLD6b: four-or-more ordered choices; the label digit picks the target."""
+    key = list(key)
+    choices = F.array(*[F.lit(c) for c in spec.words["choices"]])
+    label = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    d = orders.select("o_orderkey", "o_custkey", "o_orderdate", label.alias("label"))
+    a = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
+    b = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"), F.lit(" on "),
+                 F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return finish(d, spec, key, {"a": a, "b": b, "choices": F.array_join(choices, SEP)},
+                  ordinal_label(choices, F.col("label")), choices, seed, **kw)
+
+
+# ---------------------------------------------------------------- BLD7 relevance
+
+def reply_links(conversations: DataFrame):
+    """Stand-in: queries = user turns, documents = assistant turns, link = the next turn."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    queries = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
+    docs = c.filter(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("d_conv"), F.col("turn").alias("d_turn"), F.col("text").alias("doc"))
+    links = queries.select("conv_id", "turn", F.col("turn").alias("line_no")).withColumn(
+        "d_conv", F.col("conv_id")).withColumn("d_turn", F.col("turn") + 1)
+    return queries, docs, links
+
+
+def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=SEED, spec=RELEVANCE,
+                    **kw) -> DataFrame:
+    """BLD7: positive document via the link table, else a random other document (never the positive)."""
+    key = ["conv_id", "turn"]
+    dkey = ["d_conv", "d_turn"]
+    p, w = spec.probs, spec.words
+    # JOI1: the last link per query wins.
+    last = links.groupBy(*key).agg(F.max_by(F.struct(*dkey), "line_no").alias("_d")).select(
+        *key, "_d.d_conv", "_d.d_turn")
+    idx_docs = with_global_index(docs, dkey, "d_idx", total="n_docs")
+    pos = last.join(idx_docs.select(*dkey, "d_idx", "n_docs"), dkey).select(
+        *key, F.col("d_idx").alias("pos_idx"), "n_docs")
+    q = queries.join(pos, key)
+    relevant = u(seed, spec.name, key, "relevant") < p["relevant"]
+    i = F.floor(u(seed, spec.name, key, "negative") * (F.col("n_docs") - 1)).cast("long")
+    neg = F.when(i >= F.col("pos_idx"), i + 1).otherwise(i)
+    q = q.withColumn("relevant", relevant).withColumn("doc_idx", F.when(relevant, F.col("pos_idx")).otherwise(neg))
+    d = q.join(idx_docs.select(F.col("d_idx").alias("doc_idx"), "doc"), "doc_idx")
+    target = F.when(F.col("relevant"), F.lit(w["yes"])).otherwise(F.lit(w["no"]))
+    return finish(d, spec, key, {"a": F.col("query"), "b": F.col("doc")}, target,
+                  F.array(F.lit(w["yes"]), F.lit(w["no"])), seed, **kw)

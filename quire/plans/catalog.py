@@ -18,10 +18,86 @@ def q_dialogue_history(spark: SparkSession, sf: str) -> DataFrame:
     return report(B.build_dialogue(table(spark, sf, "conversations")))
 
 
+def q_build_relations(spark, sf):
+    return report(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
+
+
+def q_build_entities(spark, sf):
+    return report(B.build_entities(B.entity_samples(table(spark, sf, "events"))))
+
+
+def q_build_tagged_entities(spark, sf):
+    return report(B.build_tagged_entities(B.tag_sequences(table(spark, sf, "events"))))
+
+
+def q_decode_tags(spark, sf):
+    from pyspark.sql import functions as F
+
+    from ..operators.tags import decode_tags
+    d = decode_tags(B.tag_sequences(table(spark, sf, "events")), ["user_id", "day"], ["ts", "event_id"],
+                    B.TAG_LABELS)
+    return d.select("user_id", F.col("day").cast("string").alias("day"), "sentence", "n_tags",
+                    F.explode("ents").alias("e")).select(
+        "user_id", "day", "sentence", "n_tags", F.col("e.pos").cast("long").alias("pos"),
+        F.col("e.type").alias("type"), F.col("e.entity").alias("entity"))
+
+
+def q_build_events(spark, sf):
+    return report(B.build_events(B.event_samples(table(spark, sf, "orders"), table(spark, sf, "lineitem"),
+                                                 table(spark, sf, "part"))))
+
+
+def q_build_normalization(spark, sf):
+    return report(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
+
+
+def q_build_classification(spark, sf):
+    return report(B.build_classification(table(spark, sf, "documents")))
+
+
+def q_build_classification_sized(spark, sf):
+    docs = table(spark, sf, "documents")
+    return report(B.build_classification_sized(docs, table(spark, sf, "nation"), B.build_classification(docs)))
+
+
+def q_build_pair_match(spark, sf):
+    return report(B.build_pair_match(B.adjacent_pairs(table(spark, sf, "documents"))))
+
+
+def q_build_ordinal_match(spark, sf):
+    return report(B.build_ordinal_match(table(spark, sf, "orders")))
+
+
+def q_build_relevance(spark, sf):
+    return report(B.build_relevance(*B.reply_links(table(spark, sf, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "dialogue_history": q_dialogue_history,
+    "build_relations": q_build_relations,
+    "build_entities": q_build_entities,
+    "build_tagged_entities": q_build_tagged_entities,
+    "decode_tags": q_decode_tags,
+    "build_events": q_build_events,
+    "build_normalization": q_build_normalization,
+    "build_classification": q_build_classification,
+    "build_classification_sized": q_build_classification_sized,
+    "build_pair_match": q_build_pair_match,
+    "build_ordinal_match": q_build_ordinal_match,
+    "build_relevance": q_build_relevance,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "dialogue_history": O.dialogue_history,
+    "build_relations": O.build_relations,
+    "build_entities": O.build_entities,
+    "build_tagged_entities": O.build_tagged_entities,
+    "decode_tags": O.decode_tags,
+    "build_events": O.build_events,
+    "build_normalization": O.build_normalization,
+    "build_classification": O.build_classification,
+    "build_classification_sized": O.build_classification_sized,
+    "build_pair_match": O.build_pair_match,
+    "build_ordinal_match": O.build_ordinal_match,
+    "build_relevance": O.build_relevance,
 }

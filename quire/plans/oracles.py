@@ -44,3 +44,320 @@ def dialogue_history() -> str:
   FROM pairs)"""
     sel = sql_finish(DIALOGUE, ["conv_id", "i"], {"text": "history"}, "reply", None, SEED)
     return f"WITH {dialogue_pairs_sql()},\n{hist}\nSELECT {sel} FROM hist"
+
+
+# ---------------------------------------------------------------- builder helpers
+
+from ..functions.draws import sql_draw_int, sql_hash, sql_u  # noqa: E402
+from . import builders as _B  # noqa: E402
+from .tasks import (CLASSIFICATION, CLASSIFICATION_SIZED, ENTITIES, EVENTS,  # noqa: E402
+                    NORMALIZATION, ORDINAL, PAIR_MATCH, RELATIONS, RELEVANCE, TAGGED)
+
+SEP = sql_lit(_B.SEP)
+COLON = _B.COLON
+
+
+def first_seen(list_sql: str) -> str:
+    """Distinct keeping first occurrences (DuckDB's list_distinct does not keep order)."""
+    return f"list_filter({list_sql}, lambda x, i: list_position({list_sql}, x) = i)"
+
+
+def absent(own: str, vocab: str, n: str, task: str, key, draw: str) -> str:
+    h = sql_hash(SEED, task, key, draw_sql=f"'{draw}:' || label")
+    return (f"list_slice(coalesce((SELECT list(label ORDER BY {h}) FROM {vocab} "
+            f"WHERE NOT list_contains({own}, label)), []), 1, {n})")
+
+
+def u_(task: str, key, draw: str) -> str:
+    return sql_u(SEED, task, key, draw)
+
+
+def dint(lo, hi, task, key, draw) -> str:
+    return sql_draw_int(lo, hi, u_(task, key, draw))
+
+
+def random_insert(arr: str, items: str, task: str, key, draw: str = "ins") -> str:
+    pos = (f"CAST(floor({sql_u(SEED, task, key, draw_sql=f'{sql_lit(draw)} || CAST(it.i AS VARCHAR)')}"
+           f" * (len(acc) + 1)) AS INTEGER)")
+    step = (f"lambda acc, it: list_slice(acc, 1, {pos}) || [it.v] || "
+            f"list_slice(acc, {pos} + 1, len(acc))")
+    return (f"list_reduce(list_transform({items}, lambda x, i: {{'v': x, 'i': i - 1}}), "
+            f"{step}, {arr})")
+
+
+def map_case(col: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {sql_lit(k)} THEN {sql_lit(v)}" for k, v in mapping.items())
+    return f"(CASE {col} {whens} END)"
+
+
+def join_list(x: str) -> str:
+    return f"array_to_string({x}, {SEP})"
+
+
+# ---------------------------------------------------------------- BLD1
+
+def build_relations() -> str:
+    t, key, w, p = RELATIONS.name, ["o_custkey", "o_year"], RELATIONS.words, RELATIONS.probs
+    line = (f"lambda pr: {sql_lit(w['line_a'])} || pr || {sql_lit(w['line_b'] + COLON)} || "
+            f"array_to_string(list_transform(list_filter(triples, lambda x: x.predicate = pr), "
+            f"lambda x: {sql_lit(w['head'])} || x.subject || {sql_lit(_B.SEP + w['tail'])} || x.object || '。'), '')")
+    return f"""
+WITH s AS (
+  SELECT o_custkey, year(o_orderdate) AS o_year,
+         list({{'predicate': o_orderpriority, 'subject': 'order ' || CAST(o_orderkey AS VARCHAR),
+                'object': o_orderstatus}} ORDER BY o_orderdate, o_orderkey) AS triples
+  FROM orders GROUP BY 1, 2),
+vocab AS (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority IS NOT NULL),
+s2 AS (SELECT *, 'customer ' || CAST(o_custkey AS VARCHAR) || ' in ' || CAST(o_year AS VARCHAR) || ': ' ||
+              array_to_string(list_transform(triples, lambda x: x.subject || ' is ' || x.object || ' with ' || x.predicate), '; ') AS text,
+              {first_seen("list_transform(triples, lambda x: x.predicate)")} AS own
+       FROM s),
+a AS (SELECT *, {absent('own', 'vocab', '1', t, key, 'absent1')} AS absent1,
+             {absent('own', 'vocab', dint(1, 3, t, key, 'n_absent'), t, key, 'absent_n')} AS absent_n,
+             {u_(t, key, 'exist')} < {p['exist']} AS ex, {u_(t, key, 'add_absent')} < {p['add_absent']} AS ad
+      FROM s2),
+c AS (SELECT *, CASE WHEN ex AND ad THEN own || absent1 WHEN ex THEN own ELSE absent_n END AS choices FROM a)
+SELECT {sql_finish(RELATIONS, key, {"text": "text", "choices": join_list("choices")},
+                   f"CASE WHEN ex THEN array_to_string(list_transform(choices, {line}), {NL}) ELSE {sql_lit(w['none'])} END",
+                   "choices", SEED)}
+FROM c"""
+
+
+# ---------------------------------------------------------------- BLD2
+
+def entity_samples_sql() -> str:
+    return f"""
+e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, event_type,
+             json_extract_string(props, '$.k') AS k FROM events),
+s AS (SELECT user_id, day,
+             list({{'type': {map_case('event_type', _B.EVENT_LABELS)}, 'entity': k, 'code': event_type}}
+                  ORDER BY ts, event_id) AS ents
+      FROM e GROUP BY 1, 2),
+s2 AS (SELECT *, 'user ' || CAST(user_id AS VARCHAR) || ' on ' || CAST(day AS VARCHAR) || ': ' ||
+              array_to_string(list_transform(ents, lambda x: x.code || ' ' || x.entity), ' ') AS text
+       FROM s)"""
+
+
+def build_entities() -> str:
+    t, key, w, p = ENTITIES.name, ["user_id", "day"], ENTITIES.words, ENTITIES.probs
+    line = (f"lambda ty: ty || {sql_lit(w['line'] + COLON)} || array_to_string(list_sort(list_distinct("
+            f"list_transform(list_filter(ents, lambda x: x.type = ty), lambda x: x.entity))), {SEP})")
+    ins = u_(t, key, "insert")
+    return f"""
+WITH {entity_samples_sql()},
+vocab AS (SELECT DISTINCT unnest(list_transform(ents, lambda x: x.type)) AS label FROM s),
+a AS (SELECT *, {first_seen("list_transform(ents, lambda x: x.type)")} AS own FROM s2),
+b AS (SELECT *, {absent('own', 'vocab', '1', t, key, 'absent1')} AS absent1,
+             {u_(t, key, 'exist')} < {p['exist']} AS ex,
+             CAST(floor({ins} * len(own)) AS INTEGER) AS ipos
+      FROM a),
+c AS (SELECT *, CASE WHEN ex AND {u_(t, key, 'add_absent')} < {p['add_absent']} AND len(absent1) > 0 THEN
+                  (CASE WHEN len(own) < 1 THEN [absent1[1]]
+                        ELSE list_slice(own, 1, ipos) || [absent1[1]] || list_slice(own, ipos + 1, len(own)) END)
+                WHEN ex THEN own ELSE absent1 END AS choices
+      FROM b)
+SELECT {sql_finish(ENTITIES, key, {"text": "text", "choices": join_list("choices")},
+                   f"CASE WHEN ex THEN {sql_lit(w['head'])} || array_to_string(list_transform(choices, {line}), {NL}) "
+                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+FROM c"""
+
+
+# ---------------------------------------------------------------- WIN4 / BLD2b
+
+def decode_tags_sql(dedupe_tail: bool = False) -> str:
+    keep = ("row_number() OVER (PARTITION BY user_id, day, type, entity ORDER BY pos) = 1" if dedupe_tail else
+            "row_number() OVER (PARTITION BY user_id, day, type, entity, (iend = ilast) ORDER BY pos) = 1")
+    return f"""
+tg AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id,
+              chr(CAST(97 + ((CAST(json_extract_string(props, '$.k') AS INTEGER) % 26) + 26) % 26 AS INTEGER)) AS ch,
+              CASE WHEN event_type IN ('signup', 'view') THEN 'O' ELSE 'B-' || event_type END AS tag
+       FROM events),
+ty AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id, day) AS ilast,
+              CASE WHEN tag = 'O' THEN NULL ELSE coalesce({map_case('tag', _B.TAG_LABELS)}, error('unknown tag')) END AS type
+       FROM tg WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)),
+fl AS (SELECT *, CASE WHEN type IS NOT NULL AND (lag(type) OVER w IS NULL OR lag(type) OVER w <> type) THEN 1 ELSE 0 END AS st
+       FROM ty WINDOW w AS (PARTITION BY user_id, day ORDER BY pos)),
+isl AS (SELECT *, sum(st) OVER (PARTITION BY user_id, day ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM fl),
+sent AS (SELECT user_id, day, string_agg(ch, '' ORDER BY pos) AS sentence, count(*) AS n_tags FROM isl GROUP BY 1, 2),
+ents0 AS (SELECT user_id, day, island, min(pos) AS pos, max(pos) AS iend, max(ilast) AS ilast, min(type) AS type,
+                 string_agg(ch, '' ORDER BY pos) AS entity
+          FROM isl WHERE type IS NOT NULL GROUP BY 1, 2, 3),
+ents1 AS (SELECT * FROM ents0 QUALIFY {keep}),
+dec AS (SELECT s.user_id, s.day, s.sentence, s.n_tags,
+               coalesce((SELECT list({{'pos': e.pos, 'type': e.type, 'entity': e.entity}} ORDER BY e.pos)
+                         FROM ents1 e WHERE e.user_id = s.user_id AND e.day = s.day), []) AS ents
+        FROM sent s)"""
+
+
+def decode_tags() -> str:
+    return f"""
+WITH {decode_tags_sql()}
+SELECT d.user_id, CAST(d.day AS VARCHAR) AS day, d.sentence, d.n_tags, e.pos, e.type, e.entity
+FROM dec d, unnest(d.ents) AS u(e)"""
+
+
+def build_tagged_entities() -> str:
+    t, key, w, p = TAGGED.name, ["user_id", "day"], TAGGED.words, TAGGED.probs
+    types = "[" + ", ".join(sql_lit(x) for x in _B.TAG_TYPES) + "]"
+    n = len(_B.TAG_TYPES)
+    line = (f"lambda tt: tt || {sql_lit(w['line'] + COLON)} || array_to_string(list_transform("
+            f"list_filter(ents, lambda x: x.type = tt), lambda x: x.entity), {SEP})")
+    return f"""
+WITH {decode_tags_sql()},
+tvocab AS (SELECT unnest({types}) AS label),
+a AS (SELECT *, list_filter({types}, lambda tt: list_contains(list_transform(ents, lambda x: x.type), tt)) AS own
+      FROM dec),
+b AS (SELECT *, {absent('own', 'tvocab', dint(1, f'{n} - len(own)', t, key, 'n_absent'), t, key, 'absent')} AS absent,
+             len(own) = {n} AS full_
+      FROM a WHERE len(own) > 0),
+c AS (SELECT *, ({u_(t, key, 'exist')} < {p['exist']}) OR full_ AS ex,
+             ({u_(t, key, 'add_absent')} < {p['add_absent']}) AND NOT full_ AS ad FROM b),
+d AS (SELECT *, CASE WHEN ex AND ad THEN own || absent WHEN ex THEN own ELSE absent END AS choices FROM c)
+SELECT {sql_finish(TAGGED, key, {"text": "sentence", "choices": join_list("choices")},
+                   f"CASE WHEN ex THEN {sql_lit(w['head'])} || array_to_string(list_transform(choices, {line}), {NL}) "
+                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+FROM d"""
+
+
+# ---------------------------------------------------------------- BLD3
+
+def build_events() -> str:
+    w = EVENTS.words
+    line = (f"lambda e: 'Core{COLON}' || e.core || '；Status{COLON}' || e.status || '；Descriptors{COLON}' || "
+            f"array_to_string(e.descr, {SEP}) || '；Parts{COLON}' || array_to_string(e.parts, {SEP})")
+    return f"""
+WITH li AS (SELECT l.l_orderkey, p.p_type, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+po AS (SELECT l_orderkey, list_sort(list(DISTINCT p_type)) AS descr, list_sort(list(DISTINCT p_name)) AS parts
+       FROM li GROUP BY 1),
+o AS (SELECT o.o_custkey, o.o_orderkey, o.o_orderdate, o.o_orderstatus,
+             coalesce(po.descr, []::VARCHAR[]) AS descr, coalesce(po.parts, []::VARCHAR[]) AS parts
+      FROM orders o LEFT JOIN po ON po.l_orderkey = o.o_orderkey),
+s AS (SELECT o_custkey, list({{'core': 'order ' || CAST(o_orderkey AS VARCHAR), 'status': o_orderstatus,
+                              'descr': descr, 'parts': parts}} ORDER BY o_orderdate, o_orderkey) AS events
+      FROM o GROUP BY 1)
+SELECT {sql_finish(EVENTS, ["o_custkey"],
+                   {"text": "'customer ' || CAST(o_custkey AS VARCHAR) || ' placed ' || "
+                            "array_to_string(list_transform(events, lambda e: e.core), ', ')"},
+                   f"{sql_lit(w['head'])} || array_to_string(list_transform(events, {line}), {NL})", None, SEED)}
+FROM s"""
+
+
+# ---------------------------------------------------------------- BLD4
+
+def build_normalization() -> str:
+    t, key, w, p = NORMALIZATION.name, ["p_brand", "p_size"], NORMALIZATION.words, NORMALIZATION.probs
+    return f"""
+WITH g AS (SELECT p_brand, p_size, list(p_name ORDER BY p_partkey) AS allnames FROM part GROUP BY 1, 2),
+s AS (SELECT p_brand, p_size, {first_seen('allnames')} AS names,
+             'parts of ' || p_brand || ' in size ' || CAST(p_size AS VARCHAR) AS text FROM g),
+vocab AS (SELECT DISTINCT p_name AS label FROM part WHERE p_name IS NOT NULL),
+a AS (SELECT *, {absent('names', 'vocab', dint(1, 3, t, key, 'n_insert'), t, key, 'extra')} AS extra,
+             {absent('names', 'vocab', dint(2, 10, t, key, 'n_absent'), t, key, 'absent')} AS absent,
+             {u_(t, key, 'exist')} < {p['exist']} AS ex
+      FROM s),
+c AS (SELECT *, CASE WHEN ex THEN {random_insert('names', 'extra', t, key)} ELSE absent END AS choices FROM a)
+SELECT {sql_finish(NORMALIZATION, key, {"text": "text", "choices": join_list("choices")},
+                   f"CASE WHEN ex THEN {join_list('names')} ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+FROM c"""
+
+
+# ---------------------------------------------------------------- BLD5
+
+def classification_ctes() -> str:
+    t, key, w, p = CLASSIFICATION.name, ["doc_id"], CLASSIFICATION.words, CLASSIFICATION.probs
+    return f"""
+cd AS (SELECT doc_id, text, source, [source] AS own FROM documents WHERE source <> {sql_lit(w['drop'])}),
+cvocab AS (SELECT DISTINCT source AS label FROM cd),
+ca AS (SELECT *, {absent('own', 'cvocab', dint(3, 9, t, key, 'n_none'), t, key, 'absent_none')} AS absent_none,
+              {absent('own', 'cvocab', dint(2, 9, t, key, 'n_absent'), t, key, 'absent')} AS absent,
+              {u_(t, key, 'not_exist')} < {p['not_exist']} AS nx
+       FROM cd),
+cc AS (SELECT *, CASE WHEN nx THEN absent_none ELSE absent || own END AS choices,
+              CASE WHEN nx THEN {sql_lit(w['none'])} ELSE source END AS target_
+       FROM ca)"""
+
+
+def build_classification() -> str:
+    sel = sql_finish(CLASSIFICATION, ["doc_id"], {"text": "text", "choices": join_list("choices")},
+                     "target_", "choices", SEED)
+    return f"WITH {classification_ctes()}\nSELECT {sel} FROM cc"
+
+
+def build_classification_sized() -> str:
+    t, key, w, p = CLASSIFICATION_SIZED.name, ["doc_id"], CLASSIFICATION_SIZED.words, CLASSIFICATION_SIZED.probs
+    unit = u_(t, key, "size")
+    return f"""
+WITH {classification_ctes()},
+sizes AS (SELECT len(choices) AS n, count(*) AS cnt FROM cc GROUP BY 1),
+dist AS (SELECT n, sum(cnt) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / sum(cnt) OVER () AS cum FROM sizes),
+rd AS (SELECT d.doc_id, d.text, n.n_name AS region, [n.n_name] AS own
+       FROM documents d JOIN nation n ON n.n_nationkey = CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER)),
+rvocab AS (SELECT n_name AS label FROM nation),
+m AS (SELECT *, coalesce((SELECT greatest(n - 1, 0) FROM dist WHERE cum > {unit} ORDER BY n LIMIT 1),
+                         (SELECT greatest(max(n) - 1, 0) FROM dist)) AS m FROM rd),
+a AS (SELECT *, {absent('own', 'rvocab', 'm', t, key, 'absent')} AS absent,
+             {absent('own', 'rvocab', 'm + 1', t, key, 'absent_none')} AS absent_none,
+             {u_(t, key, 'exist')} < {p['exist']} AS ex
+      FROM m),
+c AS (SELECT *, CASE WHEN ex THEN {random_insert('absent', 'own', t, key)} ELSE absent_none END AS choices FROM a)
+SELECT {sql_finish(CLASSIFICATION_SIZED, key, {"text": "text", "choices": join_list("choices")},
+                   f"CASE WHEN ex THEN region ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+FROM c"""
+
+
+# ---------------------------------------------------------------- BLD6
+
+def build_pair_match() -> str:
+    from .common import sql_sample_id
+    from ..operators.templates import sql_pick_template, sql_render
+    spec, key = PAIR_MATCH, ["doc_id"]
+    same, yes = spec.words["same_pair"], spec.words["yes_pair"]
+    wording = [same if t.rstrip().endswith(f"Options: {same[0]}, {same[1]}\nAnswer:") else yes
+               for t in spec.templates]
+    yl = "[" + ", ".join(sql_lit(x[0]) for x in wording) + "]"
+    nl = "[" + ", ".join(sql_lit(x[1]) for x in wording) + "]"
+    idx = sql_pick_template(len(spec.templates), SEED, spec.name, key)
+    return f"""
+WITH pr AS (SELECT a.doc_id, a.text AS text1, b.text AS text2, CASE WHEN a.lang = b.lang THEN '1' ELSE '0' END AS label
+            FROM documents a JOIN documents b ON b.doc_id - 1 = a.doc_id),
+x AS (SELECT *, {idx} AS ti FROM pr),
+y AS (SELECT *, {yl}[ti + 1] AS yw, {nl}[ti + 1] AS nw FROM x)
+SELECT {sql_render(spec.templates, 'ti', {"a": "text1", "b": "text2"})} AS input,
+       CASE WHEN label = '1' THEN yw ELSE nw END AS target,
+       yw || ' | ' || nw AS answer_choices, {sql_lit(spec.task_type)} AS task_type,
+       {sql_lit(spec.name)} AS task_dataset, {sql_sample_id(spec, key)} AS sample_id
+FROM y"""
+
+
+def build_ordinal_match() -> str:
+    spec, key = ORDINAL, ["o_orderkey"]
+    ch = "[" + ", ".join(sql_lit(x) for x in spec.words["choices"]) + "]"
+    return f"""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS label,
+                  {ch} AS choices FROM orders)
+SELECT {sql_finish(spec, key, {"a": "'order ' || CAST(o_orderkey AS VARCHAR)",
+                               "b": "'customer ' || CAST(o_custkey AS VARCHAR) || ' on ' || strftime(o_orderdate, '%Y-%m-%d')",
+                               "choices": join_list("choices")}, "choices[label + 1]", "choices", SEED)}
+FROM o"""
+
+
+# ---------------------------------------------------------------- BLD7
+
+def build_relevance() -> str:
+    spec, key, w, p = RELEVANCE, ["conv_id", "turn"], RELEVANCE.words, RELEVANCE.probs
+    return f"""
+WITH q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+d AS (SELECT conv_id AS d_conv, turn AS d_turn, text AS doc,
+             row_number() OVER (ORDER BY conv_id, turn) - 1 AS d_idx, count(*) OVER () AS n_docs
+      FROM conversations WHERE role = 'assistant'),
+lk AS (SELECT conv_id, turn, arg_max(conv_id, turn) AS d_conv, arg_max(turn + 1, turn) AS d_turn
+       FROM q GROUP BY 1, 2),
+pos AS (SELECT lk.conv_id, lk.turn, d.d_idx AS pos_idx, d.n_docs FROM lk JOIN d USING (d_conv, d_turn)),
+qq AS (SELECT q.*, pos.pos_idx, pos.n_docs, {u_(spec.name, key, 'relevant')} < {p['relevant']} AS rel,
+              CAST(floor({u_(spec.name, key, 'negative')} * (pos.n_docs - 1)) AS BIGINT) AS ni
+       FROM q JOIN pos USING (conv_id, turn)),
+qd AS (SELECT qq.*, d.doc FROM qq JOIN d ON d.d_idx = CASE WHEN rel THEN pos_idx WHEN ni >= pos_idx THEN ni + 1 ELSE ni END)
+SELECT {sql_finish(spec, key, {"a": "query", "b": "doc"},
+                   f"CASE WHEN rel THEN {sql_lit(w['yes'])} ELSE {sql_lit(w['no'])} END",
+                   f"[{sql_lit(w['yes'])}, {sql_lit(w['no'])}]", SEED)}
+FROM qd"""

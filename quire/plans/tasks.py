@@ -38,7 +38,8 @@ RELATIONS = TaskSpec(
     p_suffix=0.605,
     probs={"exist": 0.75, "add_absent": 0.47},
     words={"none": "No triples of the requested types.",
-           "line": "Pairs with relation {p}: ", "pair": "head {s}, tail {o}. "},
+           "line_a": "With ", "line_b": " relation the head-tail pairs are",
+           "head": "head is ", "tail": "tail is "},
 )
 
 ENTITIES = TaskSpec(
@@ -57,7 +58,7 @@ ENTITIES = TaskSpec(
         "Produce the {choices} entities of the record:\n{text}",
     ),
     probs={"exist": 0.93, "add_absent": 0.42},
-    words={"head": "The record contains these entities:\n", "line": "{t} entities: ",
+    words={"head": "The record contains these entities:\n", "line": " entities",
            "none": "The record has no entities of the given types."},
 )
 
@@ -72,7 +73,7 @@ TAGGED = TaskSpec(
         "Label sequence entities.\n{text}\nKinds: {choices}",
     ),
     probs={"exist": 0.88, "add_absent": 0.5},
-    words={"head": "The record contains these entities:\n", "line": "{t} entities: ",
+    words={"head": "The record contains these entities:\n", "line": " entities",
            "none": "The record has no entities of the given types."},
 )
 
