@@ -21,18 +21,22 @@ def validate_domain(df: DataFrame, col: str, allowed: Sequence[str], what: str |
     return df.withColumn(col, F.when(F.col(col).isin(*allowed), F.col(col)).otherwise(bad))
 
 
-def require_first_role(turns: DataFrame, role: str, conv: str = "conv_id", order: str = "turn",
+def require_first_role(turns: DataFrame, role: str, conv: str = "conv_id", order="turn",
                        role_col: str = "role") -> DataFrame:
     """FLT3: keep conversations whose first turn is spoken by ``role``."""
-    w = Window.partitionBy(conv).orderBy(order)
+    w = Window.partitionBy(conv).orderBy(*_order(order))
     return (turns.withColumn("_first_role", F.first(role_col).over(w))
             .filter(F.col("_first_role") == role).drop("_first_role"))
 
 
-def run_ids(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role_col: str = "role",
+def _order(order) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def run_ids(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str = "role",
             name: str = "run") -> DataFrame:
     """Number maximal runs of one speaker: 1, 2, ... within each conversation."""
-    w = Window.partitionBy(conv).orderBy(order)
+    w = Window.partitionBy(conv).orderBy(*_order(order))
     prev = F.lag(role_col).over(w)
     flag = F.when(prev.isNull() | (prev != F.col(role_col)), 1).otherwise(0)
     return (turns.withColumn("_flag", flag)
@@ -40,16 +44,17 @@ def run_ids(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role_c
             .drop("_flag"))
 
 
-def merge_turns(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role_col: str = "role",
+def merge_turns(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str = "role",
                 text: str = "text", sep: str = "\n") -> DataFrame:
     """WIN1: one row per run of one speaker, texts joined by ``sep`` in turn order."""
-    r = run_ids(turns, conv, order, role_col)
+    cols = _order(order)
+    r = run_ids(turns, conv, cols, role_col)
+    ordered = F.array_sort(F.collect_list(F.struct(*cols, F.col(text).alias("_t"))))
     return (r.groupBy(conv, "run")
-            .agg(F.min_by(role_col, order).alias(role_col),
-                 F.min(order).alias("first_turn"),
+            .agg(F.min_by(role_col, F.struct(*cols)).alias(role_col),
+                 F.min_by(cols[-1], F.struct(*cols)).alias("first_" + cols[-1]),
                  F.count(F.lit(1)).alias("n_turns"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))),
-                                          lambda s: s[text]), sep).alias(text)))
+                 F.array_join(F.transform(ordered, lambda s: s["_t"]), sep).alias(text)))
 
 
 def pair_turns(runs: DataFrame, first: str, reply: str, conv: str = "conv_id",
@@ -75,9 +80,13 @@ def history_rows(pairs: DataFrame, first_marker: str, reply_marker: str, conv: s
     return pairs.withColumn("history", F.regexp_replace(text, "^\n+", ""))
 
 
-def turn_histogram(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
+def turn_histogram(turns: DataFrame, roles: Sequence[str], conv: str = "conv_id", order="turn",
                    role_col: str = "role") -> DataFrame:
-    """AGG10: how many conversations have n runs of each speaker (runs merged)."""
-    runs = merge_turns(turns, conv, order, role_col)
-    per = runs.groupBy(conv, role_col).agg(F.count(F.lit(1)).alias("n_runs"))
-    return per.groupBy(role_col, "n_runs").agg(F.count(F.lit(1)).alias("n_conversations"))
+    """AGG10: how many conversations have n runs of each speaker (runs merged; zero counts kept)."""
+    runs = run_ids(turns, conv, order, role_col)
+    starts = runs.groupBy(conv, "run").agg(F.min(role_col).alias(role_col))
+    per = starts.groupBy(conv).agg(*[F.count_if(F.col(role_col) == r).alias(f"_n{i}")
+                                    for i, r in enumerate(roles)])
+    pairs = ", ".join(f"'{r}', _n{i}" for i, r in enumerate(roles))
+    long = per.select(F.expr(f"stack({len(roles)}, {pairs}) AS ({role_col}, n_runs)"))
+    return long.groupBy(role_col, "n_runs").agg(F.count(F.lit(1)).alias("n_conversations"))

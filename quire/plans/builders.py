@@ -406,3 +406,45 @@ def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=
     target = F.when(F.col("relevant"), F.lit(w["yes"])).otherwise(F.lit(w["no"]))
     return finish(d, spec, key, {"a": F.col("query"), "b": F.col("doc")}, target,
                   F.array(F.lit(w["yes"]), F.lit(w["no"])), seed, **kw)
+
+
+# ---------------------------------------------------------------- SNK9 / BLD9
+
+def base_rows(conversations: DataFrame) -> DataFrame:
+    """Stand-in for the base training file: plain user -> reply instruction rows."""
+    p = dialogue_pairs(conversations)
+    return p.select(F.col("prompt").alias("input"), F.col("reply").alias("target"),
+                    F.lit(None).cast("array<string>").alias("answer_choices"),
+                    F.lit("base").alias("task_type"), F.lit("base").alias("task_dataset"),
+                    F.concat_ws("-", F.lit("base"), F.col("conv_id").cast("string"),
+                                F.col("i").cast("string")).alias("sample_id"))
+
+
+MIX_FRACTION = 0.8
+
+
+def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFrame:
+    """BLD9 / SET1: every task builder, each sampled to ``fraction`` (SMP1), plus the base rows.
+
+    ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.
+    """
+    t = tables
+    kw = {"fraction": fraction, "seed": seed}
+    docs = t["documents"]
+    parts = [
+        build_relations(relation_samples(t["orders"]), **kw),
+        build_entities(entity_samples(t["events"]), **kw),
+        build_tagged_entities(tag_sequences(t["events"]), **kw),
+        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), **kw),
+        build_normalization(normalization_samples(t["part"]), **kw),
+        build_classification(docs, **kw),
+        build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), **kw),
+        build_pair_match(adjacent_pairs(docs), **kw),
+        build_ordinal_match(t["orders"], **kw),
+        build_relevance(*reply_links(t["conversations"]), **kw),
+        build_dialogue(t["conversations"], **kw),
+    ]
+    out = base_rows(t["conversations"])  # SNK9: base rows carried through unchanged
+    for p in parts:
+        out = out.unionByName(p)
+    return out

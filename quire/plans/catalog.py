@@ -101,3 +101,151 @@ ORACLES: dict[str, Callable[[], str]] = {
     "build_ordinal_match": O.build_ordinal_match,
     "build_relevance": O.build_relevance,
 }
+
+
+# ---------------------------------------------------------------- ordering, sampling, reports
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import ordering as ORD  # noqa: E402
+from ..operators import reports as REP  # noqa: E402
+from ..operators.choices import size_distribution, vocabulary, vocabulary_first_seen  # noqa: E402
+from ..operators.dialogue import merge_turns, turn_histogram  # noqa: E402
+from ..operators.sampling import sample_k  # noqa: E402
+from ..functions.text import to_markdown_row  # noqa: E402
+from ..sinks.manifest import content_manifest  # noqa: E402
+from .tasks import DIALOGUE, RELATIONS, SEED  # noqa: E402
+
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+              "pages benchmark labels conversations").split()
+
+
+def tables(spark, sf):
+    return {n: table(spark, sf, n) for n in ALL_TABLES}
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def q_sample_k(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "lang", "source", "n_chars")
+    return sample_k(d, ["doc_id"], SEED, "documents", fraction=0.3)
+
+
+def q_shuffle_rows(spark, sf):
+    return ORD.shuffle_rows(_docs(spark, sf).select("doc_id"), ["doc_id"], SEED, "shuffle")
+
+
+def q_head_split(spark, sf):
+    return ORD.head_split(_docs(spark, sf).select("doc_id"), 5, ["doc_id"])
+
+
+def q_cap_rows(spark, sf):
+    return ORD.cap_rows(_docs(spark, sf).select("doc_id", "lang"), 700, ["doc_id"])
+
+
+def q_assign_shard(spark, sf):
+    return ORD.assign_shard(_docs(spark, sf).select("doc_id"), 8, ["doc_id"])
+
+
+def q_assign_batch(spark, sf):
+    return ORD.assign_batch(_docs(spark, sf).select("doc_id"), 64, ["doc_id"])
+
+
+def q_merge_runs(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    runs = merge_turns(ev, "user_id", ["ts", "event_id"], "event_type", "props")
+    return runs.select("user_id", F.col("run").cast("long").alias("run"), "event_type",
+                       F.col("first_event_id").alias("first_event_id"), "n_turns",
+                       F.col("props").alias("text"))
+
+
+def q_turn_histogram(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return turn_histogram(c, ["user", "assistant", "system"])
+
+
+def q_marker_histogram(spark, sf):
+    rows = B.build_dialogue(table(spark, sf, "conversations"))
+    markers = [DIALOGUE.words["user"].strip("\n"), DIALOGUE.words["assistant"].strip("\n")]
+    return REP.marker_histogram(rows, "input", markers)
+
+
+def q_vocabulary(spark, sf):
+    v = vocabulary(B.normalization_samples(table(spark, sf, "part")), F.col("names"))
+    bucket = F.ascii(F.substring("label", 1, 1)).cast("long")
+    return ORD.with_global_index(v, ["label"], "position", bucket=bucket)
+
+
+def q_vocabulary_first_seen(spark, sf):
+    v = vocabulary_first_seen(_docs(spark, sf), "source", "doc_id")
+    return ORD.with_global_index(v, ["first_seen"], "position")
+
+
+def q_size_distribution(spark, sf):
+    d = size_distribution(B.build_classification(_docs(spark, sf)), "answer_choices")
+    return d.select("n", "count", F.round("probability", 6).alias("probability"),
+                    F.round("cumulative", 6).alias("cumulative"))
+
+
+def _relation_rows(spark, sf):
+    return B.build_relations(B.relation_samples(table(spark, sf, "orders")), keep_template=True)
+
+
+def q_match_templates(spark, sf):
+    from ..operators.templates import match_templates
+    m = match_templates(_relation_rows(spark, sf), "input", RELATIONS.templates)
+    return m.select("sample_id", F.col("template_id").cast("int").alias("template_id"),
+                    F.array_join(F.transform("matched", lambda x: x.cast("string")), ",").alias("matched"),
+                    F.size("matched").alias("n_matched"))
+
+
+def q_pattern_counts(spark, sf):
+    return REP.pattern_counts(_relation_rows(spark, sf), "input", RELATIONS.templates)
+
+
+def q_exemplar_report(spark, sf):
+    d = _docs(spark, sf).select("source", "doc_id", "text").withColumn("length", F.length("text"))
+    e = REP.exemplar(d, "source", ["doc_id"], "length", 50)
+    return e.select("source", "doc_id", "length",
+                    to_markdown_row(F.col("source"), F.col("doc_id"), F.col("length"), F.col("text")).alias("markdown"))
+
+
+def q_mixture(spark, sf):
+    return report(B.build_mixture(tables(spark, sf)))
+
+
+def q_task_counts(spark, sf):
+    return REP.task_counts(B.build_mixture(tables(spark, sf)))
+
+
+def q_content_manifest(spark, sf):
+    return content_manifest(B.build_mixture(tables(spark, sf)), ["task_dataset"])
+
+
+QUERIES.update({
+    "sample_k": q_sample_k,
+    "shuffle_rows": q_shuffle_rows,
+    "head_split": q_head_split,
+    "cap_rows": q_cap_rows,
+    "assign_shard": q_assign_shard,
+    "assign_batch": q_assign_batch,
+    "merge_runs": q_merge_runs,
+    "turn_histogram": q_turn_histogram,
+    "marker_histogram": q_marker_histogram,
+    "vocabulary": q_vocabulary,
+    "vocabulary_first_seen": q_vocabulary_first_seen,
+    "size_distribution": q_size_distribution,
+    "match_templates": q_match_templates,
+    "pattern_counts": q_pattern_counts,
+    "exemplar_report": q_exemplar_report,
+    "mixture": q_mixture,
+    "task_counts": q_task_counts,
+    "content_manifest": q_content_manifest,
+})
+
+ORACLES.update({name: getattr(O, name) for name in (
+    "sample_k", "shuffle_rows", "head_split", "cap_rows", "assign_shard", "assign_batch", "merge_runs",
+    "turn_histogram", "marker_histogram", "vocabulary", "vocabulary_first_seen", "size_distribution",
+    "match_templates", "pattern_counts", "exemplar_report", "mixture", "task_counts", "content_manifest")})

@@ -361,3 +361,193 @@ SELECT {sql_finish(spec, key, {"a": "query", "b": "doc"},
                    f"CASE WHEN rel THEN {sql_lit(w['yes'])} ELSE {sql_lit(w['no'])} END",
                    f"[{sql_lit(w['yes'])}, {sql_lit(w['no'])}]", SEED)}
 FROM qd"""
+
+
+# ---------------------------------------------------------------- ordering and sampling
+
+def _udoc(task: str, draw: str) -> str:
+    return sql_u(SEED, task, ["doc_id"], draw)
+
+
+def sample_k() -> str:
+    return f"""
+SELECT doc_id, lang, source, n_chars FROM documents
+QUALIFY row_number() OVER (ORDER BY {_udoc('documents', 'sample')}, doc_id) <= floor(count(*) OVER () * 0.3)"""
+
+
+def shuffle_rows() -> str:
+    return f"""
+SELECT doc_id, row_number() OVER (ORDER BY {_udoc('shuffle', 'shuffle')}, doc_id) - 1 AS position FROM documents"""
+
+
+def head_split() -> str:
+    return """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5)
+                    THEN 'validation' ELSE 'train' END AS split
+FROM documents"""
+
+
+def cap_rows() -> str:
+    return "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 700"
+
+
+def assign_shard() -> str:
+    return """
+WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, ceil(count(*) OVER () / 8) AS per
+           FROM documents)
+SELECT doc_id, CAST(floor(idx / per) AS INTEGER) AS shard, CAST(idx - floor(idx / per) * per AS BIGINT) AS shard_row
+FROM x"""
+
+
+def assign_batch() -> str:
+    return """
+WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
+SELECT doc_id, idx // 64 AS batch, CAST(idx % 64 AS INTEGER) AS batch_row FROM x"""
+
+
+# ---------------------------------------------------------------- runs and histograms
+
+def merge_runs() -> str:
+    return f"""
+WITH f AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type
+                          THEN 1 ELSE 0 END AS flag
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(flag) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, arg_min(event_id, (ts, event_id)) AS first_event_id,
+       count(*) AS n_turns, string_agg(props, {NL} ORDER BY ts, event_id) AS text
+FROM r GROUP BY user_id, run"""
+
+
+def turn_histogram() -> str:
+    return """
+WITH f AS (SELECT *, CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w <> role THEN 1 ELSE 0 END AS flag
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+runs AS (SELECT conv_id, role FROM f WHERE flag = 1),
+roles AS (SELECT unnest(['user', 'assistant', 'system']) AS role),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+per AS (SELECT c.conv_id, r.role, (SELECT count(*) FROM runs x WHERE x.conv_id = c.conv_id AND x.role = r.role) AS n_runs
+        FROM convs c, roles r)
+SELECT role, n_runs, count(*) AS n_conversations FROM per GROUP BY role, n_runs"""
+
+
+def marker_histogram() -> str:
+    ms = [DIALOGUE.words["user"].strip("\n"), DIALOGUE.words["assistant"].strip("\n")]
+    arms = " UNION ALL ".join(
+        f"SELECT {sql_lit(m)} AS marker, CAST((length(input) - length(replace(input, {sql_lit(m)}, ''))) "
+        f"// {len(m)} AS INTEGER) AS n FROM dh" for m in ms)
+    return f"""
+WITH dh AS ({dialogue_history()})
+SELECT marker, n, count(*) AS n_rows FROM ({arms}) GROUP BY marker, n"""
+
+
+# ---------------------------------------------------------------- vocabularies
+
+def vocabulary() -> str:
+    return """
+WITH v AS (SELECT DISTINCT p_name AS label FROM part WHERE p_name IS NOT NULL)
+SELECT label, row_number() OVER (ORDER BY label) - 1 AS position FROM v"""
+
+
+def vocabulary_first_seen() -> str:
+    return """
+WITH v AS (SELECT source AS label, min(doc_id) AS first_seen FROM documents GROUP BY source)
+SELECT label, first_seen, row_number() OVER (ORDER BY first_seen) - 1 AS position FROM v"""
+
+
+def size_distribution() -> str:
+    return f"""
+WITH {classification_ctes()},
+s AS (SELECT CAST(len(choices) AS INTEGER) AS n, count(*) AS count FROM cc GROUP BY 1)
+SELECT n, count, round(count / sum(count) OVER (), 6) AS probability,
+       round(sum(count) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / sum(count) OVER (), 6) AS cumulative
+FROM s"""
+
+
+# ---------------------------------------------------------------- template recognition
+
+def _relation_rows_with_template() -> str:
+    from ..operators.templates import sql_pick_template
+    idx = sql_pick_template(len(RELATIONS.templates), SEED, RELATIONS.name, ["o_custkey", "o_year"])
+    sql = build_relations()
+    head, sel = sql.rsplit("SELECT ", 1)
+    return f"{head}SELECT {idx} AS template_id, {sel}"
+
+
+def _matched_list() -> str:
+    from ..operators.templates import pattern_of
+    arms = ", ".join(f"CASE WHEN regexp_matches(input, {sql_lit(pattern_of(t))}) THEN {i} END"
+                     for i, t in enumerate(RELATIONS.templates))
+    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+
+
+def match_templates() -> str:
+    return f"""
+WITH rr AS ({_relation_rows_with_template()}),
+m AS (SELECT sample_id, CAST(template_id AS INTEGER) AS template_id, {_matched_list()} AS matched FROM rr)
+SELECT sample_id, template_id, array_to_string(list_transform(matched, lambda x: CAST(x AS VARCHAR)), ',') AS matched,
+       CAST(len(matched) AS INTEGER) AS n_matched
+FROM m"""
+
+
+def pattern_counts() -> str:
+    return f"""
+WITH rr AS ({_relation_rows_with_template()}),
+m AS (SELECT unnest({_matched_list()}) AS template_id FROM rr)
+SELECT CAST(template_id AS INTEGER) AS template_id, count(*) AS n_rows FROM m GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- exemplar report
+
+def exemplar_report() -> str:
+    return """
+WITH d AS (SELECT source, doc_id, text, length(text) AS length FROM documents),
+g AS (SELECT source, arg_min(doc_id, doc_id) AS first_id, arg_min(length, doc_id) AS first_len,
+             arg_min(doc_id, (length, doc_id)) FILTER (WHERE length > 50) AS best_id
+      FROM d GROUP BY source),
+pick AS (SELECT source, CASE WHEN first_len <= 50 OR best_id IS NULL THEN first_id ELSE best_id END AS doc_id FROM g)
+SELECT d.source, d.doc_id, d.length,
+       replace('| ' || d.source || ' | ' || CAST(d.doc_id AS VARCHAR) || ' | ' || CAST(d.length AS VARCHAR) || ' | '
+               || d.text || ' |', chr(10), '\\n') AS markdown
+FROM pick JOIN d USING (source, doc_id)"""
+
+
+# ---------------------------------------------------------------- mixture
+
+def _sampled(sql: str, fraction: float, task: str) -> str:
+    unit = sql_u(SEED, task, ["sample_id"], "sample")
+    return (f"SELECT * FROM ({sql}) QUALIFY row_number() OVER (ORDER BY {unit}, sample_id) "
+            f"<= floor(count(*) OVER () * {fraction})")
+
+
+def mixture() -> str:
+    f = _B.MIX_FRACTION
+    parts = [(build_relations(), RELATIONS.name), (build_entities(), ENTITIES.name),
+             (build_tagged_entities(), TAGGED.name), (build_events(), EVENTS.name),
+             (build_normalization(), NORMALIZATION.name), (build_classification(), CLASSIFICATION.name),
+             (build_classification_sized(), CLASSIFICATION_SIZED.name), (build_pair_match(), PAIR_MATCH.name),
+             (build_ordinal_match(), ORDINAL.name), (build_relevance(), RELEVANCE.name),
+             (dialogue_history(), DIALOGUE.name)]
+    base = f"""WITH {dialogue_pairs_sql()}
+SELECT prompt AS input, reply AS target, CAST(NULL AS VARCHAR) AS answer_choices, 'base' AS task_type,
+       'base' AS task_dataset, concat_ws('-', 'base', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id
+FROM pairs"""
+    arms = [f"SELECT input, target, answer_choices, task_type, task_dataset, sample_id FROM ({base})"]
+    arms += [f"SELECT input, target, answer_choices, task_type, task_dataset, sample_id FROM ({_sampled(s, f, t)})"
+             for s, t in parts]
+    return "\nUNION ALL\n".join(arms)
+
+
+def task_counts() -> str:
+    return f"SELECT task_dataset, count(*) AS n_rows FROM ({mixture()}) GROUP BY task_dataset"
+
+
+def content_manifest() -> str:
+    # Spark side hashes the raw rows (answer_choices as an array rendered by cast to string)
+    fields = ["input", "target", "ac", "task_type", "task_dataset", "sample_id"]
+    txt = " || chr(31) || ".join(f"coalesce({c}, '␀')" for c in fields)
+    h = f"CAST(('0x' || substr(sha256({txt}), 1, 15))::BIGINT AS HUGEINT)"
+    return f"""
+WITH m AS (SELECT *, CASE WHEN answer_choices IS NULL THEN NULL
+                          ELSE '[' || replace(answer_choices, ' | ', ', ') || ']' END AS ac
+           FROM ({mixture()}))
+SELECT task_dataset, count(*) AS n_rows, CAST(sum({h}) AS VARCHAR) AS digest FROM m GROUP BY task_dataset"""
