@@ -448,3 +448,53 @@ def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFram
     for p in parts:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------- prediction stand-ins for the parsers
+
+FINDING_CHOICES = ("positive", "negative", "unclear")  # fixed values
+REPORT_KEYS = ("Complaint：", "History：", "Tests：", "Past：", "Diagnosis：", "Advice：")
+PROMPT_HEAD = "Write a response that appropriately completes the Input.\n\nInput:\n"  # fixed format
+PROMPT_TAIL = "\n\nResponse:\n"
+EOS = "</s>"
+
+
+def findings_predictions(events: DataFrame) -> DataFrame:
+    """Generated-style finding lines per (user, day); ASCII colons exercise punctuation folding."""
+    attr = (F.when(F.col("value") < 20, "positive").when(F.col("value") < 60, "negative")
+            .otherwise("mixed"))
+    k = F.get_json_object("props", "$.k")
+    line = F.when(F.col("event_type").isin("error", "purchase"),
+                  F.concat(F.col("event_type"), F.lit(" "), F.col("props"), F.lit(":"), attr)).otherwise(
+        F.concat(F.col("event_type"), F.lit(" "), k, F.lit(":"), attr))
+    e = events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", line.alias("line"))
+    g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("_l"))
+    return g.select(
+        F.lit("findings of the day").alias("input"),
+        F.concat(F.lit("Findings:\n"), F.array_join(F.transform("_l", lambda s: s["line"]), "\n")).alias("target"),
+        F.array(*[F.lit(c) for c in FINDING_CHOICES]).alias("answer_choices"),
+        F.lit("findings").alias("task_type"), F.lit("findings").alias("task_dataset"),
+        F.concat_ws("-", F.lit("findings"), F.col("user_id").cast("string"), F.col("day").cast("string")).alias("sample_id"))
+
+
+def report_predictions(docs: DataFrame) -> DataFrame:
+    """Generated-style sectioned reports from document lines; the first section repeats at the end."""
+    keys = F.array(*[F.lit(k) for k in REPORT_KEYS])
+    lines = F.split("text", "\n", -1)
+    body = F.array_join(F.transform(F.slice(lines, 1, len(REPORT_KEYS)),
+                                    lambda ln, i: F.concat(F.element_at(keys, i + 1), ln)), "\n")
+    target = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit("\n"), body, F.lit("\n"),
+                      F.lit(REPORT_KEYS[0]), F.element_at(lines, -1))
+    return docs.select(
+        F.lit("write the report").alias("input"), target.alias("target"),
+        F.lit(None).cast("array<string>").alias("answer_choices"),
+        F.lit("report").alias("task_type"), F.lit("report").alias("task_dataset"),
+        F.concat_ws("-", F.lit("report"), F.col("doc_id").cast("string")).alias("sample_id"))
+
+
+def raw_generations(conversations: DataFrame) -> DataFrame:
+    """Stand-in raw model output: inference prompt (PRJ5) followed by the reply."""
+    p = dialogue_pairs(conversations)
+    return p.select(F.concat_ws("-", F.lit("dialogue"), F.col("conv_id").cast("string"),
+                                F.col("i").cast("string")).alias("sample_id"),
+                    F.concat(F.lit(PROMPT_HEAD), F.col("prompt"), F.lit(PROMPT_TAIL), F.col("reply")).alias("raw"))

@@ -249,3 +249,77 @@ ORACLES.update({name: getattr(O, name) for name in (
     "sample_k", "shuffle_rows", "head_split", "cap_rows", "assign_shard", "assign_batch", "merge_runs",
     "turn_histogram", "marker_histogram", "vocabulary", "vocabulary_first_seen", "size_distribution",
     "match_templates", "pattern_counts", "exemplar_report", "mixture", "task_counts", "content_manifest")})
+
+
+# ---------------------------------------------------------------- parsers
+
+from ..operators import parse as P  # noqa: E402
+
+
+def q_parse_entities(spark, sf):
+    ev = table(spark, sf, "events")
+    preds = B.build_entities(B.entity_samples(ev)).unionByName(B.build_tagged_entities(B.tag_sequences(ev)))
+    return P.parse_entities(preds)
+
+
+def q_parse_triples(spark, sf):
+    return P.parse_triples(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
+
+
+def q_parse_terms(spark, sf):
+    return P.parse_terms(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
+
+
+def q_parse_events(spark, sf):
+    s = B.event_samples(table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    return P.parse_events(B.build_events(s))
+
+
+def _label_predictions(spark, sf):
+    docs = _docs(spark, sf)
+    return (B.build_pair_match(B.adjacent_pairs(docs)).unionByName(B.build_classification(docs))
+            .unionByName(B.build_ordinal_match(table(spark, sf, "orders")))
+            .unionByName(B.build_relevance(*B.reply_links(table(spark, sf, "conversations")))))
+
+
+def q_parse_labels(spark, sf):
+    parsed = P.parse_answers(_label_predictions(spark, sf))
+    return parsed["pair_label"].unionByName(parsed["label"])
+
+
+def q_parse_findings(spark, sf):
+    return P.parse_findings(B.findings_predictions(table(spark, sf, "events")), "unclear")
+
+
+def q_parse_report(spark, sf):
+    return P.parse_report(B.report_predictions(_docs(spark, sf)))
+
+
+def q_extract_response(spark, sf):
+    return P.extract_response(B.raw_generations(table(spark, sf, "conversations"))).select("sample_id", "target")
+
+
+def q_submission_counts(spark, sf):
+    ev, docs = table(spark, sf, "events"), _docs(spark, sf)
+    preds = (B.build_entities(B.entity_samples(ev))
+             .unionByName(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
+             .unionByName(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
+             .unionByName(B.build_pair_match(B.adjacent_pairs(docs)))
+             .unionByName(B.findings_predictions(ev)).unionByName(B.report_predictions(docs)))
+    return P.submission_counts(preds, list(P.TASK_FAMILY), spark)
+
+
+QUERIES.update({
+    "parse_entities": q_parse_entities,
+    "parse_triples": q_parse_triples,
+    "parse_terms": q_parse_terms,
+    "parse_events": q_parse_events,
+    "parse_labels": q_parse_labels,
+    "parse_findings": q_parse_findings,
+    "parse_report": q_parse_report,
+    "extract_response": q_extract_response,
+    "submission_counts": q_submission_counts,
+})
+ORACLES.update({name: getattr(O, name) for name in (
+    "parse_entities", "parse_triples", "parse_terms", "parse_events", "parse_labels", "parse_findings",
+    "parse_report", "extract_response", "submission_counts")})

@@ -54,13 +54,16 @@ def sql_sample_id(spec: TaskSpec, key: Sequence[str]) -> str:
 
 
 def sql_finish(spec: TaskSpec, key: Sequence[str], slots: Mapping[str, str], target: str,
-               choices: str | None, seed, sep: str = " | ") -> str:
-    """Select list equal to ``report(finish(...))``."""
+               choices: str | None, seed, sep: str | None = " | ") -> str:
+    """Select list equal to ``report(finish(...))`` (``sep=None``: choices kept as a list)."""
     idx = sql_pick_template(len(spec.templates), seed, spec.name, key)
     text = sql_render(spec.templates, idx, slots)
     if spec.p_suffix > 0:
         text = sql_maybe_suffix(text, ANSWER_SUFFIX, spec.p_suffix, seed, spec.name, key)
-    ch = f"array_to_string({choices}, {sql_lit(sep)})" if choices is not None else "CAST(NULL AS VARCHAR)"
+    if choices is None:
+        ch = "CAST(NULL AS VARCHAR)" if sep is not None else "CAST(NULL AS VARCHAR[])"
+    else:
+        ch = f"array_to_string({choices}, {sql_lit(sep)})" if sep is not None else choices
     return (f"{text} AS input, {target} AS target, {ch} AS answer_choices, "
             f"{sql_lit(spec.task_type)} AS task_type, {sql_lit(spec.name)} AS task_dataset, "
             f"{sql_sample_id(spec, key)} AS sample_id")

@@ -96,7 +96,7 @@ def join_list(x: str) -> str:
 
 # ---------------------------------------------------------------- BLD1
 
-def build_relations() -> str:
+def build_relations(raw: bool = False) -> str:
     t, key, w, p = RELATIONS.name, ["o_custkey", "o_year"], RELATIONS.words, RELATIONS.probs
     line = (f"lambda pr: {sql_lit(w['line_a'])} || pr || {sql_lit(w['line_b'] + COLON)} || "
             f"array_to_string(list_transform(list_filter(triples, lambda x: x.predicate = pr), "
@@ -119,7 +119,7 @@ a AS (SELECT *, {absent('own', 'vocab', '1', t, key, 'absent1')} AS absent1,
 c AS (SELECT *, CASE WHEN ex AND ad THEN own || absent1 WHEN ex THEN own ELSE absent_n END AS choices FROM a)
 SELECT {sql_finish(RELATIONS, key, {"text": "text", "choices": join_list("choices")},
                    f"CASE WHEN ex THEN array_to_string(list_transform(choices, {line}), {NL}) ELSE {sql_lit(w['none'])} END",
-                   "choices", SEED)}
+                   "choices", SEED, sep=None if raw else " | ")}
 FROM c"""
 
 
@@ -138,7 +138,7 @@ s2 AS (SELECT *, 'user ' || CAST(user_id AS VARCHAR) || ' on ' || CAST(day AS VA
        FROM s)"""
 
 
-def build_entities() -> str:
+def build_entities(raw: bool = False) -> str:
     t, key, w, p = ENTITIES.name, ["user_id", "day"], ENTITIES.words, ENTITIES.probs
     line = (f"lambda ty: ty || {sql_lit(w['line'] + COLON)} || array_to_string(list_sort(list_distinct("
             f"list_transform(list_filter(ents, lambda x: x.type = ty), lambda x: x.entity))), {SEP})")
@@ -158,7 +158,7 @@ c AS (SELECT *, CASE WHEN ex AND {u_(t, key, 'add_absent')} < {p['add_absent']}
       FROM b)
 SELECT {sql_finish(ENTITIES, key, {"text": "text", "choices": join_list("choices")},
                    f"CASE WHEN ex THEN {sql_lit(w['head'])} || array_to_string(list_transform(choices, {line}), {NL}) "
-                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED, sep=None if raw else " | ")}
 FROM c"""
 
 
@@ -196,7 +196,7 @@ SELECT d.user_id, CAST(d.day AS VARCHAR) AS day, d.sentence, d.n_tags, e.pos, e.
 FROM dec d, unnest(d.ents) AS u(e)"""
 
 
-def build_tagged_entities() -> str:
+def build_tagged_entities(raw: bool = False) -> str:
     t, key, w, p = TAGGED.name, ["user_id", "day"], TAGGED.words, TAGGED.probs
     types = "[" + ", ".join(sql_lit(x) for x in _B.TAG_TYPES) + "]"
     n = len(_B.TAG_TYPES)
@@ -215,13 +215,13 @@ c AS (SELECT *, ({u_(t, key, 'exist')} < {p['exist']}) OR full_ AS ex,
 d AS (SELECT *, CASE WHEN ex AND ad THEN own || absent WHEN ex THEN own ELSE absent END AS choices FROM c)
 SELECT {sql_finish(TAGGED, key, {"text": "sentence", "choices": join_list("choices")},
                    f"CASE WHEN ex THEN {sql_lit(w['head'])} || array_to_string(list_transform(choices, {line}), {NL}) "
-                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+                   f"ELSE {sql_lit(w['none'])} END", "choices", SEED, sep=None if raw else " | ")}
 FROM d"""
 
 
 # ---------------------------------------------------------------- BLD3
 
-def build_events() -> str:
+def build_events(raw: bool = False) -> str:
     w = EVENTS.words
     line = (f"lambda e: 'Core{COLON}' || e.core || '；Status{COLON}' || e.status || '；Descriptors{COLON}' || "
             f"array_to_string(e.descr, {SEP}) || '；Parts{COLON}' || array_to_string(e.parts, {SEP})")
@@ -238,13 +238,14 @@ s AS (SELECT o_custkey, list({{'core': 'order ' || CAST(o_orderkey AS VARCHAR),
 SELECT {sql_finish(EVENTS, ["o_custkey"],
                    {"text": "'customer ' || CAST(o_custkey AS VARCHAR) || ' placed ' || "
                             "array_to_string(list_transform(events, lambda e: e.core), ', ')"},
-                   f"{sql_lit(w['head'])} || array_to_string(list_transform(events, {line}), {NL})", None, SEED)}
+                   f"{sql_lit(w['head'])} || array_to_string(list_transform(events, {line}), {NL})", None, SEED,
+                   sep=None if raw else " | ")}
 FROM s"""
 
 
 # ---------------------------------------------------------------- BLD4
 
-def build_normalization() -> str:
+def build_normalization(raw: bool = False) -> str:
     t, key, w, p = NORMALIZATION.name, ["p_brand", "p_size"], NORMALIZATION.words, NORMALIZATION.probs
     return f"""
 WITH g AS (SELECT p_brand, p_size, list(p_name ORDER BY p_partkey) AS allnames FROM part GROUP BY 1, 2),
@@ -257,7 +258,7 @@ a AS (SELECT *, {absent('names', 'vocab', dint(1, 3, t, key, 'n_insert'), t, key
       FROM s),
 c AS (SELECT *, CASE WHEN ex THEN {random_insert('names', 'extra', t, key)} ELSE absent END AS choices FROM a)
 SELECT {sql_finish(NORMALIZATION, key, {"text": "text", "choices": join_list("choices")},
-                   f"CASE WHEN ex THEN {join_list('names')} ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+                   f"CASE WHEN ex THEN {join_list('names')} ELSE {sql_lit(w['none'])} END", "choices", SEED, sep=None if raw else " | ")}
 FROM c"""
 
 
@@ -277,13 +278,13 @@ cc AS (SELECT *, CASE WHEN nx THEN absent_none ELSE absent || own END AS choices
        FROM ca)"""
 
 
-def build_classification() -> str:
+def build_classification(raw: bool = False) -> str:
     sel = sql_finish(CLASSIFICATION, ["doc_id"], {"text": "text", "choices": join_list("choices")},
-                     "target_", "choices", SEED)
+                     "target_", "choices", SEED, sep=None if raw else " | ")
     return f"WITH {classification_ctes()}\nSELECT {sel} FROM cc"
 
 
-def build_classification_sized() -> str:
+def build_classification_sized(raw: bool = False) -> str:
     t, key, w, p = CLASSIFICATION_SIZED.name, ["doc_id"], CLASSIFICATION_SIZED.words, CLASSIFICATION_SIZED.probs
     unit = u_(t, key, "size")
     return f"""
@@ -301,13 +302,13 @@ a AS (SELECT *, {absent('own', 'rvocab', 'm', t, key, 'absent')} AS absent,
       FROM m),
 c AS (SELECT *, CASE WHEN ex THEN {random_insert('absent', 'own', t, key)} ELSE absent_none END AS choices FROM a)
 SELECT {sql_finish(CLASSIFICATION_SIZED, key, {"text": "text", "choices": join_list("choices")},
-                   f"CASE WHEN ex THEN region ELSE {sql_lit(w['none'])} END", "choices", SEED)}
+                   f"CASE WHEN ex THEN region ELSE {sql_lit(w['none'])} END", "choices", SEED, sep=None if raw else " | ")}
 FROM c"""
 
 
 # ---------------------------------------------------------------- BLD6
 
-def build_pair_match() -> str:
+def build_pair_match(raw: bool = False) -> str:
     from .common import sql_sample_id
     from ..operators.templates import sql_pick_template, sql_render
     spec, key = PAIR_MATCH, ["doc_id"]
@@ -324,12 +325,12 @@ x AS (SELECT *, {idx} AS ti FROM pr),
 y AS (SELECT *, {yl}[ti + 1] AS yw, {nl}[ti + 1] AS nw FROM x)
 SELECT {sql_render(spec.templates, 'ti', {"a": "text1", "b": "text2"})} AS input,
        CASE WHEN label = '1' THEN yw ELSE nw END AS target,
-       yw || ' | ' || nw AS answer_choices, {sql_lit(spec.task_type)} AS task_type,
+       {"[yw, nw]" if raw else "yw || ' | ' || nw"} AS answer_choices, {sql_lit(spec.task_type)} AS task_type,
        {sql_lit(spec.name)} AS task_dataset, {sql_sample_id(spec, key)} AS sample_id
 FROM y"""
 
 
-def build_ordinal_match() -> str:
+def build_ordinal_match(raw: bool = False) -> str:
     spec, key = ORDINAL, ["o_orderkey"]
     ch = "[" + ", ".join(sql_lit(x) for x in spec.words["choices"]) + "]"
     return f"""
@@ -337,13 +338,13 @@ WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CAST(substr(o_orderpriorit
                   {ch} AS choices FROM orders)
 SELECT {sql_finish(spec, key, {"a": "'order ' || CAST(o_orderkey AS VARCHAR)",
                                "b": "'customer ' || CAST(o_custkey AS VARCHAR) || ' on ' || strftime(o_orderdate, '%Y-%m-%d')",
-                               "choices": join_list("choices")}, "choices[label + 1]", "choices", SEED)}
+                               "choices": join_list("choices")}, "choices[label + 1]", "choices", SEED, sep=None if raw else " | ")}
 FROM o"""
 
 
 # ---------------------------------------------------------------- BLD7
 
-def build_relevance() -> str:
+def build_relevance(raw: bool = False) -> str:
     spec, key, w, p = RELEVANCE, ["conv_id", "turn"], RELEVANCE.words, RELEVANCE.probs
     return f"""
 WITH q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
@@ -359,7 +360,7 @@ qq AS (SELECT q.*, pos.pos_idx, pos.n_docs, {u_(spec.name, key, 'relevant')} < {
 qd AS (SELECT qq.*, d.doc FROM qq JOIN d ON d.d_idx = CASE WHEN rel THEN pos_idx WHEN ni >= pos_idx THEN ni + 1 ELSE ni END)
 SELECT {sql_finish(spec, key, {"a": "query", "b": "doc"},
                    f"CASE WHEN rel THEN {sql_lit(w['yes'])} ELSE {sql_lit(w['no'])} END",
-                   f"[{sql_lit(w['yes'])}, {sql_lit(w['no'])}]", SEED)}
+                   f"[{sql_lit(w['yes'])}, {sql_lit(w['no'])}]", SEED, sep=None if raw else " | ")}
 FROM qd"""
 
 
@@ -551,3 +552,203 @@ WITH m AS (SELECT *, CASE WHEN answer_choices IS NULL THEN NULL
                           ELSE '[' || replace(answer_choices, ' | ', ', ') || ']' END AS ac
            FROM ({mixture()}))
 SELECT task_dataset, count(*) AS n_rows, CAST(sum({h}) AS VARCHAR) AS digest FROM m GROUP BY task_dataset"""
+
+
+# ---------------------------------------------------------------- parsers
+
+from ..functions.text import sql_strip_ws as _strip  # noqa: E402
+from ..operators import parse as _P  # noqa: E402
+
+
+def _rep_first(inp: str, a: str, b: str, n: int = 100) -> str:
+    parts = f"string_split({inp}, '{a}')"
+    return (f"(CASE WHEN len({parts}) <= {n + 1} THEN replace({inp}, '{a}', '{b}') "
+            f"ELSE array_to_string({parts}[1:{n + 1}], '{b}') || '{a}' || array_to_string({parts}[{n + 2}:], '{a}') END)")
+
+
+def _folded(src_sql: str) -> str:
+    """CTEs ending in ``pf`` (sample_id defaulted, ``g`` = folded target)."""
+    return f"""src AS ({src_sql}),
+f1 AS (SELECT * REPLACE (coalesce(sample_id, '{_P.MISSING_ID}') AS sample_id), {_rep_first('target', ':', '：')} AS g1 FROM src),
+f2 AS (SELECT *, {_rep_first('g1', ',', '，')} AS g2 FROM f1),
+pf AS (SELECT *, {_rep_first('g2', ';', '；')} AS g FROM f2)"""
+
+
+def _items(x: str) -> str:
+    """split on the list separator, strip every item, drop empty ones."""
+    return f"list_filter(list_transform(string_split({x}, '{_P.SEP}'), lambda z: {_strip('z')}), lambda z: length(z) > 0)"
+
+
+def parse_entities() -> str:
+    w = sql_lit(_P.ENTITY_WORD)
+    wc = sql_lit(_P.ENTITY_WORD + _P.COLON)
+    src = f"SELECT * FROM ({build_entities(raw=True)}) UNION ALL SELECT * FROM ({build_tagged_entities(raw=True)})"
+    return f"""
+WITH {_folded(src)},
+c AS (SELECT sample_id, g, unnest(list_transform(coalesce(answer_choices, []::VARCHAR[]),
+                                                 lambda x, i: {{'type': x, 'ci': i - 1}})) AS c FROM pf),
+l AS (SELECT sample_id, c.type AS type, c.ci AS choice_no,
+             unnest(list_transform(string_split(g, {NL}), lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM c),
+h AS (SELECT sample_id, type, choice_no, l.li AS line_no,
+             {_items(f"replace(l.line, type || {wc}, '')")} AS ms
+      FROM l WHERE starts_with(l.line, type || {w}))
+SELECT sample_id, type, CAST(choice_no AS INTEGER) AS choice_no, CAST(line_no AS INTEGER) AS line_no,
+       CAST(m.mi - 1 AS INTEGER) AS mention_no, m.entity
+FROM h, unnest(list_transform(ms, lambda x, i: {{'entity': x, 'mi': i}})) AS t(m)"""
+
+
+def parse_triples() -> str:
+    pre, mark = _P.REL_PREFIX, _P.REL_MARK
+    return f"""
+WITH {_folded(build_relations(raw=True))},
+l AS (SELECT sample_id, unnest(list_transform(string_split(g, {NL}), lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM pf),
+p AS (SELECT sample_id, l.li AS line_no, l.line AS line,
+             {_strip(f"substr(string_split(l.line, {sql_lit(mark)})[1], {len(pre) + 1})")} AS predicate FROM l),
+b AS (SELECT *, replace(line, {sql_lit(pre)} || predicate || {sql_lit(mark + _P.COLON)}, '') AS body FROM p),
+s AS (SELECT sample_id, predicate, line_no,
+             unnest(list_transform(string_split(body, '。'), lambda x, i: {{'spo': x, 'si': i - 1}})) AS s FROM b),
+t AS (SELECT *, string_split(s.spo, {sql_lit(_P.SEP + _P.REL_TAIL)}) AS pc FROM s)
+SELECT sample_id, predicate, {_strip(f"replace(pc[1], {sql_lit(_P.REL_HEAD)}, '')")} AS subject,
+       {_strip(f"replace(pc[2], {sql_lit(_P.REL_TAIL)}, '')")} AS object,
+       CAST(line_no AS INTEGER) AS line_no, CAST(s.si AS INTEGER) AS pair_no
+FROM t WHERE len(pc) >= 2"""
+
+
+def parse_terms() -> str:
+    return f"""
+WITH {_folded(build_normalization(raw=True))},
+a AS (SELECT sample_id, list_filter({_items(f"string_split(g, {NL})[-1]")},
+                                    lambda z: list_contains(coalesce(answer_choices, []::VARCHAR[]), z)) AS vals FROM pf),
+d AS (SELECT sample_id, {first_seen('vals')} AS vals FROM a)
+SELECT sample_id, CAST(v.i - 1 AS INTEGER) AS term_no, v.x AS entity, 'normalization' AS type
+FROM d, unnest(list_transform(vals, lambda x, i: {{'x': x, 'i': i}})) AS t(v)"""
+
+
+def parse_events() -> str:
+    keys = _P.EVENT_KEYS
+    steps = []
+    prev = "p"
+    for i, k in enumerate(keys):
+        kc = sql_lit(k + _P.COLON)
+        steps.append(f"starts_with({prev}, {kc}) AS h{i}")
+        nxt = f"v{i}"
+        steps.append(f"CASE WHEN starts_with({prev}, {kc}) THEN {_strip(f'replace({prev}, {kc}, {chr(39)}{chr(39)})')} "
+                     f"ELSE {prev} END AS {nxt}")
+        prev = nxt
+    # build chained values with nested CTE columns
+    ctes, cur = [], "pcs"
+    prevcol = "p"
+    for i, k in enumerate(keys):
+        kc = sql_lit(k + _P.COLON)
+        nxt = f"c{i}"
+        ctes.append(f"""{nxt} AS (SELECT *, starts_with({prevcol}, {kc}) AS h{i},
+    CASE WHEN starts_with({prevcol}, {kc}) THEN {_strip(f"replace({prevcol}, {kc}, '')")} ELSE {prevcol} END AS v{i}
+    FROM {cur})""")
+        cur, prevcol = nxt, f"v{i}"
+    cols = []
+    for i, k in enumerate(keys):
+        last = f"arg_max(v{i}, pi) FILTER (WHERE h{i})"
+        if k in _P.EVENT_LIST_KEYS:
+            val = f"coalesce(array_to_string({_items(last)}, {SEP}), '')"
+        else:
+            val = f"coalesce({last}, '')"
+        cols.append(f"{val} AS {k.lower()}")
+    return f"""
+WITH {_folded(build_events(raw=True))},
+ev AS (SELECT sample_id, unnest(list_transform(string_split(g, {NL})[2:], lambda x, i: {{'line': x, 'ei': i - 1}})) AS e FROM pf),
+pcs AS (SELECT sample_id, e.ei AS event_no, unnest(list_transform(string_split(e.line, '；'), lambda x, i: {{'p': x, 'pi': i}})) AS q
+        FROM ev),
+pcs2 AS (SELECT sample_id, event_no, q.p AS p, q.pi AS pi FROM pcs),
+{",".join(c.replace("FROM pcs)", "FROM pcs2)", 1) if j == 0 else c for j, c in enumerate(ctes))}
+SELECT sample_id, CAST(event_no AS INTEGER) AS event_no, {", ".join(cols)}
+FROM {cur} GROUP BY sample_id, event_no
+UNION ALL
+SELECT sample_id, CAST(e.ei AS INTEGER) AS event_no, '', '', '', ''
+FROM ev WHERE len(string_split(e.line, '；')) = 0"""
+
+
+def _label_src() -> str:
+    return (f"SELECT * FROM ({build_pair_match(raw=True)}) UNION ALL SELECT * FROM ({build_classification(raw=True)}) "
+            f"UNION ALL SELECT * FROM ({build_ordinal_match(raw=True)}) UNION ALL SELECT * FROM ({build_relevance(raw=True)})")
+
+
+def parse_labels() -> str:
+    a = _strip("g")
+    folded = a
+    for k, v in _P.SYNONYMS.items():
+        folded = f"(CASE WHEN {folded} = {sql_lit(k)} THEN {sql_lit(v)} ELSE {folded} END)"
+    return f"""
+WITH {_folded(_label_src())}
+SELECT sample_id, CASE WHEN task_dataset = 'pair_match' THEN {folded} ELSE {a} END AS label FROM pf"""
+
+
+def _findings_src() -> str:
+    return f"""
+SELECT 'findings of the day' AS input,
+       'Findings:' || {NL} || string_agg(line, {NL} ORDER BY ts, event_id) AS target,
+       {"[" + ", ".join(sql_lit(c) for c in _B.FINDING_CHOICES) + "]"} AS answer_choices,
+       'findings' AS task_type, 'findings' AS task_dataset,
+       concat_ws('-', 'findings', CAST(user_id AS VARCHAR), CAST(day AS VARCHAR)) AS sample_id
+FROM (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id,
+             CASE WHEN event_type IN ('error', 'purchase') THEN event_type || ' ' || props || ':' || attr
+                  ELSE event_type || ' ' || json_extract_string(props, '$.k') || ':' || attr END AS line
+      FROM (SELECT *, CASE WHEN value < 20 THEN 'positive' WHEN value < 60 THEN 'negative' ELSE 'mixed' END AS attr
+            FROM events))
+GROUP BY user_id, day"""
+
+
+def parse_findings() -> str:
+    return f"""
+WITH {_folded(_findings_src())},
+l AS (SELECT sample_id, answer_choices,
+             unnest(list_transform(string_split(g, {NL})[2:], lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM pf),
+p AS (SELECT *, string_split({_strip('l.line')}, '{_P.COLON}') AS pc FROM l)
+SELECT sample_id, {_strip('pc[1]')} AS entity,
+       CASE WHEN coalesce(list_contains(answer_choices, pc[2]), false) THEN pc[2] ELSE 'unclear' END AS attr,
+       CAST(l.li AS INTEGER) AS line_no
+FROM p WHERE len(pc) = 2"""
+
+
+def _report_src() -> str:
+    keys = "[" + ", ".join(sql_lit(k) for k in _B.REPORT_KEYS) + "]"
+    return f"""
+SELECT 'write the report' AS input,
+       'Report ' || CAST(doc_id AS VARCHAR) || {NL} ||
+       array_to_string(list_transform(string_split(text, {NL})[1:{len(_B.REPORT_KEYS)}], lambda x, i: {keys}[i] || x), {NL})
+       || {NL} || {sql_lit(_B.REPORT_KEYS[0])} || string_split(text, {NL})[-1] AS target,
+       CAST(NULL AS VARCHAR[]) AS answer_choices, 'report' AS task_type, 'report' AS task_dataset,
+       concat_ws('-', 'report', CAST(doc_id AS VARCHAR)) AS sample_id
+FROM documents"""
+
+
+def parse_report() -> str:
+    keys = "[" + ", ".join(sql_lit(k) for k in _P.REPORT_KEYS) + "]"
+    return f"""
+WITH {_folded(_report_src())},
+l AS (SELECT sample_id, unnest(list_transform(string_split({_strip('g')}, {NL})[2:], lambda x, i: {{'line': x, 'li': i}})) AS l
+      FROM pf),
+k AS (SELECT sample_id, l.line AS line, l.li AS li, unnest({keys}) AS key FROM l),
+m AS (SELECT sample_id, li, substr(key, 1, length(key) - 1) AS section,
+             {_strip(f"string_split({_strip('line')}, key)[-1]")} AS text
+      FROM k WHERE starts_with(line, key))
+SELECT sample_id, section, arg_max(text, li) AS text FROM m GROUP BY sample_id, section"""
+
+
+def extract_response() -> str:
+    marker = sql_lit(_P.RESPONSE_MARKER)
+    raw = (f"{sql_lit(_B.PROMPT_HEAD)} || prompt || {sql_lit(_B.PROMPT_TAIL)} || reply")
+    return f"""
+WITH {dialogue_pairs_sql()},
+r AS (SELECT concat_ws('-', 'dialogue', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id, {raw} AS raw FROM pairs)
+SELECT sample_id, {_strip(f"string_split(raw, {marker})[-1]")} AS target FROM r"""
+
+
+def submission_counts() -> str:
+    tasks = ", ".join(f"({sql_lit(t)})" for t in _P.TASK_FAMILY)
+    src = " UNION ALL ".join(f"SELECT task_dataset FROM ({s})" for s in (
+        build_entities(), build_relations(), build_normalization(), build_pair_match(), _findings_src(),
+        _report_src()))
+    return f"""
+WITH dim(task_dataset) AS (VALUES {tasks}),
+c AS (SELECT task_dataset, count(*) AS n FROM ({src}) GROUP BY 1)
+SELECT dim.task_dataset, CAST(coalesce(c.n, 0) AS BIGINT) AS n_answers FROM dim LEFT JOIN c USING (task_dataset)"""
