@@ -323,3 +323,147 @@ QUERIES.update({
 ORACLES.update({name: getattr(O, name) for name in (
     "parse_entities", "parse_triples", "parse_terms", "parse_events", "parse_labels", "parse_findings",
     "parse_report", "extract_response", "submission_counts")})
+
+
+# ---------------------------------------------------------------- wraps, tokens, packing
+
+from ..operators import tokens as TK  # noqa: E402
+
+VOCAB_DOCS = 2000
+VOCAB_CONV = 3000
+MAX_LEN = 256
+
+
+def _pairs(spark, sf):
+    p = B.dialogue_pairs(table(spark, sf, "conversations"))
+    return p.withColumn("sample_id", F.concat_ws("-", F.lit("dialogue"), F.col("conv_id").cast("string"),
+                                                 F.col("i").cast("string")))
+
+
+def _ids_text(c):
+    col = F.col(c) if isinstance(c, str) else c
+    return F.array_join(col.cast("array<string>"), " ")
+
+
+def q_wrap_train(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("sample_id", TK.ensure_suffix("reply").alias("output"),
+                    TK.wrap_train("prompt", "reply").alias("text"))
+
+
+def q_wrap_prompt(spark, sf):
+    return _pairs(spark, sf).select("sample_id", TK.wrap_prompt("prompt").alias("newinput"))
+
+
+def q_ensure_eos(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("sample_id", TK.ensure_suffix("reply").alias("output"),
+                    TK.ensure_suffix(TK.ensure_suffix("reply")).alias("output_twice"))
+
+
+def preference_rows(spark, sf):
+    """prompt = user turn, chosen = its reply, rejected = another reply drawn like JOI2."""
+    from ..operators.ordering import with_global_index
+    from ..functions.draws import u
+    queries, docs, links = B.reply_links(table(spark, sf, "conversations"))
+    idx = with_global_index(docs, ["d_conv", "d_turn"], "d_idx", total="n_docs")
+    pos = links.join(idx, ["d_conv", "d_turn"]).select("conv_id", "turn", F.col("doc").alias("chosen"),
+                                                      "d_idx", "n_docs")
+    q = queries.join(pos, ["conv_id", "turn"])
+    i = F.floor(u(SEED, "preference", ["conv_id", "turn"], "rejected") * (F.col("n_docs") - 1)).cast("long")
+    q = q.withColumn("r_idx", F.when(i >= F.col("d_idx"), i + 1).otherwise(i))
+    r = idx.select(F.col("d_idx").alias("r_idx"), F.col("doc").alias("rejected"))
+    return q.join(r, "r_idx").select(
+        F.concat_ws("-", F.lit("pref"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sample_id"),
+        F.col("query").alias("prompt"), "chosen", "rejected")
+
+
+def q_preference_pairs(spark, sf):
+    return TK.preference_texts(preference_rows(spark, sf)).select("sample_id", "text_pos", "text_neg")
+
+
+def q_build_vocab(spark, sf):
+    return TK.build_vocab(_docs(spark, sf), "text", VOCAB_DOCS)
+
+
+def _conv_vocab(spark, sf):
+    return TK.build_vocab(table(spark, sf, "conversations"), "text", VOCAB_CONV)
+
+
+def q_encode_labels(spark, sf):
+    p = _pairs(spark, sf).withColumn("output", TK.ensure_suffix("reply"))
+    e = TK.encode(p, ["sample_id"], {"p_ids": ("prompt", True), "r_ids": ("output", False)},
+                  _conv_vocab(spark, sf), VOCAB_CONV + 3)
+    ids, labels, mask = TK.labels_response("p_ids", "r_ids", MAX_LEN)
+    e = e.select("sample_id", ids.alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask"))
+    return e.select("sample_id", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
+                    _ids_text("labels").alias("labels"), _ids_text("attention_mask").alias("attention_mask"))
+
+
+def q_encode_all(spark, sf):
+    p = _pairs(spark, sf).withColumn("TEXT", TK.wrap_train("prompt", "reply"))
+    e = TK.encode(p, ["sample_id"], {"input_ids": ("TEXT", True)}, _conv_vocab(spark, sf), VOCAB_CONV + 3)
+    return e.select("sample_id", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
+                    _ids_text(TK.labels_all("input_ids")).alias("labels"),
+                    _ids_text(TK.attention_mask("input_ids")).alias("attention_mask"))
+
+
+def _doc_ids(spark, sf):
+    docs = _docs(spark, sf)
+    return TK.encode(docs, ["doc_id"], {"input_ids": ("text", True)}, TK.build_vocab(docs, "text", VOCAB_DOCS),
+                     VOCAB_DOCS + 3)
+
+
+def q_truncate_filter(spark, sf):
+    capped = ORD.cap_rows(_doc_ids(spark, sf), 700, ["doc_id"])
+    kept = TK.filter_max_len(capped, "input_ids", 2048)
+    return kept.select("doc_id", F.size("input_ids").alias("n_ids"),
+                       _ids_text(TK.truncate_ids("input_ids", 128)).alias("prompt_ids"))
+
+
+def q_encode_pairs(spark, sf):
+    pr = TK.preference_texts(preference_rows(spark, sf))
+    e = TK.encode(pr, ["sample_id"], {"ids_pos": ("text_pos", True), "ids_neg": ("text_neg", True)},
+                  _conv_vocab(spark, sf), VOCAB_CONV + 3)
+    return e.select("sample_id", _ids_text("ids_pos").alias("input_ids_pos"),
+                    _ids_text(TK.attention_mask("ids_pos")).alias("attention_mask_pos"),
+                    _ids_text("ids_neg").alias("input_ids_neg"),
+                    _ids_text(TK.attention_mask("ids_neg")).alias("attention_mask_neg"))
+
+
+def q_pack_blocks(spark, sf):
+    ids = _doc_ids(spark, sf).withColumn("attention_mask", TK.attention_mask("input_ids"))
+    packed = TK.pack_blocks(ids, "input_ids", TK.resolve_block_size(128, 4096), ["doc_id"], batch_rows=100,
+                            mask="attention_mask")
+    return packed.select("batch", "block", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
+                         _ids_text("labels").alias("labels"),
+                         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+def _count_tokens(texts):
+    import regex
+    pat = regex.compile(TK.TOKEN_RE)
+    return [[len(pat.findall(t or ""))] for t in texts]
+
+
+def q_map_tokenizer(spark, sf):
+    m = TK.map_tokenizer(_docs(spark, sf), "text", _count_tokens, "counts", keep=["doc_id"])
+    return m.select("doc_id", F.element_at("counts", 1).cast("long").alias("n_tokens"))
+
+
+QUERIES.update({
+    "wrap_train": q_wrap_train,
+    "wrap_prompt": q_wrap_prompt,
+    "ensure_eos": q_ensure_eos,
+    "preference_pairs": q_preference_pairs,
+    "build_vocab": q_build_vocab,
+    "encode_labels": q_encode_labels,
+    "encode_all": q_encode_all,
+    "truncate_filter": q_truncate_filter,
+    "encode_pairs": q_encode_pairs,
+    "pack_blocks": q_pack_blocks,
+    "map_tokenizer": q_map_tokenizer,
+})
+ORACLES.update({name: getattr(O, name) for name in (
+    "wrap_train", "wrap_prompt", "ensure_eos", "preference_pairs", "build_vocab", "encode_labels",
+    "encode_all", "truncate_filter", "encode_pairs", "pack_blocks", "map_tokenizer")})

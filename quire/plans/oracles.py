@@ -752,3 +752,148 @@ def submission_counts() -> str:
 WITH dim(task_dataset) AS (VALUES {tasks}),
 c AS (SELECT task_dataset, count(*) AS n FROM ({src}) GROUP BY 1)
 SELECT dim.task_dataset, CAST(coalesce(c.n, 0) AS BIGINT) AS n_answers FROM dim LEFT JOIN c USING (task_dataset)"""
+
+
+# ---------------------------------------------------------------- wraps, tokens, packing
+
+from ..operators import tokens as _TK  # noqa: E402
+
+RE = sql_lit(_TK.TOKEN_RE)
+EOSL = sql_lit(_TK.EOS)
+
+
+def _pairs_sql() -> str:
+    return f"""{dialogue_pairs_sql()},
+pp AS (SELECT *, concat_ws('-', 'dialogue', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id FROM pairs)"""
+
+
+def _ensure(x: str) -> str:
+    return f"(CASE WHEN ends_with({x}, {EOSL}) THEN {x} ELSE {x} || {EOSL} END)"
+
+
+def _wrap_train(i: str, t: str) -> str:
+    return f"({sql_lit(_TK.PROMPT_HEAD)} || {i} || {sql_lit(_TK.PROMPT_MID)} || {t} || {EOSL})"
+
+
+def wrap_train() -> str:
+    return f"WITH {_pairs_sql()} SELECT sample_id, {_ensure('reply')} AS output, {_wrap_train('prompt', 'reply')} AS text FROM pp"
+
+
+def wrap_prompt() -> str:
+    return (f"WITH {_pairs_sql()} SELECT sample_id, {sql_lit(_TK.PROMPT_HEAD)} || prompt || "
+            f"{sql_lit(_TK.PROMPT_MID)} AS newinput FROM pp")
+
+
+def ensure_eos() -> str:
+    return f"WITH {_pairs_sql()} SELECT sample_id, {_ensure('reply')} AS output, {_ensure(_ensure('reply'))} AS output_twice FROM pp"
+
+
+def _preference_sql() -> str:
+    return f"""
+q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+d AS (SELECT conv_id AS d_conv, turn AS d_turn, text AS doc,
+             row_number() OVER (ORDER BY conv_id, turn) - 1 AS d_idx, count(*) OVER () AS n_docs
+      FROM conversations WHERE role = 'assistant'),
+pos AS (SELECT q.conv_id, q.turn, q.query, d.doc AS chosen, d.d_idx, d.n_docs
+        FROM q JOIN d ON d.d_conv = q.conv_id AND d.d_turn = q.turn + 1),
+rr AS (SELECT *, CAST(floor({sql_u(SEED, 'preference', ['conv_id', 'turn'], 'rejected')} * (n_docs - 1)) AS BIGINT) AS ri FROM pos),
+pref AS (SELECT concat_ws('-', 'pref', CAST(rr.conv_id AS VARCHAR), CAST(rr.turn AS VARCHAR)) AS sample_id,
+                rr.query AS prompt, rr.chosen, d.doc AS rejected
+         FROM rr JOIN d ON d.d_idx = CASE WHEN rr.ri >= rr.d_idx THEN rr.ri + 1 ELSE rr.ri END),
+pt AS (SELECT sample_id, prompt || chosen || {EOSL} AS text_pos, prompt || rejected || {EOSL} AS text_neg FROM pref)"""
+
+
+def preference_pairs() -> str:
+    return f"WITH {_preference_sql()} SELECT sample_id, text_pos, text_neg FROM pt"
+
+
+def _vocab_sql(name: str, source: str, size: int) -> str:
+    specials = ", ".join(f"({sql_lit(t)}, {i}, 0)" for i, t in enumerate(_TK.SPECIALS))
+    sp = ", ".join(sql_lit(t) for t in _TK.SPECIALS)
+    return f"""
+{name}_cnt AS (SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, {RE})) AS token FROM {source})
+               WHERE token NOT IN ({sp}) GROUP BY token),
+{name} AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 + {len(_TK.SPECIALS)} AS INTEGER) AS id,
+                  CAST(count AS BIGINT) AS count
+           FROM {name}_cnt QUALIFY row_number() OVER (ORDER BY count DESC, token) <= {size}
+           UNION ALL SELECT * FROM (VALUES {specials}) AS s(token, id, count)),
+{name}_map AS (SELECT map(list(token), list(id)) AS m FROM {name})"""
+
+
+def build_vocab() -> str:
+    from .catalog import VOCAB_DOCS
+    return f"WITH {_vocab_sql('v', 'documents', VOCAB_DOCS)} SELECT token, id, count FROM v"
+
+
+def _ids(text: str, vmap: str, bos: bool) -> str:
+    ids = (f"list_transform(regexp_extract_all({text}, {RE}), "
+           f"lambda t: coalesce(map_extract_value({vmap}.m, t), {_TK.UNK_ID}))")
+    return f"([{_TK.BOS_ID}] || {ids})" if bos else ids
+
+
+def _join_ids(x: str) -> str:
+    return f"array_to_string({x}, ' ')"
+
+
+def encode_labels() -> str:
+    from .catalog import MAX_LEN, VOCAB_CONV
+    return f"""
+WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+e AS (SELECT sample_id, {_ids('prompt', 'v_map', True)} AS p, {_ids(_ensure('reply'), 'v_map', False)} AS r FROM pp, v_map),
+l AS (SELECT sample_id, list_slice(p || r, 1, {MAX_LEN}) AS ids,
+             list_slice(list_transform(p, lambda x: -100) || r, 1, {MAX_LEN}) AS labels,
+             list_slice(list_transform(p || r, lambda x: 1), 1, {MAX_LEN}) AS mask FROM e)
+SELECT sample_id, CAST(len(ids) AS INTEGER) AS n_ids, {_join_ids('ids')} AS input_ids, {_join_ids('labels')} AS labels,
+       {_join_ids('mask')} AS attention_mask FROM l"""
+
+
+def encode_all() -> str:
+    from .catalog import VOCAB_CONV
+    return f"""
+WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+e AS (SELECT sample_id, {_ids(_wrap_train('prompt', 'reply'), 'v_map', True)} AS ids FROM pp, v_map)
+SELECT sample_id, CAST(len(ids) AS INTEGER) AS n_ids, {_join_ids('ids')} AS input_ids, {_join_ids('ids')} AS labels,
+       {_join_ids('list_transform(ids, lambda x: 1)')} AS attention_mask FROM e"""
+
+
+def _doc_ids_sql() -> str:
+    from .catalog import VOCAB_DOCS
+    return f"""{_vocab_sql('v', 'documents', VOCAB_DOCS)},
+di AS (SELECT doc_id, {_ids('text', 'v_map', True)} AS ids FROM documents, v_map)"""
+
+
+def truncate_filter() -> str:
+    return f"""
+WITH {_doc_ids_sql()},
+c AS (SELECT * FROM di QUALIFY row_number() OVER (ORDER BY doc_id) <= 700)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, {_join_ids('list_slice(ids, 1, 128)')} AS prompt_ids
+FROM c WHERE len(ids) <= 2048"""
+
+
+def encode_pairs() -> str:
+    from .catalog import VOCAB_CONV
+    return f"""
+WITH {_preference_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+e AS (SELECT sample_id, {_ids('text_pos', 'v_map', True)} AS a, {_ids('text_neg', 'v_map', True)} AS b FROM pt, v_map)
+SELECT sample_id, {_join_ids('a')} AS input_ids_pos, {_join_ids('list_transform(a, lambda x: 1)')} AS attention_mask_pos,
+       {_join_ids('b')} AS input_ids_neg, {_join_ids('list_transform(b, lambda x: 1)')} AS attention_mask_neg FROM e"""
+
+
+def pack_blocks() -> str:
+    b, rows = 128, 100
+    return f"""
+WITH {_doc_ids_sql()},
+r AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {rows} AS batch FROM di),
+o AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY batch ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             (sum(len(ids)) OVER (PARTITION BY batch)) // {b} * {b} AS usable
+      FROM r),
+t AS (SELECT batch, off, usable, unnest(list_transform(ids, lambda x, i: {{'id': x, 'p': off + i - 1}})) AS t FROM o),
+k AS (SELECT batch, t.p AS p, t.id AS id FROM t WHERE t.p < usable)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(p // {b} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_ids,
+       array_to_string(list(id ORDER BY p), ' ') AS input_ids, array_to_string(list(id ORDER BY p), ' ') AS labels,
+       CAST(count(*) AS INTEGER) AS mask_sum
+FROM k GROUP BY batch, p // {b}"""
+
+
+def map_tokenizer() -> str:
+    return f"SELECT doc_id, CAST(len(regexp_extract_all(text, {RE})) AS BIGINT) AS n_tokens FROM documents"
