@@ -467,3 +467,167 @@ QUERIES.update({
 ORACLES.update({name: getattr(O, name) for name in (
     "wrap_train", "wrap_prompt", "ensure_eos", "preference_pairs", "build_vocab", "encode_labels",
     "encode_all", "truncate_filter", "encode_pairs", "pack_blocks", "map_tokenizer")})
+
+
+# ---------------------------------------------------------------- metrics
+
+from ..operators import metrics as MT  # noqa: E402
+
+PRED_VOCAB = 500
+
+
+def q_shifted_accuracy(spark, sf):
+    d = _doc_ids(spark, sf)
+    limit = PRED_VOCAB + len(TK.SPECIALS)
+    nxt = F.concat(F.slice("input_ids", 2, 1 << 30), F.array(F.lit(TK.EOS_ID)))
+    preds = F.transform(nxt, lambda x: F.when(x < limit, x).otherwise(F.lit(TK.UNK_ID)))
+    return MT.shifted_accuracy(d.withColumn("preds", preds), "preds", "input_ids")
+
+
+def q_perplexity(spark, sf):
+    ev = table(spark, sf, "events")
+    return MT.perplexity(ev, "value", ["event_type"])
+
+
+def q_capped_counts(spark, sf):
+    s = ORD.head_split(_docs(spark, sf).select("doc_id"), 5, ["doc_id"])
+    return MT.capped_counts(s, 500, ["split"])
+
+
+QUERIES.update({"shifted_accuracy": q_shifted_accuracy, "perplexity": q_perplexity, "capped_counts": q_capped_counts})
+ORACLES.update({name: getattr(O, name) for name in ("shifted_accuracy", "perplexity", "capped_counts")})
+
+
+# ---------------------------------------------------------------- files and streaming
+
+from ..sinks import writers as W  # noqa: E402
+from ..sources import readers as R  # noqa: E402
+from ..streaming.prepare import stream_transform  # noqa: E402
+
+
+def q_jsonl_roundtrip(spark, sf):
+    docs = _docs(spark, sf)
+    s = B.event_samples(table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    rows = B.build_events(s).unionByName(B.build_classification(docs))
+    path = W.write_jsonl(rows, W.scratch_path(spark, "jsonl"))
+    return report(R.read_jsonl(spark, path))
+
+
+def _tsv_text(c):
+    return F.regexp_replace(F.col(c), "[\t\r\n]", " ")
+
+
+def q_tsv_pairs(spark, sf):
+    c = table(spark, sf, "conversations")
+    qid = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    base = W.scratch_path(spark, "tsv")
+    opts = {"sep": "\t", "quote": "", "escape": "", "header": False}
+    c.filter(F.col("role") == "user").select(qid.alias("id"), _tsv_text("text").alias("t")).write.options(**opts).csv(f"{base}/queries")
+    c.filter(F.col("role") == "assistant").select(qid.alias("id"), _tsv_text("text").alias("t")).write.options(**opts).csv(f"{base}/docs")
+    c.filter(F.col("role") == "user").select(qid.alias("q"), (F.col("conv_id") * 1000 + F.col("turn") + 1).cast("string").alias("d")).write.options(**opts).csv(f"{base}/links")
+    qs = R.read_tsv_pairs(spark, f"{base}/queries", ["query_id", "query"], ["bigint", "string"])
+    ds = R.read_tsv_pairs(spark, f"{base}/docs", ["doc_id", "doc"], ["bigint", "string"])
+    ls = R.read_tsv_pairs(spark, f"{base}/links", ["query_id", "doc_id"], ["bigint", "bigint"])
+    return qs.join(ls, "query_id").join(ds, "doc_id").select("query_id", "doc_id", "query", "doc")
+
+
+def q_ext_sources(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "lang", "source")
+    base = W.scratch_path(spark, "ext")
+    docs.coalesce(1).write.option("header", True).csv(f"{base}/csv")
+    docs.write.json(f"{base}/json")
+    _docs(spark, sf).select("text").write.text(f"{base}/txt")
+    import glob
+    csv_file = glob.glob(f"{base}/csv/*.csv")[0]
+    json_files = sorted(glob.glob(f"{base}/json/*.json"))
+    txt_files = sorted(glob.glob(f"{base}/txt/*.txt"))
+    schema = "doc_id bigint, lang string, source string"
+    out = []
+    for fmt, path in (("csv", csv_file), ("json", json_files[0] if len(json_files) == 1 else f"{base}/json/*.json")):
+        d = R.read_by_extension(spark, train=path, schema=spark.createDataFrame([], schema).schema) \
+            if path.endswith((".csv", ".json")) else R.read_jsonl(spark, path, spark.createDataFrame([], schema).schema).withColumn("split", F.lit("train"))
+        d = ORD.head_split(d.drop("split"), 5, ["doc_id"])
+        out.append(d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fmt", F.lit(fmt)))
+    t = R.read_text(spark, txt_files if len(txt_files) > 1 else txt_files[0], keep_linebreaks=True)
+    out.append(t.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("split", F.lit("train")).withColumn("fmt", F.lit("txt")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res.select("fmt", "split", "n_rows")
+
+
+def q_split_by_task(spark, sf):
+    docs = _docs(spark, sf)
+    rows = B.build_ordinal_match(table(spark, sf, "orders")).unionByName(B.build_classification(docs))
+    return W.split_by_task(rows, W.scratch_path(spark, "bytask"))
+
+
+def q_write_predictions(spark, sf):
+    conv = table(spark, sf, "conversations")
+    from ..operators.parse import extract_response
+    preds = extract_response(B.raw_generations(conv)).select("sample_id", "target")
+    path = W.write_predictions(B.build_dialogue(conv), preds, W.scratch_path(spark, "preds"))
+    return report(R.read_jsonl(spark, path))
+
+
+def q_merge_shards(spark, sf):
+    d = ORD.assign_shard(_docs(spark, sf).select("doc_id", "lang"), 8, ["doc_id"])
+    base = W.scratch_path(spark, "shards")
+    for k in range(8):  # one output per rank, like separate generation jobs
+        d.filter(F.col("shard") == k).write.json(f"{base}/rank{k}")
+    merged = W.merge_shards(spark, [f"{base}/rank{k}" for k in range(8)],
+                            "doc_id bigint, lang string, shard int, shard_row bigint")
+    return merged.select("doc_id", "lang", "shard", "shard_row")
+
+
+def q_file_manifest(spark, sf):
+    from ..sinks.manifest import file_manifest
+    rows = B.build_ordinal_match(table(spark, sf, "orders"))
+    path = W.scratch_path(spark, "manifest")
+    W.split_by_task(rows, path)
+    return file_manifest(spark, path, "*.json").select("length", "sha256")
+
+
+def q_stream_prepare(spark, sf):
+    conv = table(spark, sf, "conversations")
+    vocab = _conv_vocab(spark, sf).cache()
+
+    def per_batch(batch, epoch):
+        p = B.dialogue_pairs(batch).withColumn("sample_id", F.concat_ws(
+            "-", F.lit("dialogue"), F.col("conv_id").cast("string"), F.col("i").cast("string")))
+        p = p.withColumn("output", TK.ensure_suffix("reply"))
+        e = TK.encode(p, ["sample_id"], {"p_ids": ("prompt", True), "r_ids": ("output", False)}, vocab, VOCAB_CONV + 3)
+        ids, labels, mask = TK.labels_response("p_ids", "r_ids", MAX_LEN)
+        return e.select("sample_id", F.size(ids).alias("n_ids"), _ids_text(ids).alias("input_ids"),
+                        _ids_text(labels).alias("labels"), _ids_text(mask).alias("attention_mask"))
+
+    return stream_transform(spark, f"{sf}/conversations.parquet", conv.schema, per_batch, "stream-prepare")
+
+
+def q_stream_pack(spark, sf):
+    docs = _docs(spark, sf)
+    vocab = TK.build_vocab(docs, "text", VOCAB_DOCS).cache()
+
+    def per_batch(batch, epoch):
+        ids = TK.encode(batch, ["doc_id"], {"input_ids": ("text", True)}, vocab, VOCAB_DOCS + 3)
+        packed = TK.pack_blocks(ids, "input_ids", 128, ["doc_id"])
+        return packed.select(F.lit(epoch).cast("long").alias("epoch"), "block", F.size("input_ids").alias("n_ids"),
+                             _ids_text("input_ids").alias("input_ids"))
+
+    return stream_transform(spark, f"{sf}/documents.parquet", docs.schema, per_batch, "stream-pack").drop("epoch")
+
+
+QUERIES.update({
+    "jsonl_roundtrip": q_jsonl_roundtrip,
+    "tsv_pairs": q_tsv_pairs,
+    "ext_sources": q_ext_sources,
+    "split_by_task": q_split_by_task,
+    "write_predictions": q_write_predictions,
+    "merge_shards": q_merge_shards,
+    "file_manifest": q_file_manifest,
+    "stream_prepare": q_stream_prepare,
+    "stream_pack": q_stream_pack,
+})
+ORACLES.update({name: getattr(O, name) for name in (
+    "jsonl_roundtrip", "tsv_pairs", "ext_sources", "split_by_task", "write_predictions", "merge_shards",
+    "stream_prepare", "stream_pack")})

@@ -897,3 +897,95 @@ FROM k GROUP BY batch, p // {b}"""
 
 def map_tokenizer() -> str:
     return f"SELECT doc_id, CAST(len(regexp_extract_all(text, {RE})) AS BIGINT) AS n_tokens FROM documents"
+
+
+# ---------------------------------------------------------------- metrics
+
+def shifted_accuracy() -> str:
+    from .catalog import PRED_VOCAB
+    limit = PRED_VOCAB + len(_TK.SPECIALS)
+    return f"""
+WITH {_doc_ids_sql()},
+p AS (SELECT ids, list_transform(ids[2:] || [{_TK.EOS_ID}], lambda x: CASE WHEN x < {limit} THEN x ELSE {_TK.UNK_ID} END) AS preds
+      FROM di),
+c AS (SELECT greatest(len(ids) - 1, 0) AS n,
+             len(list_filter(range(1, greatest(len(ids) - 1, 0) + 1), lambda k: preds[k] = ids[k + 1])) AS ok FROM p)
+SELECT CAST(sum(n) AS BIGINT) AS n_compared, CAST(sum(ok) AS BIGINT) AS n_correct,
+       round(sum(ok) / sum(n), 6) AS accuracy FROM c"""
+
+
+def perplexity() -> str:
+    return """
+SELECT event_type, round(avg(value), 9) AS mean_loss, exp(round(avg(value), 9)) AS perplexity
+FROM events GROUP BY event_type"""
+
+
+def capped_counts() -> str:
+    return """
+WITH s AS (SELECT CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5)
+                       THEN 'validation' ELSE 'train' END AS split FROM documents)
+SELECT split, count(*) AS n_rows, least(500, count(*)) AS samples FROM s GROUP BY split"""
+
+
+# ---------------------------------------------------------------- files and streaming
+
+def jsonl_roundtrip() -> str:
+    return f"SELECT * FROM ({build_events()}) UNION ALL SELECT * FROM ({build_classification()})"
+
+
+def tsv_pairs() -> str:
+    t = "regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')"
+    return f"""
+SELECT q.conv_id * 1000 + q.turn AS query_id, d.conv_id * 1000 + d.turn AS doc_id,
+       {t.replace('text', 'q.text')} AS query, {t.replace('text', 'd.text')} AS doc
+FROM conversations q JOIN conversations d ON d.conv_id = q.conv_id AND d.turn = q.turn + 1
+WHERE q.role = 'user' AND d.role = 'assistant'"""
+
+
+def ext_sources() -> str:
+    split = ("CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5) "
+             "THEN 'validation' ELSE 'train' END")
+    return f"""
+WITH s AS (SELECT {split} AS split FROM documents),
+c AS (SELECT split, count(*) AS n_rows FROM s GROUP BY split)
+SELECT 'csv' AS fmt, split, n_rows FROM c
+UNION ALL SELECT 'json', split, n_rows FROM c
+UNION ALL SELECT 'txt', 'train', CAST(sum(len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), {NL}))) AS BIGINT)
+          FROM documents"""
+
+
+def split_by_task() -> str:
+    return f"""
+SELECT task_dataset, count(*) AS n_rows FROM (
+  SELECT task_dataset FROM ({build_ordinal_match()}) UNION ALL SELECT task_dataset FROM ({build_classification()}))
+GROUP BY task_dataset"""
+
+
+def write_predictions() -> str:
+    head, sel = dialogue_history().rsplit("SELECT ", 1)
+    sel = sel.replace("reply AS target", f"{_strip('reply')} AS target")
+    return f"{head}SELECT {sel}"
+
+
+def merge_shards() -> str:
+    return """
+WITH x AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS idx, ceil(count(*) OVER () / 8) AS per
+           FROM documents)
+SELECT doc_id, lang, CAST(floor(idx / per) AS INTEGER) AS shard, CAST(idx - floor(idx / per) * per AS BIGINT) AS shard_row
+FROM x"""
+
+
+def stream_prepare() -> str:
+    return encode_labels()
+
+
+def stream_pack() -> str:
+    b = 128
+    return f"""
+WITH {_doc_ids_sql()},
+o AS (SELECT *, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             (sum(len(ids)) OVER ()) // {b} * {b} AS usable FROM di),
+t AS (SELECT off, usable, unnest(list_transform(ids, lambda x, i: {{'id': x, 'p': off + i - 1}})) AS t FROM o),
+k AS (SELECT t.p AS p, t.id AS id FROM t WHERE t.p < usable)
+SELECT CAST(p // {b} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_ids, array_to_string(list(id ORDER BY p), ' ') AS input_ids
+FROM k GROUP BY p // {b}"""
