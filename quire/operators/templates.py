@@ -63,10 +63,15 @@ def pattern_of(template: str) -> str:
     Written with the common subset of Java and RE2 syntax so the same text
     works in Spark ``rlike`` and DuckDB ``regexp_matches``.
     """
+    ps = pieces(template)
     out = []
-    for k, v in pieces(template):
-        out.append("[^\n]+" if k == "slot" else "".join(
-            c if c.isalnum() or c in " \n" or ord(c) > 127 else "\\" + c for c in v))
+    for j, (k, v) in enumerate(ps):
+        if k == "slot":
+            # For an unanchored search a slot at either end only needs one
+            # character: same matches, no quadratic backtracking on long lines.
+            out.append("[^\n]" if j in (0, len(ps) - 1) else "[^\n]+")
+        else:
+            out.append("".join(c if c.isalnum() or c in " \n" or ord(c) > 127 else "\\" + c for c in v))
     return "".join(out)
 
 
