@@ -24,10 +24,15 @@ def sample_k(df: DataFrame, key: Sequence[str], seed, task: str, k: int | None =
              fraction: float | None = None, n_buckets: int = SAMPLE_BUCKETS) -> DataFrame:
     """SMP1: exactly ``k`` rows (or ``floor(fraction * N)``) with the smallest draws.
 
-    Fails at run time when k > N, as sampling more than the population must.
+    Two statistics passes touch only the key columns (Catalyst prunes the
+    rest of the input plan): a histogram of draw buckets, then the exact cut
+    value inside the one boundary bucket.  The full rows are then produced
+    by a single filtering pass joined to the small cut table: no global
+    sort, no shuffle of the sampled rows.  Fails at run time when k > N.
     """
     if (k is None) == (fraction is None):
         raise ValueError("give exactly one of k or fraction")
+    key = list(key)
     d = (df.withColumn("_su", u(seed, task, key, "sample"))
          .withColumn("_sb", F.floor(F.col("_su") * F.lit(n_buckets)).cast("int")))
     hist = d.groupBy("_sb").agg(F.count(F.lit(1)).alias("_sn"))
@@ -44,12 +49,14 @@ def sample_k(df: DataFrame, key: Sequence[str], seed, task: str, k: int | None =
     cut = (cum.filter(F.col("_sbefore") < F.col("_sk"))
            .select("_sb", (F.col("_sk") - F.col("_sbefore")).alias("_sneed"),
                    (F.col("_sn") <= F.col("_sk") - F.col("_sbefore")).alias("_sfull")))
-    j = d.join(cut, "_sb")
-    full = j.filter(F.col("_sfull"))
-    rank = F.row_number().over(Window.partitionBy("_sb").orderBy("_su", *key))
-    part = (j.filter(~F.col("_sfull")).withColumn("_srn", rank)
-            .filter(F.col("_srn") <= F.col("_sneed")).drop("_srn"))
-    return full.unionByName(part).drop("_su", "_sb", "_sneed", "_sfull")
+    order = F.struct(F.col("_su"), *[F.col(c) for c in key])
+    # exact cut value: the _sneed-th smallest (draw, key) in the boundary bucket (about N / n_buckets rows)
+    edge = (d.select("_sb", order.alias("_so")).join(cut.filter(~F.col("_sfull")), "_sb")
+            .groupBy("_sb").agg(F.element_at(F.array_sort(F.collect_list("_so")),
+                                             F.first("_sneed").cast("int")).alias("_scut")))
+    cuts = cut.join(edge, "_sb", "left").select("_sb", "_sfull", "_scut")
+    keep = F.col("_sfull") | (order <= F.col("_scut"))
+    return d.join(cuts, "_sb").filter(keep).drop("_su", "_sb", "_sfull", "_scut")
 
 
 def random_insert(arr: Column, items: Column, seed, task: str, key: Sequence[str],

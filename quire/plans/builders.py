@@ -50,10 +50,17 @@ SEP = "，"   # list separator inside prompts and answers (fixed value)
 COLON = "："
 
 
+_UNSET = object()
+
+
 def with_absent(df: DataFrame, key: Sequence[str], own: str, n: Column | int, vocab: DataFrame,
-                seed, task: str, name: str, draw: str) -> DataFrame:
-    """JOI4 with a size check: literal-array path for small vocabularies, join path beyond."""
-    labels = small_vocabulary(vocab)
+                seed, task: str, name: str, draw: str, labels=_UNSET) -> DataFrame:
+    """JOI4 with a size check: literal-array path for small vocabularies, join path beyond.
+
+    ``labels`` is the result of ``small_vocabulary(vocab)`` when the caller already has it.
+    """
+    if labels is _UNSET:
+        labels = small_vocabulary(vocab)
     if labels is not None:
         return df.withColumn(name, absent_from_list(F.col(own), labels, n, seed, task, key, draw))
     return absent_by_join(df, key, own, n, vocab, seed, task, name, draw=draw)
@@ -83,15 +90,20 @@ def relation_samples(orders: DataFrame) -> DataFrame:
 
 
 def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_year"), seed=SEED,
-                    spec=RELATIONS, **kw) -> DataFrame:
-    """BLD1: relation triples -> instruction rows with absent-predicate negatives."""
+                    spec=RELATIONS, vocab: DataFrame | None = None, **kw) -> DataFrame:
+    """BLD1: relation triples -> instruction rows with absent-predicate negatives.
+
+    ``vocab`` (column ``label``) defaults to the predicates found in ``samples`` (AGG3).
+    """
     key = list(key)
     p, w = spec.probs, spec.words
-    vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
+    if vocab is None:
+        vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
+    lab = small_vocabulary(vocab)
     d = samples.withColumn("own", F.array_distinct(_ordered_values("triples", "predicate")))
-    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1")
+    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1", lab)
     d = with_absent(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent_n", "absent_n")
+                    seed, spec.name, "absent_n", "absent_n", lab)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = u(seed, spec.name, key, "add_absent") < p["add_absent"]
     choices = (F.when(exists & add, F.concat("own", "absent1")).when(exists, F.col("own"))
@@ -142,11 +154,12 @@ def _entity_lines(choices: Column, ents: str, head: str, line: str) -> Column:
 
 
 def build_entities(samples: DataFrame, key: Sequence[str] = ("user_id", "day"), seed=SEED,
-                   spec=ENTITIES, **kw) -> DataFrame:
+                   spec=ENTITIES, vocab: DataFrame | None = None, **kw) -> DataFrame:
     """BLD2: typed entities -> rows; one absent type inserted before the last, or a 'none' row."""
     key = list(key)
     p, w = spec.probs, spec.words
-    vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
+    if vocab is None:
+        vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
     d = samples.withColumn("own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
     d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
@@ -170,6 +183,20 @@ TAG_LABELS = {  # fixed values: tag -> entity type; O = outside
 }
 
 
+def relation_vocab(orders: DataFrame) -> DataFrame:
+    """Predicate vocabulary straight from the source column (no sample aggregation needed)."""
+    return orders.select(F.col("o_orderpriority").alias("label")).filter(F.col("label").isNotNull())
+
+
+def entity_vocab(events: DataFrame) -> DataFrame:
+    return events.select(map_label(F.col("event_type"), EVENT_LABELS).alias("label")).filter(
+        F.col("label").isNotNull())
+
+
+def part_name_vocab(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_name").alias("label")).filter(F.col("label").isNotNull())
+
+
 def tag_sequences(events: DataFrame) -> DataFrame:
     """Stand-in: one character per event (letter from props.k), tag from the event type."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -260,15 +287,17 @@ def normalization_samples(part: DataFrame) -> DataFrame:
 
 
 def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_size"), seed=SEED,
-                        spec=NORMALIZATION, **kw) -> DataFrame:
+                        spec=NORMALIZATION, vocab: DataFrame | None = None, **kw) -> DataFrame:
     """BLD4: terms; 1-3 absent terms inserted at random positions, or 2-10 absent and 'none'."""
     key = list(key)
     p, w = spec.probs, spec.words
-    vocab = vocabulary(samples, F.col("names"))
+    if vocab is None:
+        vocab = vocabulary(samples, F.col("names"))
+    lab = small_vocabulary(vocab)
     d = with_absent(samples, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
-                    seed, spec.name, "extra", "extra")
+                    seed, spec.name, "extra", "extra", lab)
     d = with_absent(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent", "absent")
+                    seed, spec.name, "absent", "absent", lab)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("names"), F.col("extra"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent")))
@@ -286,10 +315,11 @@ def build_classification(docs: DataFrame, label_col: str = "source", key: Sequen
     p, w = spec.probs, spec.words
     d = docs.filter(F.col(label_col) != w["drop"]).withColumn("own", F.array(F.col(label_col)))
     vocab = d.select(F.col(label_col).alias("label"))
+    lab = small_vocabulary(vocab)
     d = with_absent(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
-                    spec.name, "absent_none", "absent_none")
+                    spec.name, "absent_none", "absent_none", lab)
     d = with_absent(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
-                    spec.name, "absent", "absent")
+                    spec.name, "absent", "absent", lab)
     not_exist = u(seed, spec.name, key, "not_exist") < p["not_exist"]
     choices = F.when(not_exist, F.col("absent_none")).otherwise(F.concat("absent", "own"))
     d = d.withColumn("choices", choices)
@@ -321,8 +351,9 @@ def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: D
     d = region_labels(docs, nation).withColumn("own", F.array("region"))
     vocab = nation.select(F.col("n_name").alias("label"))
     d = d.withColumn("_m", m)
-    d = with_absent(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", "absent")
-    d = with_absent(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", "absent_none")
+    lab = small_vocabulary(vocab)
+    d = with_absent(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", "absent", lab)
+    d = with_absent(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", "absent_none", lab)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("absent"), F.col("own"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent_none")))
@@ -432,11 +463,11 @@ def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFram
     kw = {"fraction": fraction, "seed": seed}
     docs = t["documents"]
     parts = [
-        build_relations(relation_samples(t["orders"]), **kw),
-        build_entities(entity_samples(t["events"]), **kw),
+        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), **kw),
+        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), **kw),
         build_tagged_entities(tag_sequences(t["events"]), **kw),
         build_events(event_samples(t["orders"], t["lineitem"], t["part"]), **kw),
-        build_normalization(normalization_samples(t["part"]), **kw),
+        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), **kw),
         build_classification(docs, **kw),
         build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), **kw),
         build_pair_match(adjacent_pairs(docs), **kw),

@@ -19,11 +19,13 @@ def q_dialogue_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_build_relations(spark, sf):
-    return report(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
+    o = table(spark, sf, "orders")
+    return report(B.build_relations(B.relation_samples(o), vocab=B.relation_vocab(o)))
 
 
 def q_build_entities(spark, sf):
-    return report(B.build_entities(B.entity_samples(table(spark, sf, "events"))))
+    ev = table(spark, sf, "events")
+    return report(B.build_entities(B.entity_samples(ev), vocab=B.entity_vocab(ev)))
 
 
 def q_build_tagged_entities(spark, sf):
@@ -48,7 +50,8 @@ def q_build_events(spark, sf):
 
 
 def q_build_normalization(spark, sf):
-    return report(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
+    p = table(spark, sf, "part")
+    return report(B.build_normalization(B.normalization_samples(p), vocab=B.part_name_vocab(p)))
 
 
 def q_build_classification(spark, sf):
@@ -631,3 +634,15 @@ QUERIES.update({
 ORACLES.update({name: getattr(O, name) for name in (
     "jsonl_roundtrip", "tsv_pairs", "ext_sources", "split_by_task", "write_predictions", "merge_shards",
     "stream_prepare", "stream_pack")})
+
+
+def q_tag_length_check(spark, sf):
+    from ..operators.tags import decode_tags, length_mismatches
+    d = decode_tags(B.tag_sequences(table(spark, sf, "events")), ["user_id", "day"], ["ts", "event_id"],
+                    B.TAG_LABELS)
+    return length_mismatches(d, "sentence", "n_tags").select("user_id", F.col("day").cast("string").alias("day"),
+                                                            "n_tags")
+
+
+QUERIES["tag_length_check"] = q_tag_length_check
+ORACLES["tag_length_check"] = O.tag_length_check

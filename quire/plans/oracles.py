@@ -989,3 +989,9 @@ t AS (SELECT off, usable, unnest(list_transform(ids, lambda x, i: {{'id': x, 'p'
 k AS (SELECT t.p AS p, t.id AS id FROM t WHERE t.p < usable)
 SELECT CAST(p // {b} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_ids, array_to_string(list(id ORDER BY p), ' ') AS input_ids
 FROM k GROUP BY p // {b}"""
+
+
+def tag_length_check() -> str:
+    return f"""
+WITH {decode_tags_sql()}
+SELECT user_id, CAST(day AS VARCHAR) AS day, n_tags FROM dec WHERE length(sentence) <> n_tags"""

@@ -150,3 +150,18 @@ def test_metrics(spark):
     big = perplexity(spark.createDataFrame([(800.0,)], "loss double"), "loss").first()
     assert big.perplexity == float("inf")
     assert capped_counts(spark.range(10), 4).first().samples == 4
+
+
+def test_read_splits_and_submission(spark, tmpdir_fresh):
+    for split in ("train", "validation"):
+        with open(os.path.join(tmpdir_fresh, f"{split}.json"), "w") as f:
+            f.write(json.dumps({"input": "q", "target": "a", "answer_choices": None, "task_type": "t",
+                                "task_dataset": "d", "sample_id": split}) + "\n")
+    df = R.read_splits(spark, tmpdir_fresh)
+    assert sorted((r.split, r.sample_id) for r in df.collect()) == [("train", "train"), ("validation", "validation")]
+    with pytest.raises(FileNotFoundError):
+        R.read_splits(spark, os.path.join(tmpdir_fresh, "missing"))
+    parsed = {"label": spark.createDataFrame([("s1", "yes", "pair_match")], "sample_id string, label string, task_dataset string")}
+    counts = {r.task_dataset: r.n_answers for r in W.write_submission(parsed, ["pair_match", "report"],
+                                                                     os.path.join(tmpdir_fresh, "sub")).collect()}
+    assert counts == {"pair_match": 1, "report": 0}
