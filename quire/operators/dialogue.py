@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import keyed_lag, keyed_running_sum
+
 
 def validate_domain(df: DataFrame, col: str, allowed: Sequence[str], what: str | None = None) -> DataFrame:
     """FLT6: fail the job on a value outside ``allowed`` (checked row by row, no extra pass)."""
@@ -22,8 +24,18 @@ def validate_domain(df: DataFrame, col: str, allowed: Sequence[str], what: str |
 
 
 def require_first_role(turns: DataFrame, role: str, conv: str = "conv_id", order="turn",
-                       role_col: str = "role") -> DataFrame:
-    """FLT3: keep conversations whose first turn is spoken by ``role``."""
+                       role_col: str = "role", split_keys: bool = False) -> DataFrame:
+    """FLT3: keep conversations whose first turn is spoken by ``role``.
+
+    ``split_keys``: find first speakers with a partial aggregate (map-side
+    combine) and a semi join instead of a per-conversation window, so a huge
+    conversation does not land in one task.
+    """
+    if split_keys:
+        cols = _order(order)
+        firsts = (turns.groupBy(conv).agg(F.min_by(role_col, F.struct(*cols)).alias("_fr"))
+                  .filter(F.col("_fr") == role).select(conv))
+        return turns.join(firsts, conv, "left_semi")
     w = Window.partitionBy(conv).orderBy(*_order(order))
     return (turns.withColumn("_first_role", F.first(role_col).over(w))
             .filter(F.col("_first_role") == role).drop("_first_role"))
@@ -34,8 +46,19 @@ def _order(order) -> list[str]:
 
 
 def run_ids(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str = "role",
-            name: str = "run") -> DataFrame:
-    """Number maximal runs of one speaker: 1, 2, ... within each conversation."""
+            name: str = "run", bucket: Column | None = None) -> DataFrame:
+    """Number maximal runs of one speaker: 1, 2, ... within each conversation.
+
+    With ``bucket`` (non-decreasing in the order, e.g. ``floor(turn / 1024)``) the
+    scan is split into (conversation, bucket) pieces, so one huge conversation
+    is spread over many tasks (see ``scan.py``); the numbering is the same.
+    """
+    if bucket is not None:
+        cols = _order(order)
+        d = keyed_lag(turns, [conv], cols, bucket, role_col, "_prev")
+        d = d.withColumn("_flag", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(role_col)), 1)
+                         .otherwise(0))
+        return keyed_running_sum(d, [conv], cols, F.col("_kb"), "_flag", name).drop("_prev", "_flag", "_kb")
     w = Window.partitionBy(conv).orderBy(*_order(order))
     prev = F.lag(role_col).over(w)
     flag = F.when(prev.isNull() | (prev != F.col(role_col)), 1).otherwise(0)
@@ -45,10 +68,10 @@ def run_ids(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str
 
 
 def merge_turns(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str = "role",
-                text: str = "text", sep: str = "\n") -> DataFrame:
+                text: str = "text", sep: str = "\n", bucket: Column | None = None) -> DataFrame:
     """WIN1: one row per run of one speaker, texts joined by ``sep`` in turn order."""
     cols = _order(order)
-    r = run_ids(turns, conv, cols, role_col)
+    r = run_ids(turns, conv, cols, role_col, bucket=bucket)
     ordered = F.array_sort(F.collect_list(F.struct(*cols, F.col(text).alias("_t"))))
     return (r.groupBy(conv, "run")
             .agg(F.min_by(role_col, F.struct(*cols)).alias(role_col),
@@ -81,9 +104,9 @@ def history_rows(pairs: DataFrame, first_marker: str, reply_marker: str, conv: s
 
 
 def turn_histogram(turns: DataFrame, roles: Sequence[str], conv: str = "conv_id", order="turn",
-                   role_col: str = "role") -> DataFrame:
+                   role_col: str = "role", bucket: Column | None = None) -> DataFrame:
     """AGG10: how many conversations have n runs of each speaker (runs merged; zero counts kept)."""
-    runs = run_ids(turns, conv, order, role_col)
+    runs = run_ids(turns, conv, order, role_col, bucket=bucket)
     starts = runs.groupBy(conv, "run").agg(F.min(role_col).alias(role_col))
     per = starts.groupBy(conv).agg(*[F.count_if(F.col(role_col) == r).alias(f"_n{i}")
                                     for i, r in enumerate(roles)])

@@ -11,26 +11,41 @@ source behaviour:
   their text is seen for that type; the entity closed by the end of the
   sequence is always kept (``dedupe_tail=True`` dedupes it as well).
 
-All windows partition by the sample key, so the chain needs one shuffle.
+By default the windows partition by the sample key (one shuffle for the chain);
+with ``bucket`` the ordered scans are split so a huge sample spreads over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .choices import map_label
+from .scan import keyed_lag, keyed_running_sum
 
 
 def tag_types(tags: DataFrame, key: Sequence[str], order: Sequence[str], mapping: Mapping[str, str],
-              outside: str = "O") -> DataFrame:
-    """Position, entity type (null outside) and island id per tag row; unknown tags fail the job."""
+              outside: str = "O", bucket: Column | None = None) -> DataFrame:
+    """Position, entity type (null outside) and island id per tag row; unknown tags fail the job.
+
+    With ``bucket`` the scans are split per (sample, bucket) (see ``scan.py``).
+    """
     w = Window.partitionBy(*key).orderBy(*order)
     bad = F.raise_error(F.concat(F.lit("unknown tag: "), F.coalesce(F.col("tag"), F.lit("NULL"))))
     typ = F.when(F.col("tag") == outside, F.lit(None).cast("string")).otherwise(
         F.coalesce(map_label(F.col("tag"), mapping), bad))
+    if bucket is not None:
+        key, order = list(key), list(order)
+        t = tags.withColumn("_type", typ).withColumn("_one", F.lit(1))
+        t = keyed_running_sum(t, key, order, bucket, "_one", "_pos", total="_last")
+        t = keyed_lag(t, key, order, F.col("_kb"), "_type", "_prev")
+        start = F.col("_type").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("_type")))
+        t = t.withColumn("_st", start.cast("int"))
+        t = keyed_running_sum(t, key, order, F.col("_kb"), "_st", "_island")
+        return (t.withColumn("_pos", F.col("_pos").cast("int")).withColumn("_last", F.col("_last").cast("long"))
+                .drop("_one", "_prev", "_st", "_kb"))
     t = (tags.withColumn("_pos", F.row_number().over(w)).withColumn("_type", typ)
          .withColumn("_last", F.count(F.lit(1)).over(Window.partitionBy(*key))))
     prev = F.lag("_type").over(w)
@@ -39,10 +54,10 @@ def tag_types(tags: DataFrame, key: Sequence[str], order: Sequence[str], mapping
 
 
 def decode_tags(tags: DataFrame, key: Sequence[str], order: Sequence[str], mapping: Mapping[str, str],
-                outside: str = "O", dedupe_tail: bool = False) -> DataFrame:
+                outside: str = "O", dedupe_tail: bool = False, bucket: Column | None = None) -> DataFrame:
     """One row per sample: ``sentence``, ``n_tags`` and ``ents`` = array<struct<pos, type, entity>>."""
     key = list(key)
-    t = tag_types(tags, key, order, mapping, outside)
+    t = tag_types(tags, key, order, mapping, outside, bucket)
     chars = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", c))),
                                                lambda s: s[c]), "")
     sentences = t.groupBy(*key).agg(chars("ch").alias("sentence"), F.count(F.lit(1)).alias("n_tags"))

@@ -17,12 +17,19 @@ from .common import finish
 from .tasks import DIALOGUE, SEED
 
 
+TURN_BUCKET = 1024  # turns per scan bucket inside one conversation
+
+
 def dialogue_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns -> (conv_id, i, prompt, reply): system turns dropped, user-first only, runs merged."""
+    """Turns -> (conv_id, i, prompt, reply): system turns dropped, user-first only, runs merged.
+
+    Run detection is a bucketed scan, so a very long conversation is split over tasks.
+    """
     t = conversations.select("conv_id", "turn", "role", "text").filter(F.col("role") != "system")
     t = validate_domain(t, "role", ["user", "assistant"], "role")
-    t = require_first_role(t, "user")
-    return pair_turns(merge_turns(t), "user", "assistant")
+    t = require_first_role(t, "user", split_keys=True)
+    bucket = F.floor(F.col("turn") / TURN_BUCKET)
+    return pair_turns(merge_turns(t, bucket=bucket), "user", "assistant")
 
 
 def build_dialogue(conversations: DataFrame, seed=SEED, spec=DIALOGUE, **kw) -> DataFrame:
@@ -212,7 +219,7 @@ def build_tagged_entities(tags: DataFrame, key: Sequence[str] = ("user_id", "day
     """BLD2b: tag sequences -> decoded entities -> rows; all-types-present rows never get 'none'."""
     key = list(key)
     p, w = spec.probs, spec.words
-    ents = decode_tags(tags, key, list(order), TAG_LABELS)
+    ents = decode_tags(tags, key, list(order), TAG_LABELS, bucket=F.date_trunc("hour", order[0]))
     n_types = len(TAG_TYPES)
     types = F.array(*[F.lit(t) for t in TAG_TYPES])
     d = ents.withColumn("own", F.filter(types, lambda t: F.exists("ents", lambda x: x["type"] == t)))

@@ -37,7 +37,7 @@ def q_decode_tags(spark, sf):
 
     from ..operators.tags import decode_tags
     d = decode_tags(B.tag_sequences(table(spark, sf, "events")), ["user_id", "day"], ["ts", "event_id"],
-                    B.TAG_LABELS)
+                    B.TAG_LABELS, bucket=F.date_trunc("hour", "ts"))
     return d.select("user_id", F.col("day").cast("string").alias("day"), "sentence", "n_tags",
                     F.explode("ents").alias("e")).select(
         "user_id", "day", "sentence", "n_tags", F.col("e.pos").cast("long").alias("pos"),
@@ -158,7 +158,7 @@ def q_assign_batch(spark, sf):
 
 def q_merge_runs(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "props")
-    runs = merge_turns(ev, "user_id", ["ts", "event_id"], "event_type", "props")
+    runs = merge_turns(ev, "user_id", ["ts", "event_id"], "event_type", "props", bucket=F.date_trunc("hour", "ts"))
     return runs.select("user_id", F.col("run").cast("long").alias("run"), "event_type",
                        F.col("first_event_id").alias("first_event_id"), "n_turns",
                        F.col("props").alias("text"))
@@ -166,7 +166,7 @@ def q_merge_runs(spark, sf):
 
 def q_turn_histogram(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return turn_histogram(c, ["user", "assistant", "system"])
+    return turn_histogram(c, ["user", "assistant", "system"], bucket=F.floor(F.col("turn") / B.TURN_BUCKET))
 
 
 def q_marker_histogram(spark, sf):
@@ -639,7 +639,7 @@ ORACLES.update({name: getattr(O, name) for name in (
 def q_tag_length_check(spark, sf):
     from ..operators.tags import decode_tags, length_mismatches
     d = decode_tags(B.tag_sequences(table(spark, sf, "events")), ["user_id", "day"], ["ts", "event_id"],
-                    B.TAG_LABELS)
+                    B.TAG_LABELS, bucket=F.date_trunc("hour", "ts"))
     return length_mismatches(d, "sentence", "n_tags").select("user_id", F.col("day").cast("string").alias("day"),
                                                             "n_tags")
 

@@ -74,3 +74,32 @@ def test_absent_choices_both_paths(spark, n):
     vocab = spark.createDataFrame([(v,) for v in VOCAB], "label string")
     big = absent_by_join(df, ["k"], "own", n, vocab, 1, "t", "a").collect()
     _check_absent([(r.k, r.a) for r in big], own_of, n)
+
+
+def _random_turns(spark, n_conv=6, n_turn=40, seed=3):
+    import random
+    rnd = random.Random(seed)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), f"t{c}-{t}") for c in range(n_conv) for t in range(n_turn)]
+    return spark.createDataFrame(rows, TURNS)
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_bucketed_runs_equal_plain(spark, width):
+    from quire.operators.dialogue import run_ids
+    df = _random_turns(spark)
+    plain = sorted(tuple(r) for r in run_ids(df).collect())
+    split = sorted(tuple(r) for r in run_ids(df, bucket=F.floor(F.col("turn") / width)).collect())
+    assert plain == split
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_bucketed_tags_equal_plain(spark, width):
+    import random
+    rnd = random.Random(7)
+    tags = ["O", "B-s", "I-s", "B-d", "I-d"]
+    rows = [(k, i, chr(97 + rnd.randrange(3)), rnd.choice(tags)) for k in range(5) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, pos int, ch string, tag string")
+    a = sorted((r.k, r.sentence, str(r.ents)) for r in decode_tags(df, ["k"], ["pos"], TAGS).collect())
+    b = sorted((r.k, r.sentence, str(r.ents)) for r in
+               decode_tags(df, ["k"], ["pos"], TAGS, bucket=F.floor(F.col("pos") / width)).collect())
+    assert a == b
