@@ -646,3 +646,50 @@ def q_tag_length_check(spark, sf):
 
 QUERIES["tag_length_check"] = q_tag_length_check
 ORACLES["tag_length_check"] = O.tag_length_check
+
+
+CONVS_PER_DOC = 16  # conversations per whole-document fixture file
+
+
+def q_json_shapes(spark, sf):
+    """SRC2-SRC4 over the real table: one small whole-JSON document per group of conversations
+    (files written and parsed in parallel), read back with each whole-document reader."""
+    from pyspark.sql import types as T
+    c = table(spark, sf, "conversations").withColumn("g", F.floor(F.col("conv_id") / CONVS_PER_DOC))
+    base = W.scratch_path(spark, "shapes")
+    turn = F.struct(F.col("turn"), F.col("role").alias("id"), F.col("text").alias("Sentence"))
+    per_conv = c.groupBy("g", "conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    # SRC4: array of conversations, each an array of {id, Sentence}
+    arr2 = per_conv.groupBy("g").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turns"))),
+                                                           lambda s: F.transform(s["turns"], lambda t: F.struct(
+                                                               t["id"].alias("id"), t["Sentence"].alias("Sentence"))))
+                                               ).alias("value"))
+    arr2.write.partitionBy("g").text(f"{base}/arrays")
+    # SRC2: array of row objects
+    arr = c.groupBy("g").agg(F.to_json(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text")))).alias("value"))
+    arr.write.partitionBy("g").text(f"{base}/rows")
+    # SRC3: object keyed by conversation id
+    keyed = per_conv.groupBy("g").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        F.col("conv_id").cast("string"), F.struct(F.transform("turns", lambda t: F.struct(
+            t["id"].alias("id"), t["Sentence"].alias("Sentence"))).alias("dialogue")))))).alias("value"))
+    keyed.write.partitionBy("g").text(f"{base}/keyed")
+
+    g_of = F.regexp_extract(F.input_file_name(), r"g=(\d+)", 1).cast("long")
+    a = (R.read_conversations(spark, f"{base}/arrays/*/*.txt")
+         .select(F.lit("arrays").alias("shape"), F.regexp_extract("file", r"g=(\d+)", 1).cast("long").alias("g"),
+                 F.col("conv").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
+                 F.col("id").alias("role"), F.col("Sentence").alias("text")))
+    row_schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+                               T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    b = (R.read_json_array(spark, f"{base}/rows/*/*.txt", row_schema)
+         .select(F.lit("rows").alias("shape"), g_of.alias("g"), F.col("conv_id").alias("conv"), "turn", "role", "text"))
+    dialogue = T.StructType([T.StructField("dialogue", T.ArrayType(R.DIALOGUE_TURN))])
+    k = (R.read_keyed_json(spark, f"{base}/keyed/*/*.txt", dialogue, "dialogue")
+         .select(F.lit("keyed").alias("shape"), F.floor(F.col("key").cast("long") / CONVS_PER_DOC).alias("g"),
+                 F.col("key").cast("long").alias("conv"), F.col("pos").cast("long").alias("turn"),
+                 F.col("item.id").alias("role"), F.col("item.Sentence").alias("text")))
+    return a.unionByName(b).unionByName(k)
+
+
+QUERIES["json_shapes"] = q_json_shapes
+ORACLES["json_shapes"] = O.json_shapes

@@ -995,3 +995,15 @@ def tag_length_check() -> str:
     return f"""
 WITH {decode_tags_sql()}
 SELECT user_id, CAST(day AS VARCHAR) AS day, n_tags FROM dec WHERE length(sentence) <> n_tags"""
+
+
+def json_shapes() -> str:
+    from .catalog import CONVS_PER_DOC
+    g = f"CAST(floor(conv_id / {CONVS_PER_DOC}) AS BIGINT)"
+    return f"""
+WITH c AS (SELECT *, {g} AS g FROM conversations),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY conv_id) - 1 AS conv_no,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM c)
+SELECT 'arrays' AS shape, g, CAST(conv_no AS BIGINT) AS conv, CAST(turn_no AS BIGINT) AS turn, role, text FROM n
+UNION ALL SELECT 'rows', g, conv_id, turn, role, text FROM n
+UNION ALL SELECT 'keyed', g, conv_id, CAST(turn_no AS BIGINT), role, text FROM n"""

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 
-SKIP = {"stream_prepare", "stream_pack", "jsonl_roundtrip", "tsv_pairs", "ext_sources", "split_by_task",
+SKIP = {"stream_prepare", "stream_pack", "jsonl_roundtrip", "json_shapes", "tsv_pairs", "ext_sources", "split_by_task",
         "write_predictions", "merge_shards", "file_manifest"}
 
 
