@@ -51,13 +51,18 @@ def strip_quotes(col) -> Column:
 
 
 def replace_first_n(col, old: str, new: str, n: int = 100) -> Column:
-    """Replace the first ``n`` occurrences of ``old`` (``str.replace(old, new, n)``)."""
+    """Replace the first ``n`` occurrences of ``old`` (``str.replace(old, new, n)``).
+
+    The common case (at most ``n`` occurrences) is one ``replace``; the split
+    path only runs for rows with more occurrences (``CASE`` is lazy).
+    """
     c = _c(col)
+    occurrences = (F.length(c) - F.length(F.replace(c, F.lit(old), F.lit("")))) / len(old)
     parts = split_keep(c, old)
     head = F.array_join(F.slice(parts, 1, n + 1), new)
     tail = F.array_join(F.slice(parts, n + 2, F.greatest(F.size(parts), F.lit(1))), old)
     many = F.concat(head, F.lit(old), tail)
-    return F.when(F.size(parts) <= n + 1, F.replace(c, F.lit(old), F.lit(new))).otherwise(many)
+    return F.when(occurrences <= n, F.replace(c, F.lit(old), F.lit(new))).otherwise(many)
 
 
 def fold_punctuation(col) -> Column:

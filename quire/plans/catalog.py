@@ -286,7 +286,7 @@ def _label_predictions(spark, sf):
 
 
 def q_parse_labels(spark, sf):
-    parsed = P.parse_answers(_label_predictions(spark, sf))
+    parsed = P.parse_answers(_label_predictions(spark, sf), families=("pair_label", "label"))
     return parsed["pair_label"].unionByName(parsed["label"])
 
 
