@@ -24,19 +24,20 @@ def _as_col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def draw_text(seed, task: str, key: Sequence, draw) -> Column:
-    parts = [F.lit(str(seed)), F.lit(task)]
+def draw_text(seed, task, key: Sequence, draw) -> Column:
+    """``task`` is a literal name or a Column holding it (grouped draws)."""
+    parts = [F.lit(str(seed)), task if isinstance(task, Column) else F.lit(task)]
     parts += [_as_col(k).cast("string") for k in key]
     parts.append(draw.cast("string") if isinstance(draw, Column) else F.lit(str(draw)))
     return F.concat_ws("|", *parts)
 
 
-def draw_hash(seed, task: str, key: Sequence, draw) -> Column:
+def draw_hash(seed, task, key: Sequence, draw) -> Column:
     """md5 hex of the draw text; its string order equals its numeric order."""
     return F.md5(draw_text(seed, task, key, draw))
 
 
-def u(seed, task: str, key: Sequence, draw) -> Column:
+def u(seed, task, key: Sequence, draw) -> Column:
     h = draw_hash(seed, task, key, draw)
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / F.lit(TWO_52)
 

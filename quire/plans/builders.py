@@ -461,31 +461,46 @@ def base_rows(conversations: DataFrame) -> DataFrame:
 MIX_FRACTION = 0.8
 
 
-def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFrame:
+def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED, materialize: bool = True) -> DataFrame:
     """BLD9 / SET1: every task builder, each sampled to ``fraction`` (SMP1), plus the base rows.
 
-    ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.
+    ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.  All
+    tasks are sampled together by ``sample_k_by`` on ``task_dataset``, with the
+    same per-task draws as sampling each builder on its own.
+
+    ``materialize`` writes the candidate rows once as parquet under the shared
+    checkpoint folder: lineage is cut (a lost executor does not rerun the
+    builders), the sampling statistics read only two columns, and the
+    builders run once instead of once per statistics pass.
     """
+    from ..operators.sampling import sample_k_by
     t = tables
-    kw = {"fraction": fraction, "seed": seed}
     docs = t["documents"]
+    classification = build_classification(docs, seed=seed)
     parts = [
-        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), **kw),
-        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), **kw),
-        build_tagged_entities(tag_sequences(t["events"]), **kw),
-        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), **kw),
-        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), **kw),
-        build_classification(docs, **kw),
-        build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), **kw),
-        build_pair_match(adjacent_pairs(docs), **kw),
-        build_ordinal_match(t["orders"], **kw),
-        build_relevance(*reply_links(t["conversations"]), **kw),
-        build_dialogue(t["conversations"], **kw),
+        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), seed=seed),
+        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), seed=seed),
+        build_tagged_entities(tag_sequences(t["events"]), seed=seed),
+        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), seed=seed),
+        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), seed=seed),
+        classification,
+        build_classification_sized(docs, t["nation"], classification, seed=seed),
+        build_pair_match(adjacent_pairs(docs), seed=seed),
+        build_ordinal_match(t["orders"], seed=seed),
+        build_relevance(*reply_links(t["conversations"]), seed=seed),
+        build_dialogue(t["conversations"], seed=seed),
     ]
-    out = base_rows(t["conversations"])  # SNK9: base rows carried through unchanged
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    built = parts[0]
+    for p in parts[1:]:
+        built = built.unionByName(p)
+    if materialize:
+        from ..sinks.writers import scratch_path
+        spark = built.sparkSession
+        path = scratch_path(spark, "mixture-candidates")
+        built.write.parquet(path)
+        built = spark.read.parquet(path)
+    sampled = sample_k_by(built, "task_dataset", ["sample_id"], seed, fraction)
+    return base_rows(t["conversations"]).unionByName(sampled)  # SNK9: base rows carried through unchanged
 
 
 # ---------------------------------------------------------------- prediction stand-ins for the parsers
