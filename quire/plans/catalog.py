@@ -535,24 +535,22 @@ def q_tsv_pairs(spark, sf):
 
 
 def q_ext_sources(spark, sf):
+    """SRC6 / SRC7: csv, json and txt copies of the documents read back by file extension.
+
+    Paths are Spark globs, so this works on any file system the cluster uses."""
     docs = _docs(spark, sf).select("doc_id", "lang", "source")
     base = W.scratch_path(spark, "ext")
-    docs.coalesce(1).write.option("header", True).csv(f"{base}/csv")
+    docs.write.option("header", True).csv(f"{base}/csv")
     docs.write.json(f"{base}/json")
     _docs(spark, sf).select("text").write.text(f"{base}/txt")
-    import glob
-    csv_file = glob.glob(f"{base}/csv/*.csv")[0]
-    json_files = sorted(glob.glob(f"{base}/json/*.json"))
-    txt_files = sorted(glob.glob(f"{base}/txt/*.txt"))
-    schema = "doc_id bigint, lang string, source string"
+    schema = spark.createDataFrame([], "doc_id bigint, lang string, source string").schema
     out = []
-    for fmt, path in (("csv", csv_file), ("json", json_files[0] if len(json_files) == 1 else f"{base}/json/*.json")):
-        d = R.read_by_extension(spark, train=path, schema=spark.createDataFrame([], schema).schema) \
-            if path.endswith((".csv", ".json")) else R.read_jsonl(spark, path, spark.createDataFrame([], schema).schema).withColumn("split", F.lit("train"))
+    for fmt in ("csv", "json"):
+        d = R.read_by_extension(spark, train=f"{base}/{fmt}/*.{fmt}", schema=schema)
         d = ORD.head_split(d.drop("split"), 5, ["doc_id"])
         out.append(d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fmt", F.lit(fmt)))
-    t = R.read_text(spark, txt_files if len(txt_files) > 1 else txt_files[0], keep_linebreaks=True)
-    out.append(t.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("split", F.lit("train")).withColumn("fmt", F.lit("txt")))
+    t = R.read_by_extension(spark, train=f"{base}/txt/*.txt", keep_linebreaks=True)
+    out.append(t.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fmt", F.lit("txt")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

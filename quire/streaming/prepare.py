@@ -31,14 +31,15 @@ def run_available_now(stream: DataFrame, per_batch: Callable[[DataFrame, int], D
 
 def stream_file_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over a directory; a single file is read as its folder filtered to that name."""
-    import os
+    """File stream over a directory; a path naming one ``.<fmt>`` file is read as its folder
+    filtered to that name (string rule, so it works on any file system)."""
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
-        r = r.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    head, _, name = path.rstrip("/").rpartition("/")
+    if name.endswith(f".{fmt}") and head:
+        r = r.option("pathGlobFilter", name)
+        path = head
     return r.load(path)
 
 
