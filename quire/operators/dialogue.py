@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import keyed_lag, keyed_running_sum
+from .scan import keyed_runs
 
 
 def validate_domain(df: DataFrame, col: str, allowed: Sequence[str], what: str | None = None) -> DataFrame:
@@ -54,11 +54,7 @@ def run_ids(turns: DataFrame, conv: str = "conv_id", order="turn", role_col: str
     is spread over many tasks (see ``scan.py``); the numbering is the same.
     """
     if bucket is not None:
-        cols = _order(order)
-        d = keyed_lag(turns, [conv], cols, bucket, role_col, "_prev")
-        d = d.withColumn("_flag", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(role_col)), 1)
-                         .otherwise(0))
-        return keyed_running_sum(d, [conv], cols, F.col("_kb"), "_flag", name).drop("_prev", "_flag", "_kb")
+        return keyed_runs(turns, [conv], _order(order), bucket, role_col, name)
     w = Window.partitionBy(conv).orderBy(*_order(order))
     prev = F.lag(role_col).over(w)
     flag = F.when(prev.isNull() | (prev != F.col(role_col)), 1).otherwise(0)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .choices import map_label
-from .scan import keyed_lag, keyed_running_sum
+from .scan import keyed_runs
 
 
 def tag_types(tags: DataFrame, key: Sequence[str], order: Sequence[str], mapping: Mapping[str, str],
@@ -38,14 +38,9 @@ def tag_types(tags: DataFrame, key: Sequence[str], order: Sequence[str], mapping
         F.coalesce(map_label(F.col("tag"), mapping), bad))
     if bucket is not None:
         key, order = list(key), list(order)
-        t = tags.withColumn("_type", typ).withColumn("_one", F.lit(1))
-        t = keyed_running_sum(t, key, order, bucket, "_one", "_pos", total="_last")
-        t = keyed_lag(t, key, order, F.col("_kb"), "_type", "_prev")
-        start = F.col("_type").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("_type")))
-        t = t.withColumn("_st", start.cast("int"))
-        t = keyed_running_sum(t, key, order, F.col("_kb"), "_st", "_island")
-        return (t.withColumn("_pos", F.col("_pos").cast("int")).withColumn("_last", F.col("_last").cast("long"))
-                .drop("_one", "_prev", "_st", "_kb"))
+        t = keyed_runs(tags.withColumn("_type", typ), key, order, bucket, "_type", "_island",
+                       pos="_pos", total="_last")
+        return t.withColumn("_pos", F.col("_pos").cast("int")).withColumn("_last", F.col("_last").cast("long"))
     t = (tags.withColumn("_pos", F.row_number().over(w)).withColumn("_type", typ)
          .withColumn("_last", F.count(F.lit(1)).over(Window.partitionBy(*key))))
     prev = F.lag("_type").over(w)
