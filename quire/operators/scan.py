@@ -1,10 +1,10 @@
 """Ordered scans within a key that stay balanced when one key is huge.
 
 A window ``PARTITION BY key ORDER BY ...`` puts a whole key in one task.
-These helpers cut each key into order-preserving sub-buckets (``bucket`` is
-a non-decreasing function of the order, e.g. ``floor(turn / 4096)`` or the
-hour of a timestamp), run the window inside each (key, bucket), and carry
-state across buckets through a small per-bucket table (a few rows per
+``keyed_runs`` cuts each key into order-preserving sub-buckets (``bucket``
+is a non-decreasing function of the order, e.g. ``floor(turn / 1024)`` or
+the hour of a timestamp), runs the window inside each (key, bucket), and
+carries state across buckets through a small per-bucket table (one row per
 bucket, windowed per key).  The result equals the single-window result.
 """
 
@@ -16,44 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _w(key, bucket_col, order):
-    return Window.partitionBy(*key, bucket_col).orderBy(*order)
-
-
-def keyed_lag(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, col: str,
-              name: str, bucket_col: str = "_kb") -> DataFrame:
-    """``name`` = ``col`` of the previous row in ``order`` within ``key`` (null for the first)."""
-    key, order = list(key), list(order)
-    d = df.withColumn(bucket_col, bucket) if bucket_col not in df.columns else df
-    local = F.lag(col).over(_w(key, bucket_col, order))
-    d = d.withColumn("_klag", local).withColumn("_kfirst", F.row_number().over(_w(key, bucket_col, order)) == 1)
-    last = d.groupBy(*key, bucket_col).agg(F.max_by(col, F.struct(*order)).alias("_klast"))
-    wb = Window.partitionBy(*key).orderBy(bucket_col)
-    carry = last.select(*key, bucket_col, F.lag("_klast").over(wb).alias("_kcarry"))
-    return (d.join(carry, [*key, bucket_col])
-            .withColumn(name, F.when(F.col("_kfirst"), F.col("_kcarry")).otherwise(F.col("_klag")))
-            .drop("_klag", "_kfirst", "_kcarry"))
-
-
-def keyed_running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, col: str,
-                      name: str, bucket_col: str = "_kb", total: str | None = None) -> DataFrame:
-    """``name`` = inclusive running sum of ``col`` in ``order`` within ``key``; ``total`` = key sum."""
-    key, order = list(key), list(order)
-    d = df.withColumn(bucket_col, bucket) if bucket_col not in df.columns else df
-    local = F.sum(col).over(_w(key, bucket_col, order).rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_ksum", local)
-    sums = d.groupBy(*key, bucket_col).agg(F.sum(col).alias("_kbs"))
-    wb = Window.partitionBy(*key).orderBy(bucket_col)
-    cols = [*key, bucket_col,
-            F.coalesce(F.sum("_kbs").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_koff")]
-    if total:
-        cols.append(F.sum("_kbs").over(Window.partitionBy(*key)).alias(total))
-    offs = sums.select(*cols)
-    return (d.join(offs, [*key, bucket_col])
-            .withColumn(name, (F.col("_koff") + F.col("_ksum")).cast("long"))
-            .drop("_ksum", "_koff"))
-
-
 def keyed_runs(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, col: str,
                name: str, pos: str | None = None, total: str | None = None) -> DataFrame:
     """Run / island numbering in one bucketed pass.
