@@ -37,8 +37,9 @@ def vocabulary_first_seen(df: DataFrame, col: str, order: str, name: str = "labe
             .orderBy("first_seen"))
 
 
-def small_vocabulary(vocab: DataFrame, col: str = "label", limit: int = SMALL_VOCAB) -> list[str] | None:
+def small_vocabulary(vocab: DataFrame, col: str = "label", limit: int | None = None) -> list[str] | None:
     """The sorted vocabulary as a Python list when it has at most ``limit`` labels, else None."""
+    limit = SMALL_VOCAB if limit is None else limit
     rows = vocab.select(col).distinct().orderBy(col).limit(limit + 1).collect()
     if len(rows) > limit:
         return None

@@ -103,3 +103,28 @@ def test_bucketed_tags_equal_plain(spark, width):
     b = sorted((r.k, r.sentence, str(r.ents)) for r in
                decode_tags(df, ["k"], ["pos"], TAGS, bucket=F.floor(F.col("pos") / width)).collect())
     assert a == b
+
+
+def test_builder_uses_join_path_beyond_small_vocabulary(spark, monkeypatch):
+    """Force the large-vocabulary path inside a real builder; choices stay valid."""
+    from conftest import SMALL
+    from quire.operators import choices as CH
+    from quire.plans import builders as B
+    from quire.plans.tasks import NORMALIZATION
+    from quire.session import table
+    monkeypatch.setattr(CH, "SMALL_VOCAB", 2)
+    part = table(spark, SMALL, "part")
+    names = {r.p_name for r in part.select("p_name").distinct().collect()}
+    samples = {(r.p_brand, r.p_size): r.names for r in B.normalization_samples(part).collect()}
+    rows = B.build_normalization(B.normalization_samples(part), vocab=B.part_name_vocab(part)).collect()
+    assert len(rows) == len(samples)
+    for r in rows:
+        brand, size = r.sample_id.split("-", 1)[1].rsplit("-", 1)
+        own = samples[(brand, int(size))]
+        ch = r.answer_choices
+        assert len(set(ch)) == len(ch) and set(ch) <= names
+        if r.target == NORMALIZATION.words["none"]:
+            assert not set(ch) & set(own) and 2 <= len(ch) or len(names) - len(own) < 2
+        else:
+            assert r.target == "，".join(own)
+            assert [c for c in ch if c in own] == own and 1 <= len(ch) - len(own) <= 3
