@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     """(source, source_size, units, target).  The table holds one row per source; its windows are over that table.
 
     Water filling: with sources ordered by cap over weight, those whose cap lies under the level that is left for them
-    are capped, the others get their weight times the level.
+    are capped, the others get their weight times the level of the first of them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("units"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
              ) / F.sum("weight").over(after)
     per = per.withColumn("level", level).withColumn("capped", F.col("weight") * F.col("level") >= F.col("most"))
-    flat = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    flat = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return per.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * flat)).select(
         "source", "source_size", "units", "target")
 

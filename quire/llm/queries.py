@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, token_cache
+from . import cws, jaccard, langid, mixing, packing, secrets, spans, surrogates, token_cache, topk
 from .common import n_words, scratch_path, stored, table  # noqa: F401
 
 
+def count_where(array: str, field: str, value) -> Column:
+    return F.size(F.filter(array, lambda x: x[field] == F.lit(value))).cast("long")
+
+
+#: Key of the surrogates' hash; a deployment passes its own secret.
+SURROGATE_KEY = "surrogate-key-of-these-queries"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    counts = [count_where("entities", "kind", k).alias(f"n_{k}") for k, _ in surrogates.TYPES]
+    return out.select("doc_id", "text", *counts)
+
+
 def op2_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "taken")
@@ -26,8 +40,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("repository"), "text")
     found = secrets.scan_secrets(docs)
     base = F.filter("spans", lambda s: s["ord"] < len(secrets.BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{kind[0]}")
-              for k, kind in enumerate(secrets.BASE)]
+    counts = [count_where("spans", "ord", k).alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.BASE)]
     return found.select(
         "key.doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
         secrets.span_text(F.col("spans")).alias("spans"),
@@ -40,7 +53,35 @@ def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where(~F.col("held_out")).select("doc_id", "lang", "text"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score",
+        F.col("language.bits").alias("bits_per_char"))
+
+
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cube_mixing, op3_certified_packing, op4_secret_ownership, op5_token_cache)
+    f.__name__: f for f in (op1_pii_surrogates, op2_cube_mixing, op3_certified_packing, op4_secret_ownership,
+                            op5_token_cache, op6_cross_parsing, op7_suffix_automata, op8_parity_join,
+                            op9_weighted_sampling, op10_columnar_topk)
 }
 ORACLES: dict[str, Callable[[], str]] = {}
