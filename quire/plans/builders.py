@@ -49,6 +49,7 @@ from ..operators.choices import (absent_by_join, absent_from_list, map_label,  #
                                  ordinal_label, size_distribution, small_vocabulary, vocabulary)
 from ..operators.sampling import draw_from, insert_before_last, random_insert  # noqa: E402
 from ..operators.tags import decode_tags  # noqa: E402
+from ..operators.tokens import wrap_prompt  # noqa: E402
 from ..operators.ordering import with_global_index  # noqa: E402
 from .tasks import (CLASSIFICATION, CLASSIFICATION_SIZED, ENTITIES, EVENTS,  # noqa: E402
                     NORMALIZATION, ORDINAL, PAIR_MATCH, RELATIONS, RELEVANCE, TAGGED)
@@ -273,9 +274,8 @@ def build_events(samples: DataFrame, key: Sequence[str] = ("o_custkey",), seed=S
     w = spec.words
 
     def line(e):
-        return F.concat(F.lit("Core" + COLON), e["core"], F.lit("；Status" + COLON), e["status"],
-                        F.lit("；Descriptors" + COLON), F.array_join(e["descr"], SEP),
-                        F.lit("；Parts" + COLON), F.array_join(e["parts"], SEP))
+        values = (e["core"], e["status"], F.array_join(e["descr"], SEP), F.array_join(e["parts"], SEP))
+        return F.concat_ws("；", *[F.concat(F.lit(k + COLON), v) for k, v in zip(w["keys"], values)])
 
     target = F.concat(F.lit(w["head"]), F.array_join(F.transform("events", line), "\n"))
     return finish(samples, spec, key, {"text": F.col("text")}, target, None, seed, **kw)
@@ -505,11 +505,20 @@ def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED, materialize
 
 # ---------------------------------------------------------------- prediction stand-ins for the parsers
 
-FINDING_CHOICES = ("positive", "negative", "unclear")  # fixed values
-REPORT_KEYS = ("Complaint：", "History：", "Tests：", "Past：", "Diagnosis：", "Advice：")
-PROMPT_HEAD = "Write a response that appropriately completes the Input.\n\nInput:\n"  # fixed format
-PROMPT_TAIL = "\n\nResponse:\n"
-EOS = "</s>"
+FINDING_CHOICES = ("positive", "negative", "unclear")  # our own words
+REPORT_KEYS = ("Opening：", "Body：", "Aside：", "Quote：", "Closing：")  # our own sections
+
+
+def noisy(preds: DataFrame, seed=SEED) -> DataFrame:
+    """Predictions as a model garbles them, by a keyed draw: empty, ASCII punctuation, stray lines around the answer,
+    more than 100 separators, indented lines, no sample id; the others unchanged."""
+    kind = F.floor(u(seed, "noise", ["sample_id"], "kind") * 8)
+    t = F.col("target")
+    garbled = (F.when(kind == 0, F.lit("")).when(kind == 1, F.translate(t, "：，；", ":,;"))
+               .when(kind == 2, F.concat(F.lit("note\n"), t, F.lit("\n\n")))
+               .when(kind == 3, F.concat(F.repeat(F.lit("x,"), 120), t, F.repeat(F.lit(", y"), 120)))
+               .when(kind == 4, F.replace(t, F.lit("\n"), F.lit("\n  "))).otherwise(t))
+    return preds.withColumns({"target": garbled, "sample_id": F.when(kind != 5, F.col("sample_id"))})
 
 
 def findings_predictions(events: DataFrame) -> DataFrame:
@@ -531,11 +540,12 @@ def findings_predictions(events: DataFrame) -> DataFrame:
 
 
 def report_predictions(docs: DataFrame) -> DataFrame:
-    """Generated-style sectioned reports from document lines; the first section repeats at the end."""
+    """Generated-style sectioned reports: every document line in turn under one of the sections; the first section
+    repeats at the end."""
     keys = F.array(*[F.lit(k) for k in REPORT_KEYS])
     lines = F.split("text", "\n", -1)
-    body = F.array_join(F.transform(F.slice(lines, 1, len(REPORT_KEYS)),
-                                    lambda ln, i: F.concat(F.element_at(keys, i + 1), ln)), "\n")
+    body = F.array_join(F.transform(lines, lambda ln, i: F.concat(
+        F.element_at(keys, i % len(REPORT_KEYS) + 1), ln)), "\n")
     target = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit("\n"), body, F.lit("\n"),
                       F.lit(REPORT_KEYS[0]), F.element_at(lines, -1))
     return docs.select(
@@ -550,4 +560,4 @@ def raw_generations(conversations: DataFrame) -> DataFrame:
     p = dialogue_pairs(conversations)
     return p.select(F.concat_ws("-", F.lit("dialogue"), F.col("conv_id").cast("string"),
                                 F.col("i").cast("string")).alias("sample_id"),
-                    F.concat(F.lit(PROMPT_HEAD), F.col("prompt"), F.lit(PROMPT_TAIL), F.col("reply")).alias("raw"))
+                    F.concat(wrap_prompt("prompt"), F.col("reply")).alias("raw"))

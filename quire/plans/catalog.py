@@ -117,7 +117,7 @@ from ..operators.dialogue import merge_turns, turn_histogram  # noqa: E402
 from ..operators.sampling import sample_k  # noqa: E402
 from ..functions.text import to_markdown_row  # noqa: E402
 from ..sinks.manifest import content_manifest  # noqa: E402
-from .tasks import DIALOGUE, RELATIONS, SEED  # noqa: E402
+from .tasks import DIALOGUE, ENTITIES, EVENTS, RELATIONS, SEED, TAGGED  # noqa: E402
 
 ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
               "pages benchmark labels conversations").split()
@@ -259,57 +259,116 @@ ORACLES.update({name: getattr(O, name) for name in (
 from ..operators import parse as P  # noqa: E402
 
 
-def q_parse_entities(spark, sf):
+SYNONYMS = {"same": "yes", "different": "no"}
+FALLBACK = "unclear"
+#: PAR0: the parser of each task's answers, with the words they were written with.
+ROUTES = {
+    "entities": lambda d: P.entity_answers(d, ENTITIES.words["line"]),
+    "tagged_entities": lambda d: P.entity_answers(d, TAGGED.words["line"]),
+    "relations": lambda d: P.triple_answers(d, *[RELATIONS.words[k] for k in ("line_a", "line_b", "head", "tail")]),
+    "normalization": lambda d: P.term_answers(d, "normalization"),
+    "events": lambda d: P.event_answers(d, EVENTS.words["keys"], EVENTS.words["list_keys"]),
+    "pair_match": lambda d: P.pair_label_answers(d, SYNONYMS),
+    "classification": P.label_answers,
+    "classification_sized": P.label_answers,
+    "ordinal_match": P.label_answers,
+    "relevance": P.label_answers,
+    "dialogue": P.label_answers,
+    "base": P.label_answers,
+    "findings": lambda d: P.finding_answers(d, {"findings": FALLBACK}),
+    "report": lambda d: P.report_answers(d, B.REPORT_KEYS),
+}
+
+
+def _routed(preds, *tasks):
+    """Long table over the tasks' answers; all of one shape."""
+    parsed = P.parse_answers(preds, {t: ROUTES[t] for t in tasks})
+    out = None
+    for d in parsed.values():
+        out = P.listed(d) if out is None else out.unionByName(P.listed(d))
+    return out
+
+
+def _entity_predictions(spark, sf):
     ev = table(spark, sf, "events")
-    preds = B.build_entities(B.entity_samples(ev)).unionByName(B.build_tagged_entities(B.tag_sequences(ev)))
-    return P.parse_entities(preds)
+    return B.noisy(B.build_entities(B.entity_samples(ev)).unionByName(B.build_tagged_entities(B.tag_sequences(ev))))
+
+
+def q_parse_entities(spark, sf):
+    return _routed(_entity_predictions(spark, sf), "entities", "tagged_entities")
+
+
+def _relation_predictions(spark, sf):
+    return B.noisy(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
 
 
 def q_parse_triples(spark, sf):
-    return P.parse_triples(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
+    return _routed(_relation_predictions(spark, sf), "relations")
+
+
+def _term_predictions(spark, sf):
+    return B.noisy(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
 
 
 def q_parse_terms(spark, sf):
-    return P.parse_terms(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
+    return _routed(_term_predictions(spark, sf), "normalization")
 
 
-def q_parse_events(spark, sf):
+def _event_predictions(spark, sf):
     s = B.event_samples(table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "part"))
-    return P.parse_events(B.build_events(s))
+    return B.noisy(B.build_events(s))
+
+
+def q_parse_events(spark, sf):
+    d = _routed(_event_predictions(spark, sf), "events")
+    return d.withColumns({k.lower(): F.array_join(k.lower(), " + ") for k in EVENTS.words["list_keys"]})
+
+
+LABEL_TASKS = ("pair_match", "classification", "ordinal_match", "relevance")
 
 
 def _label_predictions(spark, sf):
     docs = _docs(spark, sf)
-    return (B.build_pair_match(B.adjacent_pairs(docs)).unionByName(B.build_classification(docs))
-            .unionByName(B.build_ordinal_match(table(spark, sf, "orders")))
-            .unionByName(B.build_relevance(*B.reply_links(table(spark, sf, "conversations")))))
+    return B.noisy(B.build_pair_match(B.adjacent_pairs(docs)).unionByName(B.build_classification(docs))
+                   .unionByName(B.build_ordinal_match(table(spark, sf, "orders")))
+                   .unionByName(B.build_relevance(*B.reply_links(table(spark, sf, "conversations")))))
 
 
 def q_parse_labels(spark, sf):
-    parsed = P.parse_answers(_label_predictions(spark, sf), families=("pair_label", "label"))
-    return parsed["pair_label"].unionByName(parsed["label"])
+    return _routed(_label_predictions(spark, sf), *LABEL_TASKS)
 
 
 def q_parse_findings(spark, sf):
-    return P.parse_findings(B.findings_predictions(table(spark, sf, "events")), "unclear")
+    return _routed(B.noisy(B.findings_predictions(table(spark, sf, "events"))), "findings")
 
 
 def q_parse_report(spark, sf):
-    return P.parse_report(B.report_predictions(_docs(spark, sf)))
+    return _routed(B.noisy(B.report_predictions(_docs(spark, sf))), "report")
 
 
 def q_extract_response(spark, sf):
     return P.extract_response(B.raw_generations(table(spark, sf, "conversations"))).select("sample_id", "target")
 
 
-def q_submission_counts(spark, sf):
+def _submission(spark, sf):
     ev, docs = table(spark, sf, "events"), _docs(spark, sf)
-    preds = (B.build_entities(B.entity_samples(ev))
-             .unionByName(B.build_relations(B.relation_samples(table(spark, sf, "orders"))))
-             .unionByName(B.build_normalization(B.normalization_samples(table(spark, sf, "part"))))
-             .unionByName(B.build_pair_match(B.adjacent_pairs(docs)))
-             .unionByName(B.findings_predictions(ev)).unionByName(B.report_predictions(docs)))
-    return P.submission_counts(preds, list(P.TASK_FAMILY), spark)
+    preds = (_entity_predictions(spark, sf).unionByName(_relation_predictions(spark, sf))
+             .unionByName(_term_predictions(spark, sf)).unionByName(_event_predictions(spark, sf))
+             .unionByName(_label_predictions(spark, sf)).unionByName(B.noisy(B.findings_predictions(ev)))
+             .unionByName(B.noisy(B.report_predictions(docs))))
+    return P.parse_answers(preds, ROUTES)
+
+
+def q_submission_counts(spark, sf):
+    return P.submission_counts(_submission(spark, sf))
+
+
+def q_submission_files(spark, sf):
+    """SNK3: the written submission read back: answers as JSON, one folder per task."""
+    path = W.write_submission(_submission(spark, sf), W.scratch_path(spark, "submission"))
+    d = R.read_jsonl(spark, path, W.SUBMISSION)
+    return d.groupBy("task_dataset").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.sum(F.json_array_length("answers")).cast("long").alias("n_answers"))
 
 
 QUERIES.update({
@@ -322,10 +381,11 @@ QUERIES.update({
     "parse_report": q_parse_report,
     "extract_response": q_extract_response,
     "submission_counts": q_submission_counts,
+    "submission_files": q_submission_files,
 })
 ORACLES.update({name: getattr(O, name) for name in (
     "parse_entities", "parse_triples", "parse_terms", "parse_events", "parse_labels", "parse_findings",
-    "parse_report", "extract_response", "submission_counts")})
+    "parse_report", "extract_response", "submission_counts", "submission_files")})
 
 
 # ---------------------------------------------------------------- wraps, tokens, packing

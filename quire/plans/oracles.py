@@ -223,8 +223,8 @@ FROM d"""
 
 def build_events(raw: bool = False) -> str:
     w = EVENTS.words
-    line = (f"lambda e: 'Core{COLON}' || e.core || '；Status{COLON}' || e.status || '；Descriptors{COLON}' || "
-            f"array_to_string(e.descr, {SEP}) || '；Parts{COLON}' || array_to_string(e.parts, {SEP})")
+    values = ("e.core", "e.status", f"array_to_string(e.descr, {SEP})", f"array_to_string(e.parts, {SEP})")
+    line = "lambda e: " + " || '；' || ".join(f"{sql_lit(k + COLON)} || {v}" for k, v in zip(w["keys"], values))
     return f"""
 WITH li AS (SELECT l.l_orderkey, p.p_type, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 po AS (SELECT l_orderkey, list_sort(list(DISTINCT p_type)) AS descr, list_sort(list(DISTINCT p_name)) AS parts
@@ -566,105 +566,118 @@ def _rep_first(inp: str, a: str, b: str, n: int = 100) -> str:
             f"ELSE array_to_string({parts}[1:{n + 1}], '{b}') || '{a}' || array_to_string({parts}[{n + 2}:], '{a}') END)")
 
 
+def _noisy(src_sql: str) -> str:
+    t = "target"
+    return f"""
+SELECT * REPLACE (
+  CASE nk WHEN 0 THEN '' WHEN 1 THEN translate({t}, '：，；', ':,;') WHEN 2 THEN 'note' || {NL} || {t} || {NL} || {NL}
+          WHEN 3 THEN repeat('x,', 120) || {t} || repeat(', y', 120) WHEN 4 THEN replace({t}, {NL}, {NL} || '  ')
+          ELSE {t} END AS target,
+  CASE WHEN nk <> 5 THEN sample_id END AS sample_id)
+FROM (SELECT *, CAST(floor({sql_u(SEED, 'noise', ['sample_id'], 'kind')} * 8) AS INTEGER) AS nk FROM ({src_sql}))"""
+
+
 def _folded(src_sql: str) -> str:
-    """CTEs ending in ``pf`` (sample_id defaulted, ``g`` = folded target)."""
-    return f"""src AS ({src_sql}),
-f1 AS (SELECT * REPLACE (coalesce(sample_id, '{_P.MISSING_ID}') AS sample_id), {_rep_first('target', ':', '：')} AS g1 FROM src),
+    """CTEs ending in ``pf`` (noisy predictions, numbered; ``sample_id`` defaulted, ``g`` = folded target)."""
+    return f"""src AS ({_noisy(src_sql)}),
+f1 AS (SELECT * REPLACE (coalesce(sample_id, '{_P.MISSING_ID}') AS sample_id,
+                         coalesce(answer_choices, []::VARCHAR[]) AS answer_choices),
+              row_number() OVER () AS rn, {_rep_first('target', ':', '：')} AS g1 FROM src),
 f2 AS (SELECT *, {_rep_first('g1', ',', '，')} AS g2 FROM f1),
 pf AS (SELECT *, {_rep_first('g2', ';', '；')} AS g FROM f2)"""
 
 
+def _with_empty(cols: str) -> str:
+    """Rows of ``r`` per prediction; a prediction without one keeps a row of nulls."""
+    return f"SELECT pf.task_dataset, pf.sample_id, {cols} FROM pf LEFT JOIN r USING (rn)"
+
+
 def _items(x: str) -> str:
     """split on the list separator, strip every item, drop empty ones."""
     return f"list_filter(list_transform(string_split({x}, '{_P.SEP}'), lambda z: {_strip('z')}), lambda z: length(z) > 0)"
 
 
+def _lines_of(x: str) -> str:
+    return f"unnest(list_transform({x}, lambda x, i: {{'line': x, 'li': i - 1}}))"
+
+
+def _entity_src() -> str:
+    return f"SELECT * FROM ({build_entities(raw=True)}) UNION ALL SELECT * FROM ({build_tagged_entities(raw=True)})"
+
+
 def parse_entities() -> str:
-    w = sql_lit(_P.ENTITY_WORD)
-    wc = sql_lit(_P.ENTITY_WORD + _P.COLON)
-    src = f"SELECT * FROM ({build_entities(raw=True)}) UNION ALL SELECT * FROM ({build_tagged_entities(raw=True)})"
-    return f"""
-WITH {_folded(src)},
-c AS (SELECT sample_id, g, unnest(list_transform(coalesce(answer_choices, []::VARCHAR[]),
-                                                 lambda x, i: {{'type': x, 'ci': i - 1}})) AS c FROM pf),
-l AS (SELECT sample_id, c.type AS type, c.ci AS choice_no,
-             unnest(list_transform(string_split(g, {NL}), lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM c),
-h AS (SELECT sample_id, type, choice_no, l.li AS line_no,
+    words = {t.name: t.words["line"] for t in (ENTITIES, TAGGED)}
+    w = "(CASE task_dataset " + " ".join(f"WHEN {sql_lit(k)} THEN {sql_lit(v)}" for k, v in words.items()) + " END)"
+    wc = f"{w} || {sql_lit(_P.COLON)}"
+    return f"""
+WITH {_folded(_entity_src())},
+c AS (SELECT rn, task_dataset, g, unnest(list_transform(answer_choices, lambda x, i: {{'type': x, 'ci': i - 1}})) AS c FROM pf),
+l AS (SELECT rn, task_dataset, c.type AS type, c.ci AS choice_no, {_lines_of(f"string_split(g, {NL})")} AS l FROM c),
+h AS (SELECT rn, type, choice_no, l.li AS line_no,
              {_items(f"replace(l.line, type || {wc}, '')")} AS ms
-      FROM l WHERE starts_with(l.line, type || {w}))
-SELECT sample_id, type, CAST(choice_no AS INTEGER) AS choice_no, CAST(line_no AS INTEGER) AS line_no,
+      FROM l WHERE starts_with(l.line, type || {w})),
+r AS (SELECT rn, type, CAST(choice_no AS INTEGER) AS choice_no, CAST(line_no AS INTEGER) AS line_no,
        CAST(m.mi - 1 AS INTEGER) AS mention_no, m.entity
-FROM h, unnest(list_transform(ms, lambda x, i: {{'entity': x, 'mi': i}})) AS t(m)"""
+      FROM h, unnest(list_transform(ms, lambda x, i: {{'entity': x, 'mi': i}})) AS t(m))
+{_with_empty("r.type, r.choice_no, r.line_no, r.mention_no, r.entity")}"""
 
 
 def parse_triples() -> str:
-    pre, mark = _P.REL_PREFIX, _P.REL_MARK
+    pre, mark, head, tail = (RELATIONS.words[k] for k in ("line_a", "line_b", "head", "tail"))
     return f"""
 WITH {_folded(build_relations(raw=True))},
-l AS (SELECT sample_id, unnest(list_transform(string_split(g, {NL}), lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM pf),
-p AS (SELECT sample_id, l.li AS line_no, l.line AS line,
+l AS (SELECT rn, {_lines_of(f"string_split(g, {NL})")} AS l FROM pf),
+p AS (SELECT rn, l.li AS line_no, l.line AS line,
              {_strip(f"substr(string_split(l.line, {sql_lit(mark)})[1], {len(pre) + 1})")} AS predicate FROM l),
 b AS (SELECT *, replace(line, {sql_lit(pre)} || predicate || {sql_lit(mark + _P.COLON)}, '') AS body FROM p),
-s AS (SELECT sample_id, predicate, line_no,
-             unnest(list_transform(string_split(body, '。'), lambda x, i: {{'spo': x, 'si': i - 1}})) AS s FROM b),
-t AS (SELECT *, string_split(s.spo, {sql_lit(_P.SEP + _P.REL_TAIL)}) AS pc FROM s)
-SELECT sample_id, predicate, {_strip(f"replace(pc[1], {sql_lit(_P.REL_HEAD)}, '')")} AS subject,
-       {_strip(f"replace(pc[2], {sql_lit(_P.REL_TAIL)}, '')")} AS object,
-       CAST(line_no AS INTEGER) AS line_no, CAST(s.si AS INTEGER) AS pair_no
-FROM t WHERE len(pc) >= 2"""
+s AS (SELECT rn, predicate, line_no,
+             unnest(list_transform(string_split(body, '{_P.STOP}'), lambda x, i: {{'spo': x, 'si': i - 1}})) AS s FROM b),
+t AS (SELECT *, string_split(s.spo, {sql_lit(_P.SEP + tail)}) AS pc FROM s),
+r AS (SELECT rn, predicate, {_strip(f"replace(pc[1], {sql_lit(head)}, '')")} AS subject,
+             {_strip(f"replace(pc[2], {sql_lit(tail)}, '')")} AS object,
+             CAST(line_no AS INTEGER) AS line_no, CAST(s.si AS INTEGER) AS pair_no
+      FROM t WHERE len(pc) >= 2)
+{_with_empty("r.predicate, r.subject, r.object, r.line_no, r.pair_no")}"""
 
 
 def parse_terms() -> str:
     return f"""
 WITH {_folded(build_normalization(raw=True))},
-a AS (SELECT sample_id, list_filter({_items(f"string_split(g, {NL})[-1]")},
-                                    lambda z: list_contains(coalesce(answer_choices, []::VARCHAR[]), z)) AS vals FROM pf),
-d AS (SELECT sample_id, {first_seen('vals')} AS vals FROM a)
-SELECT sample_id, CAST(v.i - 1 AS INTEGER) AS term_no, v.x AS entity, 'normalization' AS type
-FROM d, unnest(list_transform(vals, lambda x, i: {{'x': x, 'i': i}})) AS t(v)"""
+a AS (SELECT rn, list_filter({_items(f"string_split(g, {NL})[-1]")},
+                             lambda z: list_contains(answer_choices, z)) AS vals FROM pf),
+d AS (SELECT rn, {first_seen('vals')} AS vals FROM a),
+r AS (SELECT rn, CAST(v.i - 1 AS INTEGER) AS term_no, v.x AS entity, 'normalization' AS type
+      FROM d, unnest(list_transform(vals, lambda x, i: {{'x': x, 'i': i}})) AS t(v))
+{_with_empty("r.term_no, r.entity, r.type")}"""
 
 
 def parse_events() -> str:
-    keys = _P.EVENT_KEYS
-    steps = []
-    prev = "p"
+    keys, list_keys = EVENTS.words["keys"], EVENTS.words["list_keys"]
+    ctes, cur, prev = [], "pcs", "p"
     for i, k in enumerate(keys):
         kc = sql_lit(k + _P.COLON)
-        steps.append(f"starts_with({prev}, {kc}) AS h{i}")
-        nxt = f"v{i}"
-        steps.append(f"CASE WHEN starts_with({prev}, {kc}) THEN {_strip(f'replace({prev}, {kc}, {chr(39)}{chr(39)})')} "
-                     f"ELSE {prev} END AS {nxt}")
-        prev = nxt
-    # build chained values with nested CTE columns
-    ctes, cur = [], "pcs"
-    prevcol = "p"
-    for i, k in enumerate(keys):
-        kc = sql_lit(k + _P.COLON)
-        nxt = f"c{i}"
-        ctes.append(f"""{nxt} AS (SELECT *, starts_with({prevcol}, {kc}) AS h{i},
-    CASE WHEN starts_with({prevcol}, {kc}) THEN {_strip(f"replace({prevcol}, {kc}, '')")} ELSE {prevcol} END AS v{i}
+        ctes.append(f"""c{i} AS (SELECT *, starts_with({prev}, {kc}) AS h{i},
+    CASE WHEN starts_with({prev}, {kc}) THEN {_strip(f"replace({prev}, {kc}, '')")} ELSE {prev} END AS v{i}
     FROM {cur})""")
-        cur, prevcol = nxt, f"v{i}"
+        cur, prev = f"c{i}", f"v{i}"
     cols = []
     for i, k in enumerate(keys):
         last = f"arg_max(v{i}, pi) FILTER (WHERE h{i})"
-        if k in _P.EVENT_LIST_KEYS:
-            val = f"coalesce(array_to_string({_items(last)}, {SEP}), '')"
-        else:
-            val = f"coalesce({last}, '')"
-        cols.append(f"{val} AS {k.lower()}")
+        val = f"array_to_string({_items(last)}, ' + ')" if k in list_keys else last
+        cols.append(f"coalesce({val}, '') AS {sql_name(k)}")
     return f"""
 WITH {_folded(build_events(raw=True))},
-ev AS (SELECT sample_id, unnest(list_transform(string_split(g, {NL})[2:], lambda x, i: {{'line': x, 'ei': i - 1}})) AS e FROM pf),
-pcs AS (SELECT sample_id, e.ei AS event_no, unnest(list_transform(string_split(e.line, '；'), lambda x, i: {{'p': x, 'pi': i}})) AS q
-        FROM ev),
-pcs2 AS (SELECT sample_id, event_no, q.p AS p, q.pi AS pi FROM pcs),
-{",".join(c.replace("FROM pcs)", "FROM pcs2)", 1) if j == 0 else c for j, c in enumerate(ctes))}
-SELECT sample_id, CAST(event_no AS INTEGER) AS event_no, {", ".join(cols)}
-FROM {cur} GROUP BY sample_id, event_no
-UNION ALL
-SELECT sample_id, CAST(e.ei AS INTEGER) AS event_no, '', '', '', ''
-FROM ev WHERE len(string_split(e.line, '；')) = 0"""
+ev AS (SELECT rn, {_lines_of(f"string_split(g, {NL})[2:]")} AS e FROM pf),
+pcs0 AS (SELECT rn, e.li AS event_no,
+                unnest(list_transform(string_split(e.line, '{_P.FIELD_SEP}'), lambda x, i: {{'p': x, 'pi': i}})) AS q FROM ev),
+pcs AS (SELECT rn, event_no, q.p AS p, q.pi AS pi FROM pcs0),
+{",".join(ctes)},
+r AS (SELECT rn, CAST(event_no AS INTEGER) AS event_no, {", ".join(cols)} FROM {cur} GROUP BY rn, event_no)
+{_with_empty("r.event_no, " + ", ".join(f"r.{sql_name(k)}" for k in keys))}"""
+
+
+def sql_name(k: str) -> str:
+    return f'"{k.lower()}"'
 
 
 def _label_src() -> str:
@@ -673,13 +686,14 @@ def _label_src() -> str:
 
 
 def parse_labels() -> str:
+    from .catalog import SYNONYMS
     a = _strip("g")
     folded = a
-    for k, v in _P.SYNONYMS.items():
+    for k, v in SYNONYMS.items():
         folded = f"(CASE WHEN {folded} = {sql_lit(k)} THEN {sql_lit(v)} ELSE {folded} END)"
     return f"""
 WITH {_folded(_label_src())}
-SELECT sample_id, CASE WHEN task_dataset = 'pair_match' THEN {folded} ELSE {a} END AS label FROM pf"""
+SELECT task_dataset, sample_id, CASE WHEN task_dataset = 'pair_match' THEN {folded} ELSE {a} END AS label FROM pf"""
 
 
 def _findings_src() -> str:
@@ -698,23 +712,25 @@ GROUP BY user_id, day"""
 
 
 def parse_findings() -> str:
+    from .catalog import FALLBACK
     return f"""
 WITH {_folded(_findings_src())},
-l AS (SELECT sample_id, answer_choices,
-             unnest(list_transform(string_split(g, {NL})[2:], lambda x, i: {{'line': x, 'li': i - 1}})) AS l FROM pf),
-p AS (SELECT *, string_split({_strip('l.line')}, '{_P.COLON}') AS pc FROM l)
-SELECT sample_id, {_strip('pc[1]')} AS entity,
-       CASE WHEN coalesce(list_contains(answer_choices, pc[2]), false) THEN pc[2] ELSE 'unclear' END AS attr,
-       CAST(l.li AS INTEGER) AS line_no
-FROM p WHERE len(pc) = 2"""
+l AS (SELECT rn, answer_choices, {_lines_of(f"string_split(g, {NL})[2:]")} AS l FROM pf),
+p AS (SELECT *, string_split({_strip('l.line')}, '{_P.COLON}') AS pc FROM l),
+r AS (SELECT rn, {_strip('pc[1]')} AS entity,
+             CASE WHEN list_contains(answer_choices, pc[2]) THEN pc[2] ELSE '{FALLBACK}' END AS attr,
+             CAST(l.li AS INTEGER) AS line_no
+      FROM p WHERE len(pc) = 2)
+{_with_empty("r.entity, r.attr, r.line_no")}"""
 
 
 def _report_src() -> str:
+    n = len(_B.REPORT_KEYS)
     keys = "[" + ", ".join(sql_lit(k) for k in _B.REPORT_KEYS) + "]"
     return f"""
 SELECT 'write the report' AS input,
        'Report ' || CAST(doc_id AS VARCHAR) || {NL} ||
-       array_to_string(list_transform(string_split(text, {NL})[1:{len(_B.REPORT_KEYS)}], lambda x, i: {keys}[i] || x), {NL})
+       array_to_string(list_transform(string_split(text, {NL}), lambda x, i: {keys}[(i - 1) % {n} + 1] || x), {NL})
        || {NL} || {sql_lit(_B.REPORT_KEYS[0])} || string_split(text, {NL})[-1] AS target,
        CAST(NULL AS VARCHAR[]) AS answer_choices, 'report' AS task_type, 'report' AS task_dataset,
        concat_ws('-', 'report', CAST(doc_id AS VARCHAR)) AS sample_id
@@ -722,38 +738,49 @@ FROM documents"""
 
 
 def parse_report() -> str:
-    keys = "[" + ", ".join(sql_lit(k) for k in _P.REPORT_KEYS) + "]"
+    keys = "[" + ", ".join(sql_lit(k) for k in _B.REPORT_KEYS) + "]"
     return f"""
 WITH {_folded(_report_src())},
-l AS (SELECT sample_id, unnest(list_transform(string_split({_strip('g')}, {NL})[2:], lambda x, i: {{'line': x, 'li': i}})) AS l
-      FROM pf),
-k AS (SELECT sample_id, l.line AS line, l.li AS li, unnest({keys}) AS key FROM l),
-m AS (SELECT sample_id, li, substr(key, 1, length(key) - 1) AS section,
+l AS (SELECT rn, {_lines_of(f"string_split({_strip('g')}, {NL})[2:]")} AS l FROM pf),
+k AS (SELECT rn, l.line AS line, l.li AS li, unnest({keys}) AS key FROM l),
+m AS (SELECT rn, li, substr(key, 1, length(key) - 1) AS section,
              {_strip(f"string_split({_strip('line')}, key)[-1]")} AS text
-      FROM k WHERE starts_with(line, key))
-SELECT sample_id, section, arg_max(text, li) AS text FROM m GROUP BY sample_id, section"""
+      FROM k WHERE starts_with(line, key)),
+r AS (SELECT rn, section, arg_max(text, li) AS text FROM m GROUP BY rn, section)
+{_with_empty("r.section, r.text")}"""
+
+
+def submission_counts() -> str:
+    """Predictions and answers per task, from the long tables above (a null first answer column: none)."""
+    from .catalog import ROUTES
+    tasks = ", ".join(f"({sql_lit(t)})" for t in ROUTES)
+    firsts = {"type": parse_entities(), "predicate": parse_triples(), "term_no": parse_terms(), "event_no": parse_events(),
+              "label": parse_labels(), "line_no": parse_findings(), "section": parse_report()}
+    longs = " UNION ALL ".join(f"SELECT task_dataset, count({c}) AS a FROM ({q}) GROUP BY 1" for c, q in firsts.items())
+    srcs = (_entity_src(), build_relations(raw=True), build_normalization(raw=True), build_events(raw=True), _label_src(),
+            _findings_src(), _report_src())
+    samples = " UNION ALL ".join(f"SELECT task_dataset FROM ({q})" for q in srcs)
+    return f"""
+WITH dim(task_dataset) AS (VALUES {tasks}),
+s AS (SELECT task_dataset, count(*) AS n FROM ({samples}) GROUP BY 1),
+a AS ({longs})
+SELECT dim.task_dataset, CAST(coalesce(s.n, 0) AS BIGINT) AS n_samples, CAST(coalesce(a.a, 0) AS BIGINT) AS n_answers
+FROM dim LEFT JOIN s USING (task_dataset) LEFT JOIN a USING (task_dataset)"""
+
+
+def submission_files() -> str:
+    return f"SELECT * FROM ({submission_counts()}) WHERE n_samples > 0"
 
 
 def extract_response() -> str:
     marker = sql_lit(_P.RESPONSE_MARKER)
-    raw = (f"{sql_lit(_B.PROMPT_HEAD)} || prompt || {sql_lit(_B.PROMPT_TAIL)} || reply")
+    raw = f"{sql_lit(_TK.PROMPT_HEAD)} || prompt || {sql_lit(_TK.PROMPT_MID)} || reply"
     return f"""
 WITH {dialogue_pairs_sql()},
 r AS (SELECT concat_ws('-', 'dialogue', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id, {raw} AS raw FROM pairs)
 SELECT sample_id, {_strip(f"string_split(raw, {marker})[-1]")} AS target FROM r"""
 
 
-def submission_counts() -> str:
-    tasks = ", ".join(f"({sql_lit(t)})" for t in _P.TASK_FAMILY)
-    src = " UNION ALL ".join(f"SELECT task_dataset FROM ({s})" for s in (
-        build_entities(), build_relations(), build_normalization(), build_pair_match(), _findings_src(),
-        _report_src()))
-    return f"""
-WITH dim(task_dataset) AS (VALUES {tasks}),
-c AS (SELECT task_dataset, count(*) AS n FROM ({src}) GROUP BY 1)
-SELECT dim.task_dataset, CAST(coalesce(c.n, 0) AS BIGINT) AS n_answers FROM dim LEFT JOIN c USING (task_dataset)"""
-
-
 # ---------------------------------------------------------------- wraps, tokens, packing
 
 from ..operators import tokens as _TK  # noqa: E402
