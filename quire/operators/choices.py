@@ -1,15 +1,10 @@
 """Label vocabularies and choice lists (AGG3, AGG4, AGG9, JOI4, JOI5, SET2, SET3, PRJ9-PRJ11).
 
-Absent choices ("n labels the row does not have") have two physical forms:
-
-* small vocabulary (checked: at most ``SMALL_VOCAB`` labels): the sorted
-  vocabulary is a literal array in the plan; per row the candidates are
-  ``array_except(vocab, own)`` ordered by a keyed hash, then sliced.  No
-  shuffle, all codegen.
-* larger vocabulary: the vocabulary gets a dense index; each row draws
-  ``n + |own|`` distinct indexes (Floyd's algorithm in an ``aggregate``),
-  joins them to the vocabulary by index (an equi join), drops its own labels
-  and keeps the first ``n`` by draw order.  Rows x vocabulary is never formed.
+Absent choices ("n labels the row does not have") have one definition at every vocabulary size.  The sorted vocabulary
+has dense positions; each row draws ``n + |own|`` distinct positions (Floyd's algorithm in an ``aggregate``), orders
+them by a keyed hash, drops its own labels and keeps the first ``n``.  Positions are looked up in a literal array
+(``absent_from_list``, for label sets that are part of the task) or by an equi join with the indexed vocabulary
+(``absent_by_join``); both give the same rows, and rows x vocabulary is never formed.
 """
 
 from __future__ import annotations
@@ -22,78 +17,66 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_hash, u
 from .ordering import with_global_index
 
-SMALL_VOCAB = 4096
-
 
 def vocabulary(df: DataFrame, values: Column, name: str = "label") -> DataFrame:
-    """AGG3: distinct labels of an array column (exploded), sorted by code point."""
+    """AGG3: distinct labels of an array column (exploded); ``with_global_index`` gives their code-point order."""
     return (df.select(F.explode(values).alias(name)).filter(F.col(name).isNotNull())
-            .distinct().orderBy(name))
+            .distinct())
 
 
 def vocabulary_first_seen(df: DataFrame, col: str, order: str, name: str = "label") -> DataFrame:
-    """AGG4: distinct labels in first-appearance order (``first_seen`` = min order key)."""
-    return (df.groupBy(F.col(col).alias(name)).agg(F.min(order).alias("first_seen"))
-            .orderBy("first_seen"))
+    """AGG4: distinct labels with their first appearance (``first_seen`` = min order key)."""
+    return df.groupBy(F.col(col).alias(name)).agg(F.min(order).alias("first_seen"))
+
 
+def draw_positions(n: Column, own: Column, m: Column, seed, task: str, key: Sequence[str], draw: str) -> Column:
+    """``n + |own|`` distinct positions below ``m`` (all, if fewer), in draw order: one for each label that may turn
+    out to be the row's own, and n more."""
+    want = F.least(n + F.size(own), m).cast("long")
+    seq = F.when(want > 0, F.sequence(m - want, m - 1)).otherwise(F.array().cast("array<long>"))
 
-def small_vocabulary(vocab: DataFrame, col: str = "label", limit: int | None = None) -> list[str] | None:
-    """The sorted vocabulary as a Python list when it has at most ``limit`` labels, else None."""
-    limit = SMALL_VOCAB if limit is None else limit
-    rows = vocab.select(col).distinct().orderBy(col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return [r[0] for r in rows]
+    def floyd(acc, j):
+        t = F.floor(u(seed, task, key, F.concat(F.lit(draw + ":floyd:"), j.cast("string"))) * (j + 1))
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
+
+    picked = F.aggregate(seq, F.array().cast("array<long>"), floyd)
+    return F.transform(F.array_sort(F.transform(picked, lambda x: F.struct(
+        draw_hash(seed, task, key, F.concat(F.lit(draw + ":ord:"), x.cast("string"))).alias("h"),
+        x.alias("i")))), lambda s: s["i"])
 
 
 def absent_from_list(own: Column, vocab: Sequence[str], n: Column | int, seed, task: str,
                      key: Sequence[str], draw: str = "absent") -> Column:
-    """JOI4 (small vocabulary): up to ``n`` labels of ``vocab`` not in ``own``, in draw order."""
+    """JOI4, labels known with the task: up to ``n`` labels of ``vocab`` not in ``own``, in draw order."""
     n_c = n if isinstance(n, Column) else F.lit(n)
-    lit_vocab = F.array(*[F.lit(v) for v in vocab]) if vocab else F.array().cast("array<string>")
-    cands = F.array_except(lit_vocab, F.coalesce(own, F.array().cast("array<string>")))
-    keyed = F.transform(cands, lambda x: F.struct(
-        draw_hash(seed, task, key, F.concat(F.lit(draw + ":"), x)).alias("h"), x.alias("v")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, n_c), lambda s: s["v"])
+    labels = sorted(set(vocab))
+    lit_vocab = F.array(*[F.lit(v) for v in labels]) if labels else F.array().cast("array<string>")
+    mine = F.coalesce(own, F.array().cast("array<string>"))
+    positions = draw_positions(n_c, mine, F.lit(len(labels)).cast("long"), seed, task, key, draw)
+    drawn = F.transform(positions, lambda i: F.element_at(lit_vocab, (i + 1).cast("int")))
+    return F.slice(F.filter(drawn, lambda v: ~F.array_contains(mine, v)), 1, n_c)
 
 
 def absent_by_join(df: DataFrame, key: Sequence[str], own: str, n: Column | int, vocab: DataFrame,
                    seed, task: str, name: str = "absent", vocab_col: str = "label",
                    draw: str = "absent") -> DataFrame:
-    """JOI4 for any vocabulary size: adds ``name`` = up to ``n`` labels not in ``own``.
+    """JOI4 for any vocabulary: adds ``name`` = up to ``n`` labels not in ``own``.  ``key`` must be unique.
 
-    Each row draws ``n + size(own)`` distinct vocabulary positions (Floyd's
-    algorithm), joins them to the indexed vocabulary on the position, drops
-    its own labels and keeps the first ``n`` in draw order.  Uniform over the
-    ordered n-subsets of the labels it does not have.  ``key`` must be unique.
+    The vocabulary's size is a scalar subquery of the same plan; nothing runs before the query does.
     """
     n_c = n if isinstance(n, Column) else F.lit(n)
     labels = vocab.select(F.col(vocab_col).alias("_vl")).filter(F.col("_vl").isNotNull()).distinct()
-    m = labels.count()  # scalar size, also the Floyd range
-    bucket = (F.ascii(F.substring("_vl", 1, 1)).cast("long") * F.lit(1 << 21)
-              + F.ascii(F.substring("_vl", 2, 1)).cast("long"))
+    m = labels.agg(F.count(F.lit(1))).scalar()
+    bucket = (F.coalesce(F.ascii(F.substring("_vl", 1, 1)), F.lit(0)).cast("long") * F.lit(1 << 21)
+              + F.coalesce(F.ascii(F.substring("_vl", 2, 1)), F.lit(0)).cast("long"))
     v = with_global_index(labels, ["_vl"], "_vi", bucket=bucket)
-    want = F.least(n_c + F.size(own), F.lit(m)).cast("long")
-    seq = F.when(want > 0, F.sequence(F.lit(m) - want, F.lit(m - 1))).otherwise(
-        F.array().cast("array<long>"))
-
-    def floyd(acc, j):
-        t = F.floor(u(seed, task, key, F.concat(F.lit(draw + ":floyd:"), j.cast("string"))) * (j + 1))
-        return F.when(F.array_contains(acc, t), F.concat(acc, F.array(j))).otherwise(
-            F.concat(acc, F.array(t)))
-
-    picked = F.aggregate(seq, F.array().cast("array<long>"), floyd)
-    ordered = F.array_sort(F.transform(picked, lambda x: F.struct(
-        draw_hash(seed, task, key, F.concat(F.lit(draw + ":ord:"), x.cast("string"))).alias("h"),
-        x.alias("i"))))
-    exploded = (df.select(*key, own, n_c.alias("_n"), F.posexplode(ordered).alias("_p", "_s"))
-                .select(*key, own, "_n", "_p", F.col("_s.i").alias("_vi")))
-    hits = (exploded.join(v, "_vi")
-            .filter(~F.coalesce(F.array_contains(F.col(own), F.col("_vl")), F.lit(False))))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_p"))
-    chosen = (hits.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n"))
-              .groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_vl"))),
-                                             lambda s: s["_vl"]).alias(name)))
+    mine = F.coalesce(F.col(own), F.array().cast("array<string>"))
+    sized = df.select(*key, mine.alias(own), n_c.cast("int").alias("_n"), m.alias("_m"))
+    positions = draw_positions(F.col("_n"), F.col(own), F.col("_m"), seed, task, key, draw)
+    exploded = sized.select(*key, own, "_n", F.posexplode(positions).alias("_p", "_vi"))
+    hits = exploded.join(v, "_vi").filter(~F.array_contains(F.col(own), F.col("_vl")))
+    drawn = hits.groupBy(*key).agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_p", "_vl"))).alias("_d"))
+    chosen = drawn.select(*key, F.slice(F.col("_d._vl"), 1, F.col("_n")).alias(name))
     return (df.join(chosen, list(key), "left")
             .withColumn(name, F.coalesce(F.col(name), F.array().cast("array<string>"))))
 

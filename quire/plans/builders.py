@@ -46,8 +46,8 @@ from pyspark.sql import Column, Window  # noqa: E402
 
 from ..functions.draws import draw_int, u  # noqa: E402
 from ..operators.choices import (absent_by_join, absent_from_list, map_label,  # noqa: E402
-                                 ordinal_label, size_distribution, small_vocabulary, vocabulary)
-from ..operators.sampling import draw_from, insert_before_last, random_insert  # noqa: E402
+                                 ordinal_label, size_distribution, vocabulary)
+from ..operators.sampling import draw_size, insert_before_last, random_insert  # noqa: E402
 from ..operators.tags import decode_tags  # noqa: E402
 from ..operators.tokens import wrap_prompt  # noqa: E402
 from ..operators.ordering import with_global_index  # noqa: E402
@@ -58,22 +58,6 @@ SEP = "，"   # list separator inside prompts and answers (fixed value)
 COLON = "："
 
 
-_UNSET = object()
-
-
-def with_absent(df: DataFrame, key: Sequence[str], own: str, n: Column | int, vocab: DataFrame,
-                seed, task: str, name: str, draw: str, labels=_UNSET) -> DataFrame:
-    """JOI4 with a size check: literal-array path for small vocabularies, join path beyond.
-
-    ``labels`` is the result of ``small_vocabulary(vocab)`` when the caller already has it.
-    """
-    if labels is _UNSET:
-        labels = small_vocabulary(vocab)
-    if labels is not None:
-        return df.withColumn(name, absent_from_list(F.col(own), labels, n, seed, task, key, draw))
-    return absent_by_join(df, key, own, n, vocab, seed, task, name, draw=draw)
-
-
 def _ordered_values(arr: str, field: str) -> Column:
     """Values of ``field`` from an array of structs sorted by its first field (position)."""
     return F.transform(F.array_sort(F.col(arr)), lambda s: s[field])
@@ -107,11 +91,10 @@ def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_ye
     p, w = spec.probs, spec.words
     if vocab is None:
         vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
-    lab = small_vocabulary(vocab)
     d = samples.withColumn("own", F.array_distinct(_ordered_values("triples", "predicate")))
-    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1", lab)
-    d = with_absent(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent_n", "absent_n", lab)
+    d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
+    d = absent_by_join(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
+                    seed, spec.name, "absent_n", draw="absent_n")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = u(seed, spec.name, key, "add_absent") < p["add_absent"]
     choices = (F.when(exists & add, F.concat("own", "absent1")).when(exists, F.col("own"))
@@ -169,7 +152,7 @@ def build_entities(samples: DataFrame, key: Sequence[str] = ("user_id", "day"),
     if vocab is None:
         vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
     d = samples.withColumn("own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
-    d = with_absent(d, key, "own", 1, vocab, seed, spec.name, "absent1", "absent1")
+    d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = (u(seed, spec.name, key, "add_absent") < p["add_absent"]) & (F.size("absent1") > 0)
     with_one = insert_before_last(F.col("own"), F.try_element_at("absent1", F.lit(1)), u(seed, spec.name, key, "insert"))
@@ -300,11 +283,10 @@ def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_
     p, w = spec.probs, spec.words
     if vocab is None:
         vocab = vocabulary(samples, F.col("names"))
-    lab = small_vocabulary(vocab)
-    d = with_absent(samples, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
-                    seed, spec.name, "extra", "extra", lab)
-    d = with_absent(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent", "absent", lab)
+    d = absent_by_join(samples, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
+                    seed, spec.name, "extra", draw="extra")
+    d = absent_by_join(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
+                    seed, spec.name, "absent", draw="absent")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("names"), F.col("extra"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent")))
@@ -322,11 +304,10 @@ def build_classification(docs: DataFrame, label_col: str = "source", key: Sequen
     p, w = spec.probs, spec.words
     d = docs.filter(F.col(label_col) != w["drop"]).withColumn("own", F.array(F.col(label_col)))
     vocab = d.select(F.col(label_col).alias("label"))
-    lab = small_vocabulary(vocab)
-    d = with_absent(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
-                    spec.name, "absent_none", "absent_none", lab)
-    d = with_absent(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
-                    spec.name, "absent", "absent", lab)
+    d = absent_by_join(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
+                       spec.name, "absent_none", draw="absent_none")
+    d = absent_by_join(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
+                       spec.name, "absent", draw="absent")
     not_exist = u(seed, spec.name, key, "not_exist") < p["not_exist"]
     choices = F.when(not_exist, F.col("absent_none")).otherwise(F.concat("absent", "own"))
     d = d.withColumn("choices", choices)
@@ -349,18 +330,11 @@ def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: D
     key = list(key)
     p, w = spec.probs, spec.words
     dist = size_distribution(sizes_from.filter(F.col("answer_choices").isNotNull()), "answer_choices")
-    rows = dist.orderBy("n").limit(10001).collect()  # one row per distinct size; checked bound
-    if len(rows) > 10000:
-        raise ValueError("size distribution has too many distinct sizes to inline")
-    values = F.array(*[F.lit(max(r["n"] - 1, 0)) for r in rows])
-    cums = F.array(*[F.lit(float(r["cumulative"])) for r in rows])
-    m = draw_from(values, cums, u(seed, spec.name, key, "size"))
-    d = region_labels(docs, nation).withColumn("own", F.array("region"))
+    d = draw_size(region_labels(docs, nation).withColumn("own", F.array("region")), dist, u(
+        seed, spec.name, key, "size"), "_m").withColumn("_m", F.greatest(F.col("_m") - 1, F.lit(0)))
     vocab = nation.select(F.col("n_name").alias("label"))
-    d = d.withColumn("_m", m)
-    lab = small_vocabulary(vocab)
-    d = with_absent(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", "absent", lab)
-    d = with_absent(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", "absent_none", lab)
+    d = absent_by_join(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", draw="absent")
+    d = absent_by_join(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", draw="absent_none")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("absent"), F.col("own"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent_none")))

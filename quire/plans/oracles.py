@@ -63,9 +63,17 @@ def first_seen(list_sql: str) -> str:
 
 
 def absent(own: str, vocab: str, n: str, task: str, key, draw: str) -> str:
-    h = sql_hash(SEED, task, key, draw_sql=f"'{draw}:' || label")
-    return (f"list_slice(coalesce((SELECT list(label ORDER BY {h}) FROM {vocab} "
-            f"WHERE NOT list_contains({own}, label)), []), 1, {n})")
+    """Index draws into the sorted vocabulary: Floyd's distinct positions, keyed order, own labels dropped."""
+    labels = f"(SELECT list(label ORDER BY label) FROM (SELECT DISTINCT label FROM {vocab} WHERE label IS NOT NULL))"
+    m = f"(SELECT count(DISTINCT label) FROM {vocab})"
+    t = f"CAST(floor({sql_u(SEED, task, key, draw_sql=f'{sql_lit(draw + ":floyd:")} || CAST(j AS VARCHAR)')} * (j + 1)) AS BIGINT)"
+    seq = f"range(greatest({m} - ({n}) - len({own}), 0), {m})"
+    picked = (f"list_reduce({seq}, lambda acc, j: acc || [CASE WHEN list_contains(acc, {t}) THEN j ELSE {t} END], "
+              f"[]::BIGINT[])")
+    h = sql_hash(SEED, task, key, draw_sql=f"{sql_lit(draw + ':ord:')} || CAST(x AS VARCHAR)")
+    ordered = f"list_sort(list_transform({picked}, lambda x: {{'h': {h}, 'i': x}}))"
+    drawn = f"list_select({labels}, list_transform({ordered}, lambda s: s.i + 1))"
+    return f"list_slice(list_filter({drawn}, lambda v: NOT list_contains({own}, v)), 1, {n})"
 
 
 def u_(task: str, key, draw: str) -> str:
