@@ -19,12 +19,28 @@ from pyspark.sql import functions as F
 from ..functions.draws import u
 
 DEFAULT_WIDTH = 1 << 16
+NULL_BUCKET = -(1 << 63)  # null order keys come first
 
 
 def _bucket_of(order: Sequence[str], width: int) -> Column:
     return F.floor(F.col(order[0]) / F.lit(width)).cast("long")
 
 
+def bucket_offsets(sizes: DataFrame, bucket: str, size: str, name: str, total: str | None = None) -> DataFrame:
+    """Exclusive running sum of ``size`` over buckets in order, in two levels: within groups of ``DEFAULT_WIDTH``
+    consecutive buckets, and over the table of groups.  Only the latter (one row per group) is one task's window."""
+    group = F.floor(F.col(bucket) / F.lit(DEFAULT_WIDTH)).cast("long")
+    s = sizes.withColumn("_gg", group)
+    groups = s.groupBy("_gg").agg(F.sum(size).alias("_ggn"))
+    cols = [F.col("_gg"), F.coalesce(F.sum("_ggn").over(Window.orderBy("_gg").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_ggo")]
+    if total:
+        cols.append(F.sum("_ggn").over(Window.partitionBy()).cast("long").alias(total))
+    inside = Window.partitionBy("_gg").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    out = s.withColumn("_gin", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(groups.select(*cols), "_gg")
+    return out.select(bucket, (F.col("_ggo") + F.col("_gin")).cast("long").alias(name), *([total] if total else []))
+
+
 def with_global_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",
                       bucket: Column | None = None, width: int = DEFAULT_WIDTH,
                       total: str | None = None) -> DataFrame:
@@ -35,13 +51,8 @@ def with_global_index(df: DataFrame, order: Sequence[str], name: str = "row_idx"
     integral first column.  ``total`` (optional) adds the row count.
     """
     b = bucket if bucket is not None else _bucket_of(order, width)
-    d = df.withColumn("_gb", b)
-    counts = d.groupBy("_gb").agg(F.count(F.lit(1)).alias("_gn"))
-    before = Window.orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.col("_gb"), F.coalesce(F.sum("_gn").over(before), F.lit(0)).alias("_goff")]
-    if total:
-        cols.append(F.sum("_gn").over(Window.partitionBy()).alias(total))
-    offsets = counts.select(*cols)
+    d = df.withColumn("_gb", F.coalesce(b.cast("long"), F.lit(NULL_BUCKET).cast("long")))
+    offsets = bucket_offsets(d.groupBy("_gb").agg(F.count(F.lit(1)).alias("_gn")), "_gb", "_gn", "_goff", total)
     in_bucket = Window.partitionBy("_gb").orderBy(*order)
     return (d.withColumn("_grn", F.row_number().over(in_bucket))
             .join(offsets, "_gb")

@@ -8,8 +8,8 @@ by ``build_vocab``.  A user tokenizer plugs in through ``map_tokenizer``
 
 Encoding explodes tokens with their positions, joins the vocabulary and
 regroups by row key.  The input is first partitioned by the row key, so the
-explode, the (broadcast) vocabulary join and the regroup all stay inside one
-stage: rows move once, token rows never cross the network.
+explode, the vocabulary join (where the vocabulary is small enough to be
+broadcast) and the regroup stay inside one stage.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import DEFAULT_WIDTH
+from .ordering import DEFAULT_WIDTH, bucket_offsets, with_global_index
 
 # Special tokens and their ids, the splitter, the prompt format.
 SPECIALS = ("<unk>", "<s>", "</s>")
@@ -29,7 +29,6 @@ IGNORE_ID = -100
 TOKEN_RE = "</s>|<s>|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_ \\t\\n\\r\\f\\x0B]"
 PROMPT_HEAD = "Write a response that appropriately completes the Input.\n\nInput:\n"
 PROMPT_MID = "\n\nResponse:\n"
-BROADCAST_VOCAB = 2_000_000
 
 
 def _c(x) -> Column:
@@ -89,34 +88,32 @@ def tokenize(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(TOKEN_RE), 0)
 
 
-def build_vocab(df: DataFrame, col: str, size: int) -> DataFrame:
-    """TOK1: specials, then the ``size`` most frequent tokens (count desc, token asc).
+def build_vocab(df: DataFrame, col: str, size: int | None = None) -> DataFrame:
+    """TOK1: specials, then all tokens (or the ``size`` most frequent), by count desc, token asc.
 
-    Counting is a partial aggregate (map-side combine); the top-``size`` cut
-    keeps ``size`` rows per partition before the single merge, so the only
-    single-task step handles at most ``size`` x partitions rows.
+    Counting is a partial aggregate (map-side combine); ids come from ``with_global_index`` over buckets of
+    (count, first character), so no task numbers the whole vocabulary.
     """
     spark = df.sparkSession
     counts = (df.select(F.explode(tokenize(col)).alias("token"))
               .filter(~F.col("token").isin(*SPECIALS))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
-    ranked = top.select("token", (rank - 1 + len(SPECIALS)).alias("id"), "count")
+    counts = counts.withColumn("_rare", -F.col("count"))
+    bucket = F.col("_rare") * F.lit(1 << 21) + F.ascii(F.substring("token", 1, 1)).cast("long")
+    ranked = with_global_index(counts, ["_rare", "token"], "_id", bucket=bucket)
+    if size is not None:
+        ranked = ranked.filter(F.col("_id") < size)
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, count long")
-    return specials.unionByName(ranked.select("token", F.col("id").cast("int"), F.col("count").cast("long")))
-
-
-def _vocab_side(vocab: DataFrame, size_hint: int | None) -> DataFrame:
-    v = vocab.select("token", F.col("id").cast("int").alias("_id"))
-    n = size_hint if size_hint is not None else v.count()
-    return F.broadcast(v) if n <= BROADCAST_VOCAB else v
+    return specials.unionByName(ranked.select("token", (F.col("_id") + len(SPECIALS)).cast("int").alias("id"),
+                                              F.col("count").cast("long")))
 
 
 def encode(df: DataFrame, key: Sequence[str], texts: dict[str, tuple[str, bool]], vocab: DataFrame,
-           vocab_size: int | None = None, prepartition: bool = True) -> DataFrame:
+           prepartition: bool = True) -> DataFrame:
     """TOK1: ids per text column.  ``texts`` maps output name -> (text column, add BOS).
 
+    Whether the vocabulary is broadcast is left to its measured size; a sort-merge join splits frequent tokens.
+
     Returns ``key`` + one ``array<int>`` column per entry; unknown tokens map to <unk>.
     """
     key = list(key)
@@ -127,7 +124,7 @@ def encode(df: DataFrame, key: Sequence[str], texts: dict[str, tuple[str, bool]]
                      for name, (col, _) in texts.items()])
     x = (d.select(*key, F.explode(segs).alias("_s"))
          .select(*key, "_s.seg", F.posexplode_outer("_s.toks").alias("pos", "token")))
-    x = x.join(_vocab_side(vocab, vocab_size), "token", "left").withColumn(
+    x = x.join(vocab.select("token", F.col("id").cast("int").alias("_id")), "token", "left").withColumn(
         "_id", F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce("_id", F.lit(UNK_ID))))
     g = x.groupBy(*key).agg(*[
         F.array_sort(F.collect_list(F.when((F.col("seg") == name) & F.col("pos").isNotNull(),
@@ -220,12 +217,7 @@ def with_prefix_sum(df: DataFrame, order: Sequence[str], value: str, name: str,
             d = d.withColumn(total, F.sum(value).over(Window.partitionBy(*partition)).cast("long"))
         return d
     d = df.withColumn("_pb", F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
-    sums = d.groupBy("_pb").agg(F.sum(value).alias("_ps"))
-    cols = [F.col("_pb"), F.coalesce(F.sum("_ps").over(Window.orderBy("_pb").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff")]
-    if total:
-        cols.append(F.sum("_ps").over(Window.partitionBy()).cast("long").alias(total))
-    offs = sums.select(*cols)
+    offs = bucket_offsets(d.groupBy("_pb").agg(F.sum(value).alias("_ps")), "_pb", "_ps", "_poff", total)
     w = Window.partitionBy("_pb").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (d.withColumn("_pin", F.coalesce(F.sum(value).over(w), F.lit(0)))
             .join(offs, "_pb").withColumn(name, (F.col("_poff") + F.col("_pin")).cast("long"))
@@ -241,7 +233,6 @@ def pack_blocks(df: DataFrame, ids: str, block_size: int, order: Sequence[str],
     explode); blocks are regrouped by (batch, block), each at most
     ``block_size`` ids.
     """
-    from .ordering import with_global_index
     b = block_size
     d = df.withColumn("_n", F.size(ids))
     if batch_rows:

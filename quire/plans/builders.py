@@ -17,15 +17,19 @@ from .common import finish
 from .tasks import DIALOGUE, SEED
 
 
+SYSTEM_MARK = "[system] "
 TURN_BUCKET = 1024  # turns per scan bucket inside one conversation
 
 
 def dialogue_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns -> (conv_id, i, prompt, reply): system turns dropped, user-first only, runs merged.
+    """Turns -> (conv_id, i, prompt, reply): user-first only, runs merged; a system turn's text is marked and goes to
+    the prompt as the user's.
 
     Run detection is a bucketed scan, so a very long conversation is split over tasks.
     """
-    t = conversations.select("conv_id", "turn", "role", "text").filter(F.col("role") != "system")
+    system = F.col("role") == "system"
+    t = conversations.select("conv_id", "turn", F.when(system, F.lit("user")).otherwise(F.col("role")).alias("role"),
+                             F.when(system, F.concat(F.lit(SYSTEM_MARK), "text")).otherwise(F.col("text")).alias("text"))
     t = validate_domain(t, "role", ["user", "assistant"], "role")
     t = require_first_role(t, "user", split_keys=True)
     bucket = F.floor(F.col("turn") / TURN_BUCKET)

@@ -16,7 +16,8 @@ NL = "chr(10)"
 
 def dialogue_pairs_sql() -> str:
     return f"""
-t AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'),
+t AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'user' ELSE role END AS role,
+             CASE role WHEN 'system' THEN '[system] ' || text ELSE text END AS text FROM conversations),
 tv AS (SELECT conv_id, turn,
               CASE WHEN role IN ('user', 'assistant') THEN role ELSE error('unknown role') END AS role,
               text FROM t),
@@ -34,7 +35,7 @@ pairs AS (SELECT conv_id, CAST((run - 1) // 2 AS INTEGER) AS i,
           FROM runs GROUP BY 1, 2 HAVING prompt IS NOT NULL AND reply IS NOT NULL)"""
 
 
-def dialogue_history() -> str:
+def dialogue_history(raw: bool = False) -> str:
     um, am = sql_lit(DIALOGUE.words["user"]), sql_lit(DIALOGUE.words["assistant"])
     hist = f"""hist AS (
   SELECT conv_id, i, reply,
@@ -42,7 +43,8 @@ def dialogue_history() -> str:
              PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '')
              || {um} || prompt, '^' || {NL} || '+', '') AS history
   FROM pairs)"""
-    sel = sql_finish(DIALOGUE, ["conv_id", "i"], {"text": "history"}, "reply", None, SEED)
+    sel = sql_finish(DIALOGUE, ["conv_id", "i"], {"text": "history"}, "reply", None, SEED,
+                     sep=None if raw else " | ")
     return f"WITH {dialogue_pairs_sql()},\n{hist}\nSELECT {sel} FROM hist"
 
 
@@ -528,16 +530,15 @@ def _sampled(sql: str, fraction: float, task: str) -> str:
             f"<= floor(count(*) OVER () * {fraction})")
 
 
-def mixture() -> str:
+def mixture(raw: bool = False) -> str:
     f = _B.MIX_FRACTION
-    parts = [(build_relations(), RELATIONS.name), (build_entities(), ENTITIES.name),
-             (build_tagged_entities(), TAGGED.name), (build_events(), EVENTS.name),
-             (build_normalization(), NORMALIZATION.name), (build_classification(), CLASSIFICATION.name),
-             (build_classification_sized(), CLASSIFICATION_SIZED.name), (build_pair_match(), PAIR_MATCH.name),
-             (build_ordinal_match(), ORDINAL.name), (build_relevance(), RELEVANCE.name),
-             (dialogue_history(), DIALOGUE.name)]
+    builders = ((build_relations, RELATIONS), (build_entities, ENTITIES), (build_tagged_entities, TAGGED),
+                (build_events, EVENTS), (build_normalization, NORMALIZATION), (build_classification, CLASSIFICATION),
+                (build_classification_sized, CLASSIFICATION_SIZED), (build_pair_match, PAIR_MATCH),
+                (build_ordinal_match, ORDINAL), (build_relevance, RELEVANCE), (dialogue_history, DIALOGUE))
+    parts = [(make(raw=raw), spec.name) for make, spec in builders]
     base = f"""WITH {dialogue_pairs_sql()}
-SELECT prompt AS input, reply AS target, CAST(NULL AS VARCHAR) AS answer_choices, 'base' AS task_type,
+SELECT prompt AS input, reply AS target, CAST(NULL AS VARCHAR{"[]" if raw else ""}) AS answer_choices, 'base' AS task_type,
        'base' AS task_dataset, concat_ws('-', 'base', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id
 FROM pairs"""
     arms = [f"SELECT input, target, answer_choices, task_type, task_dataset, sample_id FROM ({base})"]
@@ -551,15 +552,16 @@ def task_counts() -> str:
 
 
 def content_manifest() -> str:
-    # Spark side hashes the raw rows (answer_choices as an array rendered by cast to string)
-    fields = ["input", "target", "ac", "task_type", "task_dataset", "sample_id"]
-    txt = " || chr(31) || ".join(f"coalesce({c}, '␀')" for c in fields)
-    h = f"CAST(('0x' || substr(sha256({txt}), 1, 15))::BIGINT AS HUGEINT)"
+    def item(c: str) -> str:
+        return f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, 'N')"
+
+    fields = [item(c) for c in ("input", "target", "task_type", "task_dataset", "sample_id")]
+    fields.insert(2, "coalesce('A' || CAST(len(answer_choices) AS VARCHAR) || ':' || array_to_string(list_transform("
+                     f"answer_choices, lambda x: {item('x')}), ''), 'N')")
+    parts = [f"CAST(sum(CAST(('0x' || substr(h, {i}, 13))::BIGINT AS HUGEINT)) AS VARCHAR)" for i in (1, 14, 27, 40, 53)]
     return f"""
-WITH m AS (SELECT *, CASE WHEN answer_choices IS NULL THEN NULL
-                          ELSE '[' || replace(answer_choices, ' | ', ', ') || ']' END AS ac
-           FROM ({mixture()}))
-SELECT task_dataset, count(*) AS n_rows, CAST(sum({h}) AS VARCHAR) AS digest FROM m GROUP BY task_dataset"""
+WITH m AS (SELECT task_dataset, sha256({" || ".join(fields)}) AS h FROM ({mixture(raw=True)}))
+SELECT task_dataset, count(*) AS n_rows, {" || '-' || ".join(parts)} AS digest FROM m GROUP BY task_dataset"""
 
 
 # ---------------------------------------------------------------- parsers
@@ -842,7 +844,7 @@ def preference_pairs() -> str:
     return f"WITH {_preference_sql()} SELECT sample_id, text_pos, text_neg FROM pt"
 
 
-def _vocab_sql(name: str, source: str, size: int) -> str:
+def _vocab_sql(name: str, source: str) -> str:
     specials = ", ".join(f"({sql_lit(t)}, {i}, 0)" for i, t in enumerate(_TK.SPECIALS))
     sp = ", ".join(sql_lit(t) for t in _TK.SPECIALS)
     return f"""
@@ -850,14 +852,13 @@ def _vocab_sql(name: str, source: str, size: int) -> str:
                WHERE token NOT IN ({sp}) GROUP BY token),
 {name} AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 + {len(_TK.SPECIALS)} AS INTEGER) AS id,
                   CAST(count AS BIGINT) AS count
-           FROM {name}_cnt QUALIFY row_number() OVER (ORDER BY count DESC, token) <= {size}
+           FROM {name}_cnt
            UNION ALL SELECT * FROM (VALUES {specials}) AS s(token, id, count)),
 {name}_map AS (SELECT map(list(token), list(id)) AS m FROM {name})"""
 
 
 def build_vocab() -> str:
-    from .catalog import VOCAB_DOCS
-    return f"WITH {_vocab_sql('v', 'documents', VOCAB_DOCS)} SELECT token, id, count FROM v"
+    return f"WITH {_vocab_sql('v', 'documents')} SELECT token, id, count FROM v"
 
 
 def _ids(text: str, vmap: str, bos: bool) -> str:
@@ -871,9 +872,9 @@ def _join_ids(x: str) -> str:
 
 
 def encode_labels() -> str:
-    from .catalog import MAX_LEN, VOCAB_CONV
+    from .catalog import MAX_LEN
     return f"""
-WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations')},
 e AS (SELECT sample_id, {_ids('prompt', 'v_map', True)} AS p, {_ids(_ensure('reply'), 'v_map', False)} AS r FROM pp, v_map),
 l AS (SELECT sample_id, list_slice(p || r, 1, {MAX_LEN}) AS ids,
              list_slice(list_transform(p, lambda x: -100) || r, 1, {MAX_LEN}) AS labels,
@@ -883,17 +884,15 @@ SELECT sample_id, CAST(len(ids) AS INTEGER) AS n_ids, {_join_ids('ids')} AS inpu
 
 
 def encode_all() -> str:
-    from .catalog import VOCAB_CONV
     return f"""
-WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+WITH {_pairs_sql()}, {_vocab_sql('v', 'conversations')},
 e AS (SELECT sample_id, {_ids(_wrap_train('prompt', 'reply'), 'v_map', True)} AS ids FROM pp, v_map)
 SELECT sample_id, CAST(len(ids) AS INTEGER) AS n_ids, {_join_ids('ids')} AS input_ids, {_join_ids('ids')} AS labels,
        {_join_ids('list_transform(ids, lambda x: 1)')} AS attention_mask FROM e"""
 
 
 def _doc_ids_sql() -> str:
-    from .catalog import VOCAB_DOCS
-    return f"""{_vocab_sql('v', 'documents', VOCAB_DOCS)},
+    return f"""{_vocab_sql('v', 'documents')},
 di AS (SELECT doc_id, {_ids('text', 'v_map', True)} AS ids FROM documents, v_map)"""
 
 
@@ -906,9 +905,8 @@ FROM c WHERE len(ids) <= 2048"""
 
 
 def encode_pairs() -> str:
-    from .catalog import VOCAB_CONV
     return f"""
-WITH {_preference_sql()}, {_vocab_sql('v', 'conversations', VOCAB_CONV)},
+WITH {_preference_sql()}, {_vocab_sql('v', 'conversations')},
 e AS (SELECT sample_id, {_ids('text_pos', 'v_map', True)} AS a, {_ids('text_neg', 'v_map', True)} AS b FROM pt, v_map)
 SELECT sample_id, {_join_ids('a')} AS input_ids_pos, {_join_ids('list_transform(a, lambda x: 1)')} AS attention_mask_pos,
        {_join_ids('b')} AS input_ids_neg, {_join_ids('list_transform(b, lambda x: 1)')} AS attention_mask_neg FROM e"""
@@ -937,11 +935,9 @@ def map_tokenizer() -> str:
 # ---------------------------------------------------------------- metrics
 
 def shifted_accuracy() -> str:
-    from .catalog import PRED_VOCAB
-    limit = PRED_VOCAB + len(_TK.SPECIALS)
     return f"""
 WITH {_doc_ids_sql()},
-p AS (SELECT ids, list_transform(ids[2:] || [{_TK.EOS_ID}], lambda x: CASE WHEN x < {limit} THEN x ELSE {_TK.UNK_ID} END) AS preds
+p AS (SELECT ids, list_transform(ids[2:] || [{_TK.EOS_ID}], lambda x, i: CASE WHEN (x * 7 + i - 1) % 10 < 7 THEN x ELSE {_TK.UNK_ID} END) AS preds
       FROM di),
 c AS (SELECT greatest(len(ids) - 1, 0) AS n,
              len(list_filter(range(1, greatest(len(ids) - 1, 0) + 1), lambda k: preds[k] = ids[k + 1])) AS ok FROM p)
@@ -1010,6 +1006,14 @@ SELECT doc_id, lang, CAST(floor(idx / per) AS INTEGER) AS shard, CAST(idx - floo
 FROM x"""
 
 
+def file_manifest() -> str:
+    return f"""
+WITH f AS (SELECT concat_ws('-', CAST(c_nationkey AS VARCHAR), CAST(c_custkey // 1000 AS VARCHAR)) AS part,
+                  string_agg(lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '|' || c_name, {NL} ORDER BY c_custkey, c_name) || {NL} AS t
+           FROM customer GROUP BY 1)
+SELECT part, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS sha256 FROM f"""
+
+
 def stream_prepare() -> str:
     return encode_labels()
 

@@ -1,9 +1,8 @@
 """Content digests (SNK7, SNK8, SCL15).
 
-``content_manifest`` is an order-free digest per group: every row's SHA-256
-is cut to its first 15 hex digits and summed as a decimal, so the digest
-does not depend on partitioning, file layout or row order, and is computed
-with one partial aggregate (map-side combine) per group.
+``content_manifest`` is an order-free digest per group: every row's SHA-256 is cut into five numbers of up to 52 bits,
+each summed as a decimal, so the digest does not depend on partitioning, file layout or row order, uses every bit of
+the hash and is computed with one partial aggregate (map-side combine) per group.
 """
 
 from __future__ import annotations
@@ -12,31 +11,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-FIELD_SEP = "\u001f"
-NULL_MARK = "␀"
+def item_text(c: Column) -> Column:
+    """Length-prefixed, so that different items never join to the same text."""
+    c = c.cast("string")
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N"))
 
 
-def row_text(cols: Sequence[Column]) -> Column:
-    return F.concat_ws(FIELD_SEP, *[F.coalesce(c.cast("string"), F.lit(NULL_MARK)) for c in cols])
+def row_text(df: DataFrame, cols: Sequence[str]) -> Column:
+    def one(name):
+        if not isinstance(df.schema[name].dataType, T.ArrayType):
+            return item_text(F.col(name))
+        items = F.array_join(F.transform(name, item_text), "")
+        return F.coalesce(F.concat(F.lit("A"), F.size(name).cast("string"), F.lit(":"), items), F.lit("N"))
 
+    return F.concat(*[one(c) for c in cols])
 
-def row_sha(cols: Sequence[Column]) -> Column:
+
+def row_sha(df: DataFrame, cols: Sequence[str]) -> Column:
     """SCL15: SHA-256 hex of a row's fields."""
-    return F.sha2(row_text(cols), 256)
+    return F.sha2(row_text(df, cols), 256)
 
 
 def content_manifest(df: DataFrame, by: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
-    """SNK8: per group: row count and the sum of 60-bit row-hash prefixes (as text)."""
-    cols = list(cols or [c for c in df.columns])
-    h = F.conv(F.substring(row_sha([F.col(c) for c in cols]), 1, 15), 16, 10).cast("decimal(38,0)")
-    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("_d"))
-            .withColumn("digest", F.col("_d").cast("string")).drop("_d"))
+    """SNK8: per group: row count and the sums of the row hashes' parts (as text)."""
+    h = df.select(*by, row_sha(df, list(cols or df.columns)).alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", i, 13), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 14, 27, 40, 53)]
+    return h.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("digest"))
 
 
 def file_manifest(spark, path: str, glob: str = "*") -> DataFrame:
-    """SNK7: one SHA-256 per file under ``path`` (names containing 'sha256' skipped)."""
+    """SNK7: one SHA-256 per file under ``path`` (file names containing 'sha256' skipped)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(path))
-    return (files.filter(~F.col("path").contains("sha256"))
+    return (files.filter(~F.substring_index("path", "/", -1).contains("sha256"))
             .select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("sha256")))

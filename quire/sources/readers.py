@@ -7,7 +7,6 @@ scale from there.  Everything after the parse is ordinary columnar work.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,11 +107,12 @@ def read_text(spark: SparkSession, path, keep_linebreaks: bool = True) -> DataFr
 
 def read_splits(spark: SparkSession, directory: str, schema: T.StructType = INSTRUCTION_SCHEMA,
                 splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
-    """SRC8: ``<dir>/<split>.json`` (JSON Lines) files with a literal ``split`` column (local paths)."""
+    """SRC8: ``<dir>/<split>.json`` (JSON Lines) files, on any file system, with a literal ``split`` column."""
     out = None
     for s in splits:
-        p = os.path.join(directory, f"{s}.json")
-        if os.path.exists(p):
+        p = f"{directory.rstrip('/')}/{s}.json"
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
             df = read_jsonl(spark, p, schema).withColumn("split", F.lit(s))
             out = df if out is None else out.unionByName(df)
     if out is None:

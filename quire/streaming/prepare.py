@@ -2,7 +2,8 @@
 
 The source behaviour is a stateless map over a stream of rows.  Encoding
 and packing regroup rows, so each micro-batch runs the batch operators in
-``foreachBatch`` against a static vocabulary, appending to a file sink.
+``foreachBatch`` against a static vocabulary, writing each micro-batch to a
+folder of its own with overwrite, so that a replayed batch replaces itself.
 Packing drops the remainder per micro-batch, as the source does.  Runs are
 ``Trigger.AvailableNow`` with a checkpoint under the shared checkpoint
 directory, so a restarted query resumes where it stopped.
@@ -19,10 +20,10 @@ from ..sinks.writers import scratch_path
 
 def run_available_now(stream: DataFrame, per_batch: Callable[[DataFrame, int], DataFrame], out_path: str,
                       checkpoint: str) -> None:
-    """Apply ``per_batch`` to every micro-batch and append the result as parquet."""
+    """Apply ``per_batch`` to every micro-batch; its result is the parquet folder ``batch=<epoch>``."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        per_batch(batch, epoch).write.mode("append").parquet(out_path)
+        per_batch(batch, epoch).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -49,4 +50,4 @@ def stream_transform(spark: SparkSession, source_path: str, schema, per_batch, n
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
     run_available_now(stream_file_source(spark, source_path, schema, fmt, max_files_per_trigger), per_batch, out, ckpt)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
