@@ -105,14 +105,21 @@ def test_bucketed_tags_equal_plain(spark, width):
     assert a == b
 
 
-def test_builder_uses_join_path_beyond_small_vocabulary(spark, monkeypatch):
-    """Force the large-vocabulary path inside a real builder; choices stay valid."""
+def test_list_and_join_forms_agree(spark):
+    """One definition: the literal look-up and the join give the same labels, whatever the sizes."""
+    own_of = {i: VOCAB[i % 7:i % 11 + i % 5] for i in range(40)}
+    df = spark.createDataFrame([(k, v, k % 6) for k, v in own_of.items()], "k int, own array<string>, n int")
+    vocab = spark.createDataFrame([(v,) for v in VOCAB + VOCAB[:9]], "label string")
+    a = df.select("k", absent_from_list(F.col("own"), VOCAB, F.col("n"), 1, "t", ["k"]).alias("a")).collect()
+    b = absent_by_join(df, ["k"], "own", F.col("n"), vocab, 1, "t", "a").select("k", "a").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_normalization_choices_are_valid(spark):
     from conftest import SMALL
-    from quire.operators import choices as CH
     from quire.plans import builders as B
     from quire.plans.tasks import NORMALIZATION
     from quire.session import table
-    monkeypatch.setattr(CH, "SMALL_VOCAB", 2)
     part = table(spark, SMALL, "part")
     names = {r.p_name for r in part.select("p_name").distinct().collect()}
     samples = {(r.p_brand, r.p_size): r.names for r in B.normalization_samples(part).collect()}

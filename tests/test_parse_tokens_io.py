@@ -19,11 +19,14 @@ def preds(spark, rows):
 def test_entity_round_trip(spark):
     from conftest import SMALL
     from quire.plans import builders as B
+    from quire.plans.tasks import ENTITIES
     from quire.session import table
     samples = B.entity_samples(table(spark, SMALL, "events"))
     built = B.build_entities(samples)
-    parsed = P.parse_entities(built).select("sample_id", "type", "entity").distinct()
-    exists = built.filter(~F.col("target").startswith("The record has no"))
+    parsed = P.parse_entities(built, ENTITIES.words["line"])
+    assert parsed.select("sample_id").distinct().count() == built.count()  # samples without a mention stay
+    parsed = parsed.filter("entity is not null").select("sample_id", "type", "entity").distinct()
+    exists = built.filter(F.col("target") != ENTITIES.words["none"])
     src = (samples.select(F.concat_ws("-", F.lit("entities"), F.col("user_id").cast("string"),
                                       F.col("day").cast("string")).alias("sample_id"), F.explode("ents").alias("e"))
            .select("sample_id", F.col("e.type").alias("type"), F.col("e.entity").alias("entity"))
@@ -31,19 +34,31 @@ def test_entity_round_trip(spark):
     assert parsed.exceptAll(src).count() == 0 and src.exceptAll(parsed).count() == 0
 
 
+KEYS = ("One：", "Two：")
+
+
 def test_findings_report_events_and_unknown_task(spark):
-    rows = [("i", "head\n a：positive \nb：odd\nc：d：e", ["positive"], "t", "findings", None)]
-    f = P.parse_findings(preds(spark, rows), "unclear").collect()
-    assert [(r.sample_id, r.entity, r.attr) for r in f] == [("xxxx", "a", "positive"), ("xxxx", "b", "unclear")]
-    rep = preds(spark, [("i", "R\nHistory：old\nAdvice：x Advice：rest\nHistory：new ", None, "t", "report", "s")])
-    got = {r.section: r.text for r in P.parse_report(rep).collect()}
-    assert got == {"History": "new", "Advice": "rest"}
-    ev = preds(spark, [("i", "head\nCore:x;Descriptors:a, b,\n", None, "t", "events", "s")])
-    got = [tuple(r) for r in P.parse_events(ev).collect()]
-    assert got == [("s", 0, "x", "", "a，b", ""), ("s", 1, "", "", "", "")]
+    rows = [("i", "head\n a：positive \nb：odd\nc：d：e", ["positive"], "t", "findings", None),
+            ("i", "nothing", ["positive"], "t", "findings", "s2")]
+    f = P.parse_findings(preds(spark, rows), {"findings": "unclear"}).collect()
+    assert [(r.sample_id, r.entity, r.attr) for r in f] == [
+        ("xxxx", "a", "positive"), ("xxxx", "b", "unclear"), ("s2", None, None)]
+    rep = preds(spark, [("i", "R\nOne：old\nTwo：x Two：rest\nOne：new ", None, "t", "report", "s")])
+    got = {r.section: r.text for r in P.parse_report(rep, KEYS).collect()}
+    assert got == {"One": "new", "Two": "rest"}
+    ev = preds(spark, [("i", "head\nCore:x;Kinds:a, b,\n", None, "t", "events", "s")])
+    got = [tuple(r)[1:] for r in P.parse_events(ev, ("Core", "Kinds"), ("Kinds",)).collect()]
+    assert got == [("s", 0, "x", ["a", "b"]), ("s", 1, "", [])]
     with pytest.raises(Exception):
         bad = preds(spark, [("i", "x", None, "t", "nope", "s")])
-        P.parse_answers(bad)["label"].collect()
+        P.parse_answers(bad, {"label": P.label_answers})["label"].collect()
+
+
+def test_folding_stops_after_a_hundred(spark):
+    from quire.functions.text import fold_punctuation
+    texts = ["a:b,c;d", ":" * 130 + ",;", "," * 101 + ":" * 100 + ";" * 99]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fold_punctuation("t")).collect()]
+    assert got == [t.replace(":", "：", 100).replace(",", "，", 100).replace(";", "；", 100) for t in texts]
 
 
 def test_labels_response_and_mask(spark):
@@ -161,7 +176,37 @@ def test_read_splits_and_submission(spark, tmpdir_fresh):
     assert sorted((r.split, r.sample_id) for r in df.collect()) == [("train", "train"), ("validation", "validation")]
     with pytest.raises(FileNotFoundError):
         R.read_splits(spark, os.path.join(tmpdir_fresh, "missing"))
-    parsed = {"label": spark.createDataFrame([("s1", "yes", "pair_match")], "sample_id string, label string, task_dataset string")}
-    counts = {r.task_dataset: r.n_answers for r in W.write_submission(parsed, ["pair_match", "report"],
-                                                                     os.path.join(tmpdir_fresh, "sub")).collect()}
-    assert counts == {"pair_match": 1, "report": 0}
+    d = preds(spark, [("i", " yes ", None, "t", "pair_match", "s1"), ("i", "", None, "t", "terms", None)])
+    routes = {"pair_match": lambda x: P.pair_label_answers(x, {}), "terms": lambda x: P.term_answers(x, "term"),
+              "report": lambda x: P.report_answers(x, KEYS)}
+    parsed = P.parse_answers(d, routes)
+    got = sorted(tuple(r) for r in P.submission_counts(parsed).collect())
+    assert got == [("pair_match", 1, 1), ("report", 0, 0), ("terms", 1, 0)]
+    back = R.read_jsonl(spark, W.write_submission(parsed, os.path.join(tmpdir_fresh, "sub")), W.SUBMISSION).collect()
+    assert sorted((r.task_dataset, r.sample_id, r.answers) for r in back) == [
+        ("pair_match", "s1", '[{"label":"yes"}]'), ("terms", "xxxx", "[]")]
+    kept = W.attach_predictions(d, d.filter("sample_id = 's1'").select("sample_id", "target")).collect()
+    assert len(kept) == 2
+
+
+def test_replayed_batch_replaces_itself(spark, tmpdir_fresh):
+    from quire.streaming.prepare import run_available_now, stream_file_source
+    src, out = os.path.join(tmpdir_fresh, "src"), os.path.join(tmpdir_fresh, "out")
+    spark.range(30).repartition(3).write.parquet(src)
+    for k in range(2):  # a new checkpoint: every batch is replayed
+        run_available_now(stream_file_source(spark, src, "id long", max_files_per_trigger=1), lambda b, e: b, out,
+                          os.path.join(tmpdir_fresh, f"ckpt{k}"))
+    back = spark.read.parquet(out)
+    assert back.count() == 30 and back.select("batch").distinct().count() >= 3
+
+
+def test_manifest_rows_and_names(spark, tmpdir_fresh):
+    from quire.sinks.manifest import content_manifest, file_manifest
+    df = spark.createDataFrame([(1, ["a, b"]), (2, ["a", "b"])], "k int, c array<string>")
+    assert len({r.digest for r in content_manifest(df, ["k"], ["c"]).collect()}) == 2
+    base = os.path.join(tmpdir_fresh, "sha256-folder")
+    os.makedirs(base)
+    for name in ("x.txt", "y.sha256"):
+        with open(os.path.join(base, name), "w") as f:
+            f.write("abc")
+    assert [r.path.rsplit("/", 1)[1] for r in file_manifest(spark, base).collect()] == ["x.txt"]

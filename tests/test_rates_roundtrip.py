@@ -43,7 +43,8 @@ def test_entity_rates(spark):
 def test_relation_round_trip(spark, relations):
     samples = B.relation_samples(table(spark, MID, "orders"))
     exists = relations.filter(F.col("target") != RELATIONS.words["none"])
-    parsed = P.parse_triples(exists).select("sample_id", "predicate", "subject", "object")
+    words = [RELATIONS.words[k] for k in ("line_a", "line_b", "head", "tail")]
+    parsed = P.parse_triples(exists, *words).filter("subject is not null").select("sample_id", "predicate", "subject", "object")
     src = (samples.select(F.concat_ws("-", F.lit("relations"), F.col("o_custkey").cast("string"),
                                       F.col("o_year").cast("string")).alias("sample_id"), F.explode("triples").alias("t"))
            .select("sample_id", F.col("t.predicate").alias("predicate"), F.col("t.subject").alias("subject"),
@@ -62,5 +63,5 @@ def test_cjk_emoji_and_null_text(spark):
     preds = spark.createDataFrame([("i", None, ["Click"], "t", "entities", "s")],
                                   "input string, target string, answer_choices array<string>, task_type string, "
                                   "task_dataset string, sample_id string")
-    assert P.parse_entities(preds).count() == 0
+    assert P.parse_entities(preds, ENTITIES.words["line"]).first().entity is None
     assert P.parse_label(preds).first().label is None
