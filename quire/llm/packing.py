@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_slices, stored
-from .tokenize import encoder
+from .tokenize import ByteEncoder, encoder
 
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long, open boolean"
@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     width = 4 * capacity
 
     def run(batches):
-        enc = encoder(tokenizer, False, False)
+        enc = encoder(ByteEncoder, tokenizer)
         for pdf in batches:
             texts = pdf["text"].tolist()
             keys = pdf["doc_id"].tolist()

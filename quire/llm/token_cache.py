@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_slices
-from .tokenize import encoder, tokenizer_digest, tokenizer_path
+from .tokenize import PieceCounter, encoder, tokenizer_digest, tokenizer_path
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 
@@ -40,7 +40,7 @@ def encode_counts(misses: DataFrame, tokenizer: str) -> DataFrame:
     version = tokenizer_digest(tokenizer_path(tokenizer))
 
     def run(batches):
-        enc = encoder(tokenizer, True, True)
+        enc = encoder(PieceCounter, tokenizer)
         for pdf in batches:
             texts = pdf["text"].tolist()
             counts = []
