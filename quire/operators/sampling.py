@@ -2,10 +2,12 @@
 
 ``sample_k`` is an exact k-of-N sample without replacement and without a
 global sort: rows are ranked by a keyed draw ``u``; a histogram of ``u`` over
-2**20 buckets (a small table) finds the bucket where the running count
-reaches k; whole buckets below it are kept and only that one bucket is
-ranked.  The histogram is partially aggregated map-side, so no task ever
-sees more than one bucket's rows (about N / 2**20).
+2**20 buckets (a small table, aggregated map-side) finds the bucket where the
+running count reaches k; whole buckets below it are kept and only that one
+bucket (about N / 2**20 rows) is ranked.  Bucket and cut are scalar
+subqueries of the same plan: nothing runs before the query does, the
+subqueries read the key columns alone, and the sampled rows are filtered
+without a join, a broadcast or a shuffle.
 """
 
 from __future__ import annotations
@@ -22,76 +24,31 @@ SAMPLE_BUCKETS = 1 << 20
 
 def sample_k(df: DataFrame, key: Sequence[str], seed, task: str, k: int | None = None,
              fraction: float | None = None, n_buckets: int = SAMPLE_BUCKETS) -> DataFrame:
-    """SMP1: exactly ``k`` rows (or ``floor(fraction * N)``) with the smallest draws.
-
-    See ``sample_k_by``; this is the one-group case with the group named ``task``.
-    """
+    """SMP1: exactly ``k`` rows (or ``floor(fraction * N)``) with the smallest draws; a larger k than N fails."""
     if (k is None) == (fraction is None):
         raise ValueError("give exactly one of k or fraction")
-    d = df.withColumn("_sg", F.lit(task))
-    size = {task: k} if k is not None else fraction
-    return sample_k_by(d, "_sg", key, seed, size, n_buckets).drop("_sg")
-
-
-def sample_k_by(df: DataFrame, by: str, key: Sequence[str], seed, size,
-                n_buckets: int = SAMPLE_BUCKETS) -> DataFrame:
-    """Exact sample per group: ``size`` is a fraction for every group or a dict group -> k.
-
-    The draw of a row is ``u(seed, <group value>, key, "sample")``.  Two small
-    statistics jobs touch only the group and key columns (Catalyst prunes the
-    rest of the input plan): a histogram of 2**20 draw buckets per group gives
-    each group's boundary bucket, then the boundary buckets alone (about
-    N / 2**20 rows each) give each group's exact cut value.  Each job returns
-    one row per group to the driver.  The sample itself is a plain filter
-    against those literals: no global sort, no join, no broadcast, no shuffle
-    of the sampled rows.  Raises when a group's k exceeds its population.
-    """
     key = list(key)
-    d = (df.withColumn("_su", u(seed, F.col(by), key, "sample"))
+    d = (df.withColumn("_su", u(seed, task, key, "sample"))
          .withColumn("_sb", F.floor(F.col("_su") * F.lit(n_buckets)).cast("int")))
-    hist = d.groupBy(by, "_sb").agg(F.count(F.lit(1)).alias("_sn"))
-    upto = Window.partitionBy(by).orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select(by, "_sb", "_sn", F.sum("_sn").over(upto).alias("_scum"),
-                      F.sum("_sn").over(Window.partitionBy(by)).alias("_stotal"))
-    if isinstance(size, dict):
-        m = F.create_map(*[F.lit(x) for kv in size.items() for x in kv])
-        want = F.coalesce(F.try_element_at(m, F.col(by)), F.lit(0)).cast("long")
-    else:
-        want = F.floor(F.col("_stotal") * F.lit(float(size))).cast("long")
-    # per group: the first bucket whose running count reaches k (or any row, to learn the total)
-    cum = cum.withColumn("_sk", want).withColumn("_hit", (F.col("_scum") >= F.col("_sk")) & (F.col("_sk") > 0))
-    first = Window.partitionBy(by).orderBy(F.desc("_hit"), "_sb")
-    edges = (cum.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1)
-             .select(by, "_sb", "_sn", "_scum", "_sk", "_stotal", "_hit").collect())
-    if isinstance(size, dict):
-        seen = {r[by] for r in edges}
-        for g, kk in size.items():
-            if kk > 0 and g not in seen:
-                raise ValueError(f"sample_k({g}): k={kk} is larger than the population (0)")
-    plan = {}
-    for r in edges:
-        if r["_sk"] > r["_stotal"]:
-            raise ValueError(f"sample_k({r[by]}): k={r['_sk']} is larger than the population ({r['_stotal']})")
-        if r["_hit"]:
-            plan[r[by]] = (r["_sb"], int(r["_sk"] - (r["_scum"] - r["_sn"])))
     order = F.struct(F.col("_su"), *[F.col(c) for c in key])
-    if not plan:
-        return d.filter(F.lit(False)).drop("_su", "_sb")
-    is_edge = None
-    for g, (b, _) in plan.items():
-        c = (F.col(by) == F.lit(g)) & (F.col("_sb") == b)
-        is_edge = c if is_edge is None else is_edge | c
-    need = F.create_map(*[F.lit(x) for g, (_, n) in plan.items() for x in (g, n)])
-    cuts = (d.filter(is_edge).groupBy(by).agg(F.array_sort(F.collect_list(order)).alias("_l"))
-            .select(by, F.element_at("_l", F.element_at(need, F.col(by))).alias("_cut")).collect())
-    fields = d.select(order.alias("_so")).schema["_so"].dataType.fields
-    keep = None
-    for r in cuts:
-        b = plan[r[by]][0]
-        cut_lit = F.struct(*[F.lit(r["_cut"][i]).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
-        c = (F.col(by) == F.lit(r[by])) & ((F.col("_sb") < b) | ((F.col("_sb") == b) & (order <= cut_lit)))
-        keep = c if keep is None else keep | c
-    return d.filter(keep).drop("_su", "_sb")
+    hist = d.groupBy("_sb").agg(F.count(F.lit(1)).alias("_sn"))
+    upto = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(1))
+    cum = hist.select("_sb", "_sn", F.sum("_sn").over(upto).alias("_sc"), F.sum("_sn").over(every).alias("_st"))
+    want = F.lit(k).cast("long") if k is not None else F.floor(F.col("_st") * F.lit(float(fraction))).cast("long")
+    hit = F.min(F.when((F.col("_sc") >= want) & (want > 0), F.struct(
+        F.col("_sb").alias("b"), (want - F.col("_sc") + F.col("_sn")).alias("need"))))
+    total = F.coalesce(F.max("_st"), F.lit(0))
+    edge = cum.agg(hit.alias("hit"), total.alias("total"))
+    if k is not None:
+        edge = edge.withColumn("hit", F.when(F.col("total") < k, F.raise_error(F.concat(F.lit(
+            f"sample_k({task}): k={k} is larger than the population "), F.col("total").cast("string"))).cast(
+            "struct<b:int,need:bigint>")).otherwise(F.col("hit")))
+    edge = edge.select("hit.b", "hit.need")
+    at_edge = d.select(F.col("_sb").alias("b"), order.alias("o")).join(edge, "b")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("o"))
+    cut = at_edge.withColumn("r", rank).filter(F.col("r") <= F.col("need")).agg(F.max("o").alias("cut")).scalar()
+    return d.filter(order <= cut).drop("_su", "_sb")
 
 
 def random_insert(arr: Column, items: Column, seed, task: str, key: Sequence[str],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dialogue import (history_rows, merge_turns, pair_turns, require_first_role,
                                   validate_domain)
-from .common import finish
+from .common import finish, sampled
 from .tasks import DIALOGUE, SEED
 
 
@@ -36,9 +36,10 @@ def dialogue_pairs(conversations: DataFrame) -> DataFrame:
     return pair_turns(merge_turns(t, bucket=bucket), "user", "assistant")
 
 
-def build_dialogue(conversations: DataFrame, seed=SEED, spec=DIALOGUE, **kw) -> DataFrame:
+def build_dialogue(conversations: DataFrame, seed=SEED, spec=DIALOGUE, k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD8: every prefix of every dialogue; last user block in the input, the reply as target."""
     hist = history_rows(dialogue_pairs(conversations), spec.words["user"], spec.words["assistant"])
+    hist = sampled(hist, spec, ["conv_id", "i"], seed, k, fraction)
     return finish(hist, spec, ["conv_id", "i"], {"text": F.col("history")}, F.col("reply"), None, seed, **kw)
 
 
@@ -86,7 +87,7 @@ def relation_samples(orders: DataFrame) -> DataFrame:
 
 
 def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_year"), seed=SEED,
-                    spec=RELATIONS, vocab: DataFrame | None = None, **kw) -> DataFrame:
+                    spec=RELATIONS, vocab: DataFrame | None = None, k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD1: relation triples -> instruction rows with absent-predicate negatives.
 
     ``vocab`` (column ``label``) defaults to the predicates found in ``samples`` (AGG3).
@@ -95,7 +96,8 @@ def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_ye
     p, w = spec.probs, spec.words
     if vocab is None:
         vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
-    d = samples.withColumn("own", F.array_distinct(_ordered_values("triples", "predicate")))
+    d = sampled(samples, spec, key, seed, k, fraction).withColumn(
+        "own", F.array_distinct(_ordered_values("triples", "predicate")))
     d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
     d = absent_by_join(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
                     seed, spec.name, "absent_n", draw="absent_n")
@@ -149,13 +151,14 @@ def _entity_lines(choices: Column, ents: str, head: str, line: str) -> Column:
 
 
 def build_entities(samples: DataFrame, key: Sequence[str] = ("user_id", "day"), seed=SEED,
-                   spec=ENTITIES, vocab: DataFrame | None = None, **kw) -> DataFrame:
+                   spec=ENTITIES, vocab: DataFrame | None = None, k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD2: typed entities -> rows; one absent type inserted before the last, or a 'none' row."""
     key = list(key)
     p, w = spec.probs, spec.words
     if vocab is None:
         vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
-    d = samples.withColumn("own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
+    d = sampled(samples, spec, key, seed, k, fraction).withColumn(
+        "own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
     d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = (u(seed, spec.name, key, "add_absent") < p["add_absent"]) & (F.size("absent1") > 0)
@@ -203,7 +206,7 @@ def tag_sequences(events: DataFrame) -> DataFrame:
 
 def build_tagged_entities(tags: DataFrame, key: Sequence[str] = ("user_id", "day"),
                           order: Sequence[str] = ("ts", "event_id"), seed=SEED, spec=TAGGED,
-                          **kw) -> DataFrame:
+                          k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD2b: tag sequences -> decoded entities -> rows; all-types-present rows never get 'none'."""
     key = list(key)
     p, w = spec.probs, spec.words
@@ -211,7 +214,7 @@ def build_tagged_entities(tags: DataFrame, key: Sequence[str] = ("user_id", "day
     n_types = len(TAG_TYPES)
     types = F.array(*[F.lit(t) for t in TAG_TYPES])
     d = ents.withColumn("own", F.filter(types, lambda t: F.exists("ents", lambda x: x["type"] == t)))
-    d = d.filter(F.size("own") > 0)  # FLT4
+    d = sampled(d.filter(F.size("own") > 0), spec, key, seed, k, fraction)  # FLT4
     n_abs = draw_int(1, F.lit(n_types) - F.size("own"), u(seed, spec.name, key, "n_absent"))
     d = d.withColumn("absent", absent_from_list(F.col("own"), list(TAG_TYPES), n_abs, seed, spec.name,
                                                 key, "absent"))
@@ -255,7 +258,7 @@ def event_samples(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Da
 
 
 def build_events(samples: DataFrame, key: Sequence[str] = ("o_custkey",), seed=SEED, spec=EVENTS,
-                 **kw) -> DataFrame:
+                 k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD3: events -> one multi-line target per sample; no negatives, choices null."""
     key = list(key)
     w = spec.words
@@ -265,7 +268,7 @@ def build_events(samples: DataFrame, key: Sequence[str] = ("o_custkey",), seed=S
         return F.concat_ws("；", *[F.concat(F.lit(k + COLON), v) for k, v in zip(w["keys"], values)])
 
     target = F.concat(F.lit(w["head"]), F.array_join(F.transform("events", line), "\n"))
-    return finish(samples, spec, key, {"text": F.col("text")}, target, None, seed, **kw)
+    return finish(sampled(samples, spec, key, seed, k, fraction), spec, key, {"text": F.col("text")}, target, None, seed, **kw)
 
 
 # ---------------------------------------------------------------- BLD4 normalization
@@ -281,13 +284,14 @@ def normalization_samples(part: DataFrame) -> DataFrame:
 
 
 def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_size"), seed=SEED,
-                        spec=NORMALIZATION, vocab: DataFrame | None = None, **kw) -> DataFrame:
+                        spec=NORMALIZATION, vocab: DataFrame | None = None, k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD4: terms; 1-3 absent terms inserted at random positions, or 2-10 absent and 'none'."""
     key = list(key)
     p, w = spec.probs, spec.words
     if vocab is None:
         vocab = vocabulary(samples, F.col("names"))
-    d = absent_by_join(samples, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
+    d = sampled(samples, spec, key, seed, k, fraction)
+    d = absent_by_join(d, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
                     seed, spec.name, "extra", draw="extra")
     d = absent_by_join(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
                     seed, spec.name, "absent", draw="absent")
@@ -302,12 +306,13 @@ def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_
 # ---------------------------------------------------------------- BLD5 classification
 
 def build_classification(docs: DataFrame, label_col: str = "source", key: Sequence[str] = ("doc_id",),
-                         seed=SEED, spec=CLASSIFICATION, **kw) -> DataFrame:
+                         seed=SEED, spec=CLASSIFICATION, k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD5: one label per text; 'other' class dropped; 10% 'none of these' rows."""
     key = list(key)
     p, w = spec.probs, spec.words
-    d = docs.filter(F.col(label_col) != w["drop"]).withColumn("own", F.array(F.col(label_col)))
+    d = docs.filter(F.col(label_col) != w["drop"])
     vocab = d.select(F.col(label_col).alias("label"))
+    d = sampled(d, spec, key, seed, k, fraction).withColumn("own", F.array(F.col(label_col)))
     d = absent_by_join(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
                        spec.name, "absent_none", draw="absent_none")
     d = absent_by_join(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
@@ -329,12 +334,13 @@ def region_labels(docs: DataFrame, nation: DataFrame) -> DataFrame:
 
 def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: DataFrame,
                                key: Sequence[str] = ("doc_id",), seed=SEED, spec=CLASSIFICATION_SIZED,
-                               **kw) -> DataFrame:
+                               k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD5b: choice-list size drawn from the empirical size distribution of ``sizes_from``."""
     key = list(key)
     p, w = spec.probs, spec.words
     dist = size_distribution(sizes_from.filter(F.col("answer_choices").isNotNull()), "answer_choices")
-    d = draw_size(region_labels(docs, nation).withColumn("own", F.array("region")), dist, u(
+    d = sampled(region_labels(docs, nation), spec, key, seed, k, fraction)
+    d = draw_size(d.withColumn("own", F.array("region")), dist, u(
         seed, spec.name, key, "size"), "_m").withColumn("_m", F.greatest(F.col("_m") - 1, F.lit(0)))
     vocab = nation.select(F.col("n_name").alias("label"))
     d = absent_by_join(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", draw="absent")
@@ -359,7 +365,7 @@ def adjacent_pairs(docs: DataFrame) -> DataFrame:
 
 
 def build_pair_match(pairs: DataFrame, key: Sequence[str] = ("doc_id",), seed=SEED, spec=PAIR_MATCH,
-                     **kw) -> DataFrame:
+                     k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD6: the answer wording (same/different or yes/no) follows the chosen template."""
     from ..operators.templates import pick_template
     key = list(key)
@@ -370,17 +376,18 @@ def build_pair_match(pairs: DataFrame, key: Sequence[str] = ("doc_id",), seed=SE
     yes_w = F.element_at(F.array(*[F.lit(x[0]) for x in wording]), idx + 1)
     no_w = F.element_at(F.array(*[F.lit(x[1]) for x in wording]), idx + 1)
     target = F.when(F.col("label") == "1", yes_w).otherwise(no_w)
-    return finish(pairs, spec, key, {"a": F.col("text1"), "b": F.col("text2")}, target,
+    return finish(sampled(pairs, spec, key, seed, k, fraction), spec, key, {"a": F.col("text1"), "b": F.col("text2")}, target,
                   F.array(yes_w, no_w), seed, **kw)
 
 
 def build_ordinal_match(orders: DataFrame, key: Sequence[str] = ("o_orderkey",), seed=SEED, spec=ORDINAL,
-                        **kw) -> DataFrame:
+                        k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD6b: four-or-more ordered choices; the label digit picks the target."""
     key = list(key)
     choices = F.array(*[F.lit(c) for c in spec.words["choices"]])
     label = F.substring("o_orderpriority", 1, 1).cast("int") - 1
     d = orders.select("o_orderkey", "o_custkey", "o_orderdate", label.alias("label"))
+    d = sampled(d, spec, key, seed, k, fraction)
     a = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
     b = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"), F.lit(" on "),
                  F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -402,7 +409,7 @@ def reply_links(conversations: DataFrame):
 
 
 def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=SEED, spec=RELEVANCE,
-                    **kw) -> DataFrame:
+                    k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD7: positive document via the link table, else a random other document (never the positive)."""
     key = ["conv_id", "turn"]
     dkey = ["d_conv", "d_turn"]
@@ -413,7 +420,7 @@ def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=
     idx_docs = with_global_index(docs, dkey, "d_idx", total="n_docs")
     pos = last.join(idx_docs.select(*dkey, "d_idx", "n_docs"), dkey).select(
         *key, F.col("d_idx").alias("pos_idx"), "n_docs")
-    q = queries.join(pos, key)
+    q = sampled(queries.join(pos, key), spec, key, seed, k, fraction)
     relevant = u(seed, spec.name, key, "relevant") < p["relevant"]
     i = F.floor(u(seed, spec.name, key, "negative") * (F.col("n_docs") - 1)).cast("long")
     neg = F.when(i >= F.col("pos_idx"), i + 1).otherwise(i)
@@ -439,46 +446,31 @@ def base_rows(conversations: DataFrame) -> DataFrame:
 MIX_FRACTION = 0.8
 
 
-def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED, materialize: bool = True) -> DataFrame:
+def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFrame:
     """BLD9 / SET1: every task builder, each sampled to ``fraction`` (SMP1), plus the base rows.
 
-    ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.  All
-    tasks are sampled together by ``sample_k_by`` on ``task_dataset``, with the
-    same per-task draws as sampling each builder on its own.
-
-    ``materialize`` writes the candidate rows once as parquet under the shared
-    checkpoint folder: lineage is cut (a lost executor does not rerun the
-    builders), the sampling statistics read only two columns, and the
-    builders run once instead of once per statistics pass.
+    ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.  Every builder samples its keys first and
+    renders what it keeps, all in one lazy plan: counting the rows reads no text.
     """
-    from ..operators.sampling import sample_k_by
     t = tables
     docs = t["documents"]
-    classification = build_classification(docs, seed=seed)
     parts = [
-        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), seed=seed),
-        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), seed=seed),
-        build_tagged_entities(tag_sequences(t["events"]), seed=seed),
-        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), seed=seed),
-        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), seed=seed),
-        classification,
-        build_classification_sized(docs, t["nation"], classification, seed=seed),
-        build_pair_match(adjacent_pairs(docs), seed=seed),
-        build_ordinal_match(t["orders"], seed=seed),
-        build_relevance(*reply_links(t["conversations"]), seed=seed),
-        build_dialogue(t["conversations"], seed=seed),
+        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), seed=seed, fraction=fraction),
+        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), seed=seed, fraction=fraction),
+        build_tagged_entities(tag_sequences(t["events"]), seed=seed, fraction=fraction),
+        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), seed=seed, fraction=fraction),
+        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), seed=seed, fraction=fraction),
+        build_classification(docs, seed=seed, fraction=fraction),
+        build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), seed=seed, fraction=fraction),
+        build_pair_match(adjacent_pairs(docs), seed=seed, fraction=fraction),
+        build_ordinal_match(t["orders"], seed=seed, fraction=fraction),
+        build_relevance(*reply_links(t["conversations"]), seed=seed, fraction=fraction),
+        build_dialogue(t["conversations"], seed=seed, fraction=fraction),
     ]
-    built = parts[0]
-    for p in parts[1:]:
-        built = built.unionByName(p)
-    if materialize:
-        from ..sinks.writers import scratch_path
-        spark = built.sparkSession
-        path = scratch_path(spark, "mixture-candidates")
-        built.write.parquet(path)
-        built = spark.read.parquet(path)
-    sampled = sample_k_by(built, "task_dataset", ["sample_id"], seed, fraction)
-    return base_rows(t["conversations"]).unionByName(sampled)  # SNK9: base rows carried through unchanged
+    out = base_rows(t["conversations"])  # SNK9: base rows carried through unchanged
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 # ---------------------------------------------------------------- prediction stand-ins for the parsers

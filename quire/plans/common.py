@@ -23,8 +23,7 @@ def sample_id(spec: TaskSpec, key: Sequence[str]) -> Column:
 
 
 def finish(df: DataFrame, spec: TaskSpec, key: Sequence[str], slots: Mapping[str, Column],
-           target: Column, choices: Column | None, seed, keep_template: bool = False,
-           k: int | None = None, fraction: float | None = None) -> DataFrame:
+           target: Column, choices: Column | None, seed, keep_template: bool = False) -> DataFrame:
     """Render the chosen template, maybe add the answer suffix, emit the six output columns."""
     idx = pick_template(len(spec.templates), seed, spec.name, key)
     text = render(spec.templates, idx, slots)
@@ -36,10 +35,17 @@ def finish(df: DataFrame, spec: TaskSpec, key: Sequence[str], slots: Mapping[str
             sample_id(spec, key).alias("sample_id")]
     if keep_template:
         cols.append(idx.alias("template_id"))
-    out = df.select(*cols)
-    if k is not None or fraction is not None:
-        out = sample_k(out, ["sample_id"], seed, spec.name, k=k, fraction=fraction)
-    return out
+    return df.select(*cols)
+
+
+def sampled(df: DataFrame, spec: TaskSpec, key: Sequence[str], seed, k: int | None = None,
+            fraction: float | None = None) -> DataFrame:
+    """A builder's samples cut to ``k`` or ``fraction`` (SMP1) before anything is drawn or rendered for them: a sample's
+    rank depends on its id alone, so the rows are those of sampling the finished table."""
+    if k is None and fraction is None:
+        return df
+    d = df.withColumn("_sample_id", sample_id(spec, key))
+    return sample_k(d, ["_sample_id"], seed, spec.name, k=k, fraction=fraction).drop("_sample_id")
 
 
 def report(df: DataFrame, sep: str = " | ") -> DataFrame:
