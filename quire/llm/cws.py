@@ -127,11 +127,12 @@ def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
     # A document's edit takes floor(n / 4) characters; of rows with one id, the longest says how many are sent.
     take = lengths.groupBy("id").agg(F.max(F.floor(F.col("n") / 4)).cast("int").alias("take"))
     asks = near.join(take, "id").select(F.col("next_id").alias("from_id"), F.col("id").alias("to_id"), "take")
+    # Of rows with one id the least beginning goes; both uses of the documents share one exchange.
+    sent = docs.join(asks, F.col("id") == F.col("from_id")).select(
+        "to_id", F.substr("text", F.lit(1), F.col("take")).alias("insert")).groupBy("to_id").agg(
+        F.min("insert").alias("insert"))
     row = F.row_number().over(Window.partitionBy("id").orderBy("text"))
-    numbered = docs.withColumn("row", row)
-    sent = numbered.where("row = 1").join(asks, F.col("id") == F.col("from_id")).select(
-        "to_id", F.substr("text", F.lit(1), F.col("take")).alias("insert"))
-    both = numbered.join(sent, F.col("id") == F.col("to_id")).select("id", "row", "text", "insert")
+    both = docs.withColumn("row", row).join(sent, F.col("id") == F.col("to_id")).select("id", "row", "text", "insert")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     both = both.withColumns({"n_chars": n.cast("long"), "head": F.substr("text", F.lit(1), n - cut),
