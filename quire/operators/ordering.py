@@ -93,6 +93,15 @@ def head_split(df: DataFrame, pct: int, order: Sequence[str], name: str = "split
             .drop("_hs_idx", "_hs_n"))
 
 
+def split_if_missing(df: DataFrame, pct: int, order: Sequence[str], name: str = "split", **kw) -> DataFrame:
+    """WIN7's rule over loaded splits: where no row is of a validation split, the first ``pct`` percent of the train
+    rows become one; otherwise every row keeps its split."""
+    has = df.filter(F.col(name) == "validation").agg(F.count(F.lit(1))).scalar()
+    train = head_split(df.filter(F.col(name) == "train").drop(name), pct, order, "_new", **kw)
+    train = train.withColumn(name, F.when(has > 0, F.lit("train")).otherwise(F.col("_new"))).select(*df.columns)
+    return train.unionByName(df.filter(F.coalesce(F.col(name) != "train", F.lit(True))))
+
+
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed, task: str = "shuffle",
                  name: str = "position", n_buckets: int = 1 << 20) -> DataFrame:
     """SMP2: a reproducible permutation; ``name`` is the row's new position."""

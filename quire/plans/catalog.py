@@ -117,7 +117,7 @@ from ..operators.dialogue import merge_turns, turn_histogram  # noqa: E402
 from ..operators.sampling import sample_k  # noqa: E402
 from ..functions.text import to_markdown_row  # noqa: E402
 from ..sinks.manifest import content_manifest  # noqa: E402
-from .tasks import DIALOGUE, ENTITIES, EVENTS, RELATIONS, SEED, TAGGED  # noqa: E402
+from .tasks import CLASSIFICATION, DIALOGUE, ENTITIES, EVENTS, ORDINAL, RELATIONS, SEED, TAGGED  # noqa: E402
 
 ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
               "pages benchmark labels conversations").split()
@@ -698,15 +698,102 @@ ORACLES.update({name: getattr(O, name) for name in (
 
 
 def q_tag_length_check(spark, sf):
+    """FLT7 with real mismatches: a keyed draw takes the last tag of some sequences away."""
+    from ..functions.draws import u
     from ..operators.tags import decode_tags, length_mismatches
     d = decode_tags(B.tag_sequences(table(spark, sf, "events")), ["user_id", "day"], ["ts", "event_id"],
                     B.TAG_LABELS, bucket=F.date_trunc("hour", "ts"))
+    lost = F.when(u(SEED, "tag_length", ["user_id", "day"], "lost") < 0.2, 1).otherwise(0)
+    d = d.withColumn("n_tags", (F.col("n_tags") - lost).cast("int"))
     return length_mismatches(d, "sentence", "n_tags").select("user_id", F.col("day").cast("string").alias("day"),
-                                                            "n_tags")
+                                                            "sentence", "n_tags")
+
+
+def q_template_violations(spark, sf):
+    """FLT5 over the tasks: prompts that fit no template or several; a keyed draw cuts some prompts' beginning off."""
+    from ..functions.draws import u
+    o, ev, docs = table(spark, sf, "orders"), table(spark, sf, "events"), _docs(spark, sf)
+    made = ((RELATIONS, B.build_relations(B.relation_samples(o), vocab=B.relation_vocab(o))),
+            (ENTITIES, B.build_entities(B.entity_samples(ev), vocab=B.entity_vocab(ev))),
+            (ORDINAL, B.build_ordinal_match(o)), (CLASSIFICATION, B.build_classification(docs)),
+            (DIALOGUE, B.build_dialogue(table(spark, sf, "conversations"))))
+    out = None
+    for spec, rows in made:
+        cut = F.when(u(SEED, "violations", ["sample_id"], "cut") < 0.1, F.substring("input", 25, 1 << 30)).otherwise(F.col("input"))
+        v = REP.template_violations(rows.withColumn("input", cut), "input", spec.templates).select(
+            "task_dataset", "sample_id", F.size("matched").alias("n_matched"))
+        out = v if out is None else out.unionByName(v)
+    return out
 
 
-QUERIES["tag_length_check"] = q_tag_length_check
-ORACLES["tag_length_check"] = O.tag_length_check
+def q_packed_lists(spark, sf):
+    """SCL5, SET2, SET3: quoted ``##`` lists of part names per brand, unpacked, distinct in order, compared as sets."""
+    from ..functions.text import split_keep, strip_quotes
+    from ..operators.choices import distinct_in_order, sorted_difference
+    p = table(spark, sf, "part")
+    small = F.when(F.col("p_size") <= 25, F.struct("p_partkey", "p_name"))
+    large = F.when(F.col("p_size") > 25, F.struct("p_partkey", "p_name"))
+    packed = lambda c: F.concat(F.lit('"'), F.array_join(F.transform(
+        F.array_sort(F.collect_list(c)), lambda s: s["p_name"]), "##"), F.lit('"'))
+    g = p.groupBy("p_brand").agg(packed(small).alias("a"), packed(large).alias("b"))
+    g = g.withColumns({c: distinct_in_order(split_keep(strip_quotes(c), "##")) for c in "ab"})
+    return g.select("p_brand", F.array_join("a", "##").alias("names"), F.size("a").alias("n_names"),
+                    F.array_join(sorted_difference(F.col("a"), F.col("b")), "##").alias("only_small"))
+
+
+def q_shape_columns(spark, sf):
+    """PRJ8: instruction rows and preference pairs shaped by their dataset kind."""
+    ins = _pairs(spark, sf).select("sample_id", F.col("prompt").alias("input"), F.col("reply").alias("target"))
+    pref = preference_rows(spark, sf)
+    a = TK.shape_columns(ins, "instruction").select(F.lit("instruction").alias("kind"), "sample_id", "input", "output", F.col("TEXT").alias("text"))
+    b = TK.shape_columns(pref, "preference").select(F.lit("preference").alias("kind"), "sample_id", "input", "output", F.col("rejected").alias("text"))
+    c = TK.shape_preference(pref, "preference").select(F.lit("pairs").alias("kind"), "sample_id", F.col("prompt").alias("input"),
+                                                       F.col("text_pos").alias("output"), F.col("text_neg").alias("text"))
+    return a.unionByName(b).unionByName(c)
+
+
+def q_text_lines(spark, sf):
+    """SRC7: the documents' lines written as text and read back, newline kept and not."""
+    path = W.scratch_path(spark, "lines")
+    _docs(spark, sf).select(F.regexp_replace("text", "\r", " ").alias("text")).write.text(path)
+    kept, bare = R.read_text(spark, path, True), R.read_text(spark, path, False)
+    both = kept.withColumn("kept", F.lit(True)).unionByName(bare.withColumn("kept", F.lit(False)))
+    return both.groupBy("kept", F.sha2("text", 256).alias("line_sha")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_bom_rows(spark, sf):
+    """SRC9: JSON Lines in which every 17th row carries a byte-order mark; those rows are dropped."""
+    path = W.scratch_path(spark, "bom")
+    marked = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit(R.BOM), "text")).otherwise(F.col("text"))
+    _docs(spark, sf).select("doc_id", "lang", marked.alias("text")).write.json(path)
+    schema = spark.createDataFrame([], "doc_id long, lang string, text string").schema
+    return R.read_jsonl_text(spark, path, schema).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
+
+
+def q_read_splits(spark, sf):
+    """SRC8 and WIN7: split folders read from any file system; a validation split is cut only where none is there."""
+    d = _docs(spark, sf).select("doc_id", "lang")
+    out = None
+    for name, parts in (("whole", {"train": d}), ("given", {"train": d.filter("doc_id % 5 != 0"), "validation": d.filter("doc_id % 5 = 0")})):
+        base = W.scratch_path(spark, f"splits-{name}")
+        for split, rows in parts.items():
+            rows.write.json(f"{base}/{split}.json")
+        back = R.read_splits(spark, base, d.schema)
+        s = ORD.split_if_missing(back, 5, ["doc_id"]).withColumn("source", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out.select("source", "split", "doc_id", "lang")
+
+
+def q_sample_exact(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "lang", "source")
+    return sample_k(d, ["doc_id"], SEED, "exact", k=100)
+
+
+for _name, _query in (("tag_length_check", q_tag_length_check), ("template_violations", q_template_violations),
+                      ("packed_lists", q_packed_lists), ("shape_columns", q_shape_columns), ("text_lines", q_text_lines),
+                      ("bom_rows", q_bom_rows), ("read_splits", q_read_splits), ("sample_exact", q_sample_exact)):
+    QUERIES[_name] = _query
+    ORACLES[_name] = getattr(O, _name)
 
 
 CONVS_PER_DOC = 16  # conversations per whole-document fixture file

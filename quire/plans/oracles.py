@@ -1032,8 +1032,70 @@ FROM k GROUP BY p // {b}"""
 
 def tag_length_check() -> str:
     return f"""
-WITH {decode_tags_sql()}
-SELECT user_id, CAST(day AS VARCHAR) AS day, n_tags FROM dec WHERE length(sentence) <> n_tags"""
+WITH {decode_tags_sql()},
+t AS (SELECT user_id, CAST(day AS VARCHAR) AS day, sentence,
+             CAST(n_tags - CASE WHEN {sql_u(SEED, 'tag_length', ['user_id', 'day'], 'lost')} < 0.2 THEN 1 ELSE 0 END AS INTEGER) AS n_tags
+      FROM dec)
+SELECT user_id, day, sentence, n_tags FROM t WHERE length(sentence) <> n_tags"""
+
+
+def template_violations() -> str:
+    from ..operators.templates import pattern_of
+    arms = []
+    for spec, sql in ((RELATIONS, build_relations()), (ENTITIES, build_entities()), (ORDINAL, build_ordinal_match()),
+                      (CLASSIFICATION, build_classification()), (DIALOGUE, dialogue_history())):
+        hits = " + ".join(f"CAST(regexp_matches(input, {sql_lit(pattern_of(t))}) AS INTEGER)" for t in spec.templates)
+        arms.append(f"""
+SELECT task_dataset, sample_id, n_matched FROM (
+  SELECT task_dataset, sample_id, {hits} AS n_matched FROM (
+    SELECT task_dataset, sample_id, CASE WHEN {sql_u(SEED, 'violations', ['sample_id'], 'cut')} < 0.1 THEN substr(input, 25)
+                                         ELSE input END AS input FROM ({sql}))) WHERE n_matched <> 1""")
+    return " UNION ALL ".join(arms)
+
+
+def packed_lists() -> str:
+    names = lambda cond: f"list(p_name ORDER BY p_partkey) FILTER (WHERE {cond})"
+    return f"""
+WITH g AS (SELECT p_brand, coalesce({names('p_size <= 25')}, ['']) AS a0, coalesce({names('p_size > 25')}, ['']) AS b0
+           FROM part GROUP BY p_brand),
+d AS (SELECT p_brand, {first_seen('a0')} AS a, b0 AS b FROM g)
+SELECT p_brand, array_to_string(a, '##') AS names, CAST(len(a) AS INTEGER) AS n_names,
+       array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), '##') AS only_small FROM d"""
+
+
+def shape_columns() -> str:
+    return f"""
+SELECT 'instruction' AS kind, sample_id, prompt AS input, {_ensure('reply')} AS output, {_wrap_train('prompt', 'reply')} AS text
+FROM (WITH {_pairs_sql()} SELECT * FROM pp)
+UNION ALL
+SELECT 'preference' AS kind, sample_id, prompt AS input, {_ensure('chosen')} AS output, rejected AS text FROM ({{pref}})
+UNION ALL
+SELECT 'pairs' AS kind, sample_id, prompt AS input, prompt || chosen || {EOSL} AS output, prompt || rejected || {EOSL} AS text
+FROM ({{pref}})""".replace("{pref}", f"WITH {_preference_sql()} SELECT * FROM pref")
+
+
+def text_lines() -> str:
+    return f"""
+WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ' '), {NL})) AS t FROM documents),
+k AS (SELECT true AS kept, t || {NL} AS t FROM l UNION ALL SELECT false, t FROM l)
+SELECT kept, sha256(t) AS line_sha, count(*) AS n FROM k GROUP BY 1, 2"""
+
+
+def bom_rows() -> str:
+    return "SELECT doc_id, lang, sha256(text) AS text_sha FROM documents WHERE doc_id % 17 <> 0"
+
+
+def read_splits() -> str:
+    return """
+SELECT 'whole' AS source, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5)
+                               THEN 'validation' ELSE 'train' END AS split, doc_id, lang FROM documents
+UNION ALL
+SELECT 'given', CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END, doc_id, lang FROM documents"""
+
+
+def sample_exact() -> str:
+    unit = sql_u(SEED, "exact", ["doc_id"], "sample")
+    return f"SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (ORDER BY {unit}, doc_id) <= 100"
 
 
 def json_shapes() -> str:

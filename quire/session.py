@@ -7,6 +7,7 @@ only fills in ``spark.checkpoint.dir`` when nobody set it (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,12 +36,16 @@ def local_session(cores: int | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """Return the shared checkpoint folder.  Where none is set, a local run gets a scratch one; on a cluster it is an
+    error, as executors can't share a machine's own folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
