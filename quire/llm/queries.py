@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, jaccard, langid, mixing, packing, secrets, spans, surrogates, token_cache, topk
+from . import cws, jaccard, langid, mixing, oracles, packing, secrets, spans, surrogates, token_cache, topk
 from .common import n_words, scratch_path, stored, table  # noqa: F401
 
 
@@ -84,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op5_token_cache, op6_cross_parsing, op7_suffix_automata, op8_parity_join,
                             op9_weighted_sampling, op10_columnar_topk)
 }
-ORACLES: dict[str, Callable[[], str]] = {}
+ORACLES: dict[str, Callable[[], str]] = {f.__name__: f for f in (
+    oracles.op4_secret_ownership, oracles.op7_suffix_automata, oracles.op8_parity_join, oracles.op10_columnar_topk)}
