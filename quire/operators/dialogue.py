@@ -90,13 +90,26 @@ def pair_turns(runs: DataFrame, first: str, reply: str, conv: str = "conv_id",
             .filter(F.col("prompt").isNotNull() & F.col("reply").isNotNull()))
 
 
+HISTORY_BLOCK = 64
+
+
 def history_rows(pairs: DataFrame, first_marker: str, reply_marker: str, conv: str = "conv_id") -> DataFrame:
-    """WIN3: for every pair i, the dialogue so far (pairs < i, then prompt i) and reply i as target."""
-    w = Window.partitionBy(conv).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    """WIN3: for every pair i, the dialogue so far (pairs < i, then prompt i) and reply i as target.
+
+    Every prefix is an output row, but no task makes all of a long dialogue's: pairs are cut into blocks of
+    ``HISTORY_BLOCK``; a window inside a block gives its part of the history, and what lies before the block is joined
+    from a table with one row per block, in which a window runs over block texts only.
+    """
     piece = F.concat(F.lit(first_marker), F.col("prompt"), F.lit(reply_marker), F.col("reply"))
-    hist = F.array_join(F.collect_list(piece).over(w), "")
-    text = F.concat(hist, F.lit(first_marker), F.col("prompt"))
-    return pairs.withColumn("history", F.regexp_replace(text, "^\n+", ""))
+    d = pairs.withColumns({"_blk": F.floor(F.col("i") / HISTORY_BLOCK).cast("long"), "_piece": piece})
+    blocks = d.groupBy(conv, "_blk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "i", "_piece"))), lambda s: s["_piece"]), "").alias("_bt"))
+    earlier = Window.partitionBy(conv).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(conv, "_blk", F.array_join(F.collect_list("_bt").over(earlier), "").alias("_before"))
+    inside = Window.partitionBy(conv, "_blk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_own", F.array_join(F.collect_list("_piece").over(inside), "")).join(before, [conv, "_blk"])
+    text = F.concat("_before", "_own", F.lit(first_marker), F.col("prompt"))
+    return d.withColumn("history", F.regexp_replace(text, "^\n+", "")).drop("_blk", "_piece", "_own", "_before")
 
 
 def turn_histogram(turns: DataFrame, roles: Sequence[str], conv: str = "conv_id", order="turn",

@@ -18,6 +18,20 @@ def test_dialogue_rules(spark):
     assert [(r.conv_id, r.i, r.prompt, r.reply, r.history) for r in out] == [(1, 0, "a\nb", "c", "U: a\nb")]
 
 
+def test_history_blocks_equal_one_window(spark, monkeypatch):
+    """One conversation holds a third of the rows; small blocks give the same prefixes."""
+    from quire.operators import dialogue as D
+    rows = [(1, i, f"p{i}", f"r{i}") for i in range(40)] + [(c, i, f"p{c}{i}", f"r{c}{i}") for c in range(2, 18) for i in range(5)]
+    pairs = spark.createDataFrame(rows, "conv_id long, i int, prompt string, reply string")
+    want = {}
+    for c, i, p, r in rows:
+        want[c, i] = "".join(f"U{b}A{x}" for k, j, b, x in rows if k == c and j < i) + f"U{p}"
+    for size in (1, 7, 64):
+        monkeypatch.setattr(D, "HISTORY_BLOCK", size)
+        got = {(r.conv_id, r.i): r.history for r in D.history_rows(pairs, "U", "A").collect()}
+        assert got == want
+
+
 def test_unknown_role_raises(spark):
     df = spark.createDataFrame([(1, 0, "robot", "a")], TURNS)
     with pytest.raises(Exception):
