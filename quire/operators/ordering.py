@@ -60,9 +60,26 @@ def with_global_index(df: DataFrame, order: Sequence[str], name: str = "row_idx"
             .drop("_gb", "_grn", "_goff"))
 
 
-def cap_rows(df: DataFrame, cap: int, order: Sequence[str], **kw) -> DataFrame:
-    """WIN8: the first ``min(n, cap)`` rows in ``order``."""
-    return with_global_index(df, order, "_cap_idx", **kw).filter(F.col("_cap_idx") < cap).drop("_cap_idx")
+def cap_rows(df: DataFrame, cap: int, order: Sequence[str], bucket: Column | None = None,
+             width: int = DEFAULT_WIDTH) -> DataFrame:
+    """WIN8: the first ``min(n, cap)`` rows in ``order``.
+
+    Bucket sizes give the bucket in which row ``cap`` lies (a scalar subquery); rows of earlier buckets pass a filter
+    and only that bucket's rows are ranked, so the table is neither shuffled nor sorted.
+    """
+    if cap <= 0:
+        return df.limit(0)
+    b = bucket if bucket is not None else _bucket_of(order, width)
+    d = df.withColumn("_gb", F.coalesce(b.cast("long"), F.lit(NULL_BUCKET).cast("long")))
+    sizes = d.groupBy("_gb").agg(F.count(F.lit(1)).alias("_gn"))
+    offsets = bucket_offsets(sizes, "_gb", "_gn", "_goff").join(sizes, "_gb")
+    edge = F.min(F.when((F.col("_goff") < cap) & (F.col("_goff") + F.col("_gn") >= cap), F.struct(
+        F.col("_gb").alias("b"), (F.lit(cap) - F.col("_goff")).alias("need"))))
+    none = F.struct(F.lit((1 << 63) - 1).cast("long").alias("b"), F.lit(0).cast("long").alias("need"))
+    e = offsets.agg(edge.alias("e")).select(F.coalesce("e", none)).scalar()
+    rank = F.row_number().over(Window.partitionBy("_gb").orderBy(*order))
+    last = d.filter(F.col("_gb") == e["b"]).withColumn("_r", rank).filter(F.col("_r") <= e["need"]).drop("_r")
+    return d.filter(F.col("_gb") < e["b"]).unionByName(last).drop("_gb")
 
 
 def assign_shard(df: DataFrame, n_shards: int, order: Sequence[str], name: str = "shard",

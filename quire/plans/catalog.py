@@ -469,13 +469,13 @@ def q_encode_all(spark, sf):
                     _ids_text(TK.attention_mask("input_ids")).alias("attention_mask"))
 
 
-def _doc_ids(spark, sf):
+def _doc_ids(spark, sf, rows=None):
     docs = _docs(spark, sf)
-    return TK.encode(docs, ["doc_id"], {"input_ids": ("text", True)}, TK.build_vocab(docs, "text"))
+    return TK.encode(docs if rows is None else rows, ["doc_id"], {"input_ids": ("text", True)}, TK.build_vocab(docs, "text"))
 
 
 def q_truncate_filter(spark, sf):
-    capped = ORD.cap_rows(_doc_ids(spark, sf), 700, ["doc_id"])
+    capped = _doc_ids(spark, sf, ORD.cap_rows(_docs(spark, sf).select("doc_id", "text"), 700, ["doc_id"]))
     kept = TK.filter_max_len(capped, "input_ids", 2048)
     return kept.select("doc_id", F.size("input_ids").alias("n_ids"),
                        _ids_text(TK.truncate_ids("input_ids", 128)).alias("prompt_ids"))

@@ -106,3 +106,10 @@ def test_invariance_under_repartition(spark):
     a = sorted(tuple(r) for r in B.build_dialogue(conv).collect())
     b = sorted(tuple(r) for r in B.build_dialogue(conv.repartition(7)).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("cap", [0, 1, 7, 40, 41, 99])
+def test_cap_rows_cuts_in_any_bucket(spark, cap):
+    df = spark.createDataFrame([(None if i == 0 else i * 3,) for i in range(41)], "id long")
+    got = [r.id for r in ORD.cap_rows(df, cap, ["id"], width=10).collect()]
+    assert sorted(got, key=lambda x: -1 if x is None else x) == ([None] + [i * 3 for i in range(1, 41)])[:cap]
