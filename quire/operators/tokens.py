@@ -226,7 +226,7 @@ def with_prefix_sum(df: DataFrame, order: Sequence[str], value: str, name: str,
 
 def pack_blocks(df: DataFrame, ids: str, block_size: int, order: Sequence[str],
                 batch_rows: int | None = None, mask: str | None = None) -> DataFrame:
-    """WIN9: concatenate sequences (per batch of ``batch_rows`` rows, or globally), cut every
+    """WIN9: concatenate sequences, in a unique ``order`` (per batch of ``batch_rows`` rows, or globally), cut every
     ``block_size`` ids, drop the remainder.  Labels are reset to the ids (TOK7).
 
     Each row is sliced into the blocks its id range overlaps (no per-token
@@ -234,13 +234,15 @@ def pack_blocks(df: DataFrame, ids: str, block_size: int, order: Sequence[str],
     ``block_size`` ids.
     """
     b = block_size
-    d = df.withColumn("_n", F.size(ids))
+    # Offsets come from keys and sizes alone; the sequences are joined to them once.
+    d = df.select(*order, F.size(ids).alias("_n"))
     if batch_rows:
         d = with_global_index(d, order, "_ri")
         d = d.withColumn("batch", F.floor(F.col("_ri") / F.lit(batch_rows)).cast("long"))
-        d = with_prefix_sum(d, ["_ri"], "_n", "_off", partition=["batch"], total="_tot")
+        d = with_prefix_sum(d, ["_ri"], "_n", "_off", partition=["batch"], total="_tot").drop("_ri")
     else:
         d = with_prefix_sum(d, order, "_n", "_off", total="_tot").withColumn("batch", F.lit(0).cast("long"))
+    d = df.select(*order, ids, *([mask] if mask else [])).join(d, list(order))
     d = d.withColumn("_usable", (F.floor(F.col("_tot") / F.lit(b)) * F.lit(b)).cast("long"))
     end = F.least(F.col("_off") + F.col("_n"), F.col("_usable"))
     d = d.filter(end > F.col("_off"))

@@ -492,9 +492,8 @@ def q_encode_pairs(spark, sf):
 
 
 def q_pack_blocks(spark, sf):
-    ids = _doc_ids(spark, sf).withColumn("attention_mask", TK.attention_mask("input_ids"))
-    packed = TK.pack_blocks(ids, "input_ids", TK.resolve_block_size(128, 4096), ["doc_id"], batch_rows=100,
-                            mask="attention_mask")
+    packed = TK.pack_blocks(_doc_ids(spark, sf), "input_ids", TK.resolve_block_size(128, 4096), ["doc_id"], batch_rows=100)
+    packed = packed.withColumn("attention_mask", TK.attention_mask("input_ids"))
     return packed.select("batch", "block", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
                          _ids_text("labels").alias("labels"),
                          F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
