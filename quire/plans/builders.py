@@ -417,15 +417,15 @@ def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=
     # JOI1: the last link per query wins.
     last = links.groupBy(*key).agg(F.max_by(F.struct(*dkey), "line_no").alias("_d")).select(
         *key, "_d.d_conv", "_d.d_turn")
-    idx_docs = with_global_index(docs, dkey, "d_idx", total="n_docs")
-    pos = last.join(idx_docs.select(*dkey, "d_idx", "n_docs"), dkey).select(
-        *key, F.col("d_idx").alias("pos_idx"), "n_docs")
+    # The index is over keys, one bucket per conversation; texts are fetched by key at the end.
+    idx_docs = with_global_index(docs.select(*dkey), dkey, "d_idx", bucket=F.col(dkey[0]), total="n_docs")
+    pos = last.join(idx_docs, dkey).select(*key, F.col("d_idx").alias("pos_idx"), "n_docs")
     q = sampled(queries.join(pos, key), spec, key, seed, k, fraction)
     relevant = u(seed, spec.name, key, "relevant") < p["relevant"]
     i = F.floor(u(seed, spec.name, key, "negative") * (F.col("n_docs") - 1)).cast("long")
     neg = F.when(i >= F.col("pos_idx"), i + 1).otherwise(i)
     q = q.withColumn("relevant", relevant).withColumn("doc_idx", F.when(relevant, F.col("pos_idx")).otherwise(neg))
-    d = q.join(idx_docs.select(F.col("d_idx").alias("doc_idx"), "doc"), "doc_idx")
+    d = q.join(idx_docs.select(F.col("d_idx").alias("doc_idx"), *dkey), "doc_idx").join(docs.select(*dkey, "doc"), dkey)
     target = F.when(F.col("relevant"), F.lit(w["yes"])).otherwise(F.lit(w["no"]))
     return finish(d, spec, key, {"a": F.col("query"), "b": F.col("doc")}, target,
                   F.array(F.lit(w["yes"]), F.lit(w["no"])), seed, **kw)

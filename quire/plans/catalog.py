@@ -427,14 +427,14 @@ def preference_rows(spark, sf):
     from ..operators.ordering import with_global_index
     from ..functions.draws import u
     queries, docs, links = B.reply_links(table(spark, sf, "conversations"))
-    idx = with_global_index(docs, ["d_conv", "d_turn"], "d_idx", total="n_docs")
-    pos = links.join(idx, ["d_conv", "d_turn"]).select("conv_id", "turn", F.col("doc").alias("chosen"),
-                                                      "d_idx", "n_docs")
+    dkey = ["d_conv", "d_turn"]
+    idx = with_global_index(docs.select(*dkey), dkey, "d_idx", bucket=F.col("d_conv"), total="n_docs")
+    pos = links.join(idx, dkey).join(docs, dkey).select("conv_id", "turn", F.col("doc").alias("chosen"), "d_idx", "n_docs")
     q = queries.join(pos, ["conv_id", "turn"])
     i = F.floor(u(SEED, "preference", ["conv_id", "turn"], "rejected") * (F.col("n_docs") - 1)).cast("long")
     q = q.withColumn("r_idx", F.when(i >= F.col("d_idx"), i + 1).otherwise(i))
-    r = idx.select(F.col("d_idx").alias("r_idx"), F.col("doc").alias("rejected"))
-    return q.join(r, "r_idx").select(
+    r = idx.select(F.col("d_idx").alias("r_idx"), *dkey)
+    return q.join(r, "r_idx").join(docs.select(*dkey, F.col("doc").alias("rejected")), dkey).select(
         F.concat_ws("-", F.lit("pref"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sample_id"),
         F.col("query").alias("prompt"), "chosen", "rejected")
 
