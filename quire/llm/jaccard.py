@@ -12,10 +12,11 @@ empty blocks than m - d, and then some agreeing block is not empty; a set with m
 smallest hashes (the prefix filter), which finds every pair of two such sets.  So no link is lost.
 
 Block values go, packed, to buckets; a task sorts a bucket's values and pairs the sets that share one.  Values shared by
-up to ``ALL_PAIRS`` sets give all pairs.  Of larger groups each set is paired with the smallest and the next one; when
-the links of those have been verified, members of such a group that are not in its main component are paired with
-all others in it.  Pairs that components already connect need no check, all others are pruned by size and by the
-Hamming distance of a 1024-bit sketch and then compared shingle by shingle.
+up to ``ALL_PAIRS`` sets give all pairs.  Of larger groups, each set is first compared with one hub, the member of its
+groups that shares most with the others (of copies of one text, that text).  Groups which the verified links leave in
+several components are then compared in blocks: every member outside the main component meets all members, by size
+and by the Hamming distance of 1024-bit sketches, which is a lower bound too, and only pairs that pass leave the task.
+Pairs that components already connect need no check; all others are compared shingle by shingle.
 
 Defined cases: null and wordless texts have the empty set and link with nothing; fewer words than a shingle's give one
 shingle of all; equal sets are one class, whatever their number; repeated rows are kept, each with its class; a null
@@ -38,8 +39,11 @@ from .components import components
 WORDS = 5
 SKETCH_WORDS = 16
 ALL_PAIRS = 8
+BLOCK_MEMBERS = 4096
 #: Equal sets that one task meets again are not sent again, as far as it remembers that many.
 REMEMBERED = 200_000
+#: Values that a task holds before it packs them.
+PACKED_VALUES = 1_000_000
 NULL_ID = -(1 << 63)
 
 
@@ -131,11 +135,24 @@ def sent_values(docs: DataFrame, bits: int) -> DataFrame:
     """(bucket, values, ids): what all sets send, packed; a value's first ``bits`` bits are its bucket, its last 56 are
     packed, and a set's first 40 bits name it (an ambiguous name only adds candidates)."""
 
+    def packed(values, names):
+        value, name = np.concatenate(values), np.concatenate(names)
+        bucket = (value >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        value = np.ascontiguousarray(value[order]).view(np.uint8).reshape(-1, 8)[:, :7]
+        name = np.ascontiguousarray(name[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+        ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
+        starts = np.concatenate([[0], ends[:-1]])
+        some = np.flatnonzero(ends > starts).tolist()
+        return pd.DataFrame({"bucket": np.array(some, dtype=np.int32),
+                             "values": [value[starts[k]:ends[k]].tobytes() for k in some],
+                             "ids": [name[starts[k]:ends[k]].tobytes() for k in some]})
+
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for pdf in batches:
             texts = pdf["text"].tolist()
-            values, names = [], []
+            values, names, held = [], [], 0
             for a, b in row_slices(list(map(len, texts))):
                 for s in shingle_sets(texts[a:b]):
                     if not len(s):
@@ -148,19 +165,12 @@ def sent_values(docs: DataFrame, bits: int) -> DataFrame:
                     v = block_values(s)
                     values.append(v)
                     names.append(np.full(len(v), (who[0] >> 24) & ((1 << 40) - 1), dtype=np.uint64))
-            if not values:
-                continue
-            value, name = np.concatenate(values), np.concatenate(names)
-            bucket = (value >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            value = np.ascontiguousarray(value[order]).view(np.uint8).reshape(-1, 8)[:, :7]
-            name = np.ascontiguousarray(name[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-            ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
-            starts = np.concatenate([[0], ends[:-1]])
-            some = np.flatnonzero(ends > starts).tolist()
-            yield pd.DataFrame({"bucket": np.array(some, dtype=np.int32),
-                                "values": [value[starts[k]:ends[k]].tobytes() for k in some],
-                                "ids": [name[starts[k]:ends[k]].tobytes() for k in some]})
+                    held += len(v)
+                if held > PACKED_VALUES:
+                    yield packed(values, names)
+                    values, names, held = [], [], 0
+            if held:
+                yield packed(values, names)
 
     return docs.select("text").mapInPandas(run, "bucket int, values binary, ids binary")
 
@@ -189,7 +199,7 @@ def bucket_pairs(value: np.ndarray, name: np.ndarray) -> pd.DataFrame:
         return empty({"kind": "int32", "value": "int64", "a": "int64", "b": "int64"})
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
-    size_of, first_of = np.repeat(size, size), np.repeat(first, size)
+    size_of = np.repeat(size, size)
     a, b = [], []
     few = size_of <= ALL_PAIRS
     for gap in range(1, ALL_PAIRS):
@@ -198,9 +208,6 @@ def bucket_pairs(value: np.ndarray, name: np.ndarray) -> pd.DataFrame:
         a.append(name[i])
         b.append(name[i + gap])
     many = np.flatnonzero(~few)
-    star = many[many != first_of[many]]
-    a += [name[first_of[star]], name[star - 1]]
-    b += [name[star], name[star]]
     pairs = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
     pairs = pairs[pairs["a"] != pairs["b"]].drop_duplicates()
     members = pd.DataFrame({"value": signed(key[many]), "a": signed(name[many])}).assign(kind=1, b=0)
@@ -253,6 +260,81 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                       F.struct(F.col("v_id").alias("id"), F.col("v_hash").alias("hash")).alias("v"))
 
 
+def hub_pairs(groups: DataFrame) -> DataFrame:
+    """(u, v, shared): members of large groups (value, node, n, sketch) with the hubs of their groups that may be
+    similar, and how many groups share that hub.  A group's hub is the member of most large groups."""
+    degree = groups.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = groups.join(degree, "node").groupBy("value").agg(F.max(F.struct("degree", "node", "n", "sketch")).alias("hub"))
+    hubs = hubs.select("value", F.col("hub.node").alias("p"), F.col("hub.n").alias("n_p"), F.col("hub.sketch").alias("s_p"))
+    near = groups.select("value", F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("sketch").alias("s_q")).join(
+        hubs, "value").where((F.col("p") != F.col("q")) & may_be_similar())
+    return near.groupBy(F.col("p").alias("u"), F.col("q").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def may_be_similar() -> Column:
+    """Sizes n_p and n_q and sketches s_p and s_q allow the similarity."""
+    far = F.aggregate(F.zip_with("s_p", "s_q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return ((5 * F.col("n_p") >= 4 * F.col("n_q")) & (5 * F.col("n_q") >= 4 * F.col("n_p"))
+            & (9 * far <= F.col("n_p") + F.col("n_q")))
+
+
+def compared_blocks(members: DataFrame) -> DataFrame:
+    """(u, v): near pairs of large groups that several components share.
+
+    ``members``: value, main (the group's main root), root, k (its size), id, hash, n, sketch.  A group's members are
+    dealt to blocks of ``BLOCK_MEMBERS``; those outside the main component are sent to every block and streamed past
+    its members, so a task holds one block.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_MEMBERS)).cast("int")
+    cols = ["value", "block", "kind", "id", "hash", "root_id", "root_hash", "n", "sketch"]
+    flat = members.withColumns({"root_id": F.col("root.id"), "root_hash": F.col("root.hash")})
+    held = flat.withColumns({"block": F.pmod(F.xxhash64("id", "hash"), blocks).cast("int"), "kind": F.lit(0)}).select(*cols)
+    sent = flat.where(F.col("root") != F.col("main")).withColumns(
+        {"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "kind": F.lit(1)}).select(*cols)
+
+    def arrays(pdf):
+        return (pdf[["id", "hash"]].to_numpy(np.int64), pdf[["root_id", "root_hash"]].to_numpy(np.int64),
+                pdf["n"].to_numpy(np.int64), np.stack(pdf["sketch"].to_numpy()).view(np.uint64))
+
+    def near_pairs(one, others):
+        out = []
+        for a, b in row_slices([len(one[0])] * len(others[0]), 40_000):
+            who, root, n, sketch = (x[a:b] for x in others)
+            apart = (root[:, None, :] != one[1][None]).any(axis=2)
+            total = n[:, None] + one[2][None]
+            alike = apart & (5 * n[:, None] >= 4 * one[2][None]) & (5 * one[2][None] >= 4 * n[:, None])
+            i, j = np.nonzero(alike)
+            far = np.bitwise_count(sketch[i] ^ one[3][j]).sum(axis=1, dtype=np.int64)
+            fine = far * 9 <= total[i, j]
+            out.append(np.concatenate([who[i[fine]], one[0][j[fine]]], axis=1))
+        return np.concatenate(out)
+
+    def run(batches):
+        at, held_rows, one = None, [], None
+        for pdf in batches:
+            found = []
+            new = (pdf[["value", "block", "kind"]] != pdf[["value", "block", "kind"]].shift()).any(axis=1).cumsum()
+            for _, part in pdf.groupby(new, sort=False):
+                key = (part["value"].iloc[0], part["block"].iloc[0])
+                if part["kind"].iloc[0] == 0:
+                    if key != at:
+                        at, held_rows = key, []
+                    held_rows.append(arrays(part))
+                    one = None
+                elif key == at:
+                    if one is None:
+                        one = tuple(np.concatenate(x) for x in zip(*held_rows))
+                    found.append(near_pairs(one, arrays(part)))
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a_id", "a_hash", "b_id", "b_hash"]).drop_duplicates()
+
+    dealt = held.unionByName(sent).repartition(shuffle_width(members.sparkSession), "value", "block")
+    out = dealt.sortWithinPartitions("value", "block", "kind").mapInPandas(
+        run, "a_id long, a_hash long, b_id long, b_hash long")
+    a, b = (F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_hash").alias("hash")) for x in "ab")
+    return out.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"),
@@ -266,44 +348,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sets.select(F.shiftrightunsigned("h1", 24).alias("name"), "node", "n", "sketch")
     side = lambda x, y: named.select(F.col("name").alias(x), F.col("node").alias(y), F.col("n").alias(f"n_{y}"),
                                      F.col("sketch").alias(f"s_{y}"))
-    near = F.aggregate(F.zip_with("s_p", "s_q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                       lambda t, x: t + x) * 9 <= F.col("n_p") + F.col("n_q")
-    size = (100 * F.col("n_p") >= 80 * F.col("n_q")) & (100 * F.col("n_q") >= 80 * F.col("n_p"))
-
     def pruned(pairs):
-        return pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where((F.col("p") != F.col("q")) & size & near
-                                                                              ).select(
-            F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+        return pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(
+            (F.col("p") != F.col("q")) & may_be_similar()).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
 
     pairs = stored(pruned(found.where("kind = 0").select("a", "b")), "pairs")
     groups = stored(found.where("kind = 1").select("value", F.col("a").alias("name")).join(
-        named.select("name", "node"), "name").select("value", "node"), "large-groups")
+        named, "name").select("value", "node", "n", "sketch"), "large-groups")
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(
         groups.select("node")).distinct().select(F.col("node.id").alias("doc_id"), F.col("node.hash").alias("text_hash"))
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).groupBy(
         "doc_id", "text_hash").agg(F.first("text").alias("text"))
     texts = stored(texts.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("node"),
                                 "text"), "candidate-texts")
-    # First each set with its smallest candidate, then what these links leave apart.
-    first = pairs.groupBy("v").agg(F.min("u").alias("u"))
+    # First each set with its smallest candidate and with the hub it shares most with, then what these leave apart.
+    hubs = hub_pairs(groups)
+    best = hubs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u"))
+    ordered = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = stored(ordered(pairs.groupBy("v").agg(F.min("u").alias("u"))).unionByName(ordered(best)).distinct(), "first-pairs")
     links = stored(verified(first, texts), "links-1")
     root = stored(components(links), "roots-1")
     where = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
     rest = pairs.join(first, ["u", "v"], "left_anti").join(where("u"), "u", "left").join(
         where("v"), "v", "left").where(apart).select("u", "v")
-    member = groups.join(root, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    member = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = member.groupBy("value", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(
-        F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    member = stored(member.join(main, "value"), "split-groups")
-    outside = member.where(F.col("root") != F.col("main")).select("value", F.col("node").alias("x"), F.col("root").alias(
-        "root_x"))
-    crossed = outside.join(member, "value").where(F.col("root") != F.col("root_x")).select(
-        F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
-    ends = sets.select("node", "n", "sketch")
-    end = lambda x, y: ends.select(F.col("node").alias(x), F.col("n").alias(f"n_{y}"), F.col("sketch").alias(f"s_{y}"))
-    crossed = crossed.join(end("u", "p"), "u").join(end("v", "q"), "v").where(size & near).select("u", "v")
-    more = stored(verified(rest.unionByName(crossed).distinct(), texts), "links-2")
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).where(
+        "roots > 1").drop("roots")
+    split = member.join(main, "value").select(
+        "value", "main", "root", "k", "node.id", "node.hash", "n", "sketch")
+    crossed = stored(compared_blocks(split), "crossed")
+    more = stored(verified(rest.unionByName(crossed.join(first, ["u", "v"], "left_anti")).distinct(), texts), "links-2")
     if not more.isEmpty():
         root = stored(components(links.unionByName(more)), "roots-2")
     classed = rows.join(sets.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(root, "node", "left")
