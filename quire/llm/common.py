@@ -24,10 +24,12 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it back: cuts lineage, so that a lost
-    executor re-reads files instead of rerunning what came before."""
+    executor re-reads files instead of rerunning what came before.  The folder goes when the application ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
