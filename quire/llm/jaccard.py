@@ -336,7 +336,9 @@ def compared_blocks(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, root) of every row of ``docs`` (doc_id, text).
+
+    ``root`` (id, hash) tells components apart even where ids are null or repeated; component_id is only its id."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(described(docs), "shingle-sets")
@@ -384,6 +386,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         root = stored(components(links.unionByName(more)), "roots-2")
     classed = rows.join(sets.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(root, "node", "left")
     null_id = F.lit(NULL_ID).cast("long")
+    classed = classed.withColumn("root", F.coalesce("root", "node", node))
     return classed.select(
         F.nullif("doc_id", null_id).alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("root.id", "node.id", "doc_id"), null_id).alias("component_id"))
+        F.nullif("root.id", null_id).alias("component_id"), "root")
