@@ -10,7 +10,7 @@ characters (whole texts; a lane starts a new phrase for every language alike), s
 at a time through dense transition tables.
 
 The labelled sample is bounded: ``chars_per_language`` characters, taken from the documents in the order of a hash of
-their id.  All labelled text is counted; the bound keeps the model, about 60 bytes * letters per character and
+their id and text.  All labelled text is counted; the bound keeps the model, about 60 bytes * letters per character and
 language, in a worker's memory.
 
 Defined cases: null text or one without a letter gives ``und`` and score 0; ties go to the language first by name; with
@@ -36,6 +36,8 @@ LANE = 256
 CHARS_PER_LANGUAGE = 48_000
 #: Characters over all languages, shared out where there are many of them.
 CHARS_ALTOGETHER = 1_000_000
+#: Powers of two of the sample's hash.
+LEVELS = 49
 MAX_LETTERS = 62
 FOLDS = 16
 RESULT = "lang string, score double, letters long, bits double"
@@ -187,24 +189,39 @@ def training_sample(labelled: DataFrame, chars_per_language: int = CHARS_PER_LAN
                     chars_altogether: int = CHARS_ALTOGETHER) -> dict[str, str]:
     """At most ``chars_per_language`` characters of each language, from the documents first in hash order.
 
-    ``labelled`` has doc_id, lang, text.  The lengths of all rows are summed (one row per language reaches the driver);
-    a row is read if its hash lies under twice the share that the bound needs.
+    ``labelled`` has doc_id, lang, text.  Rows count from their first letter on, up to the bound.  Their lengths are
+    summed by language and power of two of the hash (``LEVELS`` sums per language reach the driver); the levels that
+    fill the bound are read, so a language with a letter always has a sample.  Equal rows reach the driver once.
     """
-    rows = labelled.where("lang is not null and length(text) > 0").select(
-        "lang", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(6)), F.lit(1 << 30))
-         / F.lit(float(1 << 30))).alias("u"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not totals:
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit(6))
+    rows = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select(
+        "lang", F.pmod(hashed, F.lit(1 << (LEVELS - 1))).alias("u"),
+        F.when(F.rlike("text", F.lit(r"^\p{L}")), F.col("text")).otherwise(
+            F.regexp_replace("text", r"^\P{L}+", "")).alias("text")).withColumn("level", F.length(F.bin("u")))
+
+    def level_sums(bound):
+        return rows.groupBy("lang", "level").agg(F.sum(F.least(F.length("text"), F.lit(bound))).alias("n")).collect()
+
+    sums = level_sums(chars_per_language)
+    if not sums:
         return {}
-    bound = max(1000, min(chars_per_language, chars_altogether // len(totals)))
-    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * bound / n)))])
-    taken = rows.where(F.col("u") < F.element_at(share, F.col("lang"))).select(
-        "lang", "u", "id", F.substring("text", 1, bound).alias("text")).collect()
+    bound = max(1000, min(chars_per_language, chars_altogether // len({r["lang"] for r in sums})))
+    if bound != chars_per_language:
+        sums = level_sums(bound)
+    room, last = {}, {}
+    for r in sorted(sums, key=lambda r: r["level"]):
+        if room.setdefault(r["lang"], bound) > 0:
+            room[r["lang"]] -= r["n"]
+            last[r["lang"]] = r["level"]
+    upto = F.create_map(*[x for lang, level in last.items() for x in (F.lit(lang), F.lit(level))])
+    taken = rows.where(F.col("level") <= F.element_at(upto, F.col("lang"))).select(
+        "lang", "u", F.substring("text", 1, bound).alias("text")).groupBy("lang", "u", "text").count().collect()
     out: dict[str, list[str]] = {}
-    room = dict.fromkeys(totals, bound)
-    for r in sorted(taken, key=lambda r: (r["u"], r["id"], r["text"])):
-        if room[r["lang"]] > 0:
+    room = dict.fromkeys(last, bound)
+    for r in sorted(taken, key=lambda r: (r["u"], r["text"])):
+        for _ in range(r["count"]):
+            if room[r["lang"]] <= 0:
+                break
             out.setdefault(r["lang"], []).append(r["text"][:room[r["lang"]]])
             room[r["lang"]] -= len(r["text"])
     return {lang: "\n".join(texts) for lang, texts in out.items()}

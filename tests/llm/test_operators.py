@@ -296,6 +296,17 @@ def test_phrases_equal_greedy_parsing():
         assert got == [greedy_phrases(coded, plain[k]) for k in model.languages], t
 
 
+def test_every_language_has_a_sample(spark):
+    word = lambda lang, i: f"{lang}{'abcdefghij'[i % 10]}"
+    long = [(i, f"l{i}", " ".join(word(f"l{i}", k) for k in range(25_000))) for i in range(12)]
+    uneven = [(100 + i, "mixed", "short text number") for i in range(60)] + [(200, "mixed", "long " * 400_000)]
+    same = [(None, "same", "again and again ")] * 20_000 + [(None, "late", "1 " * 60_000 + "letters"), (None, "none", "123")]
+    got = langid.training_sample(spark.createDataFrame(long + uneven + same, "doc_id long, lang string, text string"))
+    assert set(got) == {*(f"l{i}" for i in range(12)), "mixed", "same", "late"} and got["late"] == "letters"
+    assert all(len(got[f"l{i}"]) == 48_000 for i in range(12))
+    assert 48_000 <= len(got["same"]) < 52_000 and 48_000 <= len(got["mixed"]) < 52_000
+
+
 def test_language_accuracy(spark, docs):
     lang = {d: x for d, _, _, x in docs}
     rows = E.queries()["op6_cross_parsing"](spark, SMALL).collect()
