@@ -7,7 +7,10 @@ first names of the gender that the title states, valid octets, a check digit tha
 Occurrences keep their own format, so one entity written two ways stays one entity.
 
 Collision checks: surrogates that two entities would share, or that are an entity of the corpus themselves, are
-drawn again with the next attempt number (all but the entity first in order), until none is left.
+drawn again with the next attempt number (all but the entity first in order), until none is left.  After ``KEEP_FORMAT``
+attempts the space grows with each: any octets, first digits that may change, further digits, letters or syllables.
+Where all of that is taken (more than half of all numbers of a format are entities), those left exchange their places
+by a keyed cycle within kind and format, so that each still has one surrogate of its own that is not itself.
 
 Defined cases: null text stays null; texts without an entity stay as they are; repeated rows are replaced alike; an
 empty table gives an empty result; other columns are ignored.
@@ -15,7 +18,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -38,6 +41,8 @@ TYPES = (
     ("name", rf"(?<!\p{{L}}){TITLE}\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
+#: Attempts that keep every format; after them a surrogate has up to ``MOST_MORE`` further characters.
+KEEP_FORMAT, MOST_MORE = 8, 12
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK, HAN = "αβγδεζηθικλμνξοπρστυφχψω", "安白成大方高海江林明青山石田文心新星月中"
 FIRST = {
@@ -116,18 +121,23 @@ def gender(name: Column, key: str) -> Column:
         F.rlike(given, F.lit("[aа]$")), F.lit("f")).otherwise(F.lit("m"))
 
 
-def name_surrogate(name: Column, key: str, attempt: Column) -> Column:
+def grown(attempt: int) -> int:
+    return min(MOST_MORE, max(0, attempt - KEEP_FORMAT + 1))
+
+
+def name_surrogate(name: Column, key: str, attempt: int) -> Column:
     """Title kept; a first name of the same gender and script; family names of syllables, as many as there were.
     Of a titled family name alone, only that is drawn."""
     parts = F.split(name, " ")
     sex = gender(name, key)
+    n_syllables, attempt = 4 + grown(attempt), F.lit(attempt)
 
     def of(script: str) -> Column:
         first = F.when(sex == "f", word_of(FIRST[script, "f"], keyed(key, name, attempt, F.lit("first")))).otherwise(
             word_of(FIRST[script, "m"], keyed(key, name, attempt, F.lit("first"))))
 
         def family(i):
-            syllables = [word_of(SYLLABLES[script], keyed(key, name, attempt, i, F.lit(k))) for k in range(4)]
+            syllables = [word_of(SYLLABLES[script], keyed(key, name, attempt, i, F.lit(k))) for k in range(n_syllables)]
             return F.initcap(F.concat(*syllables))
 
         return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(
@@ -136,46 +146,76 @@ def name_surrogate(name: Column, key: str, attempt: Column) -> Column:
     return F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}+$")), of("cyrillic")).otherwise(of("latin"))
 
 
-def octet(o: Column, n: Column) -> Column:
+def octet(o: Column, n: Column, any_width: bool) -> Column:
+    if any_width:
+        return (n % 254 + 1).cast("string")
     return F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
+def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
     """The canonical surrogate of a canonical entity."""
+    more, tried, attempt = grown(attempt), attempt, F.lit(attempt)
     drawn = like_text(entity, key, kind, entity, attempt)
-    # A number's first digits say its kind (country, card network): the first one stays.
-    number = F.concat(F.substr(entity, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2)))
+    # A number's first digits say its kind (country, card network): the first one stays as long as the format does.
+    number = drawn if more else F.concat(F.substr(entity, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2)))
+
+    def further(alphabet: str) -> Column:
+        return F.concat(F.lit(""), *[pick(alphabet, keyed(key, F.lit("more"), entity, attempt, F.lit(k))) for k in range(more)])
+
     short = F.substr(number, F.lit(1), F.length(number) - 1)
     check = ((10 - luhn(F.concat(short, F.lit("0")))) % 10).cast("string")
     card = F.when(luhn(entity) == 0, F.concat(short, check)).otherwise(number)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     site = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(like_text(local, key, F.lit("local"), entity, attempt), F.lit("@"),
+    email = F.concat(like_text(local, key, F.lit("local"), entity, attempt), further(LATIN), F.lit("@"),
                      like_text(site, key, F.lit("domain"), domain), top)
-    ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: octet(o, keyed(key, entity, attempt, i))), ".")
+    ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: octet(o, keyed(key, entity, attempt, i), more > 0)), ".")
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(
-        kind.isin("phone", "ssn"), number).when(kind == "iban", iban).otherwise(name_surrogate(entity, key, attempt))
+        kind == "phone", F.concat(number, further("0123456789"))).when(kind == "ssn", number).when(
+        kind == "iban", iban).otherwise(name_surrogate(entity, key, tried))
 
 
 def in_format(kind: Column, match: Column, drawn: Column) -> Column:
-    """The surrogate written as the occurrence was: its separators, its case."""
+    """The surrogate written as the occurrence was: its separators, its case; further characters follow."""
     kept = F.when(kind == "iban", F.lit("[^A-Z0-9]")).otherwise(F.lit("[^0-9]"))
     spaced = F.array_join(F.transform(chars(match), lambda c, i: F.when(F.rlike(c, kept), c).otherwise(
         F.substr(drawn, F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), kept, F.lit(""))), F.lit(1)))), "")
+    spaced = F.concat(spaced, F.substr(drawn, F.length(F.regexp_replace(match, kept, F.lit(""))) + 1))
     cased = F.array_join(F.zip_with(chars(match), chars(drawn), lambda a, b: F.when(
         (a != F.lower(a)), F.upper(b)).otherwise(b)), "")
     return F.when(kind.isin("card", "phone", "ssn", "iban"), spaced).when(kind == "email", cased).otherwise(drawn)
 
 
+def exchanged(left: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """``done`` and the entities ``left`` over: in a keyed order of each format, each takes the next one as surrogate.
+    One entity that has a surrogate joins each cycle, so that no entity is alone in it."""
+    digits = F.regexp_replace("entity", "[^0-9]", "")
+    form = F.when(F.col("kind") == "card", F.concat_ws("-", F.length("entity"), luhn(digits) == 0)).when(
+        F.col("kind") == "iban", F.concat_ws("-", F.length("entity"), F.substring("entity", 1, 2))).when(
+        F.col("kind").isin("phone", "ssn"), F.length("entity").cast("string")).otherwise(F.lit(""))
+    left, done = left.select("kind", "entity").withColumn("form", form), done.withColumn("form", form)
+    joins = done.join(left.select("kind", "form").distinct(), ["kind", "form"], "left_semi").groupBy("kind", "form").agg(
+        F.min("entity").alias("entity"))
+    order = Window.partitionBy("kind", "form").orderBy(keyed(key, F.lit("order"), F.col("entity")), "entity")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cycle = left.unionByName(joins).withColumn("surrogate", F.coalesce(
+        F.lead("entity").over(order), F.first("entity").over(whole)))
+    cycle = stored(cycle.select("kind", "entity", "surrogate"), "exchanged")
+    if not cycle.where("entity = surrogate").isEmpty():
+        raise ValueError("an entity without another one of its format has no surrogate")
+    return done.join(joins.select("kind", "entity"), ["kind", "entity"], "left_anti").select(
+        "kind", "entity", "surrogate").unionByName(cycle)
+
+
 def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 64) -> DataFrame:
-    """(kind, entity, surrogate): one row per distinct entity, no surrogate twice, none that is an entity itself."""
+    """(kind, entity, surrogate): one row per distinct entity, no surrogate twice, none that is an entity itself
+    (except where a format is used up, see ``exchanged``)."""
     real = stored(entities.select("kind", "entity").distinct(), "entities")
-    todo = real.withColumn("attempt", F.lit(0))
-    done: DataFrame | None = None
+    todo, done = real, None
     for attempt in range(max_attempts):
-        drawn = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key))
+        drawn = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), attempt, key))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         taken = real.withColumnRenamed("entity", "surrogate")
         fine = first.join(taken, ["kind", "surrogate"], "left_anti")
@@ -183,10 +223,10 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 64) -> Da
             fine = fine.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         fine = stored(fine.select("kind", "entity", "surrogate"), f"surrogates-{attempt}")
         done = fine if done is None else done.unionByName(fine)
-        todo = todo.join(fine.select("kind", "entity"), ["kind", "entity"], "left_anti")
+        todo = real.join(done.select("kind", "entity"), ["kind", "entity"], "left_anti")
         if todo.isEmpty():
             return done
-    raise ValueError(f"entities without a surrogate of their own after {max_attempts} attempts")
+    return exchanged(todo, done, key)
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

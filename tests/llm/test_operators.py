@@ -88,6 +88,21 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert all(0 <= int(o) <= 255 for ip in ips for o in ip.split("."))
 
 
+def test_surrogates_of_saturated_formats(spark):
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    phones = [f"+1{i:03d}" for i in range(1000)]
+    mails = ["_@-.de", *(f"{c}@b.de" for c in surrogates.LATIN)]
+    real = ips + phones + mails
+    rows = spark.createDataFrame([(i, f"x {t}") for i, t in enumerate(real)], "doc_id long, text string")
+    got = [r["text"][2:] for r in surrogates.replace_entities(rows, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(real) and not set(got) & set(real)
+    assert all(0 <= int(o) <= 255 for ip in got[:len(ips)] for o in ip.split("."))
+    entities = spark.createDataFrame([("ip", t) for t in ips] + [("ssn", f"{i:09d}") for i in range(50)], "kind string, entity string")
+    table = [(r["kind"], r["entity"], r["surrogate"]) for r in surrogates.surrogate_table(entities, "k", 1).collect()]
+    assert len(table) == len({t[:2] for t in table}) == len({(t[0], t[2]) for t in table}) == len(ips) + 50
+    assert all(e != x for _, e, x in table)
+
+
 def test_surrogates_leave_clean_texts(spark, docs):
     got = {r["doc_id"]: r for r in E.queries()["op1_pii_surrogates"](spark, SMALL).collect()}
     assert len(got) == len(docs)
