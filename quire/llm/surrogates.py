@@ -24,8 +24,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 TITLE = ("(?:Mr|Mrs|Ms|Miss|Mister|Madam|Sir|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Господин|Госпожа|Dr|Prof)")
+TITLES = rf"{TITLE}\.?(?: {TITLE}\.?){{0,2}}"
+LETTER = r"[\p{L}\p{M}]"
+#: Small words inside a name, and small prefixes joined to it.
+PARTICLE = ("(?:(?:von|vom|van|zu|zum|zur|der|den|dem|de|del|della|di|da|das|dos|do|du|des|la|le|las|los|ter|ten|af|av|bin|"
+            "ibn|ben|bint|al|el|y|['’]t) )")
+PREFIX = r"(?:(?:dell|d|l|al|el|ad|ar|as|ash|at|az|an|abd|ben|bin|ibn)['’-](?=\p{Lu}))"
+#: A capital word with inner capitals, apostrophes (but not a genitive's) and hyphens; before it initials and particles.
+WORD = (rf"(?:\p{{Lu}}\.(?:[ -]?\p{{Lu}}\.){{0,3}} ?)?{PARTICLE}{{0,3}}{PREFIX}?\p{{Lu}}{LETTER}{{0,60}}+"
+        rf"(?:['’](?!s(?!{LETTER})){LETTER}{{1,60}}+|[-‐‑]{LETTER}{{1,60}}+){{0,4}}")
 #: A title before a name; the look-ahead turns most characters away at once.
-TITLED = rf"(?=[MHFSDPГ]){TITLE}\.? \p{{Lu}}"
+TITLED = rf"(?=[MHFSDPГ]){TITLE}\.? (?:\p{{Lu}}|{PARTICLE}|{PREFIX})"
 FEMALE = "(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа)"
 MALE = "(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Господин)"
 #: In the order in which a match is judged.  Every alternative starts where a token starts and has a bounded reach, so
@@ -38,7 +47,7 @@ TYPES = (
     ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z])"
               r"|(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    ("name", rf"(?<!\p{{L}}){TITLE}\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}"),
+    ("name", rf"(?<!\p{{L}}){TITLES} {WORD}(?: (?!{TITLE}(?!{LETTER})){WORD}){{0,4}}(?!{LETTER})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
 #: Attempts that keep every format; after them a surrogate has up to ``MOST_MORE`` further characters.

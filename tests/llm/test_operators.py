@@ -103,6 +103,28 @@ def test_surrogates_of_saturated_formats(spark):
     assert all(e != x for _, e, x in table)
 
 
+NAMES = ["Mr. McDonald", "Ms. Smith-Jones", "Mr. John F. Kennedy", "Mrs. O'Brien", "Frau von Braun", "Mr. J.R.R. Tolkien",
+         "Señor Juan Carlos García Márquez", "Monsieur d'Artagnan", "Prof. Dr. Hans Müller", "Herr van der Berg", "Mr. DiCaprio",
+         "Mr. SHOUTED", "Dr. J. van 't Hoff", "Mrs. Anne-Marie O’Neill", "Господин Петров-Водкин"]
+
+
+def test_surrogates_leave_nothing_of_titled_names(spark):
+    rows = [(i, f"then {t}'s x, {t}; and") for i, t in enumerate(NAMES)]
+    rows.append((99, "Herr Karl Braun und Frau Lena Weiss, Mr. lower, Mr Smithé"))
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(
+        spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, t in enumerate(NAMES):
+        kept = {"von", "van", "der", "t", "d", "O", "F", "J", "R", "Mr", "Ms", "Mrs", "Frau", "Señor", "Monsieur", "Prof", "Dr", "Herr",
+                "Господин"}
+        assert [e["kind"] for e in got[i]["entities"]] == ["name", "name"], t
+        new = got[i]["text"]
+        assert new.startswith(f"then {t.split()[0]} ") and "'s x, " in new and new.endswith("; and")
+        for word in t.replace("-", " ").replace("'", " ").replace("’", " ").replace(".", " ").split():
+            assert word in kept or word not in new, (t, new)
+    assert len(got[99]["entities"]) == 3 and " und Frau " in got[99]["text"] and "Mr. lower" in got[99]["text"]
+    assert not any(w in got[99]["text"] for w in ("Karl", "Braun", "Lena", "Weiss", "Smith", "é"))
+
+
 def test_surrogates_leave_clean_texts(spark, docs):
     got = {r["doc_id"]: r for r in E.queries()["op1_pii_surrogates"](spark, SMALL).collect()}
     assert len(got) == len(docs)
