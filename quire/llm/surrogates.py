@@ -4,7 +4,10 @@ Entities (e-mail addresses, phone numbers, IP addresses, card and account number
 titled names) are found with one regular expression.  Each distinct entity, in a canonical form that ignores case or
 separators, gets one surrogate from a keyed hash: digits for digits, letters of the same script and case for letters,
 first names of the gender that the title states, valid octets, a check digit that holds where the original's does.
-Occurrences keep their own format, so one entity written two ways stays one entity.
+Occurrences keep their own format, so one entity written two ways stays one entity.  Names are replaced by part, without
+title, full stop and case: a family name has one surrogate whatever stands before it, a first name one for its gender
+(of a title that states none: the gender that the corpus's other titles give the name, else by its ending); initials
+are exchanged by a keyed shift of the alphabet, particles stay.
 
 Collision checks: surrogates that two entities would share, or that are an entity of the corpus themselves, are
 drawn again with the next attempt number (all but the entity first in order), until none is left.  After ``KEEP_FORMAT``
@@ -18,6 +21,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +38,9 @@ PREFIX = r"(?:(?:dell|d|l|al|el|ad|ar|as|ash|at|az|an|abd|ben|bin|ibn)['’-](?=
 #: A capital word with inner capitals, apostrophes (but not a genitive's) and hyphens; before it initials and particles.
 WORD = (rf"(?:\p{{Lu}}\.(?:[ -]?\p{{Lu}}\.){{0,3}} ?)?{PARTICLE}{{0,3}}{PREFIX}?\p{{Lu}}{LETTER}{{0,60}}+"
         rf"(?:['’](?!s(?!{LETTER})){LETTER}{{1,60}}+|[-‐‑]{LETTER}{{1,60}}+){{0,4}}")
+#: A part of a name: an initial, a particle, or a word between hyphens.
+PART = rf"{LETTER}+(?:['’](?!s(?!{LETTER})){LETTER}+)*"
+SMALL_PART = PARTICLE.replace("['’]t) )", "t|dell|d|l|ad|ar|as|ash|at|az|an|abd))")
 #: A title before a name; the look-ahead turns most characters away at once.
 TITLED = rf"(?=[MHFSDPГ]){TITLE}\.? (?:\p{{Lu}}|{PARTICLE}|{PREFIX})"
 FEMALE = "(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа)"
@@ -52,6 +60,8 @@ TYPES = (
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
 #: Attempts that keep every format; after them a surrogate has up to ``MOST_MORE`` further characters.
 KEEP_FORMAT, MOST_MORE = 8, 12
+INITIALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+            "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞĆČĐŁŃŘŚŞŠŹŻŽİ")
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK, HAN = "αβγδεζηθικλμνξοπρστυφχψω", "安白成大方高海江林明青山石田文心新星月中"
 FIRST = {
@@ -123,36 +133,65 @@ def canonical(kind: Column, match: Column) -> Column:
         kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(match)).otherwise(match)
 
 
-def gender(name: Column, key: str) -> Column:
-    given = F.regexp_extract(name, r"^\S+? (\S+)", 1)
-    return F.when(F.rlike(name, F.lit(rf"^{FEMALE}\b")), F.lit("f")).when(
-        F.rlike(name, F.lit(rf"^{MALE}\b")), F.lit("m")).when(
-        F.rlike(given, F.lit("[aа]$")), F.lit("f")).otherwise(F.lit("m"))
-
-
 def grown(attempt: int) -> int:
     return min(MOST_MORE, max(0, attempt - KEEP_FORMAT + 1))
 
 
-def name_surrogate(name: Column, key: str, attempt: int) -> Column:
-    """Title kept; a first name of the same gender and script; family names of syllables, as many as there were.
-    Of a titled family name alone, only that is drawn."""
-    parts = F.split(name, " ")
-    sex = gender(name, key)
-    n_syllables, attempt = 4 + grown(attempt), F.lit(attempt)
-
+def name_part(kind: Column, part: Column, attempt: int, key: str) -> Column:
+    """A family name of syllables; a first name of the gender that ``kind`` states from a list, then of syllables too."""
     def of(script: str) -> Column:
-        first = F.when(sex == "f", word_of(FIRST[script, "f"], keyed(key, name, attempt, F.lit("first")))).otherwise(
-            word_of(FIRST[script, "m"], keyed(key, name, attempt, F.lit("first"))))
-
-        def family(i):
-            syllables = [word_of(SYLLABLES[script], keyed(key, name, attempt, i, F.lit(k))) for k in range(n_syllables)]
-            return F.initcap(F.concat(*syllables))
-
-        return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(
-            (i == 1) & (F.size(parts) > 2), first).otherwise(family(i))), " ")
-
-    return F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}+$")), of("cyrillic")).otherwise(of("latin"))
+        def syllables(n):
+            return F.concat(*[word_of(SYLLABLES[script], keyed(key, kind, part, F.lit(attempt), F.lit(k))) for k in range(n)])
+
+        def first(sex, ending):
+            if attempt < 2:
+                return F.lower(word_of(FIRST[script, sex], keyed(key, part, F.lit(attempt), F.lit("first"))))
+            return F.concat(syllables(min(attempt, 2 + MOST_MORE)), F.lit(ending))
+
+        endings = {"latin": ("a", "o"), "cyrillic": ("а", "ий")}[script]
+        return F.when(kind == "first f", first("f", endings[0])).when(kind == "first m", first("m", endings[1])).otherwise(
+            syllables(4 + grown(attempt)))
+
+    return F.when(F.rlike(part, F.lit(r"\p{IsCyrillic}$")), of("cyrillic")).otherwise(of("latin"))
+
+
+def name_parts(names: DataFrame) -> DataFrame:
+    """(match, head, before, pos, part, after, kind, entity) of every part of the names ``match``; kind is ``initial`` or
+    ``small`` (a particle) for those without a surrogate of their own."""
+    head = F.regexp_extract("match", rf"^({TITLES} ){WORD}", 1)
+    names = names.withColumn("head", head).withColumn("body", F.substr("match", F.length("head") + 1))
+    sex = F.when(F.rlike("head", F.lit(rf"^{FEMALE}(?!{LETTER})")), F.lit("f")).when(
+        F.rlike("head", F.lit(rf"^{MALE}(?!{LETTER})")), F.lit("m"))
+    parts = names.select("match", "head", sex.alias("sex"), F.split("body", PART, -1).alias("between"), F.posexplode(
+        F.regexp_extract_all("body", F.lit(PART), F.lit(0))).alias("pos", "part"))
+    after = F.element_at("between", F.col("pos") + 2)
+    later = F.exists(F.slice("between", F.col("pos") + 2, F.size("between")), lambda x: F.contains(x, F.lit(" ")))
+    kind = F.when(F.rlike("part", F.lit(rf"^{SMALL_PART}$")), F.lit("small")).when(
+        (F.length("part") == 1) & F.startswith(after, F.lit(".")), F.lit("initial")).when(
+        later, F.lit("first")).otherwise(F.lit("family"))
+    parts = parts.select("match", "head", "sex", F.element_at("between", 1).alias("before"), "pos", "part", after.alias("after"),
+                         kind.alias("kind"), F.replace(F.lower("part"), F.lit("’"), F.lit("'")).alias("entity"))
+    parts = stored(parts, "name-parts")
+    female = F.sum(F.when(F.col("sex") == "f", 1).otherwise(-1))
+    known = parts.where("kind = 'first' and sex is not null").groupBy("entity").agg(
+        F.when(female > 0, F.lit("f")).otherwise(F.lit("m")).alias("known"))
+    by_ending = F.when(F.rlike("entity", F.lit("[aа]$")), F.lit("f")).otherwise(F.lit("m"))
+    return parts.join(known, "entity", "left").withColumn("kind", F.when(F.col("kind") == "first", F.concat(
+        F.lit("first "), F.coalesce("sex", "known", by_ending))).otherwise(F.col("kind"))).drop("sex", "known")
+
+
+def whole_names(parts: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, surrogate) of every name: title, separators and particles kept, the parts' surrogates in its case."""
+    part, drawn = F.col("part"), F.col("surrogate")
+    shift = int(hashlib.sha256(key.encode()).hexdigest(), 16)
+    turned = "".join(x[(k := 1 + shift % (len(x) - 1)):] + x[:k] for x in INITIALS)
+    new = F.when(F.col("kind") == "initial", F.translate(part, "".join(INITIALS), turned)).when(
+        F.col("kind") == "small", part).when((F.length(part) > 1) & (part == F.upper(part)), F.upper(drawn)).when(
+        part == F.lower(part), drawn).otherwise(F.initcap(drawn))
+    whole = parts.join(table, ["kind", "entity"], "left").groupBy("match", "head", "before").agg(F.array_sort(
+        F.collect_list(F.struct("pos", F.concat(new, "after").alias("new")))).alias("new"))
+    return whole.select(F.lit("name").alias("kind"), F.col("match").alias("entity"), F.concat(
+        "head", "before", F.array_join(F.transform("new", lambda x: x["new"]), "")).alias("surrogate"))
 
 
 def octet(o: Column, n: Column, any_width: bool) -> Column:
@@ -183,7 +222,7 @@ def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(
         kind == "phone", F.concat(number, further("0123456789"))).when(kind == "ssn", number).when(
-        kind == "iban", iban).otherwise(name_surrogate(entity, key, tried))
+        kind == "iban", iban).otherwise(name_part(kind, entity, tried, key))
 
 
 def in_format(kind: Column, match: Column, drawn: Column) -> Column:
@@ -251,7 +290,10 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text: st
     found = found.groupBy("row", "pos").agg(F.first("match").alias("match")).withColumn(
         "kind", entity_type(F.col("match")))
     found = stored(found.withColumn("entity", canonical(F.col("kind"), F.col("match"))), "occurrences")
-    table = surrogate_table(found, key)
+    parts = stored(name_parts(found.where("kind = 'name'").select("match").distinct()), "parts")
+    own = parts.where(~F.col("kind").isin("small", "initial")).select("kind", "entity")
+    table = surrogate_table(found.where("kind != 'name'").select("kind", "entity").unionByName(own), key)
+    table = table.unionByName(whole_names(parts, table, key))
     new = found.join(table, ["kind", "entity"]).withColumn("new", in_format(F.col("kind"), F.col("match"), F.col("surrogate")))
     per_row = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("found"))
     pieces = F.split("text", ANY, -1)

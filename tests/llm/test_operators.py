@@ -125,6 +125,22 @@ def test_surrogates_leave_nothing_of_titled_names(spark):
     assert not any(w in got[99]["text"] for w in ("Karl", "Braun", "Lena", "Weiss", "Smith", "é"))
 
 
+def test_surrogates_keep_coreference_of_names(spark):
+    texts = ["Mr. John Smith", "Mr John Smith", "Dr. John Smith", "Mr. Smith", "Prof. Dr. SMITH", "Mrs. Karen Smith-Jones",
+             "Dr. Karen Jones", "Mr. John F. Jones", "Mr. Jack Smith", "Mr. J. Smith", "Mr. K. Smith"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["text"] for r in surrogates.replace_entities(rows, "k").orderBy("doc_id").collect()]
+    john, smith = got[0].split()[1:]
+    karen, both = got[5].split()[1:]
+    jones = both.split("-")[1]
+    assert got[:5] == [f"Mr. {john} {smith}", f"Mr {john} {smith}", f"Dr. {john} {smith}", f"Mr. {smith}",
+                       f"Prof. Dr. {smith.upper()}"]
+    assert both == f"{smith}-{jones}" and got[6] == f"Dr. {karen} {jones}" and got[7].split()[1::2] == [john, jones]
+    assert smith != jones and len(set(got)) == len(got) and got[9].split()[2] == got[10].split()[2] == smith
+    assert not {w for t in got for w in t.replace("-", " ").split()} & {"John", "Smith", "Jones", "Karen", "F.", "J.", "K."} - {
+        got[9].split()[1], got[10].split()[1]}
+
+
 def test_surrogates_leave_clean_texts(spark, docs):
     got = {r["doc_id"]: r for r in E.queries()["op1_pii_surrogates"](spark, SMALL).collect()}
     assert len(got) == len(docs)
