@@ -79,3 +79,40 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+def op11_warc_archive() -> str:
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    part = "CAST('0x' || substr(h, {at}, 5) AS BIGINT)"
+    base32 = " || ".join(f"substr('{digits}', CAST(({part.format(at=1 + 5 * i)} >> {shift}) & 31 AS INTEGER) + 1, 1)"
+                         for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS best FROM d
+      WINDOW w AS (PARTITION BY t ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN best END AS refers_to
+FROM r"""
+
+
+def op12_fingerprint_phrases() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[i:i + k - 1] AS g FROM w, unnest([1, 2, 3, 4, 5]) AS x(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, g, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY lang, g HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.g, f.a, k, l.a AS l, r.a AS r, n, 1000 * f.a * n // (l.a * r.a) AS score
+      FROM f JOIN t USING (lang), unnest(range(1, len(f.g))) AS x(k)
+      JOIN f AS l ON l.lang = f.lang AND l.g = f.g[1:k] JOIN f AS r ON r.lang = f.lang AND r.g = f.g[k + 1:]),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT f.lang, f.g[i:j] AS g, f.a FROM f, unnest(range(1, len(f.g) + 1)) AS x(i),
+           unnest(range(i + 1, len(f.g) + 1)) AS y(j) WHERE j - i + 1 < len(f.g)),
+kept AS (SELECT * FROM s WHERE NOT EXISTS (
+      SELECT 1 FROM inside WHERE inside.lang = s.lang AND inside.g = s.g AND 100 * inside.a >= 100 * s.a)),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase,
+      row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, jaccard, langid, mixing, oracles, packing, secrets, spans, surrogates, token_cache, topk
+from . import alignment, collocations, cws, jaccard, langid, mixing, oracles, packing, secrets, spans, surrogates, token_cache, topk, warc
 from .common import n_words, scratch_path, stored, table  # noqa: F401
 
 
@@ -79,10 +79,26 @@ def op10_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 20 = 0"))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc-archive")
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
+def op12_fingerprint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_incidence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_surrogates, op2_cube_mixing, op3_certified_packing, op4_secret_ownership,
                             op5_token_cache, op6_cross_parsing, op7_suffix_automata, op8_parity_join,
-                            op9_weighted_sampling, op10_columnar_topk)
+                            op9_weighted_sampling, op10_columnar_topk, op11_warc_archive,
+                            op12_fingerprint_phrases, op13_incidence_alignment)
 }
 ORACLES: dict[str, Callable[[], str]] = {f.__name__: f for f in (
-    oracles.op4_secret_ownership, oracles.op7_suffix_automata, oracles.op8_parity_join, oracles.op10_columnar_topk)}
+    oracles.op4_secret_ownership, oracles.op7_suffix_automata, oracles.op8_parity_join, oracles.op10_columnar_topk,
+    oracles.op11_warc_archive, oracles.op12_fingerprint_phrases)}
