@@ -45,7 +45,7 @@ UNDEFINED = "und"
 _BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Of a fingerprint, the bucket's bits and these many bytes below them travel.
-_SENT = 6
+SENT_BYTES = 6
 _TABLE = bytearray(range(256))
 _TABLE[ord("A"):ord("Z") + 1] = range(ord("a"), ord("z") + 1)
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
@@ -175,12 +175,12 @@ def bucket_of(value: np.ndarray, bits: int) -> np.ndarray:
     return (value >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(value), dtype=np.int64)
 
 
-def message(chunk: int, value: np.ndarray, count: np.ndarray, bits: int) -> pd.DataFrame:
+def message(chunk: int, value: np.ndarray, count: np.ndarray, bits: int, width: int = SENT_BYTES) -> pd.DataFrame:
     """(bucket, chunk, prints, counts, more): distinct fingerprints, packed by bucket."""
     bucket = bucket_of(value, bits)
     ends = np.cumsum(np.bincount(bucket, minlength=1)) if len(bucket) else np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    packed = np.ascontiguousarray(value << np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, 8 - _SENT:]
+    packed = np.ascontiguousarray(value << np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, 8 - width:]
     small = np.minimum(count, 255).astype(np.uint8)
     some = np.flatnonzero(ends > starts).tolist()
     parts = [slice(starts[k], ends[k]) for k in some]
@@ -190,20 +190,20 @@ def message(chunk: int, value: np.ndarray, count: np.ndarray, bits: int) -> pd.D
         "more": [count[p][small[p] == 255].astype(np.int64).tobytes() for p in parts]})
 
 
-def answered(messages: DataFrame, least: int) -> DataFrame:
+def answered(messages: DataFrame, least: int, width: int = SENT_BYTES) -> DataFrame:
     """(chunk, bucket, bits): for each fingerprint of a message, whether all chunks together have ``least`` of it."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(pdf["prints"]), dtype=np.uint8).reshape(-1, _SENT)
+        raw = np.frombuffer(b"".join(pdf["prints"]), dtype=np.uint8).reshape(-1, width)
         wide = np.zeros((len(raw), 8), dtype=np.uint8)
-        wide[:, :_SENT] = raw
+        wide[:, :width] = raw
         count = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint8).astype(np.int64)
         count[count == 255] = np.frombuffer(b"".join(pdf["more"]), dtype=np.int64)
         value, place = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
         total = np.zeros(len(value), dtype=np.int64)
         np.add.at(total, place, count)
         frequent = (total >= least)[place]
-        ends = np.cumsum([len(p) // _SENT for p in pdf["prints"]])
+        ends = np.cumsum([len(p) // width for p in pdf["prints"]])
         rows = []
         for chunk, bucket, a, b in zip(pdf["chunk"], pdf["bucket"], np.concatenate([[0], ends[:-1]]), ends):
             if frequent[a:b].any():
@@ -280,7 +280,7 @@ def bucket_bits(values: int, per_bucket: int = BUCKET_VALUES) -> int:
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_words: int = CHUNK_WORDS,
-                     bucket_values: int = BUCKET_VALUES) -> tuple[DataFrame, DataFrame]:
+                     bucket_values: int = BUCKET_VALUES, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, phrase, words, a) of all phrases of up to ``longest`` words that occur ``least`` times
     in a language, and (lang, n), the words of each language."""
     chunks = stored(text_chunks(docs, chunk_words, longest), "word-chunks")
@@ -296,7 +296,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         for pdf in batches:
             for r, c in rows_of(pdf):
                 value, count, _ = first_prints(c)[1]
-                yield message(r.chunk, value, count, bits)
+                yield message(r.chunk, value, count, bits, sent_bytes)
 
     def second(batches):
         for pdf in batches:
@@ -304,7 +304,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
                 starts, (value, _, place) = first_prints(c)
                 known = marked(c, starts, flags(value, r.first, bits)[place])
                 value, count, _ = longer_prints(c, known, longest)[1]
-                yield message(r.chunk, value, count, bits)
+                yield message(r.chunk, value, count, bits, sent_bytes)
 
     def spell(batches):
         for pdf in batches:
@@ -319,9 +319,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     def by_chunk(answers, name):
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-    one = stored(by_chunk(answered(chunks.mapInPandas(first, sent), least), "first"), "frequent-pairs")
+    one = stored(by_chunk(answered(chunks.mapInPandas(first, sent), least, sent_bytes), "first"), "frequent-pairs")
     informed = chunks.join(one, "chunk", "left")
-    two = stored(by_chunk(answered(informed.mapInPandas(second, sent), least), "second"), "frequent-ngrams")
+    two = stored(by_chunk(answered(informed.mapInPandas(second, sent), least, sent_bytes), "second"), "frequent-ngrams")
     texts = chunks.join(one, "chunk").join(two, "chunk", "left").mapInPandas(
         spell, "lang string, words int, phrase string, count long")
     phrases = texts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("count").alias("a")).where(
@@ -379,8 +379,9 @@ def first_rows(scored: DataFrame, top: int, per_bucket: int = 50_000) -> DataFra
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = 2000, percent: int = 100,
-                 chunk_words: int = CHUNK_WORDS, bucket_values: int = BUCKET_VALUES) -> DataFrame:
+                 chunk_words: int = CHUNK_WORDS, bucket_values: int = BUCKET_VALUES,
+                 sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of (lang, text): each language's first ``top`` collocations."""
-    phrases, totals = frequent_phrases(docs, least, longest, chunk_words, bucket_values)
+    phrases, totals = frequent_phrases(docs, least, longest, chunk_words, bucket_values, sent_bytes)
     scored = stored(uncontained(collocation_scores(phrases, totals), percent), "collocations")
     return first_rows(scored, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

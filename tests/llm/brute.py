@@ -120,3 +120,127 @@ def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), share=1.5) -
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def page_records(pages: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of (page_id, html) rows; a null id is the least."""
+    import base64
+
+    least = lambda d: -(1 << 64) if d is None else d
+    best: dict[str, int] = {}
+    for i, (d, t) in enumerate(pages):
+        t = t or ""
+        if t not in best or least(d) > least(pages[best[t]][0]):
+            best[t] = i
+    out = []
+    for i, (d, t) in enumerate(pages):
+        raw, first = (t or "").encode(), best[t or ""]
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        out.append((d, len(raw), digest, "response" if first == i else "revisit", None if first == i else pages[first][0]))
+    return sorted(out, key=str)
+
+
+def collocations(docs: list[tuple[str | None, str | None]], least=100, longest=5, top=2000) -> list[tuple]:
+    from collections import Counter
+
+    n: Counter = Counter()
+    f: Counter = Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i:i + k])] += 1
+    candidates = {x: a for x, a in f.items() if a >= least and len(x[1]) > 1}
+    covered = set()
+    for (lang, p), a in candidates.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                if 100 * a >= 100 * candidates[lang, p[i:i + k]]:
+                    covered.add((lang, p[i:i + k]))
+    rows = []
+    for (lang, p), a in candidates.items():
+        if (lang, p) not in covered:
+            score, _, left, right = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]],
+                                         f[lang, p[k:]]) for k in range(1, len(p)))
+            rows.append((lang, -score, -a, " ".join(p).encode(), left, right))
+    rank: Counter = Counter()
+    out = []
+    for lang, score, a, phrase, left, right in sorted(rows):
+        rank[lang] += 1
+        if rank[lang] <= top:
+            out.append((lang, rank[lang], phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out, key=str)
+
+
+def token_bytes() -> tuple:
+    """Functions that give (id, bytes) of a text's tokens, by the libraries."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(c): c for c in shown}
+    letters.update({chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)})
+
+    def of_a(text):
+        return [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+
+    def of_b(text):
+        out = []
+        for i in b.encode(text):
+            p = b.id_to_piece(i)
+            out.append((i, bytes.fromhex(p[3:5]) if b.is_byte(i) else p.replace("▁", " ").encode()))
+        return out
+
+    return of_a, of_b
+
+
+def spans_of(tokens: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
+    at, out = 0, []
+    for i, b in tokens:
+        out.append((i, at, at + len(b)))
+        at += len(b)
+    return out
+
+
+def alignments(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """One merge pass over the token ends of each document."""
+    from collections import Counter
+
+    of_a, of_b = token_bytes()
+    holds: Counter = Counter()
+    rows = []
+    for d, text in docs:
+        a, b = (of_a(text), of_b(text)) if text else ([], [])
+        data = (" " + (text or "")).encode()
+        if b"".join(x for _, x in a) != data or b"".join(x for _, x in b) != data:
+            a = b = []
+        a, b = spans_of(a), spans_of(b)
+        links, groups, i, j = [], [], 0, 0
+        ga, gb = ([a[0][0]], [b[0][0]]) if a else ([], [])
+        while i < len(a):
+            links.append((a[i][0], b[j][0]))
+            ea, eb = a[i][2], b[j][2]
+            if ea == eb:
+                groups.append((ga, gb))
+                ga, gb = [], []
+            if ea <= eb:
+                i += 1
+                ga += [a[i][0]] if i < len(a) else []
+            if eb <= ea:
+                j += 1
+                gb += [b[j][0]] if j < len(b) else []
+        shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        holds.update(set(links))
+        rows.append((d, len(a), len(b), len(groups), links, sha(shown) if a else ""))
+    best: Counter = Counter()
+    for (x, _), c in holds.items():
+        best[x] = max(best[x], c)
+    return sorted(((d, na, nb, ng, len(links), sum(holds[p] == best[p[0]] for p in links), sum(holds[p] for p in links), s)
+                   for d, na, nb, ng, links, s in rows), key=str)
