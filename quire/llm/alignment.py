@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, stored
+from .common import row_slices, stored, text_bytes
 from .tokenize import LONG_RUN, ByteEncoder, encoder, tokenizer_path
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters whose documents share a chunk, and entries that one block of a product expands to.
 CHUNK_CHARS = 12_000_000
 BLOCK_ENTRIES = 1 << 20
-SLICE_CHARS = 1_000_000
+SLICE_BYTES = 1_000_000
 #: Pieces a worker remembers, and the longest.
 MEMO_PIECES = 400_000
 MEMO_CHARS = 48
@@ -323,7 +323,7 @@ def aligned_documents(docs: DataFrame, a_name: str = A_NAME, b_name: str = B_NAM
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for i, j in row_slices([len(t) for t in texts], SLICE_CHARS):
+            for i, j in row_slices(text_bytes(texts), SLICE_BYTES):
                 x = align(texts[i:j], enc_a, enc_b)
                 shas = group_texts(x, sizes)
                 pairs, link_ends = link_pairs(x), x.link_ends

@@ -7,9 +7,9 @@ per fingerprint it sent: frequent or not.  A fingerprint's place in a chunk's me
 chunk finds the words again by it.  Words and pairs of words go first; of longer n-grams only those whose pairs are all
 frequent are sent at all, as no phrase is more frequent than its parts.
 
-Fingerprints only select.  A chunk then spells the n-grams whose bits are set, told apart by their words, and counts are
-added up by text, so two phrases that share a fingerprint are separate again; only frequent phrases become text.  The
-scores are joins of that table with itself.
+Fingerprints only select.  A chunk then spells the n-grams whose bits are set, told apart by their words, again packed
+by bucket, and counts are added up by text, so two phrases that share a fingerprint are separate again; only frequent
+phrases become text, and rows of their own only once they are added up.  The scores are joins of that table with itself.
 
 Each chunk sends a fingerprint at most once, so the commonest phrase has a row per chunk, not per occurrence.  The
 number of buckets follows the words of the corpus.  Parts that very many phrases share are looked up with
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, row_slices, stored, word_table
+from .common import mix64, powers, row_slices, stored, text_bytes, word_table
 from .hotkeys import lookup_join
 
 LONGEST = 5
@@ -81,7 +81,7 @@ class OpenChunk:
 
 def normal_slices(texts: list[str], limit: int) -> Iterator[bytes]:
     """The texts, lowered, with every end of a piece or text as ``BREAK``, in slices cut between words."""
-    for a, b in row_slices([len(t) for t in texts], limit):
+    for a, b in row_slices(text_bytes(texts), limit):
         data = BREAK.join(t.encode("utf-8", "surrogatepass").translate(_TABLE) for t in texts[a:b]) + BREAK
         at = 0
         while at < len(data):
@@ -275,6 +275,35 @@ def spelled(c: Chunk, flagged: list[np.ndarray]) -> list[tuple[int, str, int]]:
     return rows
 
 
+def spelled_message(rows: list[tuple[int, str, int]], lang: str, bits: int) -> pd.DataFrame:
+    """(bucket, lang, phrases, counts) of a chunk's phrases, by a hash of their text; a phrase has no line end."""
+    texts = [r[1] for r in rows]
+    value = (pd.util.hash_array(np.array(texts, dtype=object), categorize=False) if texts else np.zeros(0, np.uint64))
+    bucket = bucket_of(value.astype(np.uint64), bits)
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    parts = [order[a:b].tolist() for a, b in zip(first, [*first[1:], len(order)])]
+    return pd.DataFrame({
+        "bucket": bucket[order[first]], "lang": [lang] * len(parts),
+        "phrases": ["\n".join([texts[i] for i in p]) for p in parts],
+        "counts": [np.array([rows[i][2] for i in p], dtype=np.int64).tobytes() for p in parts]})
+
+
+def added_up(messages: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, a): phrases that all chunks of a language together have ``least`` times."""
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[tuple[str, str], int] = {}
+        for lang, phrases, counts in zip(pdf["lang"], pdf["phrases"], pdf["counts"]):
+            for phrase, n in zip(phrases.split("\n"), np.frombuffer(counts, dtype=np.int64).tolist()):
+                key = (lang, phrase)
+                sums[key] = sums.get(key, 0) + n
+        rows = [(lang, p, p.count(" ") + 1, n) for (lang, p), n in sums.items() if n >= least]
+        return pd.DataFrame(rows, columns=["lang", "phrase", "words", "a"])
+
+    return messages.groupBy("bucket").applyInPandas(total, "lang string, phrase string, words int, a long")
+
+
 def bucket_bits(values: int, per_bucket: int = BUCKET_VALUES) -> int:
     return max(0, -(-values // per_bucket) - 1).bit_length()
 
@@ -313,8 +342,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
                 known = marked(c, starts, flags(value, r.first, bits)[place])
                 starts, (value, _, place) = longer_prints(c, known, longest)
                 known += marked(c, starts, flags(value, r.second, bits)[place])
-                out = pd.DataFrame(spelled(c, known), columns=["words", "phrase", "count"])
-                yield out.assign(lang=r.lang)[["lang", "words", "phrase", "count"]]
+                yield spelled_message(spelled(c, known), r.lang, bits)
 
     def by_chunk(answers, name):
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
@@ -322,10 +350,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     one = stored(by_chunk(answered(chunks.mapInPandas(first, sent), least, sent_bytes), "first"), "frequent-pairs")
     informed = chunks.join(one, "chunk", "left")
     two = stored(by_chunk(answered(informed.mapInPandas(second, sent), least, sent_bytes), "second"), "frequent-ngrams")
-    texts = chunks.join(one, "chunk").join(two, "chunk", "left").mapInPandas(
-        spell, "lang string, words int, phrase string, count long")
-    phrases = texts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("count").alias("a")).where(
-        F.col("a") >= least)
+    phrases = added_up(chunks.join(one, "chunk").join(two, "chunk", "left").mapInPandas(
+        spell, "bucket long, lang string, phrases string, counts binary"), least)
     totals = chunks.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0")
     return stored(phrases, "frequent-phrases"), stored(totals, "language-words")
 

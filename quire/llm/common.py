@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,19 +16,34 @@ from quire.sinks.writers import scratch_path
 #: A word: characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy pass works on; bounds a worker's arrays (a longer document is alone in its pass).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Bytes of one Arrow batch between the JVM and a worker (a longer row is alone in its batch).
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside exchange Arrow batches of at most ``BATCH_BYTES`` with their Python workers."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it back: cuts lineage, so that a lost
     executor re-reads files instead of rerunning what came before.  The folder goes when the application ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
@@ -42,6 +58,11 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_bytes(texts: list[str]) -> list[int]:
+    """UTF-8 length of each text."""
+    return [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+
+
 def row_slices(lengths, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most ``budget`` bytes each, one row at least."""
     start, total = 0, 0

@@ -22,8 +22,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
         there = there & F.col(c).isNotNull()
     keyed = rows.where(there)
     counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("hot_rows"))
-    total = counts.agg(F.sum("hot_rows").alias("hot_total"))
-    hot = counts.join(F.broadcast(total), F.col("hot_rows") * hot_share >= F.col("hot_total")).select(*on)
+    total = counts.agg(F.sum("hot_rows")).scalar()
+    hot = counts.where(F.col("hot_rows") * hot_share >= total).select(*on)
     hot_lookup = F.broadcast(lookup.join(hot, on, "left_semi"))
     cold = keyed.join(F.broadcast(hot), on, "left_anti")
     # A hot key that lookup lacks matches nothing; "left" keeps its rows.

@@ -33,17 +33,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty, gram_hashes, mix64, row_slices, shuffle_width, signed, stored, word_table
+from .common import (empty, gram_hashes, mix64, row_slices, shuffle_width, signed, stored, text_bytes, word_table)
 from .components import components
 
 WORDS = 5
 SKETCH_WORDS = 16
 ALL_PAIRS = 8
 BLOCK_MEMBERS = 4096
-#: Equal sets that one task meets again are not sent again, as far as it remembers that many.
-REMEMBERED = 200_000
-#: Values that a task holds before it packs them.
-PACKED_VALUES = 1_000_000
+#: Equal sets that one task meets again are not sent again, as far as its table of so many places remembers them.
+REMEMBERED = 1 << 18
+#: Values that a task holds before it packs them, and that one bucket holds on average at most.
+PACKED_VALUES = 400_000
+BUCKET_VALUES = 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -121,7 +122,7 @@ def described(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             rows = []
-            for a, b in row_slices(list(map(len, texts))):
+            for a, b in row_slices(text_bytes(texts)):
                 for s in shingle_sets(texts[a:b]):
                     rows.append((len(s), *set_identity(s), bit_sketch(s)))
             more = pd.DataFrame(rows, columns=["n", "h1", "h2", "sketch"])
@@ -149,28 +150,28 @@ def sent_values(docs: DataFrame, bits: int) -> DataFrame:
                              "ids": [name[starts[k]:ends[k]].tobytes() for k in some]})
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen = np.zeros((REMEMBERED, 2), dtype=np.int64)
+        values, names, held = [], [], 0
         for pdf in batches:
             texts = pdf["text"].tolist()
-            values, names, held = [], [], 0
-            for a, b in row_slices(list(map(len, texts))):
+            for a, b in row_slices(text_bytes(texts)):
                 for s in shingle_sets(texts[a:b]):
                     if not len(s):
                         continue
                     who = set_identity(s)
-                    if who in seen:
+                    place = seen[who[0] & (REMEMBERED - 1)]
+                    if place[0] == who[0] and place[1] == who[1]:
                         continue
-                    if len(seen) < REMEMBERED:
-                        seen.add(who)
+                    place[:] = who
                     v = block_values(s)
                     values.append(v)
                     names.append(np.full(len(v), (who[0] >> 24) & ((1 << 40) - 1), dtype=np.uint64))
                     held += len(v)
-                if held > PACKED_VALUES:
-                    yield packed(values, names)
-                    values, names, held = [], [], 0
-            if held:
-                yield packed(values, names)
+                    if held > PACKED_VALUES:
+                        yield packed(values, names)
+                        values, names, held = [], [], 0
+        if held:
+            yield packed(values, names)
 
     return docs.select("text").mapInPandas(run, "bucket int, values binary, ids binary")
 
@@ -214,8 +215,10 @@ def bucket_pairs(value: np.ndarray, name: np.ndarray) -> pd.DataFrame:
     return pd.concat([pairs.assign(kind=0, value=0), members])[["kind", "value", "a", "b"]]
 
 
-def candidate_pairs(docs: DataFrame) -> DataFrame:
-    bits = max(8, (4 * shuffle_width(docs.sparkSession) - 1).bit_length())
+def candidate_pairs(docs: DataFrame, shingles: int) -> DataFrame:
+    """Candidates of ``docs``, whose sets have so many shingles together; a set sends about a value for each."""
+    buckets = max(4 * shuffle_width(docs.sparkSession), -(-shingles // BUCKET_VALUES))
+    bits = max(8, (buckets - 1).bit_length())
 
     def run(batches: Iterator[pd.DataFrame]):
         at, values, ids = None, [], []
@@ -245,7 +248,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for pdf in batches:
             keep = []
             ta, tb = pdf["text_u"].tolist(), pdf["text_v"].tolist()
-            for a, b in row_slices([len(x) + len(y) for x, y in zip(ta, tb)]):
+            for a, b in row_slices([x + y for x, y in zip(text_bytes(ta), text_bytes(tb))]):
                 for x, y in zip(shingle_sets(ta[a:b]), shingle_sets(tb[a:b])):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(similar_enough(common, len(x), len(y)))
@@ -346,7 +349,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     sets = stored(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(node).alias("node"), F.first("sketch").alias(
         "sketch")), "distinct-sets")
-    found = stored(candidate_pairs(docs), "candidates")
+    shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = stored(candidate_pairs(docs, shingles), "candidates")
     named = sets.select(F.shiftrightunsigned("h1", 24).alias("name"), "node", "n", "sketch")
     side = lambda x, y: named.select(F.col("name").alias(x), F.col("node").alias(y), F.col("n").alias(f"n_{y}"),
                                      F.col("sketch").alias(f"s_{y}"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import row_slices
+from .common import row_slices, text_bytes
 
 UNKNOWN = "und"
 LANE = 256
@@ -168,7 +168,7 @@ class Parser:
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         rows: list[tuple] = []
         plain = [t or "" for t in texts]
-        for a, b in row_slices(list(map(len, plain))):
+        for a, b in row_slices(text_bytes(plain)):
             if not self.languages:
                 rows += [(UNKNOWN, 0.0, 0, 0.0)] * (b - a)
                 continue

@@ -7,7 +7,7 @@ ends with at most two undecided documents, which meet those of other blocks on t
 group per source, lands by dropping the constraints one after another.
 
 Defined cases: null text has size 0; documents of size 0 are taken 0 times; a null source is a source of its own, last
-in order; rows equal in doc_id, source and size are one unit, taken alike; an empty table gives an empty result; other
+in order; rows equal in doc_id, source and size are units of their own, told apart by a running number; an empty table gives an empty result; other
 columns are ignored.  Draws are keyed by seed, source and block, so reruns agree.
 """
 
@@ -25,7 +25,7 @@ from .common import mix64, n_words, stored
 #: Documents in one block of the flight at most, on average (a block is one task's group).
 BLOCK_UNITS = 4096
 WEIGHTS = (5, 2, 1)
-UNIT = "doc_id string, source string, size long, copies long, whole long, chance double, open boolean"
+UNIT = "doc_id string, source string, size long, copy long, whole long, chance double, open boolean"
 WALKED = UNIT + ", blocks long, block long"
 
 
@@ -96,12 +96,13 @@ def block_flight(seed: int, level: int):
     """The flight of one block; a source's only block also lands."""
 
     def one(key, pdf):
-        order = mix64(pd.util.hash_array(pdf["doc_id"].fillna("").to_numpy(object)) + np.uint64(seed))
-        pdf = pdf.assign(o=order).sort_values(["o", "doc_id", "size"], ignore_index=True)
+        order = mix64(mix64(pd.util.hash_array(pdf["doc_id"].fillna("").to_numpy(object)) + np.uint64(seed)) + pdf["copy"].to_numpy(
+            np.int64).view(np.uint64))
+        pdf = pdf.assign(o=order).sort_values(["o", "doc_id", "size", "copy"], ignore_index=True)
         named = f"{seed}|{level}|{key[0]!r}|{int(key[1])}".encode()
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(named).digest()[:8], "little"))
         last = int(pdf["blocks"].iloc[0]) == 1
-        p = flight(pdf["chance"].to_numpy(float), (pdf["size"] * pdf["copies"]).to_numpy(np.int64), rng, last)
+        p = flight(pdf["chance"].to_numpy(float), pdf["size"].to_numpy(np.int64), rng, last)
         return pdf.assign(chance=p, open=(p > 0) & (p < 1))[[c.split()[0] for c in WALKED.split(", ")]]
 
     return one
@@ -110,7 +111,7 @@ def block_flight(seed: int, level: int):
 def balanced_sample(units: DataFrame, seed: int = 17, block_units: int = BLOCK_UNITS) -> DataFrame:
     """Decide ``chance`` of every unit (0 or 1) within its source; ``units`` has the columns of UNIT less ``open``, and
     ``units`` per source as n_units."""
-    hash_id = F.xxhash64("doc_id", "size", F.lit(seed))
+    hash_id = F.xxhash64("doc_id", "size", "copy", F.lit(seed))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_units") / block_units)).cast("long")
     left = units.withColumns({"blocks": blocks, "block": F.pmod(hash_id, blocks)})
     done: list[DataFrame] = []
@@ -133,20 +134,31 @@ def balanced_sample(units: DataFrame, seed: int = 17, block_units: int = BLOCK_U
     return out
 
 
+def numbered_copies(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (doc_id, source, size) with a running number ``copy`` among equal rows.  Equal rows are counted, and the
+    counts are dealt out in parts of ``BLOCK_UNITS`` before they become rows again."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("copies") - 1, F.lit(BLOCK_UNITS))))
+    parts = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part)
+    first = F.col("part") * BLOCK_UNITS
+    copy = F.explode(F.sequence(first, F.least(F.col("copies"), first + BLOCK_UNITS) - 1))
+    return parts.repartition("doc_id", "source", "size", "part").withColumn("copy", copy).drop("copies", "part")
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every document."""
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn(
-        "doc_id", F.col("doc_id").cast("string"))
+    """(doc_id, source, size, source_size, target, taken) of every document; ``doc_id`` may be of any type that a string
+    gives back."""
+    id_type = docs.schema["doc_id"].dataType
+    sizes = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words(F.col("text")).alias(
+        "size")), "sizes")
+    units = numbered_copies(sizes.where("size > 0"))
     targets = stored(source_targets(sizes, weights, share, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = targets.withColumnsRenamed({"source": "t_source", "units": "n_units"})
     units = units.join(t, units["source"].eqNullSafe(t["t_source"])).withColumn("ratio", ratio).withColumn(
-        "whole", F.floor("ratio").cast("long")).withColumn("chance", F.col("ratio") - F.col("whole")).where("size > 0")
-    decided = balanced_sample(units.select("doc_id", "source", "size", "copies", "whole", "chance", "n_units"), seed)
-    rows = decided.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "copies", (F.col("size") * (F.col("whole") + F.col("chance").cast(
-        "long"))).alias("taken")).unionByName(sizes.where("size = 0").select(
-            "doc_id", "source", "size", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken")))
-    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copy", "copies")
+        "whole", F.floor("ratio").cast("long")).withColumn("chance", F.col("ratio") - F.col("whole"))
+    decided = balanced_sample(units.select("doc_id", "source", "size", "copy", "whole", "chance", "n_units"), seed)
+    rows = decided.select("doc_id", "source", "size", (F.col("size") * (F.col("whole") + F.col("chance").cast("long"))).alias(
+        "taken")).unionByName(sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast(id_type))
     return rows.join(t.drop("n_units"), rows["source"].eqNullSafe(t["t_source"])).select(
         "doc_id", "source", "size", "source_size", "target", "taken")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, stored
+from .common import row_slices, stored, text_bytes
 from .tokenize import ByteEncoder, encoder
 
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             texts = pdf["text"].tolist()
             keys = pdf["doc_id"].tolist()
             rows = []
-            for a, b in row_slices(list(map(len, texts))):
+            for a, b in row_slices(text_bytes(texts)):
                 for key, ids in zip(keys[a:b], enc.values(texts[a:b])):
                     ids += tail
                     end = len(ids) % width or min(width, len(ids))

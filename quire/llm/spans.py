@@ -15,8 +15,8 @@ new surroundings) is routed more finely, each window by itself, which groups and
 Words are compared as text in both ways; 64-bit hashes decide which segments are equal.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; repeated rows are occurrences of their
-own, so all their windows repeat; rows are told apart by doc_id and a hash of the text; a null doc_id counts as the
-least long meanwhile; an empty table gives an empty result; other columns are ignored.
+own, so all their windows repeat; rows are told apart by doc_id, a 64-bit hash of the text and its length (rows alike
+in all three are equal rows, whose marks are the same); a null doc_id counts as the least long meanwhile; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, powers, row_slices, shuffle_width, signed, stored, word_table
+from .common import (gram_hashes, mix64, powers, row_slices, shuffle_width, signed, stored, text_bytes, word_table)
 
 WINDOW = 35
 ANCHOR_WORDS = 8
 SHARD_SEGMENTS = 1024
 NULL_ID = -(1 << 63)
+#: What tells rows apart.
+ROW = ["doc_id", "text_hash", "n_chars"]
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -86,7 +88,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             found = [segments(texts[a:b], window)["anchor"].to_numpy(np.int64).view(np.uint64) for a, b in row_slices(
-                list(map(len, texts)))]
+                text_bytes(texts))]
             if not found:
                 continue
             value, count = np.unique(np.concatenate(found), return_counts=True)
@@ -124,19 +126,19 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def all_segments(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, at, anchor, segment) of all documents; at is start * 32 + n."""
+    """(doc_id, text_hash, n_chars, at, anchor, segment) of all documents; at is start * 32 + n."""
 
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for a, b in row_slices(list(map(len, texts))):
+            for a, b in row_slices(text_bytes(texts)):
                 s = segments(texts[a:b], window)
                 row = s["row"].to_numpy(np.int64) + a
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "text_hash": pdf["text_hash"].to_numpy()[row],
-                                    "at": s["start"].to_numpy(np.int64) * 32 + s["n"].to_numpy(np.int64),
+                                    "n_chars": pdf["n_chars"].to_numpy()[row], "at": s["start"].to_numpy(np.int64) * 32 + s["n"].to_numpy(np.int64),
                                     "anchor": s["anchor"].to_numpy(np.int64), "segment": s["segment"].to_numpy(np.int64)})
 
-    return docs.mapInPandas(run, "doc_id long, text_hash int, at long, anchor long, segment long")
+    return docs.mapInPandas(run, "doc_id long, text_hash long, n_chars int, at long, anchor long, segment long")
 
 
 class ShardAutomaton:
@@ -238,18 +240,17 @@ def window_masks(routed: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """(doc_id, text_hash, start, mask): bit i of mask says that the window starting at word start + i repeats."""
+    """(ROW, start, mask): bit i of mask says that the window starting at word start + i repeats."""
     found = all_segments(docs, window)
     again = stored(found.join(repeated_anchors(docs, window), "anchor", "left_semi"), "segments")
     shards = stored(again.groupBy("anchor", "segment").agg(
-        F.count(F.lit(1)).alias("uses"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one")), "shard-segments")
+        F.count(F.lit(1)).alias("uses"), F.min(F.struct(*ROW, "at")).alias("one")), "shard-segments")
     sizes = shards.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("uses").alias("all_uses")).where(
         "all_uses > 1")
     sized = stored(shards.join(sizes, "anchor"), "sized-segments")
     equal = sized.where("kinds = 1").select("anchor", "segment", (F.call_function(
         "shiftleft", F.lit(1).cast("long"), (F.col("one.at") % 32).cast("int")) - 1).alias("mask"))
-    asked = sized.where("kinds > 1").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias(
-        "text_hash")).agg(F.collect_list(F.struct("one.at", "anchor", "segment", "uses", "kinds")).alias("asked"))
+    asked = sized.where("kinds > 1").groupBy(*[F.col(f"one.{c}").alias(c) for c in ROW]).agg(F.collect_list(F.struct("one.at", "anchor", "segment", "uses", "kinds")).alias("asked"))
 
     def cut(batches):
         for pdf in batches:
@@ -261,21 +262,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_segments: int
                     rows.append((x["anchor"], x["segment"], x["uses"], x["kinds"], " ".join(words[start:start + n + window - 1])))
             yield pd.DataFrame(rows, columns=["anchor", "segment", "uses", "kinds", "words"])
 
-    cut_out = docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInPandas(
+    cut_out = docs.join(asked, ROW).select("text", "asked").mapInPandas(
         cut, "anchor long, segment long, uses long, kinds long, words string")
     routed = stored(cut_out.dropDuplicates(["anchor", "segment"]), "shard-texts")
     masks = equal.unionByName(shard_masks(routed.where(F.col("kinds") <= shard_segments), window)).unionByName(
         window_masks(routed.where(F.col("kinds") > shard_segments), window))
     return again.join(masks.where("mask != 0"), ["anchor", "segment"]).select(
-        "doc_id", "text_hash", F.shiftright("at", 5).alias("start"), "mask")
+        *ROW, F.shiftright("at", 5).alias("start"), "mask")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left, joined by one space."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
-    marks = repeated_windows(docs, window).groupBy("doc_id", "text_hash").agg(
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("n_chars"), "text")
+    marks = repeated_windows(docs, window).groupBy(*ROW).agg(
         F.collect_set(F.struct("start", "mask")).alias("marks"))
 
     def run(batches):
@@ -300,6 +301,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc, len(words), len(words) - len(kept), " ".join(kept)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
 
-    out = docs.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "marks").mapInPandas(
+    out = docs.join(marks, ROW, "left").select("doc_id", "text", "marks").mapInPandas(
         run, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID).cast("long")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import row_slices, text_bytes
 from .tokenize import PieceCounter, encoder, tokenizer_digest, tokenizer_path
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -44,7 +44,7 @@ def encode_counts(misses: DataFrame, tokenizer: str) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             counts = []
-            for a, b in row_slices(list(map(len, texts))):
+            for a, b in row_slices(text_bytes(texts)):
                 counts += enc.values(texts[a:b])
             yield pdf[["content_digest"]].assign(tokenizer_digest=version, n_tokens=counts)
 

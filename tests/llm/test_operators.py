@@ -165,6 +165,19 @@ def test_mixing(spark, docs):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Half a source is one repeated row: every row is a unit of its own, so the target is met."""
+    rows = [(5, "a", "w " * 50)] * 1000 + [(100 + i, "a", "w " * (10 + i % 90)) for i in range(1000)]
+    rows += [(3000 + i, "b", "x " * (5 + i % 100)) for i in range(4000)] + [(None, None, "z y")] * 30 + [(8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(map(tuple, mixing.mix_sources(df).collect()), key=str)
+    assert len(got) == len(rows) and all(r[5] <= 2 * r[2] for r in got)
+    want = brute.targets([(r[1], len(brute.WORDS(r[2] or ""))) for r in rows])
+    for source, target in want.items():
+        assert abs(sum(r[5] for r in got if r[1] == source) - target) <= 105
+    assert got == sorted(map(tuple, mixing.mix_sources(df.repartition(5)).collect()), key=str)
+
+
 def test_flight_balances():
     rng = np.random.default_rng(5)
     size = rng.integers(1, 500, 2000)
@@ -178,7 +191,7 @@ def test_flight_balances():
 def test_mixing_levels(spark):
     rows = [(i, "w " * (i % 37 + 1), "s") for i in range(600)] + [(1000 + i, "w " * 50, "t") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sizes = df.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit(1).cast("long").alias("copies"), (F.col("doc_id") % 37 + 1).alias("size"),
+    sizes = df.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit(1).cast("long").alias("copy"), (F.col("doc_id") % 37 + 1).alias("size"),
                       F.lit(0).cast("long").alias("whole"), F.lit(0.4).alias("chance"), F.lit(600).cast("long").alias("n_units"))
     out = mixing.balanced_sample(sizes.where("source = 's'"), block_units=40).collect()
     assert len(out) == 600 and {r["chance"] for r in out} == {0.0, 1.0}
@@ -388,13 +401,28 @@ def test_repeats_of_planted_passages(spark, shard_segments, monkeypatch):
     text += [(100, " ".join(["same"] * 90)), (101, None), (102, " ".join(word(20)))]
     df = spark.createDataFrame(text, "doc_id long, text string")
     marks = {tuple(r)[:2] for r in spans.repeated_windows(df.select(
-        "doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")),
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
+        F.coalesce("text", F.lit("")).alias("text")),
         35, shard_segments).collect()}
     assert marks
     got = sorted((r[0], r[1], r[2], brute.sha(r[3])) for r in spans.remove_repeats(df).collect())
     assert got == brute.without_repeats(text)
 
 
+def test_repeats_of_rows_with_one_hash(spark):
+    """Rows without an id whose texts share Spark's 32-bit hash are told apart."""
+    numbers = spark.range(200_000)
+    long = numbers.select(F.concat(F.lit(PASSAGE + " "), F.col("id").cast("string")).alias("a"))
+    short = numbers.select(F.concat(F.lit("only "), F.col("id").cast("string")).alias("b"))
+    pair = long.withColumn("h", F.hash("a")).join(short.withColumn("h", F.hash("b")), "h").orderBy("h").first()
+    rows = [(None, pair["a"]), (None, pair["b"]), (1, "before " + PASSAGE), (None, "x y")]
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    key = lambda r: (r[0] is not None, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(
+        [(None if d == -1 else d, *r) for d, *r in brute.without_repeats([(-1 if d is None else d, t) for d, t in rows])], key=key)
+
+
 def test_near_duplicates(spark, docs):
     assert result(spark, "op8_parity_join", "doc_id", "n_shingles", "component_id") == brute.classes(texts_of(docs))
 
