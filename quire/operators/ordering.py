@@ -26,33 +26,40 @@ def _bucket_of(order: Sequence[str], width: int) -> Column:
     return F.floor(F.col(order[0]) / F.lit(width)).cast("long")
 
 
-def bucket_offsets(sizes: DataFrame, bucket: str, size: str, name: str, total: str | None = None) -> DataFrame:
-    """Exclusive running sum of ``size`` over buckets in order, in two levels: within groups of ``DEFAULT_WIDTH``
-    consecutive buckets, and over the table of groups.  Only the latter (one row per group) is one task's window."""
-    group = F.floor(F.col(bucket) / F.lit(DEFAULT_WIDTH)).cast("long")
-    s = sizes.withColumn("_gg", group)
-    groups = s.groupBy("_gg").agg(F.sum(size).alias("_ggn"))
-    cols = [F.col("_gg"), F.coalesce(F.sum("_ggn").over(Window.orderBy("_gg").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_ggo")]
-    if total:
-        cols.append(F.sum("_ggn").over(Window.partitionBy()).cast("long").alias(total))
-    inside = Window.partitionBy("_gg").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    out = s.withColumn("_gin", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(groups.select(*cols), "_gg")
-    return out.select(bucket, (F.col("_ggo") + F.col("_gin")).cast("long").alias(name), *([total] if total else []))
+def prefix_bits(col: str, n_bytes: int) -> Column:
+    """The first ``n_bytes`` (7 at most) bytes of a string as a number, in the order of strings."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, n_bytes)), 2 * n_bytes, "0"), 16, 10).cast("long")
+
+
+def bucket_offsets(sizes: DataFrame, bucket: str, size: str, name: str, total: str | None = None,
+                   levels: int = 2) -> DataFrame:
+    """Exclusive running sum of ``size`` over buckets in order, by ``levels``: within groups of ``DEFAULT_WIDTH``
+    neighbouring buckets, over the groups by groups of groups, and so on.  Only the topmost table is one task's window."""
+    if levels == 1:
+        cols = [F.col(bucket), F.coalesce(F.sum(size).over(Window.orderBy(bucket).rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(name)]
+        return sizes.select(*cols, *([F.sum(size).over(Window.partitionBy()).cast("long").alias(total)] if total else []))
+    up, n, offset = f"_g{levels}", f"_g{levels}n", f"_g{levels}o"
+    s = sizes.select(bucket, size, F.shiftright(bucket, 16).alias(up))
+    groups = bucket_offsets(s.groupBy(up).agg(F.sum(size).alias(n)), up, n, offset, total, levels - 1)
+    inside = Window.partitionBy(up).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    out = s.withColumn(n, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(groups, up)
+    return out.select(bucket, (F.col(offset) + F.col(n)).cast("long").alias(name), *([total] if total else []))
 
 
 def with_global_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",
                       bucket: Column | None = None, width: int = DEFAULT_WIDTH,
-                      total: str | None = None) -> DataFrame:
+                      total: str | None = None, levels: int = 2) -> DataFrame:
     """Add ``name`` = 0-based position of the row when sorted by ``order``.
 
     ``order`` must be a unique row order.  ``bucket`` must be a non-decreasing
     function of ``order``; by default ``floor(order[0] / width)`` for an
-    integral first column.  ``total`` (optional) adds the row count.
+    integral first column.  ``total`` (optional) adds the row count.  Buckets
+    spread thinly over the numbers (such as prefixes) take more ``levels``.
     """
     b = bucket if bucket is not None else _bucket_of(order, width)
     d = df.withColumn("_gb", F.coalesce(b.cast("long"), F.lit(NULL_BUCKET).cast("long")))
-    offsets = bucket_offsets(d.groupBy("_gb").agg(F.count(F.lit(1)).alias("_gn")), "_gb", "_gn", "_goff", total)
+    offsets = bucket_offsets(d.groupBy("_gb").agg(F.count(F.lit(1)).alias("_gn")), "_gb", "_gn", "_goff", total, levels)
     in_bucket = Window.partitionBy("_gb").orderBy(*order)
     return (d.withColumn("_grn", F.row_number().over(in_bucket))
             .join(offsets, "_gb")

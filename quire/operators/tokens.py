@@ -6,10 +6,8 @@ special tokens); ``encode`` maps tokens to ids with a vocabulary table built
 by ``build_vocab``.  A user tokenizer plugs in through ``map_tokenizer``
 (``mapInPandas``, Arrow batches).
 
-Encoding explodes tokens with their positions, joins the vocabulary and
-regroups by row key.  The input is first partitioned by the row key, so the
-explode, the vocabulary join (where the vocabulary is small enough to be
-broadcast) and the regroup stay inside one stage.
+Encoding joins each chunk's distinct tokens to the vocabulary, not their
+occurrences, and looks ids up by position inside the row (``chunks``).
 """
 
 from __future__ import annotations
@@ -19,7 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import DEFAULT_WIDTH, bucket_offsets, with_global_index
+from .chunks import Coded, code_tokens, encode_coded
+from .ordering import DEFAULT_WIDTH, bucket_offsets, prefix_bits, with_global_index
 
 # Special tokens and their ids, the splitter, the prompt format.
 SPECIALS = ("<unk>", "<s>", "</s>")
@@ -89,54 +88,54 @@ def tokenize(col) -> Column:
 
 
 def build_vocab(df: DataFrame, col: str, size: int | None = None) -> DataFrame:
-    """TOK1: specials, then all tokens (or the ``size`` most frequent), by count desc, token asc.
+    """TOK1: specials, then all tokens (or the ``size`` most frequent), by count desc, token asc.  Counting is a partial
+    aggregate (map-side combine)."""
+    counts = df.select(F.explode(tokenize(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    return vocab_of_counts(counts, size)
 
-    Counting is a partial aggregate (map-side combine); ids come from ``with_global_index`` over buckets of
-    (count, first character), so no task numbers the whole vocabulary.
+
+def vocab_of_counts(counts: DataFrame, size: int | None = None) -> DataFrame:
+    """TOK1 from (token, count).
+
+    Ids come from ``with_global_index`` over buckets of the count and the token's first bytes (seven for counts below
+    128, where very many tokens share a count, else three), so no task numbers the whole vocabulary.
     """
-    spark = df.sparkSession
-    counts = (df.select(F.explode(tokenize(col)).alias("token"))
-              .filter(~F.col("token").isin(*SPECIALS))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    counts = counts.withColumn("_rare", -F.col("count"))
-    bucket = F.col("_rare") * F.lit(1 << 21) + F.ascii(F.substring("token", 1, 1)).cast("long")
-    ranked = with_global_index(counts, ["_rare", "token"], "_id", bucket=bucket)
+    counts = counts.filter(~F.col("token").isin(*SPECIALS)).withColumn("_rare", -F.col("count"))
+    rare = (F.col("_rare") + 127) * F.lit(1 << 56) + prefix_bits("token", 7)
+    often = F.col("_rare") * F.lit(1 << 24) + prefix_bits("token", 3)
+    bucket = F.when(F.col("count") < 128, rare).otherwise(often)
+    ranked = with_global_index(counts, ["_rare", "token"], "_id", bucket=bucket, levels=3)
     if size is not None:
         ranked = ranked.filter(F.col("_id") < size)
-    specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, count long")
+    specials = counts.sparkSession.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)],
+                                                   "token string, id int, count long")
     return specials.unionByName(ranked.select("token", (F.col("_id") + len(SPECIALS)).cast("int").alias("id"),
                                               F.col("count").cast("long")))
 
 
-def encode(df: DataFrame, key: Sequence[str], texts: dict[str, tuple[str, bool]], vocab: DataFrame,
-           prepartition: bool = True) -> DataFrame:
-    """TOK1: ids per text column.  ``texts`` maps output name -> (text column, add BOS).
+def code_texts(df: DataFrame, key: Sequence[str], texts: dict[str, str]) -> Coded:
+    """TOK1, first half: the texts as codes of their chunks (written once, see ``chunks``)."""
+    return code_tokens(df, key, texts, TOKEN_RE)
+
+
+def encode_texts(coded: Coded, vocab: DataFrame, bos: Sequence[str] = ()) -> DataFrame:
+    """TOK1, second half: ids of coded texts, with BOS before those named in ``bos``."""
+    out = encode_coded(coded, vocab, UNK_ID)
+    return out.withColumns({n: F.concat(F.array(F.lit(BOS_ID)), n) for n in bos}) if bos else out
+
 
-    Whether the vocabulary is broadcast is left to its measured size; a sort-merge join splits frequent tokens.
+def coded_sizes(coded: Coded, key: Sequence[str], text: str, bos: bool = False) -> DataFrame:
+    """(key, _n): how many ids a coded text has, without encoding it."""
+    return coded.rows.select(*key, (F.size(text) + int(bos)).alias("_n"))
 
-    Returns ``key`` + one ``array<int>`` column per entry; unknown tokens map to <unk>.
+
+def encode(df: DataFrame, key: Sequence[str], texts: dict[str, tuple[str, bool]], vocab: DataFrame) -> DataFrame:
+    """TOK1: ids per text column.  ``texts`` maps output name -> (text column, add BOS).
+
+    Returns ``key`` + one ``array<int>`` column per entry; unknown tokens map to <unk>, a null text has no tokens.
     """
-    key = list(key)
-    d = df.select(*key, *{c for c, _ in texts.values()})
-    if prepartition:
-        d = d.repartition(*key)
-    segs = F.array(*[F.struct(F.lit(name).alias("seg"), tokenize(col).alias("toks"))
-                     for name, (col, _) in texts.items()])
-    x = (d.select(*key, F.explode(segs).alias("_s"))
-         .select(*key, "_s.seg", F.posexplode_outer("_s.toks").alias("pos", "token")))
-    x = x.join(vocab.select("token", F.col("id").cast("int").alias("_id")), "token", "left").withColumn(
-        "_id", F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce("_id", F.lit(UNK_ID))))
-    g = x.groupBy(*key).agg(*[
-        F.array_sort(F.collect_list(F.when((F.col("seg") == name) & F.col("pos").isNotNull(),
-                                           F.struct("pos", "_id")))).alias(f"_{name}")
-        for name in texts])
-    out = g
-    for name, (_, bos) in texts.items():
-        ids = F.transform(f"_{name}", lambda s: s["_id"])
-        if bos:
-            ids = F.concat(F.array(F.lit(BOS_ID)), ids)
-        out = out.withColumn(name, ids).drop(f"_{name}")
-    return out
+    coded = code_texts(df, key, {n: c for n, (c, _) in texts.items()})
+    return encode_texts(coded, vocab, [n for n, (_, bos) in texts.items() if bos])
 
 
 def map_tokenizer(df: DataFrame, col: str, fn: Callable, name: str = "input_ids",
@@ -186,11 +185,6 @@ def filter_max_len(df: DataFrame, col: str, n: int) -> DataFrame:
     return df.filter(F.size(col) <= n)
 
 
-def same_length(a, b) -> Column:
-    """FLT7 predicate: parallel sequences of equal length."""
-    return F.size(_c(a)) == F.size(_c(b))
-
-
 # ---------------------------------------------------------------- packing (WIN9, TOK7)
 
 def resolve_block_size(block_size: int | None, model_max_length: int) -> int:
@@ -225,17 +219,19 @@ def with_prefix_sum(df: DataFrame, order: Sequence[str], value: str, name: str,
 
 
 def pack_blocks(df: DataFrame, ids: str, block_size: int, order: Sequence[str],
-                batch_rows: int | None = None, mask: str | None = None) -> DataFrame:
+                batch_rows: int | None = None, mask: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """WIN9: concatenate sequences, in a unique ``order`` (per batch of ``batch_rows`` rows, or globally), cut every
     ``block_size`` ids, drop the remainder.  Labels are reset to the ids (TOK7).
 
+    ``sizes`` (``order``, ``_n``) may give the sequences' sizes where they are known without the sequences.
+
     Each row is sliced into the blocks its id range overlaps (no per-token
     explode); blocks are regrouped by (batch, block), each at most
     ``block_size`` ids.
     """
     b = block_size
     # Offsets come from keys and sizes alone; the sequences are joined to them once.
-    d = df.select(*order, F.size(ids).alias("_n"))
+    d = df.select(*order, F.size(ids).alias("_n")) if sizes is None else sizes
     if batch_rows:
         d = with_global_index(d, order, "_ri")
         d = d.withColumn("batch", F.floor(F.col("_ri") / F.lit(batch_rows)).cast("long"))

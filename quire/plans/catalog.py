@@ -177,8 +177,7 @@ def q_marker_histogram(spark, sf):
 
 def q_vocabulary(spark, sf):
     v = vocabulary(B.normalization_samples(table(spark, sf, "part")), F.col("names"))
-    bucket = F.ascii(F.substring("label", 1, 1)).cast("long")
-    return ORD.with_global_index(v, ["label"], "position", bucket=bucket)
+    return ORD.with_global_index(v, ["label"], "position", bucket=ORD.prefix_bits("label", 7), levels=3)
 
 
 def q_vocabulary_first_seen(spark, sf):
@@ -391,6 +390,7 @@ ORACLES.update({name: getattr(O, name) for name in (
 # ---------------------------------------------------------------- wraps, tokens, packing
 
 from ..operators import tokens as TK  # noqa: E402
+from ..operators.chunks import token_counts  # noqa: E402
 
 MAX_LEN = 256
 
@@ -469,9 +469,17 @@ def q_encode_all(spark, sf):
                     _ids_text(TK.attention_mask("input_ids")).alias("attention_mask"))
 
 
-def _doc_ids(spark, sf, rows=None):
-    docs = _docs(spark, sf)
-    return TK.encode(docs if rows is None else rows, ["doc_id"], {"input_ids": ("text", True)}, TK.build_vocab(docs, "text"))
+def _coded_docs(spark, sf):
+    return TK.code_texts(_docs(spark, sf), ["doc_id"], {"input_ids": "text"})
+
+
+def _encoded(coded):
+    """The vocabulary of the texts comes from the same pass as their codes."""
+    return TK.encode_texts(coded, TK.vocab_of_counts(token_counts(coded)), ["input_ids"])
+
+
+def _doc_ids(spark, sf, rows):
+    return TK.encode(rows, ["doc_id"], {"input_ids": ("text", True)}, TK.build_vocab(_docs(spark, sf), "text"))
 
 
 def q_truncate_filter(spark, sf):
@@ -492,7 +500,9 @@ def q_encode_pairs(spark, sf):
 
 
 def q_pack_blocks(spark, sf):
-    packed = TK.pack_blocks(_doc_ids(spark, sf), "input_ids", TK.resolve_block_size(128, 4096), ["doc_id"], batch_rows=100)
+    coded = _coded_docs(spark, sf)
+    packed = TK.pack_blocks(_encoded(coded), "input_ids", TK.resolve_block_size(128, 4096), ["doc_id"], batch_rows=100,
+                            sizes=TK.coded_sizes(coded, ["doc_id"], "input_ids", bos=True))
     packed = packed.withColumn("attention_mask", TK.attention_mask("input_ids"))
     return packed.select("batch", "block", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
                          _ids_text("labels").alias("labels"),
@@ -533,7 +543,8 @@ ORACLES.update({name: getattr(O, name) for name in (
 from ..operators import metrics as MT  # noqa: E402
 
 def q_shifted_accuracy(spark, sf):
-    d = _doc_ids(spark, sf)
+    coded = _coded_docs(spark, sf)
+    d = _encoded(coded)
     nxt = F.concat(F.slice("input_ids", 2, 1 << 30), F.array(F.lit(TK.EOS_ID)))
     # stand-in predictions: right for seven of ten positions
     preds = F.transform(nxt, lambda x, i: F.when((x * 7 + i) % 10 < 7, x).otherwise(F.lit(TK.UNK_ID)))
