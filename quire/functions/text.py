@@ -104,11 +104,6 @@ def default(col, value) -> Column:
     return F.coalesce(_c(col), F.lit(value))
 
 
-def clamp_to_choices(col, choices, fallback: str) -> Column:
-    """SCL17: keep the value when it is one of the choices, else a default."""
-    return F.when(F.array_contains(_c(choices), _c(col)), _c(col)).otherwise(F.lit(fallback))
-
-
 def to_markdown_row(*cols) -> Column:
     """SNK4: one pipe-delimited markdown row with newlines escaped."""
     cells = [F.coalesce(_c(c).cast("string"), F.lit("None")) for c in cols]

@@ -4,10 +4,10 @@
 global sort: rows are ranked by a keyed draw ``u``; a histogram of ``u`` over
 2**20 buckets (a small table, aggregated map-side) finds the bucket where the
 running count reaches k; whole buckets below it are kept and only that one
-bucket (about N / 2**20 rows) is ranked.  Bucket and cut are scalar
-subqueries of the same plan: nothing runs before the query does, the
-subqueries read the key columns alone, and the sampled rows are filtered
-without a join, a broadcast or a shuffle.
+bucket (about N / 2**20 rows) is ranked.  The draws and keys are stored once,
+the key columns alone, and histogram and cut read that table; so the input is
+evaluated once for its keys and once for its rows, which are filtered without
+a join, a broadcast or a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import u
+from ..scratch import stored
 
 SAMPLE_BUCKETS = 1 << 20
 
@@ -28,10 +29,10 @@ def sample_k(df: DataFrame, key: Sequence[str], seed, task: str, k: int | None =
     if (k is None) == (fraction is None):
         raise ValueError("give exactly one of k or fraction")
     key = list(key)
-    d = (df.withColumn("_su", u(seed, task, key, "sample"))
-         .withColumn("_sb", F.floor(F.col("_su") * F.lit(n_buckets)).cast("int")))
+    d = df.withColumn("_su", u(seed, task, key, "sample"))
     order = F.struct(F.col("_su"), *[F.col(c) for c in key])
-    hist = d.groupBy("_sb").agg(F.count(F.lit(1)).alias("_sn"))
+    keys = stored(d.select("_su", *key, F.floor(F.col("_su") * F.lit(n_buckets)).cast("int").alias("_sb")), "sample-keys")
+    hist = keys.groupBy("_sb").agg(F.count(F.lit(1)).alias("_sn"))
     upto = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(F.lit(1))
     cum = hist.select("_sb", "_sn", F.sum("_sn").over(upto).alias("_sc"), F.sum("_sn").over(every).alias("_st"))
@@ -45,10 +46,10 @@ def sample_k(df: DataFrame, key: Sequence[str], seed, task: str, k: int | None =
             f"sample_k({task}): k={k} is larger than the population "), F.col("total").cast("string"))).cast(
             "struct<b:int,need:bigint>")).otherwise(F.col("hit")))
     edge = edge.select("hit.b", "hit.need")
-    at_edge = d.select(F.col("_sb").alias("b"), order.alias("o")).join(edge, "b")
+    at_edge = keys.select(F.col("_sb").alias("b"), order.alias("o")).join(edge, "b")
     rank = F.row_number().over(Window.partitionBy("b").orderBy("o"))
     cut = at_edge.withColumn("r", rank).filter(F.col("r") <= F.col("need")).agg(F.max("o").alias("cut")).scalar()
-    return d.filter(order <= cut).drop("_su", "_sb")
+    return d.filter(order <= cut).drop("_su")
 
 
 def random_insert(arr: Column, items: Column, seed, task: str, key: Sequence[str],
@@ -75,13 +76,6 @@ def insert_before_last(arr: Column, item: Column, unit: Column) -> Column:
     return F.when(F.size(arr) < 1, F.array(item)).otherwise(inserted)
 
 
-def draw_from(values: Column, cum_probs: Column, unit: Column) -> Column:
-    """SMP5: inverse-CDF draw: the first value whose cumulative probability exceeds ``unit``."""
-    pairs = F.arrays_zip(values.alias("v"), cum_probs.alias("p"))
-    hits = F.filter(pairs, lambda s: s["p"] > unit)
-    return F.coalesce(F.element_at(hits, 1)["v"], F.element_at(values, -1))
-
-
 DRAW_BUCKETS = 1024
 
 

@@ -8,6 +8,9 @@ a pure function of its inputs and seed.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +53,8 @@ from collections.abc import Sequence  # noqa: E402
 from pyspark.sql import Column, Window  # noqa: E402
 
 from ..functions.draws import draw_int, u  # noqa: E402
-from ..operators.choices import (absent_by_join, absent_from_list, map_label,  # noqa: E402
-                                 ordinal_label, size_distribution, vocabulary)
+from ..operators.choices import (absent_from_list, index_labels, map_label, ordinal_label,  # noqa: E402
+                                 size_distribution, vocabulary, with_absent)
 from ..operators.sampling import draw_size, insert_before_last, random_insert  # noqa: E402
 from ..operators.tags import decode_tags  # noqa: E402
 from ..operators.tokens import wrap_prompt  # noqa: E402
@@ -98,9 +101,8 @@ def build_relations(samples: DataFrame, key: Sequence[str] = ("o_custkey", "o_ye
         vocab = vocabulary(samples, F.transform("triples", lambda t: t["predicate"]))
     d = sampled(samples, spec, key, seed, k, fraction).withColumn(
         "own", F.array_distinct(_ordered_values("triples", "predicate")))
-    d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
-    d = absent_by_join(d, key, "own", draw_int(1, 3, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent_n", draw="absent_n")
+    d = with_absent(d, key, "own", {"absent1": 1, "absent_n": draw_int(1, 3, u(seed, spec.name, key, "n_absent"))},
+                    index_labels(vocab), seed, spec.name)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = u(seed, spec.name, key, "add_absent") < p["add_absent"]
     choices = (F.when(exists & add, F.concat("own", "absent1")).when(exists, F.col("own"))
@@ -159,7 +161,7 @@ def build_entities(samples: DataFrame, key: Sequence[str] = ("user_id", "day"),
         vocab = vocabulary(samples, F.transform("ents", lambda x: x["type"]))
     d = sampled(samples, spec, key, seed, k, fraction).withColumn(
         "own", F.array_distinct(F.transform("ents", lambda x: x["type"])))
-    d = absent_by_join(d, key, "own", 1, vocab, seed, spec.name, "absent1", draw="absent1")
+    d = with_absent(d, key, "own", {"absent1": 1}, index_labels(vocab), seed, spec.name)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     add = (u(seed, spec.name, key, "add_absent") < p["add_absent"]) & (F.size("absent1") > 0)
     with_one = insert_before_last(F.col("own"), F.try_element_at("absent1", F.lit(1)), u(seed, spec.name, key, "insert"))
@@ -291,10 +293,9 @@ def build_normalization(samples: DataFrame, key: Sequence[str] = ("p_brand", "p_
     if vocab is None:
         vocab = vocabulary(samples, F.col("names"))
     d = sampled(samples, spec, key, seed, k, fraction)
-    d = absent_by_join(d, key, "names", draw_int(1, 3, u(seed, spec.name, key, "n_insert")), vocab,
-                    seed, spec.name, "extra", draw="extra")
-    d = absent_by_join(d, key, "names", draw_int(2, 10, u(seed, spec.name, key, "n_absent")), vocab,
-                    seed, spec.name, "absent", draw="absent")
+    d = with_absent(d, key, "names", {"extra": draw_int(1, 3, u(seed, spec.name, key, "n_insert")),
+                                      "absent": draw_int(2, 10, u(seed, spec.name, key, "n_absent"))},
+                    index_labels(vocab), seed, spec.name)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("names"), F.col("extra"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent")))
@@ -313,10 +314,9 @@ def build_classification(docs: DataFrame, label_col: str = "source", key: Sequen
     d = docs.filter(F.col(label_col) != w["drop"])
     vocab = d.select(F.col(label_col).alias("label"))
     d = sampled(d, spec, key, seed, k, fraction).withColumn("own", F.array(F.col(label_col)))
-    d = absent_by_join(d, key, "own", draw_int(3, 9, u(seed, spec.name, key, "n_none")), vocab, seed,
-                       spec.name, "absent_none", draw="absent_none")
-    d = absent_by_join(d, key, "own", draw_int(2, 9, u(seed, spec.name, key, "n_absent")), vocab, seed,
-                       spec.name, "absent", draw="absent")
+    d = with_absent(d, key, "own", {"absent_none": draw_int(3, 9, u(seed, spec.name, key, "n_none")),
+                                    "absent": draw_int(2, 9, u(seed, spec.name, key, "n_absent"))},
+                    index_labels(vocab), seed, spec.name)
     not_exist = u(seed, spec.name, key, "not_exist") < p["not_exist"]
     choices = F.when(not_exist, F.col("absent_none")).otherwise(F.concat("absent", "own"))
     d = d.withColumn("choices", choices)
@@ -343,8 +343,8 @@ def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: D
     d = draw_size(d.withColumn("own", F.array("region")), dist, u(
         seed, spec.name, key, "size"), "_m").withColumn("_m", F.greatest(F.col("_m") - 1, F.lit(0)))
     vocab = nation.select(F.col("n_name").alias("label"))
-    d = absent_by_join(d, key, "own", F.col("_m"), vocab, seed, spec.name, "absent", draw="absent")
-    d = absent_by_join(d, key, "own", F.col("_m") + 1, vocab, seed, spec.name, "absent_none", draw="absent_none")
+    d = with_absent(d, key, "own", {"absent": F.col("_m"), "absent_none": F.col("_m") + 1}, index_labels(vocab), seed,
+                    spec.name)
     exists = u(seed, spec.name, key, "exist") < p["exist"]
     mixed = random_insert(F.col("absent"), F.col("own"), seed, spec.name, key)
     d = d.withColumn("choices", F.when(exists, mixed).otherwise(F.col("absent_none")))
@@ -450,23 +450,27 @@ def build_mixture(tables, fraction: float = MIX_FRACTION, seed=SEED) -> DataFram
     """BLD9 / SET1: every task builder, each sampled to ``fraction`` (SMP1), plus the base rows.
 
     ``tables`` maps a table name to a DataFrame.  Bag union, no dedupe.  Every builder samples its keys first and
-    renders what it keeps, all in one lazy plan: counting the rows reads no text.
+    renders what it keeps in one plan: counting the rows reads no text.
     """
     t = tables
     docs = t["documents"]
-    parts = [
-        build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), seed=seed, fraction=fraction),
-        build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), seed=seed, fraction=fraction),
-        build_tagged_entities(tag_sequences(t["events"]), seed=seed, fraction=fraction),
-        build_events(event_samples(t["orders"], t["lineitem"], t["part"]), seed=seed, fraction=fraction),
-        build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), seed=seed, fraction=fraction),
-        build_classification(docs, seed=seed, fraction=fraction),
-        build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), seed=seed, fraction=fraction),
-        build_pair_match(adjacent_pairs(docs), seed=seed, fraction=fraction),
-        build_ordinal_match(t["orders"], seed=seed, fraction=fraction),
-        build_relevance(*reply_links(t["conversations"]), seed=seed, fraction=fraction),
-        build_dialogue(t["conversations"], seed=seed, fraction=fraction),
+    kw = {"seed": seed, "fraction": fraction}
+    build = [
+        lambda: build_relations(relation_samples(t["orders"]), vocab=relation_vocab(t["orders"]), **kw),
+        lambda: build_entities(entity_samples(t["events"]), vocab=entity_vocab(t["events"]), **kw),
+        lambda: build_tagged_entities(tag_sequences(t["events"]), **kw),
+        lambda: build_events(event_samples(t["orders"], t["lineitem"], t["part"]), **kw),
+        lambda: build_normalization(normalization_samples(t["part"]), vocab=part_name_vocab(t["part"]), **kw),
+        lambda: build_classification(docs, **kw),
+        lambda: build_classification_sized(docs, t["nation"], build_classification(docs, seed=seed), **kw),
+        lambda: build_pair_match(adjacent_pairs(docs), **kw),
+        lambda: build_ordinal_match(t["orders"], **kw),
+        lambda: build_relevance(*reply_links(t["conversations"]), **kw),
+        lambda: build_dialogue(t["conversations"], **kw),
     ]
+    # Each builder stores its sample's keys and reads its vocabulary: jobs that do not wait for each other.
+    with ThreadPoolExecutor(len(build)) as pool:
+        parts = list(pool.map(lambda f: f(), [inheritable_thread_target(docs.sparkSession)(f) for f in build]))
     out = base_rows(t["conversations"])  # SNK9: base rows carried through unchanged
     for p in parts:
         out = out.unionByName(p)

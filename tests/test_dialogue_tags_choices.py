@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.choices import absent_by_join, absent_from_list
+from quire.operators.choices import absent_by_join, absent_from_list, index_labels, with_absent
 from quire.operators.dialogue import (history_rows, merge_turns, pair_turns, require_first_role,
                                       validate_domain)
 from quire.operators.tags import decode_tags
@@ -86,7 +86,7 @@ def test_absent_choices_both_paths(spark, n):
     small = df.select("k", absent_from_list(F.col("own"), VOCAB, n, 1, "t", ["k"]).alias("a")).collect()
     _check_absent([(r.k, r.a) for r in small], own_of, n)
     vocab = spark.createDataFrame([(v,) for v in VOCAB], "label string")
-    big = absent_by_join(df, ["k"], "own", n, vocab, 1, "t", "a").collect()
+    big = absent_by_join(df, ["k"], "own", n, vocab, 1, "t", "a", small=2, page=3).select("k", "a").collect()
     _check_absent([(r.k, r.a) for r in big], own_of, n)
 
 
@@ -125,8 +125,34 @@ def test_list_and_join_forms_agree(spark):
     df = spark.createDataFrame([(k, v, k % 6) for k, v in own_of.items()], "k int, own array<string>, n int")
     vocab = spark.createDataFrame([(v,) for v in VOCAB + VOCAB[:9]], "label string")
     a = df.select("k", absent_from_list(F.col("own"), VOCAB, F.col("n"), 1, "t", ["k"]).alias("a")).collect()
-    b = absent_by_join(df, ["k"], "own", F.col("n"), vocab, 1, "t", "a").select("k", "a").collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    for small, page in ((100, 1), (2, 3), (0, 1000), (len(VOCAB) - 1, 1)):
+        b = absent_by_join(df, ["k"], "own", F.col("n"), vocab, 1, "t", "a", small=small, page=page).select("k", "a").collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_pages_hold_the_sorted_vocabulary(spark):
+    labels = [f"{'x' * (i % 9)}{i * 7919 % 503}é" for i in range(700)] + ["", "\U0001f600", "日本"]
+    df = spark.createDataFrame([(v,) for v in labels + labels[:50] + [None]], "label string")
+    v = index_labels(df, small=10, page=16)
+    pages = [r["_labels"] for r in v.pages.orderBy("_page").collect()]
+    want = sorted(set(labels), key=str.encode)
+    assert [x for p in pages for x in p] == want and v.size == len(want)
+    assert {len(p) for p in pages[:-1]} == {16}
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_lists_are_drawn_together(spark, small):
+    """Several lists at once are those drawn one by one; keys of two columns may be null."""
+    rows = [(i if i % 3 else None, str(i), VOCAB[i % 5:i % 9]) for i in range(30)] + [(1, None, None)]
+    df = spark.createDataFrame(rows, "a int, b string, own array<string>")
+    vocab = spark.createDataFrame([(v,) for v in VOCAB], "label string")
+    lists = {"one": 1, "more": F.size(F.coalesce("own", F.array().cast("array<string>"))) + 2, "none": 0}
+    both = with_absent(df, ["a", "b"], "own", lists, index_labels(vocab, small=small, page=7), 5, "t")
+    assert both.count() == len(rows)
+    for name, n in lists.items():
+        one = absent_by_join(df, ["a", "b"], "own", n, vocab, 5, "t", name, draw=name)
+        cols = ["a", "b", name]
+        assert sorted(map(str, both.select(*cols).collect())) == sorted(map(str, one.select(*cols).collect()))
 
 
 def test_normalization_choices_are_valid(spark):

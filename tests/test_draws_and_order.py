@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.draws import draw_int, sql_u, u
 from quire.operators import ordering as ORD
-from quire.operators.sampling import draw_from, insert_before_last, random_insert, sample_k
+from quire.operators.sampling import insert_before_last, random_insert, sample_k
 
 
 def test_draw_equals_duckdb(spark, duck):
@@ -91,13 +91,6 @@ def test_insert_before_last_never_last(spark):
     assert empty.first().r == ["z"]
 
 
-def test_draw_from_inverse_cdf(spark):
-    df = spark.createDataFrame([(0.0,), (0.29,), (0.3,), (0.99,)], "u double")
-    vals, cums = F.array(F.lit(2), F.lit(5), F.lit(9)), F.array(F.lit(0.3), F.lit(0.7), F.lit(1.0))
-    out = [r.v for r in df.select(draw_from(vals, cums, F.col("u")).alias("v")).collect()]
-    assert out == [2, 2, 5, 9]
-
-
 def test_invariance_under_repartition(spark):
     from quire.plans import builders as B
     from conftest import SMALL
