@@ -568,6 +568,7 @@ ORACLES.update({name: getattr(O, name) for name in ("shifted_accuracy", "perplex
 # ---------------------------------------------------------------- files and streaming
 
 from ..sinks import writers as W  # noqa: E402
+from ..sources import positions as POS  # noqa: E402
 from ..sources import readers as R  # noqa: E402
 from ..streaming.prepare import stream_transform  # noqa: E402
 
@@ -662,6 +663,35 @@ def _stored(df, spark, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _in_order(df, order, path, parts=4):
+    """Text lines (column ``value``) in files whose names and lines follow ``order``."""
+    df.repartitionByRange(parts, order).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+def q_tsv_last_links(spark, sf):
+    """SRC5 + JOI1: a link table as TSV files, several links per query in scattered order; the last line wins."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    line = F.concat_ws("\t", "conv_id", "turn", F.col("turn") + 1 + 2 * F.col("j"))
+    order = F.md5(F.concat_ws("|", "conv_id", "turn", "j"))
+    path = _in_order(c.select(line.alias("value"), order.alias("h")), "h", W.scratch_path(spark, "links-tsv"))
+    links = POS.read_tsv_lines(spark, path, ["conv_id", "turn", "d_turn"], ["long", "long", "long"])
+    return POS.last_of(links, ["conv_id", "turn"], ["d_turn", "position"])
+
+
+def q_aligned_predictions(spark, sf):
+    """JOI6 by position: predictions without ids, line i for row i; files of rows and predictions are cut differently."""
+    rows = B.base_rows(table(spark, sf, "conversations"))
+    src = rows.select("sample_id", F.to_json(F.struct("sample_id", "input")).alias("value"))
+    preds = rows.select("sample_id", F.concat(F.lit("answer to "), F.char_length("input").cast("string"), F.lit(" of "),
+                                              "sample_id").alias("value"))
+    src = POS.read_lines(spark, _in_order(src, "sample_id", W.scratch_path(spark, "rows-jsonl")))
+    preds = POS.read_lines(spark, _in_order(preds, "sample_id", W.scratch_path(spark, "predictions"), 7))
+    src = src.select("position", F.from_json("value", "sample_id string, input string").alias("r")).select("position", "r.*")
+    return POS.align_by_position(src, preds).select("position", "sample_id", "target")
+
+
 def q_stream_prepare(spark, sf):
     """STR1: instruction rows in several files, one file per micro-batch, each row prepared by itself."""
     vocab = _stored(_conv_vocab(spark, sf), spark, "vocab")
@@ -694,6 +724,8 @@ def q_stream_pack(spark, sf):
 QUERIES.update({
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "tsv_pairs": q_tsv_pairs,
+    "tsv_last_links": q_tsv_last_links,
+    "aligned_predictions": q_aligned_predictions,
     "ext_sources": q_ext_sources,
     "split_by_task": q_split_by_task,
     "write_predictions": q_write_predictions,
@@ -703,7 +735,7 @@ QUERIES.update({
     "stream_pack": q_stream_pack,
 })
 ORACLES.update({name: getattr(O, name) for name in (
-    "jsonl_roundtrip", "tsv_pairs", "ext_sources", "split_by_task", "write_predictions", "merge_shards",
+    "jsonl_roundtrip", "tsv_pairs", "tsv_last_links", "aligned_predictions", "ext_sources", "split_by_task", "write_predictions", "merge_shards",
     "file_manifest", "stream_prepare", "stream_pack")})
 
 

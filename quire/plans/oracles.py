@@ -973,6 +973,22 @@ FROM conversations q JOIN conversations d ON d.conv_id = q.conv_id AND d.turn =
 WHERE q.role = 'user' AND d.role = 'assistant'"""
 
 
+def tsv_last_links() -> str:
+    return """
+WITH l AS (SELECT conv_id, turn, turn + 1 + 2 * j AS d_turn,
+                  row_number() OVER (ORDER BY md5(concat_ws('|', conv_id, turn, j))) - 1 AS position
+           FROM conversations, (VALUES (0), (1), (2)) AS x(j) WHERE role = 'user')
+SELECT conv_id, turn, arg_max(d_turn, position) AS d_turn, max(position) AS position FROM l GROUP BY conv_id, turn"""
+
+
+def aligned_predictions() -> str:
+    return f"""
+WITH {dialogue_pairs_sql()},
+b AS (SELECT concat_ws('-', 'base', CAST(conv_id AS VARCHAR), CAST(i AS VARCHAR)) AS sample_id, prompt FROM pairs)
+SELECT row_number() OVER (ORDER BY sample_id) - 1 AS position, sample_id,
+       'answer to ' || length(prompt) || ' of ' || sample_id AS target FROM b"""
+
+
 def ext_sources() -> str:
     split = ("CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5) "
              "THEN 'validation' ELSE 'train' END")
