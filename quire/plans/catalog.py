@@ -364,12 +364,35 @@ def q_submission_counts(spark, sf):
 
 def q_submission_files(spark, sf):
     """SNK3: the written submission read back: answers as JSON, one folder per task."""
-    path = W.write_submission(_submission(spark, sf), W.scratch_path(spark, "submission"))
+    path = W.scratch_path(spark, "submission")
+    W.write_submission(_submission(spark, sf), path)
     d = R.read_jsonl(spark, path, W.SUBMISSION)
     return d.groupBy("task_dataset").agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum(F.json_array_length("answers")).cast("long").alias("n_answers"))
 
 
+def q_submission_written(spark, sf):
+    """SNK3: what was written, counted while writing; every task is listed."""
+    return W.write_submission(_submission(spark, sf), W.scratch_path(spark, "submission")).withColumnRenamed(
+        "n_rows", "n_samples")
+
+
+def q_submission_document(spark, sf):
+    """SNK3: the one document of all tasks, read back by its lines.  The lines that open a list, one per task, tell which
+    task a prediction's line belongs to."""
+    path = W.write_submission_document(_submission(spark, sf), f"{W.scratch_path(spark, 'submission')}/all.json")
+    lines = POS.read_lines(spark, path)
+    opens = F.rlike("value", F.lit(r'^[{,]"[^"]*": \[$'))
+    heads = lines.filter(opens).agg(F.array_sort(F.collect_list(F.struct(
+        "position", F.regexp_extract("value", '"([^"]*)"', 1).alias("task"))))).scalar()
+    item = F.from_json(F.regexp_replace("value", "^,", ""), "sample_id string, answers string")
+    items = lines.withColumn("heads", heads).withColumn("task_dataset", F.element_at(
+        F.filter("heads", lambda h: h["position"] <= F.col("position")), -1)["task"])
+    return items.filter("value != '}'").groupBy("task_dataset").agg(
+        F.count_if(~opens & (F.col("value") != "]")).alias("n_samples"),
+        F.coalesce(F.sum(F.when(~opens, F.json_array_length(item["answers"]))), F.lit(0)).cast("long").alias("n_answers"))
+
+
 QUERIES.update({
     "parse_entities": q_parse_entities,
     "parse_triples": q_parse_triples,
@@ -381,10 +404,12 @@ QUERIES.update({
     "extract_response": q_extract_response,
     "submission_counts": q_submission_counts,
     "submission_files": q_submission_files,
+    "submission_written": q_submission_written,
+    "submission_document": q_submission_document,
 })
 ORACLES.update({name: getattr(O, name) for name in (
     "parse_entities", "parse_triples", "parse_terms", "parse_events", "parse_labels", "parse_findings",
-    "parse_report", "extract_response", "submission_counts", "submission_files")})
+    "parse_report", "extract_response", "submission_counts", "submission_files", "submission_written", "submission_document")})
 
 
 # ---------------------------------------------------------------- wraps, tokens, packing
@@ -625,7 +650,7 @@ def q_ext_sources(spark, sf):
 def q_split_by_task(spark, sf):
     docs = _docs(spark, sf)
     rows = B.build_ordinal_match(table(spark, sf, "orders")).unionByName(B.build_classification(docs))
-    return W.split_by_task(rows, W.scratch_path(spark, "bytask"))
+    return W.split_by_task(rows, W.scratch_path(spark, "bytask"), [ORDINAL.name, CLASSIFICATION.name])
 
 
 def q_write_predictions(spark, sf):
@@ -842,8 +867,8 @@ CONVS_PER_DOC = 16  # conversations per whole-document fixture file
 
 
 def q_json_shapes(spark, sf):
-    """SRC2-SRC4 over the real table: one small whole-JSON document per group of conversations
-    (files written and parsed in parallel), read back with each whole-document reader."""
+    """SRC2-SRC4 over the real table: a JSON document per group of conversations, read back with each document reader
+    (which also read one document in many splits, see the tests)."""
     from pyspark.sql import types as T
     c = table(spark, sf, "conversations").withColumn("g", F.floor(F.col("conv_id") / CONVS_PER_DOC))
     base = W.scratch_path(spark, "shapes")
@@ -864,7 +889,6 @@ def q_json_shapes(spark, sf):
             t["id"].alias("id"), t["Sentence"].alias("Sentence"))).alias("dialogue")))))).alias("value"))
     keyed.write.partitionBy("g").text(f"{base}/keyed")
 
-    g_of = F.regexp_extract(F.input_file_name(), r"g=(\d+)", 1).cast("long")
     a = (R.read_conversations(spark, f"{base}/arrays/*/*.txt")
          .select(F.lit("arrays").alias("shape"), F.regexp_extract("file", r"g=(\d+)", 1).cast("long").alias("g"),
                  F.col("conv").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
@@ -872,7 +896,7 @@ def q_json_shapes(spark, sf):
     row_schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                                T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     b = (R.read_json_array(spark, f"{base}/rows/*/*.txt", row_schema)
-         .select(F.lit("rows").alias("shape"), g_of.alias("g"), F.col("conv_id").alias("conv"), "turn", "role", "text"))
+         .select(F.lit("rows").alias("shape"), F.floor(F.col("conv_id") / CONVS_PER_DOC).alias("g"), F.col("conv_id").alias("conv"), "turn", "role", "text"))
     dialogue = T.StructType([T.StructField("dialogue", T.ArrayType(R.DIALOGUE_TURN))])
     k = (R.read_keyed_json(spark, f"{base}/keyed/*/*.txt", dialogue, "dialogue")
          .select(F.lit("keyed").alias("shape"), F.floor(F.col("key").cast("long") / CONVS_PER_DOC).alias("g"),

@@ -778,6 +778,14 @@ SELECT dim.task_dataset, CAST(coalesce(s.n, 0) AS BIGINT) AS n_samples, CAST(coa
 FROM dim LEFT JOIN s USING (task_dataset) LEFT JOIN a USING (task_dataset)"""
 
 
+def submission_written() -> str:
+    return submission_counts()
+
+
+def submission_document() -> str:
+    return submission_counts()
+
+
 def submission_files() -> str:
     return f"SELECT * FROM ({submission_counts()}) WHERE n_samples > 0"
 

@@ -1,18 +1,26 @@
-"""Tables written once and read back, in the shared checkpoint folder."""
+"""Scratch folders and tables written once and read back, in the shared checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
-from .sinks.writers import scratch_path
+from pyspark.sql import DataFrame, SparkSession
 
+from .session import ensure_checkpoint_dir
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it back: what reads the result reads files,
-    however often, and a lost executor reruns nothing that came before.  The folder goes when the application ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a machine-local one on a cluster); it goes when the
+    application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-io/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder and read it back: what reads the result reads files, however often, and a lost
+    executor reruns nothing that came before."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

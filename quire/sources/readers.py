@@ -1,17 +1,18 @@
 """File sources (SRC1-SRC9) with explicit schemas.
 
-Whole-document JSON (an array, an object keyed by id, an array of arrays)
-is one parse per file; convert such inputs once to JSON Lines or Parquet and
-scale from there.  Everything after the parse is ordinary columnar work.
+Whole-document JSON (an array, an object keyed by id, an array of arrays) is
+read in parallel too, see ``json_documents``.  Everything after the parse is
+ordinary columnar work.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_documents import DIALOGUE_TURN, read_conversations, read_json_array, read_keyed_json  # noqa: F401
+
 INSTRUCTION_SCHEMA = T.StructType([
     T.StructField("input", T.StringType()),
     T.StructField("target", T.StringType()),
@@ -21,7 +22,6 @@ INSTRUCTION_SCHEMA = T.StructType([
     T.StructField("sample_id", T.StringType()),
 ])
 
-DIALOGUE_TURN = T.StructType([T.StructField("id", T.StringType()), T.StructField("Sentence", T.StringType())])
 BOM = "\ufeff"
 
 
@@ -30,30 +30,6 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType = INSTRUCTION_SCH
     return spark.read.schema(schema).json(path)
 
 
-def read_json_array(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """SRC2: a JSON array document; each element is a row."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def read_keyed_json(spark: SparkSession, path, value_schema: T.DataType, item_field: str | None = None) -> DataFrame:
-    """SRC3: a JSON object keyed by id -> (key, value); ``item_field`` explodes a list inside the value."""
-    raw = spark.read.option("wholetext", True).text(path)
-    m = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    out = raw.select(F.explode(m).alias("key", "value"))
-    if item_field:
-        out = out.select("key", F.posexplode(F.col(f"value.{item_field}")).alias("pos", "item"))
-    return out
-
-
-def read_conversations(spark: SparkSession, path, turn_schema: T.StructType = DIALOGUE_TURN) -> DataFrame:
-    """SRC4: an array of conversations (arrays of turns) -> (file, conv, turn, turn fields...)."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
-    convs = F.from_json("value", T.ArrayType(T.ArrayType(turn_schema)))
-    return (raw.select("file", F.posexplode(convs).alias("conv", "turns"))
-            .select("file", "conv", F.posexplode("turns").alias("turn", "t"))
-            .select("file", "conv", "turn", "t.*"))
-
-
 def read_tsv_pairs(spark: SparkSession, path, names: list[str], types: list[str], strip: bool = True) -> DataFrame:
     """SRC5: positional TSV without header or quoting; fields cast by position.
 
