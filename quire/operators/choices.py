@@ -167,15 +167,21 @@ def distinct_in_order(a: Column) -> Column:
     return F.array_distinct(a)
 
 
-def map_label(col: Column, mapping: Mapping[str, str]) -> Column:
-    """PRJ9: code -> display label through a literal map; unmapped codes give null."""
+def map_label(col: Column, mapping: Mapping[str, str], strict: bool = False) -> Column:
+    """PRJ9: code -> display label through a literal map.  A code without a label gives null, or with ``strict`` fails
+    the job (``unmapped_codes`` lists them beforehand)."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.try_element_at(m, col)
+    label = F.try_element_at(m, col)
+    if not strict:
+        return label
+    missing = F.raise_error(F.concat(F.lit("no label for code "), F.coalesce(col, F.lit("null")))).cast("string")
+    return F.when(label.isNull(), missing).otherwise(label)
 
 
 def unmapped_codes(df: DataFrame, col: str, mapping: Mapping[str, str]) -> DataFrame:
-    """Rows whose code has no display label (the error report of PRJ9)."""
-    return df.filter(~F.col(col).isin(*mapping.keys()) | F.col(col).isNull())
+    """(code, n_rows): codes without a display label (the error report of PRJ9)."""
+    return df.filter(~F.col(col).isin(*mapping.keys()) | F.col(col).isNull()).groupBy(F.col(col).alias("code")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
 
 
 def ordinal_label(choices: Column, label: Column) -> Column:

@@ -136,7 +136,7 @@ def entity_samples(events: DataFrame) -> DataFrame:
                       F.get_json_object("props", "$.k").alias("k"))
     g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct(
         F.col("ts").alias("pos"), F.col("event_id").alias("pos2"),
-        map_label(F.col("event_type"), EVENT_LABELS).alias("type"),
+        map_label(F.col("event_type"), EVENT_LABELS, strict=True).alias("type"),
         F.col("k").alias("entity"), F.col("event_type").alias("code")))).alias("ents"))
     text = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" on "),
                     F.col("day").cast("string"), F.lit(": "),
@@ -325,11 +325,15 @@ def build_classification(docs: DataFrame, label_col: str = "source", key: Sequen
                   target, F.col("choices"), seed, **kw)
 
 
+NO_REGION = "ELSEWHERE"  # label of documents whose source has no nation's number
+
+
 def region_labels(docs: DataFrame, nation: DataFrame) -> DataFrame:
-    """Stand-in label for the sized task: the nation numbered like the document's source."""
-    src_no = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    """Stand-in label for the sized task: the nation numbered like the document's source; every document has one."""
+    src_no = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     n = nation.select(F.col("n_nationkey").alias("_nk"), F.col("n_name").alias("region"))
-    return docs.withColumn("_nk", src_no).join(n, "_nk").drop("_nk")
+    return docs.withColumn("_nk", src_no).join(n, "_nk", "left").drop("_nk").withColumn(
+        "region", F.coalesce("region", F.lit(NO_REGION)))
 
 
 def build_classification_sized(docs: DataFrame, nation: DataFrame, sizes_from: DataFrame,
@@ -366,13 +370,13 @@ def adjacent_pairs(docs: DataFrame) -> DataFrame:
 
 def build_pair_match(pairs: DataFrame, key: Sequence[str] = ("doc_id",), seed=SEED, spec=PAIR_MATCH,
                      k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
-    """BLD6: the answer wording (same/different or yes/no) follows the chosen template."""
+    """BLD6: the answer wording (same/different or yes/no) is the chosen template's (PRJ11)."""
     from ..operators.templates import pick_template
     key = list(key)
-    same, yes = spec.words["same_pair"], spec.words["yes_pair"]
+    wording = spec.words["wording"]
+    if len(wording) != len(spec.templates):
+        raise ValueError("a wording for each template")
     idx = pick_template(len(spec.templates), seed, spec.name, key)
-    wording = [same if t.rstrip().endswith(f"Options: {same[0]}, {same[1]}\nAnswer:") else yes
-               for t in spec.templates]
     yes_w = F.element_at(F.array(*[F.lit(x[0]) for x in wording]), idx + 1)
     no_w = F.element_at(F.array(*[F.lit(x[1]) for x in wording]), idx + 1)
     target = F.when(F.col("label") == "1", yes_w).otherwise(no_w)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import stored
 from ..session import table
 from . import builders as B
 from . import oracles as O
@@ -112,7 +113,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..operators import ordering as ORD  # noqa: E402
 from ..operators import reports as REP  # noqa: E402
-from ..operators.choices import size_distribution, vocabulary, vocabulary_first_seen  # noqa: E402
+from ..operators.choices import size_distribution, unmapped_codes, vocabulary, vocabulary_first_seen  # noqa: E402
 from ..operators.dialogue import merge_turns, turn_histogram  # noqa: E402
 from ..operators.sampling import sample_k  # noqa: E402
 from ..functions.text import to_markdown_row  # noqa: E402
@@ -534,15 +535,9 @@ def q_pack_blocks(spark, sf):
                          F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 
-def _count_tokens(texts):
-    import regex
-    pat = regex.compile(TK.TOKEN_RE)
-    return [[len(pat.findall(t or ""))] for t in texts]
-
-
 def q_map_tokenizer(spark, sf):
-    m = TK.map_tokenizer(_docs(spark, sf), "text", _count_tokens, "counts", keep=["doc_id"])
-    return m.select("doc_id", F.element_at("counts", 1).cast("long").alias("n_tokens"))
+    """Tokens per document by the default splitter, inside the row; ``TK.map_tokenizer`` is where a user's own comes in."""
+    return _docs(spark, sf).select("doc_id", F.size(TK.tokenize("text")).cast("long").alias("n_tokens"))
 
 
 QUERIES.update({
@@ -638,13 +633,15 @@ def q_ext_sources(spark, sf):
     for fmt in ("csv", "json"):
         d = R.read_by_extension(spark, train=f"{base}/{fmt}/*.{fmt}", schema=schema)
         d = ORD.head_split(d.drop("split"), 5, ["doc_id"])
-        out.append(d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fmt", F.lit(fmt)))
+        out.append(d.select(F.lit(fmt).alias("fmt"), "split", F.col("doc_id").cast("string").alias("key"),
+                            F.concat_ws(" ", "lang", "source").alias("value")))
     t = R.read_by_extension(spark, train=f"{base}/txt/*.txt", keep_linebreaks=True)
-    out.append(t.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fmt", F.lit("txt")))
+    out.append(t.groupBy("split", "text").agg(F.count(F.lit(1)).cast("string").alias("key")).select(
+        F.lit("txt").alias("fmt"), "split", "key", F.sha2("text", 256).alias("value")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
-    return res.select("fmt", "split", "n_rows")
+    return res
 
 
 def q_split_by_task(spark, sf):
@@ -682,12 +679,6 @@ def q_file_manifest(spark, sf):
         F.regexp_extract("path", r"part=([^/]+)/", 1).alias("part"), "length", "sha256")
 
 
-def _stored(df, spark, name):
-    path = W.scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _in_order(df, order, path, parts=4):
     """Text lines (column ``value``) in files whose names and lines follow ``order``."""
     df.repartitionByRange(parts, order).sortWithinPartitions(order).select("value").write.text(path)
@@ -717,9 +708,19 @@ def q_aligned_predictions(spark, sf):
     return POS.align_by_position(src, preds).select("position", "sample_id", "target")
 
 
+def q_unmapped_codes(spark, sf):
+    """PRJ9's report: event codes that the tagged task has no label for."""
+    tagged = {tag.split("-")[1]: label for tag, label in B.TAG_LABELS.items()}
+    return unmapped_codes(table(spark, sf, "events"), "event_type", tagged)
+
+
+QUERIES["unmapped_codes"] = q_unmapped_codes
+ORACLES["unmapped_codes"] = O.unmapped_codes
+
+
 def q_stream_prepare(spark, sf):
     """STR1: instruction rows in several files, one file per micro-batch, each row prepared by itself."""
-    vocab = _stored(_conv_vocab(spark, sf), spark, "vocab")
+    vocab = stored(_conv_vocab(spark, sf), "vocab")
     rows = _pairs(spark, sf).select("sample_id", "prompt", "reply")
     source = W.scratch_path(spark, "stream-rows")
     rows.repartition(4, "sample_id").write.parquet(source)
@@ -731,19 +732,27 @@ def q_stream_prepare(spark, sf):
         return e.select("sample_id", F.size(ids).alias("n_ids"), _ids_text(ids).alias("input_ids"),
                         _ids_text(labels).alias("labels"), _ids_text(mask).alias("attention_mask"))
 
-    return stream_transform(spark, source, rows.schema, per_batch, "stream-prepare", max_files_per_trigger=1)
+    return stream_transform(spark, source, rows.schema, per_batch, "stream-prepare", max_files_per_trigger=1).drop("batch")
 
 
 def q_stream_pack(spark, sf):
-    docs = _docs(spark, sf)
-    vocab = _stored(TK.build_vocab(docs, "text"), spark, "vocab")
+    """STR2: packing per micro-batch, one file each; a block's name is its batch and its number there.  The files are
+    told apart by ``part``, as the order in which they arrive is the file system's."""
+    docs = _docs(spark, sf).select("doc_id", "text")
+    vocab = stored(TK.build_vocab(docs, "text"), "vocab")
+    source = W.scratch_path(spark, "stream-docs")
+    parts = docs.withColumn("part", (F.col("doc_id") % 3).cast("int"))
+    parts.repartition(3, "part").write.partitionBy("part").parquet(source)
 
     def per_batch(batch, epoch):
         ids = TK.encode(batch, ["doc_id"], {"input_ids": ("text", True)}, vocab)
         packed = TK.pack_blocks(ids, "input_ids", 128, ["doc_id"])
-        return packed.select("block", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"))
+        return packed.select("block", F.size("input_ids").alias("n_ids"), _ids_text("input_ids").alias("input_ids"),
+                             batch.agg(F.max("part")).scalar().alias("part"))
 
-    return stream_transform(spark, f"{sf}/documents.parquet", docs.schema, per_batch, "stream-pack")
+    out = stream_transform(spark, source, parts.schema, per_batch, "stream-pack", max_files_per_trigger=1)
+    n = out.agg(F.count_distinct("batch")).scalar()
+    return out.select("part", "block", "n_ids", "input_ids", n.alias("n_batches"))
 
 
 QUERIES.update({

@@ -301,8 +301,8 @@ def build_classification_sized(raw: bool = False) -> str:
 WITH {classification_ctes()},
 sizes AS (SELECT len(choices) AS n, count(*) AS cnt FROM cc GROUP BY 1),
 dist AS (SELECT n, sum(cnt) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / sum(cnt) OVER () AS cum FROM sizes),
-rd AS (SELECT d.doc_id, d.text, n.n_name AS region, [n.n_name] AS own
-       FROM documents d JOIN nation n ON n.n_nationkey = CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER)),
+rd AS (SELECT d.doc_id, d.text, coalesce(n.n_name, 'ELSEWHERE') AS region, [coalesce(n.n_name, 'ELSEWHERE')] AS own
+       FROM documents d LEFT JOIN nation n ON n.n_nationkey = TRY_CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER)),
 rvocab AS (SELECT n_name AS label FROM nation),
 m AS (SELECT *, coalesce((SELECT greatest(n - 1, 0) FROM dist WHERE cum > {unit} ORDER BY n LIMIT 1),
                          (SELECT greatest(max(n) - 1, 0) FROM dist)) AS m FROM rd),
@@ -322,9 +322,7 @@ def build_pair_match(raw: bool = False) -> str:
     from .common import sql_sample_id
     from ..operators.templates import sql_pick_template, sql_render
     spec, key = PAIR_MATCH, ["doc_id"]
-    same, yes = spec.words["same_pair"], spec.words["yes_pair"]
-    wording = [same if t.rstrip().endswith(f"Options: {same[0]}, {same[1]}\nAnswer:") else yes
-               for t in spec.templates]
+    wording = spec.words["wording"]
     yl = "[" + ", ".join(sql_lit(x[0]) for x in wording) + "]"
     nl = "[" + ", ".join(sql_lit(x[1]) for x in wording) + "]"
     idx = sql_pick_template(len(spec.templates), SEED, spec.name, key)
@@ -1001,12 +999,11 @@ def ext_sources() -> str:
     split = ("CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 5 / 100 + 0.5) "
              "THEN 'validation' ELSE 'train' END")
     return f"""
-WITH s AS (SELECT {split} AS split FROM documents),
-c AS (SELECT split, count(*) AS n_rows FROM s GROUP BY split)
-SELECT 'csv' AS fmt, split, n_rows FROM c
-UNION ALL SELECT 'json', split, n_rows FROM c
-UNION ALL SELECT 'txt', 'train', CAST(sum(len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), {NL}))) AS BIGINT)
-          FROM documents"""
+WITH s AS (SELECT {split} AS split, doc_id, lang, source FROM documents)
+SELECT 'csv' AS fmt, split, CAST(doc_id AS VARCHAR) AS key, lang || ' ' || source AS value FROM s
+UNION ALL SELECT 'json', split, CAST(doc_id AS VARCHAR), lang || ' ' || source FROM s
+UNION ALL SELECT 'txt', 'train', CAST(count(*) AS VARCHAR), sha256(line || {NL}) FROM (
+    SELECT unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), {NL})) AS line FROM documents) GROUP BY line"""
 
 
 def split_by_task() -> str:
@@ -1046,12 +1043,21 @@ def stream_pack() -> str:
     b = 128
     return f"""
 WITH {_doc_ids_sql()},
-o AS (SELECT *, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
-             (sum(len(ids)) OVER ()) // {b} * {b} AS usable FROM di),
-t AS (SELECT off, usable, unnest(list_transform(ids, lambda x, i: {{'id': x, 'p': off + i - 1}})) AS t FROM o),
-k AS (SELECT t.p AS p, t.id AS id FROM t WHERE t.p < usable)
-SELECT CAST(p // {b} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_ids, array_to_string(list(id ORDER BY p), ' ') AS input_ids
-FROM k GROUP BY p // {b}"""
+o AS (SELECT *, doc_id % 3 AS part,
+             coalesce(sum(len(ids)) OVER (PARTITION BY doc_id % 3 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             (sum(len(ids)) OVER (PARTITION BY doc_id % 3)) // {b} * {b} AS usable FROM di),
+t AS (SELECT part, off, usable, unnest(list_transform(ids, lambda x, i: {{'id': x, 'p': off + i - 1}})) AS t FROM o),
+k AS (SELECT part, t.p AS p, t.id AS id FROM t WHERE t.p < usable)
+SELECT CAST(part AS INTEGER) AS part, CAST(p // {b} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_ids,
+       array_to_string(list(id ORDER BY p), ' ') AS input_ids,
+       (SELECT count(DISTINCT doc_id % 3) FROM documents) AS n_batches
+FROM k GROUP BY part, p // {b}"""
+
+
+def unmapped_codes() -> str:
+    return """
+SELECT event_type AS code, count(*) AS n_rows FROM events
+WHERE event_type IS NULL OR event_type NOT IN ('click', 'purchase', 'error') GROUP BY event_type"""
 
 
 def tag_length_check() -> str:

@@ -137,7 +137,8 @@ PAIR_MATCH = TaskSpec(
         "Judge whether both passages use one language.\nLeft: {a}\nRight: {b}\nOptions: yes, no\nAnswer:",
     ),
     p_suffix=0.0,
-    words={"same_pair": ("same", "different"), "yes_pair": ("yes", "no")},
+    # One pair of answers for each template, in its order.
+    words={"wording": (("same", "different"),) * 3 + (("yes", "no"),) * 3},
 )
 
 ORDINAL = TaskSpec(

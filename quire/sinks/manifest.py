@@ -41,9 +41,79 @@ def content_manifest(df: DataFrame, by: Sequence[str], cols: Sequence[str] | Non
     return h.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("digest"))
 
 
-def file_manifest(spark, path: str, glob: str = "*") -> DataFrame:
-    """SNK7: one SHA-256 per file under ``path`` (file names containing 'sha256' skipped)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(path))
-    return (files.filter(~F.substring_index("path", "/", -1).contains("sha256"))
-            .select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("sha256")))
+#: Files up to this size are read as one cell; larger ones are streamed.
+CELL_BYTES = 128 << 20
+
+
+def file_manifest(spark, path: str, glob: str = "*", cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """SNK7: (path, length, sha256), one SHA-256 per file under ``path`` (file names containing 'sha256' skipped), in the
+    order of the paths.
+
+    Small files are digested as one cell, in parallel.  A larger file's lines are read in splits, sorted back into their
+    order (a sort that spills) and fed to one running digest, so a task holds a batch of lines whatever the file's size.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = reader.format("binaryFile").load(path)
+    wanted = ~F.substring_index(F.col("path"), "/", -1).contains("sha256")
+    small = files.filter(wanted & (F.col("length") <= cell_bytes)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    # Names and sizes of the large files: as many as fit the data over cell_bytes.
+    large = [r["path"] for r in files.filter(wanted & (F.col("length") > cell_bytes)).select("path").collect()]
+    out = small.unionByName(streamed_digests(spark, large)) if large else small
+    return out.unionByName(empty_files(files)).orderBy("path")
+
+
+def empty_files(files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of the empty files among a reader's, whose rows it leaves out."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = files.sparkSession.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    listed = listed.select(plain("path").alias("path")).filter(~F.substring_index("path", "/", -1).contains("sha256"))
+    there = files.select(plain("_metadata.file_path").alias("path"))
+    return listed.join(there, "path", "left_anti").select(
+        F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.lit(0).cast("long").alias("length"),
+        F.sha2(F.lit(b""), 256).alias("sha256"))
+
+
+def streamed_digests(spark, paths: Sequence[str]) -> DataFrame:
+    """(path, length, sha256) of files of any size; between two line ends may lie 2 GB at most."""
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        F.col("value").cast("binary").alias("line"))
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        at, size, digest, fed = None, 0, None, 0
+
+        def done():
+            # The reader leaves out line ends, and a byte-order mark at the start; the size tells what was there.
+            if size - fed not in (0, 1):
+                raise ValueError(f"{at}: {fed} of {size} bytes were read")
+            if size - fed == 1:
+                digest.update(b"\n")
+            return pd.DataFrame([(at, size, digest.hexdigest())], columns=["path", "length", "sha256"])
+
+        for pdf in batches:
+            for path, length, lead, line in zip(pdf["path"], pdf["length"], pdf["lead"], pdf["line"]):
+                if path != at:
+                    if at:
+                        yield done()
+                    at, size, digest, fed = path, length, hashlib.sha256(), 0
+                    digest.update(lead)
+                    fed = len(lead)
+                else:
+                    digest.update(b"\n")
+                    fed += 1
+                digest.update(line)
+                fed += len(line)
+        if at:
+            yield done()
+
+    # A file that starts with a byte-order mark is three bytes longer than what the lines add up to.
+    sums = lines.groupBy("path").agg(F.sum(F.octet_length("line") + 1).alias("n"))
+    marked = lines.join(sums, "path").withColumn("lead", F.when(F.col("length") - F.col("n") >= 2, F.lit(b"\xef\xbb\xbf")).otherwise(
+        F.lit(b"")))
+    ordered = marked.repartition("path").sortWithinPartitions("path", "block", "row")
+    return ordered.select("path", "length", "lead", "line").mapInPandas(run, "path string, length long, sha256 string")

@@ -46,8 +46,9 @@ def stream_file_source(spark: SparkSession, path: str, schema, fmt: str = "parqu
 
 def stream_transform(spark: SparkSession, source_path: str, schema, per_batch, name: str,
                      fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """STR1 / STR2 driver: stream the files, transform each micro-batch, return the sink as a table."""
+    """STR1 / STR2 driver: stream the files, transform each micro-batch, return the sink as a table with the number of
+    each row's ``batch``."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
     run_available_now(stream_file_source(spark, source_path, schema, fmt, max_files_per_trigger), per_batch, out, ckpt)
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out)
