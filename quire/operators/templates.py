@@ -10,8 +10,9 @@ plan, like any literal.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +76,56 @@ def pattern_of(template: str) -> str:
     return "".join(out)
 
 
-def match_templates(df: DataFrame, col: str, templates: Sequence[str], name: str = "matched") -> DataFrame:
+#: With more templates than this, an index names the candidates of a row; with fewer, their patterns are tried inside
+#: the JVM.  Both find the same.
+TRIED_BY_ONE = 16
+
+
+def match_templates(df: DataFrame, col: str, templates: Sequence[str], name: str = "matched",
+                    tried_by_one: int = TRIED_BY_ONE) -> DataFrame:
     """FLT5: array of template indexes whose pattern is found in ``col`` (unanchored)."""
+    if len(templates) > tried_by_one:
+        return df.withColumn(name, template_index(templates)(F.col(col)))
     hits = [F.when(F.col(col).rlike(pattern_of(t)), F.lit(i)) for i, t in enumerate(templates)]
     return df.withColumn(name, F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
+def template_index(templates: Sequence[str]) -> Callable[[Column], Column]:
+    """FLT5 for many templates: an Aho-Corasick automaton over each template's longest literal piece reads a text once,
+    whatever their number; only the templates whose piece it meets are matched by their pattern.  Texts pass in Arrow
+    batches, the automaton is built once per batch iterator.  A template of slots alone is always tried."""
+    longest = [max((v for k, v in pieces(t) if k == "lit"), key=len, default="") for t in templates]
+    patterns = [pattern_of(t) for t in templates]
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        compiled = [re.compile(p) for p in patterns]
+        owners: dict[str, list[int]] = {}
+        for i, piece in enumerate(longest):
+            owners.setdefault(piece, []).append(i)
+        always = owners.pop("", [])
+        index = ahocorasick.Automaton()
+        for piece, ids in owners.items():
+            index.add_word(piece, ids)
+        if owners:
+            index.make_automaton()
+
+        def matches(text):
+            if text is None:
+                return []
+            candidates = set(always)
+            for _, ids in index.iter(text) if owners else ():
+                candidates.update(ids)
+            return sorted(i for i in candidates if compiled[i].search(text))
+
+        for texts in batches:
+            yield pd.Series([matches(t) for t in texts.tolist()])
+
+    return found
+
+
 # ---------------------------------------------------------------- DuckDB SQL
 
 def sql_render_one(template: str, slots: Mapping[str, str]) -> str:

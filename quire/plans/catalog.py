@@ -118,7 +118,7 @@ from ..operators.dialogue import merge_turns, turn_histogram  # noqa: E402
 from ..operators.sampling import sample_k  # noqa: E402
 from ..functions.text import to_markdown_row  # noqa: E402
 from ..sinks.manifest import content_manifest  # noqa: E402
-from .tasks import CLASSIFICATION, DIALOGUE, ENTITIES, EVENTS, ORDINAL, RELATIONS, SEED, TAGGED  # noqa: E402
+from .tasks import ALL_TASKS, CLASSIFICATION, DIALOGUE, ENTITIES, EVENTS, ORDINAL, RELATIONS, SEED, TAGGED  # noqa: E402
 
 ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
               "pages benchmark labels conversations").split()
@@ -802,6 +802,17 @@ def q_template_violations(spark, sf):
     return out
 
 
+def q_recognise_templates(spark, sf):
+    """FLT5 + AGG1 with the templates of all tasks at once: which of them each prompt of four tasks fits."""
+    from ..operators.templates import match_templates
+    o, docs = table(spark, sf, "orders"), _docs(spark, sf)
+    rows = B.build_ordinal_match(o).unionByName(B.build_pair_match(B.adjacent_pairs(docs))).unionByName(
+        B.build_classification(docs)).unionByName(B.build_relations(B.relation_samples(o), vocab=B.relation_vocab(o)))
+    every = [t for spec in ALL_TASKS for t in spec.templates]
+    m = match_templates(rows, "input", every)
+    return m.select("sample_id", F.array_join(F.transform("matched", lambda x: x.cast("string")), ",").alias("matched"))
+
+
 def q_packed_lists(spark, sf):
     """SCL5, SET2, SET3: quoted ``##`` lists of part names per brand, unpacked, distinct in order, compared as sets."""
     from ..functions.text import split_keep, strip_quotes
@@ -866,6 +877,7 @@ def q_sample_exact(spark, sf):
 
 
 for _name, _query in (("tag_length_check", q_tag_length_check), ("template_violations", q_template_violations),
+                      ("recognise_templates", q_recognise_templates),
                       ("packed_lists", q_packed_lists), ("shape_columns", q_shape_columns), ("text_lines", q_text_lines),
                       ("bom_rows", q_bom_rows), ("read_splits", q_read_splits), ("sample_exact", q_sample_exact)):
     QUERIES[_name] = _query

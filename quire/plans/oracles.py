@@ -498,6 +498,16 @@ SELECT sample_id, template_id, array_to_string(list_transform(matched, lambda x:
 FROM m"""
 
 
+def recognise_templates() -> str:
+    from ..operators.templates import pattern_of
+    from .tasks import ALL_TASKS
+    every = [t for spec in ALL_TASKS for t in spec.templates]
+    hits = ", ".join(f"CASE WHEN regexp_matches(input, {sql_lit(pattern_of(t))}) THEN '{i}' END" for i, t in enumerate(every))
+    arms = " UNION ALL ".join(f"SELECT sample_id, input FROM ({q(raw=True)})" for q in (
+        build_ordinal_match, build_pair_match, build_classification, build_relations))
+    return f"SELECT sample_id, array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',') AS matched FROM ({arms})"
+
+
 def pattern_counts() -> str:
     return f"""
 WITH rr AS ({_relation_rows_with_template()}),

@@ -58,3 +58,16 @@ def test_every_task_template_round_trips(spark):
 
 def test_pattern_literals_are_quoted():
     assert pattern_of("a?b {x}") == "a\\?b [^\n]"
+
+
+def test_template_index_finds_what_the_patterns_find(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["alpha", "beta.", "a?", "(x)", "\n", "é日", "{s}", " {t}\n", ": ", "gamma\\\\d", "aa", "a"])
+    templates = ["".join(word() for _ in range(rnd.randint(1, 6))) for _ in range(120)] + ["{a}", "{a}{b}", "", "aa", "aa"]
+    texts = ["".join(word().replace("{s}", "some text").replace("{t}", "q") for _ in range(rnd.randint(0, 12))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "\n"])], "i int, input string")
+    one = {r["i"]: r["matched"] for r in match_templates(df, "input", templates, tried_by_one=1000).collect()}
+    index = {r["i"]: r["matched"] for r in match_templates(df, "input", templates, tried_by_one=0).collect()}
+    assert index == one and any(len(m) > 3 for m in one.values())
