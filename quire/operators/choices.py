@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash, u
+from ..functions.once import with_once
 from ..scratch import stored
 from .ordering import bucket_offsets
 
@@ -115,8 +116,8 @@ def with_absent(df: DataFrame, key: Sequence[str], own: str, lists: Mapping[str,
     mine = F.coalesce(F.col(own), F.array().cast("array<string>"))
     counts = {name: n if isinstance(n, Column) else F.lit(n) for name, n in lists.items()}
     if vocab.labels is not None:
-        return df.withColumns({name: absent_from_list(mine, vocab.labels, n, seed, task, key, name)
-                               for name, n in counts.items()})
+        return with_once(df, {name: absent_from_list(mine, vocab.labels, n, seed, task, key, name)
+                              for name, n in counts.items()})
     size = F.lit(vocab.size).cast("long")
     drawn = {name: draw_positions(n, mine, size, seed, task, key, name) for name, n in counts.items()}
 

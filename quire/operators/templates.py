@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_int, sql_draw_int, sql_u, u
+from ..functions.once import with_once
 from ..functions.text import sql_lit
 
 _SLOT = re.compile(r"\{(\w+)\}")
@@ -87,7 +88,7 @@ def match_templates(df: DataFrame, col: str, templates: Sequence[str], name: str
     if len(templates) > tried_by_one:
         return df.withColumn(name, template_index(templates)(F.col(col)))
     hits = [F.when(F.col(col).rlike(pattern_of(t)), F.lit(i)) for i, t in enumerate(templates)]
-    return df.withColumn(name, F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    return with_once(df, {name: F.filter(F.array(*hits), lambda x: x.isNotNull())})
 
 
 def template_index(templates: Sequence[str]) -> Callable[[Column], Column]:

@@ -12,8 +12,9 @@ occurrences, and looks ids up by position inside the row (``chunks``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +139,33 @@ def encode(df: DataFrame, key: Sequence[str], texts: dict[str, tuple[str, bool]]
     return encode_texts(coded, vocab, [n for n, (_, bos) in texts.items() if bos])
 
 
+#: Characters of all tokens of a vocabulary that ``row_encoder`` ships to every worker.
+ROW_VOCAB_CHARS = 64_000_000
+
+
+def row_encoder(vocab: DataFrame, max_chars: int = ROW_VOCAB_CHARS) -> Callable[[Column], Column]:
+    """TOK1 as a map: a column function from text to ids that needs no regrouping, for streams in append mode.
+
+    Every worker holds the vocabulary, so its size is checked first; a larger one is an error here and is encoded by
+    chunks (``encode``, in ``foreachBatch`` for a stream).  A null text has no tokens.
+    """
+    size = vocab.agg(F.coalesce(F.sum(F.char_length("token") + 8), F.lit(0)).alias("n")).first()["n"]
+    if size > max_chars:
+        raise ValueError(f"a vocabulary of {size} characters is too large for a map ({max_chars})")
+    spark = vocab.sparkSession
+    ids = spark.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").toLocalIterator()})
+
+    @F.pandas_udf("array<int>")
+    def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import regex
+
+        find, known = regex.compile(TOKEN_RE).findall, ids.value
+        for texts in batches:
+            yield pd.Series([[known.get(t, UNK_ID) for t in find(x)] if x else [] for x in texts.tolist()])
+
+    return lookup
+
+
 def map_tokenizer(df: DataFrame, col: str, fn: Callable, name: str = "input_ids",
                   keep: Sequence[str] = ()) -> DataFrame:
     """UDF1: a user tokenizer over Arrow batches (``mapInPandas``); ``fn(list[str]) -> list[list[int]]``."""

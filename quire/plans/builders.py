@@ -412,6 +412,13 @@ def reply_links(conversations: DataFrame):
     return queries, docs, links
 
 
+def index_turns(turns: DataFrame) -> DataFrame:
+    """(d_conv, d_turn, d_idx, n_docs): positions of turns; a bucket is ``TURN_BUCKET`` turns of one conversation, so a
+    huge conversation is many tasks."""
+    bucket = F.col("d_conv") * F.lit(1 << 20) + F.least(F.floor(F.col("d_turn") / TURN_BUCKET), F.lit((1 << 20) - 1))
+    return with_global_index(turns, ["d_conv", "d_turn"], "d_idx", bucket=bucket, total="n_docs", levels=3)
+
+
 def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=SEED, spec=RELEVANCE,
                     k: int | None = None, fraction: float | None = None, **kw) -> DataFrame:
     """BLD7: positive document via the link table, else a random other document (never the positive)."""
@@ -421,8 +428,8 @@ def build_relevance(queries: DataFrame, docs: DataFrame, links: DataFrame, seed=
     # JOI1: the last link per query wins.
     last = links.groupBy(*key).agg(F.max_by(F.struct(*dkey), "line_no").alias("_d")).select(
         *key, "_d.d_conv", "_d.d_turn")
-    # The index is over keys, one bucket per conversation; texts are fetched by key at the end.
-    idx_docs = with_global_index(docs.select(*dkey), dkey, "d_idx", bucket=F.col(dkey[0]), total="n_docs")
+    # The index is over keys; texts are fetched by key at the end.
+    idx_docs = index_turns(docs.select(*dkey))
     pos = last.join(idx_docs, dkey).select(*key, F.col("d_idx").alias("pos_idx"), "n_docs")
     q = sampled(queries.join(pos, key), spec, key, seed, k, fraction)
     relevant = u(seed, spec.name, key, "relevant") < p["relevant"]

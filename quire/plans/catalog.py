@@ -450,11 +450,10 @@ def q_ensure_eos(spark, sf):
 
 def preference_rows(spark, sf):
     """prompt = user turn, chosen = its reply, rejected = another reply drawn like JOI2."""
-    from ..operators.ordering import with_global_index
     from ..functions.draws import u
     queries, docs, links = B.reply_links(table(spark, sf, "conversations"))
     dkey = ["d_conv", "d_turn"]
-    idx = with_global_index(docs.select(*dkey), dkey, "d_idx", bucket=F.col("d_conv"), total="n_docs")
+    idx = B.index_turns(docs.select(*dkey))
     pos = links.join(idx, dkey).join(docs, dkey).select("conv_id", "turn", F.col("doc").alias("chosen"), "d_idx", "n_docs")
     q = queries.join(pos, ["conv_id", "turn"])
     i = F.floor(u(SEED, "preference", ["conv_id", "turn"], "rejected") * (F.col("n_docs") - 1)).cast("long")
@@ -590,7 +589,7 @@ ORACLES.update({name: getattr(O, name) for name in ("shifted_accuracy", "perplex
 from ..sinks import writers as W  # noqa: E402
 from ..sources import positions as POS  # noqa: E402
 from ..sources import readers as R  # noqa: E402
-from ..streaming.prepare import stream_transform  # noqa: E402
+from ..streaming.prepare import stream_map, stream_transform  # noqa: E402
 
 
 def q_jsonl_roundtrip(spark, sf):
@@ -719,20 +718,26 @@ ORACLES["unmapped_codes"] = O.unmapped_codes
 
 
 def q_stream_prepare(spark, sf):
-    """STR1: instruction rows in several files, one file per micro-batch, each row prepared by itself."""
+    """STR1: instruction rows in several files, one file per micro-batch, mapped row by row into an append-mode sink; half
+    of the files arrive after the stream has stopped, and the restarted one takes up where it was."""
     vocab = stored(_conv_vocab(spark, sf), "vocab")
     rows = _pairs(spark, sf).select("sample_id", "prompt", "reply")
+    halves = stored(rows.withColumn("half", F.pmod(F.xxhash64("sample_id"), F.lit(2))), "stream-halves")
     source = W.scratch_path(spark, "stream-rows")
-    rows.repartition(4, "sample_id").write.parquet(source)
+    encode = TK.row_encoder(vocab)
 
-    def per_batch(batch, epoch):
-        p = batch.withColumn("output", TK.ensure_suffix("reply"))
-        e = TK.encode(p, ["sample_id"], {"p_ids": ("prompt", True), "r_ids": ("output", False)}, vocab)
+    def prepare(stream):
+        p = stream.select("sample_id", F.concat(F.array(F.lit(TK.BOS_ID)), encode(F.col("prompt"))).alias("p_ids"),
+                          encode(TK.ensure_suffix("reply")).alias("r_ids"))
         ids, labels, mask = TK.labels_response("p_ids", "r_ids", MAX_LEN)
-        return e.select("sample_id", F.size(ids).alias("n_ids"), _ids_text(ids).alias("input_ids"),
+        return p.select("sample_id", F.size(ids).alias("n_ids"), _ids_text(ids).alias("input_ids"),
                         _ids_text(labels).alias("labels"), _ids_text(mask).alias("attention_mask"))
 
-    return stream_transform(spark, source, rows.schema, per_batch, "stream-prepare", max_files_per_trigger=1).drop("batch")
+    out, checkpoint = W.scratch_path(spark, "stream-prepare-out"), W.scratch_path(spark, "stream-prepare-ckpt")
+    for half in (0, 1):
+        halves.filter(F.col("half") == half).drop("half").repartition(3, "sample_id").write.mode("append").parquet(source)
+        stream_map(spark, source, rows.schema, prepare, out, checkpoint, max_files_per_trigger=1)
+    return spark.read.parquet(out)
 
 
 def q_stream_pack(spark, sf):

@@ -1,8 +1,9 @@
 """Structured Streaming preparation (STR1, STR2).
 
-The source behaviour is a stateless map over a stream of rows.  Encoding
-and packing regroup rows, so each micro-batch runs the batch operators in
-``foreachBatch`` against a static vocabulary, writing each micro-batch to a
+The source behaviour is a stateless map over a stream of rows: ``stream_map``,
+in append mode with the file sink's own exactly-once log.  Packing, and encoding
+against a vocabulary too large for a map, regroup rows, so each micro-batch runs
+the batch operators in ``foreachBatch``, writing each micro-batch to a
 folder of its own with overwrite, so that a replayed batch replaces itself.
 Packing drops the remainder per micro-batch, as the source does.  Runs are
 ``Trigger.AvailableNow`` with a checkpoint under the shared checkpoint
@@ -44,6 +45,16 @@ def stream_file_source(spark: SparkSession, path: str, schema, fmt: str = "parqu
     return r.load(path)
 
 
+def stream_map(spark: SparkSession, source_path: str, schema, transform: Callable[[DataFrame], DataFrame], out_path: str,
+               checkpoint: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> None:
+    """STR1: the files that arrived since ``checkpoint``, mapped row by row and appended to ``out_path``; a restart with
+    the same checkpoint goes on where the stream stopped, and the sink's log keeps replayed batches out."""
+    stream = transform(stream_file_source(spark, source_path, schema, fmt, max_files_per_trigger))
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out_path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def stream_transform(spark: SparkSession, source_path: str, schema, per_batch, name: str,
                      fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
     """STR1 / STR2 driver: stream the files, transform each micro-batch, return the sink as a table with the number of
