@@ -88,7 +88,8 @@ def index_labels(vocab: DataFrame, vocab_col: str = "label", small: int = SMALL,
     """Read a vocabulary once.  At most ``small + 1`` labels reach the driver; if there are more, they are sorted by
     sampled ranges, so that no prefix or letter makes one task, and stored as pages."""
     labels = vocab.select(F.col(vocab_col).alias("_vl")).filter(F.col("_vl").isNotNull()).distinct()
-    head = [r[0] for r in labels.limit(small + 1).collect()]
+    # One job: a collected limit would try the partitions in several rounds.
+    head = labels.limit(small + 1).agg(F.collect_list("_vl")).first()[0]
     if len(head) <= small:
         return IndexedLabels(len(head), sorted(head, key=lambda x: x.encode("utf-8", "surrogatepass")))
     # A row's number within its range, then the ranges' offsets; ranges are few (one per partition).
