@@ -22,10 +22,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -231,9 +233,19 @@ def fit(labelled: DataFrame, chars_per_language: int = CHARS_PER_LANGUAGE) -> Pa
     return Parser(training_sample(labelled, chars_per_language))
 
 
-def identify(docs: DataFrame, model: Parser, text: str = "text", into: str = "language") -> DataFrame:
+@contextmanager
+def shared_model(spark: SparkSession, model: Parser):
+    """The model as a broadcast (its size is bounded by the sample), destroyed at the end: store within what needs it."""
+    shared = spark.sparkContext.broadcast(model)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def identify(docs: DataFrame, model: Parser | Broadcast, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into``: lang, score (0 to 1), letters, bits a character."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

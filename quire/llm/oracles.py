@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from .secrets import COPIED_OWNERS, KINDS
+#: Kinds of secrets for the SQL, apart from those of the code: (name, pattern, group of the value, least length), and from
+#: how many owners on a value is a copied example.  Names of keys have letters in either case.
+_KEYS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in key) for key in (
+    "password", "passwd", "secret", "token", "api_?key"))
+KINDS = (
+    ("assign", rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("live", r"[A-Za-z0-9+/_]{24,}", 0, 24),
+)
+COPIED_OWNERS = 3
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
