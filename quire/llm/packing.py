@@ -23,7 +23,7 @@ from .common import row_slices, stored, text_bytes
 from .tokenize import ByteEncoder, encoder
 
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECE + ", sequence_id long, offset long, open boolean"
+PLACED = PIECE + ", sequence_id long, offset long, certified boolean, open boolean"
 #: Pieces packed together in one task at most (about 20 MB of rows); the number of partitions follows from the count.
 PARTITION_PIECES = 20_000
 
@@ -116,16 +116,18 @@ def pack_part(level: int, last: bool, capacity: int):
                               ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, rooms = best_fit_decreasing(lengths, capacity)
-        certified = last or len(rooms) == lower_bound(lengths, capacity)
+        met = len(rooms) == lower_bound(lengths, capacity)
+        full = rooms[bins] == 0
         return pdf.drop(columns="part").assign(sequence_id=(level << 58) | (int(key[0]) << 24) | bins, offset=offsets,
-                                               open=(rooms[bins] > 0) & (not certified))
+                                               certified=full | met, open=~full & (not met) & (not last))
 
     return one
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTITION_PIECES,
          max_rounds: int = 8) -> DataFrame:
-    """Place every piece; returns its columns with sequence_id and offset."""
+    """Place every piece; returns its columns with sequence_id, offset and ``certified``: the piece's sequence is full, or
+    its partition met its lower bound.  Only the last round can leave pieces without."""
     left = pieces.select(F.col("doc_id").cast("string").alias("doc_id"), *[c.split()[0] for c in PIECE.split(", ")[1:]])
     n = left.count()
     done: list[DataFrame] = []
@@ -137,7 +139,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTIT
         part = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(level)), F.lit(parts))
         placed = stored(left.withColumn("part", part).groupBy("part").applyInPandas(pack_part(level, last, capacity), PLACED), f"pack-{level}")
         done.append(placed.where(~F.col("open")).drop("open"))
-        left = placed.where("open").drop("open", "sequence_id", "offset")
+        left = placed.where("open").drop("open", "certified", "sequence_id", "offset")
         n = left.count()
         if n == 0:
             break

@@ -246,6 +246,26 @@ def test_packing_exchanges(spark):
     assert packing.lower_bound(lengths, 1024) <= best and got <= 1.03 * best
 
 
+def test_packing_certificates(spark):
+    def packed(lengths, **kw):
+        rows = [(str(i), 0, 0, n, 0) for i, n in enumerate(lengths)]
+        return packing.pack(spark.createDataFrame(rows, packing.PIECE), **kw).collect()
+
+    assert all(r["certified"] for r in packed([512] * 101 + [1024] * 7, partition_pieces=20))
+    rng = np.random.default_rng(5)
+    out = packed([int(n) for n in rng.integers(100, 700, 600)], partition_pieces=50, max_rounds=1)
+    used: dict = {}
+    for r in out:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert all(r["certified"] for r in out if used[r["sequence_id"]] == 1024)
+    by_part: dict = {}
+    for r in out:
+        by_part.setdefault(r["sequence_id"] >> 24, []).append(r)
+    for part in by_part.values():
+        met = len({r["sequence_id"] for r in part}) == packing.lower_bound(np.array([r["length"] for r in part]), 1024)
+        assert all(r["certified"] == (met or used[r["sequence_id"]] == 1024) for r in part)
+
+
 def test_lower_bound_is_a_bound():
     rng = np.random.default_rng(3)
     for _ in range(200):
