@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.once import with_once
+
+
 def item_text(c: Column) -> Column:
     """Length-prefixed, so that different items never join to the same text."""
     c = c.cast("string")
@@ -36,7 +39,7 @@ def row_sha(df: DataFrame, cols: Sequence[str]) -> Column:
 
 def content_manifest(df: DataFrame, by: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
     """SNK8: per group: row count and the sums of the row hashes' parts (as text)."""
-    h = df.select(*by, row_sha(df, list(cols or df.columns)).alias("_h"))
+    h = with_once(df, {"_h": row_sha(df, list(cols or df.columns))}).select(*by, "_h")
     sums = [F.sum(F.conv(F.substring("_h", i, 13), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 14, 27, 40, 53)]
     return h.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("digest"))
 
