@@ -12,7 +12,7 @@ directory, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +56,12 @@ def stream_map(spark: SparkSession, source_path: str, schema, transform: Callabl
 
 
 def stream_transform(spark: SparkSession, source_path: str, schema, per_batch, name: str,
-                     fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+                     fmt: str = "parquet", max_files_per_trigger: int | None = None,
+                     arrivals: Iterable = (None,)) -> DataFrame:
     """STR1 / STR2 driver: stream the files, transform each micro-batch, return the sink as a table with the number of
-    each row's ``batch``."""
+    each row's ``batch``.  The stream is taken up again after each of ``arrivals``, whose iteration may bring files."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
-    run_available_now(stream_file_source(spark, source_path, schema, fmt, max_files_per_trigger), per_batch, out, ckpt)
+    for _ in arrivals:
+        run_available_now(stream_file_source(spark, source_path, schema, fmt, max_files_per_trigger), per_batch, out, ckpt)
     return spark.read.parquet(out)
