@@ -16,11 +16,14 @@ def shifted_matches(preds, labels, ignore_id: int | None = None) -> tuple[Column
     p = preds if isinstance(preds, Column) else F.col(preds)
     lab = labels if isinstance(labels, Column) else F.col(labels)
     n = F.greatest(F.size(lab) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(p, 1, n), F.slice(lab, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    p, lab = F.slice(p, 1, n), F.slice(lab, 2, n)
     if ignore_id is not None:
-        pairs = F.filter(pairs, lambda s: s["b"] != ignore_id)
-    correct = F.size(F.filter(pairs, lambda s: s["a"] == s["b"]))
-    return F.size(pairs), correct
+        # 1 and 0 for compared positions, null for those left out
+        right = F.filter(F.zip_with(p, lab, lambda a, b: F.when(b != ignore_id, F.coalesce((a == b).cast("int"), F.lit(0)))),
+                         lambda x: x.isNotNull())
+        return F.size(right), F.size(F.filter(right, lambda x: x == 1))
+    right = F.zip_with(p, lab, lambda a, b: a == b)
+    return F.size(right), F.size(F.filter(right, lambda x: x))
 
 
 def shifted_accuracy(df: DataFrame, preds: str, labels: str, ignore_id: int | None = None) -> DataFrame:
