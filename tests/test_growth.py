@@ -115,3 +115,12 @@ def test_sizes_are_drawn_where_the_rows_are(spark):
     out = draw_size(d, dist, F.col("v"), "m")
     assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
     assert {r["id"]: r["m"] for r in out.collect()} == {i: 2 if i < 25 else 5 for i in range(100)}
+
+
+def test_submissions_are_planned_by_maker(spark):
+    from quire.plans import catalog as C
+    parsed = C._submission(spark, "/root/testdata/sf0.001")
+    assert list(parsed) == list(C.ROUTES)
+    # A route is planned over the predictions of its own maker.
+    for task in ("relations", "normalization", "events", "findings", "report"):
+        assert "Union" not in parsed[task]._jdf.queryExecution().analyzed().toString(), task
