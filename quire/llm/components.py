@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, released_shuffles, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,12 +23,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stored(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, edges = edges, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        dropped(before, large)
         # Settled when no node has two links and no root a link of its own.
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
             edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         loose = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where(
             "out > 1 or (out = 1 and into > 0)")
-        if loose.isEmpty():
+        with released_shuffles(edges.sparkSession):
+            settled = loose.isEmpty()
+        if settled:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise ValueError(f"components not settled after {max_rounds} rounds")

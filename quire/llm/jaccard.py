@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (empty, gram_hashes, mix64, row_slices, shuffle_width, signed, stored, text_bytes, word_table)
+from .common import (dropped, empty, gram_hashes, mix64, released_shuffles, row_slices, shuffle_width, signed, stored,
+                     text_bytes, word_table)
 from .components import components
 
 WORDS = 5
@@ -349,7 +350,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     sets = stored(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(node).alias("node"), F.first("sketch").alias(
         "sketch")), "distinct-sets")
-    shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    with released_shuffles(docs.sparkSession):
+        shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     found = stored(candidate_pairs(docs, shingles), "candidates")
     named = sets.select(F.shiftrightunsigned("h1", 24).alias("name"), "node", "n", "sketch")
     side = lambda x, y: named.select(F.col("name").alias(x), F.col("node").alias(y), F.col("n").alias(f"n_{y}"),
@@ -361,6 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(pruned(found.where("kind = 0").select("a", "b")), "pairs")
     groups = stored(found.where("kind = 1").select("value", F.col("a").alias("name")).join(
         named, "name").select("value", "node", "n", "sketch"), "large-groups")
+    dropped(found)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(
         groups.select("node")).distinct().select(F.col("node.id").alias("doc_id"), F.col("node.hash").alias("text_hash"))
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).groupBy(
@@ -386,8 +389,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "value", "main", "root", "k", "node.id", "node.hash", "n", "sketch")
     crossed = stored(compared_blocks(split), "crossed")
     more = stored(verified(rest.unionByName(crossed.join(first, ["u", "v"], "left_anti")).distinct(), texts), "links-2")
+    # From here on, texts and pairs are read no more.
+    dropped(pairs, groups, texts, first, crossed)
     if not more.isEmpty():
-        root = stored(components(links.unionByName(more)), "roots-2")
+        before, root = root, stored(components(links.unionByName(more)), "roots-2")
+        dropped(before)
+    dropped(links, more)
     classed = rows.join(sets.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left").join(root, "node", "left")
     null_id = F.lit(NULL_ID).cast("long")
     classed = classed.withColumn("root", F.coalesce("root", "node", node))
