@@ -1,13 +1,18 @@
 """What lies on the disk, and for how long."""
 
+import gzip
+import json
 import os
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard
 from quire.llm.common import stored
 from quire.scratch import _CLEANUP_CONF, dropped, released_shuffles
+from quire.sinks import writers as W
+from quire.sources.positions import read_lines
 
 
 def shuffle_files(spark):
@@ -59,3 +64,53 @@ def test_near_duplicates_keep_what_is_read(spark):
     assert not left_over(spark, files)
     assert {r["component_id"] for r in classes.collect()} == {0, *range(100, 120)}
     assert classes.count() == 40
+
+
+ANSWERS = "task_dataset string, sample_id string, answers array<struct<type:string,entity:string>>"
+
+
+def submission(spark):
+    rows = {"a": [("a", f"s{i:03d}", [("t", f"é{i}")] * (i % 3)) for i in range(100)], "b": [],
+            "c": [("c", None, [("t", "x")])] * 5 + [("a", "s000", [])] * 2}
+    return {t: spark.createDataFrame(r, ANSWERS).repartition(3) for t, r in rows.items()}
+
+
+def check_document(text):
+    doc = json.loads(text)
+    assert list(doc) == ["a", "b", "c"] and [len(x) for x in doc.values()] == [102, 0, 5]
+    assert [x["sample_id"] for x in doc["a"]] == ["s000"] * 3 + [f"s{i:03d}" for i in range(1, 100)]
+
+
+def test_submission_document_lies_there_once(spark, tmp_path):
+    frames, before, files = submission(spark), folders(spark), shuffle_files(spark)
+    path = W.write_submission_document(frames, str(tmp_path / "all.json"))
+    with open(path, encoding="utf-8") as f:
+        check_document(f.read())
+    # The lines and the parts are gone; the folder that the whole was made in is empty.
+    assert {f.rsplit("-", 1)[0] for f in folders(spark) - before} <= {"joined-parts"}
+    assert not left_over(spark, files)
+
+
+def test_packed_parts_are_copied_to_their_places(spark, tmp_path):
+    texts = ["one\ntwo\n", "", "é日\n" * 5000, "\nend\n"]
+    for i, text in enumerate(texts):
+        with gzip.open(tmp_path / f"part-{i:05d}.txt.gz", "wt", encoding="utf-8") as f:
+            f.write(text)
+    for size in (7, 1 << 20):
+        path = W.join_parts(spark, str(tmp_path), str(tmp_path / f"whole-{size}"), copy_bytes=size)
+        with open(path, encoding="utf-8", newline="") as f:
+            assert f.read() == "".join(texts)
+
+
+def test_submission_document_in_a_store(spark, tmp_path, monkeypatch):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.quire.link./top", f"file://{tmp_path}")
+    monkeypatch.setattr(W, "scratch_path", lambda s, name: f"viewfs://quire/top/scratch/{name}-{uuid.uuid4().hex}")
+    W.write_submission_document(submission(spark), "viewfs://quire/top/deep/all.json")
+    check_document((tmp_path / "deep" / "all.json").read_text(encoding="utf-8"))
+
+
+def test_lines_meet_their_splits_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n\nz\n")
+    d = read_lines(spark, str(tmp_path / "a.txt"))
+    assert "BroadcastHashJoin" in d._jdf.queryExecution().executedPlan().toString()
+    assert [(r["position"], r["value"]) for r in d.orderBy("position").collect()] == [(0, "x"), (1, "y"), (2, ""), (3, "z")]
